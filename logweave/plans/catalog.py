@@ -79,3 +79,229 @@ def _ts_query(granularity):
 
 for _g, _s in [("1min", 60), ("5min", 300), ("15min", 900), ("1h", 3600)]:
     register(f"timeseries_{_g}", _ts_sql(_s))(_ts_query(_g))
+
+
+@register("timeseries_long", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql("to_timestamp(floor(epoch(ts) / 300) * 300)::TIMESTAMP")} AS time, level,
+       count(*) AS count
+FROM logs GROUP BY 1, 2""")
+def q_timeseries_long(spark, sf_dir):
+    """Long form (bucket, level, count) at 5 minutes."""
+    from logweave.operators.activity import timeseries_long
+    return timeseries_long(fx.logs(spark, sf_dir), "5min")
+
+
+_BUCKET_1H = "to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP"
+
+
+@register("error_rate", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql(_BUCKET_1H)} AS time,
+       round_even(CAST(count_if(level = 'ERROR') AS DOUBLE) / count(*) * 100.0, 2) AS error_rate
+FROM logs GROUP BY 1""")
+def q_error_rate(spark, sf_dir):
+    """Hourly ERROR share in percent, half-even to 2 places."""
+    from logweave.operators.activity import error_rate
+    return error_rate(fx.logs(spark, sf_dir), "1h", rounded=True)
+
+
+@register("error_rate_unrounded", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql("to_timestamp(floor(epoch(ts) / 900) * 900)::TIMESTAMP")} AS time,
+       round(CAST(count_if(level = 'ERROR') AS DOUBLE) / count(*) * 100.0, 9) AS error_rate
+FROM logs GROUP BY 1
+HAVING (SELECT count_if(level = 'ERROR') FROM logs) > 0""")
+def q_error_rate_unrounded(spark, sf_dir):
+    """15-minute ERROR share, unrounded (compared at 9 places)."""
+    from logweave.operators.activity import error_rate
+    df = error_rate(fx.logs(spark, sf_dir), "15min", rounded=False)
+    return df.withColumn("error_rate", F.round("error_rate", 9))
+
+
+_LEVEL_COUNTS_SQL = ", ".join(f"count_if(level = '{lv}') AS {lv}" for lv in LEVELS)
+
+
+@register("components_top20", _with(LOGS_CTE) + f"""
+SELECT component, count(*) AS total, {_LEVEL_COUNTS_SQL}
+FROM logs GROUP BY component ORDER BY total DESC, component LIMIT 20""")
+def q_components(spark, sf_dir):
+    """Top-20 components by lines, counts per level."""
+    from logweave.operators.activity import components
+    return components(fx.logs(spark, sf_dir), 20, LEVELS)
+
+
+@register("component_share", _with(LOGS_CTE) + f""",
+top AS (SELECT component, count(*) AS total, {_LEVEL_COUNTS_SQL}
+        FROM logs GROUP BY component ORDER BY total DESC, component LIMIT 20)
+SELECT *, CAST(total AS DOUBLE) / (SELECT max(total) FROM top) * 100.0 AS share_pct FROM top""")
+def q_component_share(spark, sf_dir):
+    """Top-20 components with their share of the largest one."""
+    from logweave.operators.activity import component_share, components
+    return component_share(components(fx.logs(spark, sf_dir), 20, LEVELS))
+
+
+_HOUR_CELLS_SQL = ", ".join(
+    f"count_if(level IN ('ERROR', 'WARN') AND hour(ts) = {h}) AS h{h:02d}" for h in range(24))
+
+
+@register("heatmap_top10", _with(LOGS_CTE) + f""",
+agg AS (SELECT component, count(level) AS n, count_if(level IN ('ERROR', 'WARN')) AS ew,
+               {_HOUR_CELLS_SQL}
+        FROM logs GROUP BY component),
+top AS (SELECT * FROM agg ORDER BY n DESC, component LIMIT 10)
+SELECT * EXCLUDE (n, ew) FROM top WHERE ew > 0""")
+def q_heatmap(spark, sf_dir):
+    """ERROR/WARN per component x hour for the 10 busiest components."""
+    from logweave.operators.activity import heatmap
+    return heatmap(fx.logs(spark, sf_dir), 10)
+
+
+@register("snapshot", _with(LOGS_CTE) + f""",
+dom AS (SELECT level FROM logs GROUP BY level ORDER BY count(*) DESC, level LIMIT 1)
+SELECT {_iso_sql('min(ts)')} AS start, {_iso_sql('max(ts)')} AS "end",
+       count(DISTINCT component) AS n_components, count(DISTINCT block_id) AS n_blocks,
+       (SELECT level FROM dom) AS dominant_level
+FROM logs""")
+def q_snapshot(spark, sf_dir):
+    """Time window, distinct components / blocks, dominant level."""
+    from logweave.operators.activity import snapshot
+    return snapshot(fx.logs(spark, sf_dir))
+
+
+@register("level_mix", _with(LOGS_CTE) + """
+SELECT level, count(*) AS count,
+       CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM logs) * 100.0 AS pct
+FROM logs GROUP BY level""")
+def q_level_mix(spark, sf_dir):
+    """Lines and percent per level."""
+    from logweave.operators.activity import level_mix
+    return level_mix(fx.logs(spark, sf_dir))
+
+
+# Filter parameters used by the filter / paging queries (fixed test values).
+F_START, F_END = "2024-01-05 06:00:00", "2024-01-20"
+F_LEVELS = "ERROR,WARN,INFO"
+F_COMPONENTS = "svc.Node$Shard1,svc.Node$Shard2,svc.Node$Shard3,svc.Node$Shard5,svc.Node$Shard8"
+F_TEXT = r"shard1[0-9]|blk_1[0-9]$"
+
+
+def _log_filter():
+    from logweave.operators.filters import LogFilter
+    return LogFilter(start=F_START, end=F_END, levels=F_LEVELS, components=F_COMPONENTS)
+
+
+_COMP_LIST_SQL = ", ".join("'" + c + "'" for c in F_COMPONENTS.split(","))
+_LEVEL_LIST_SQL = ", ".join("'" + c + "'" for c in F_LEVELS.split(","))
+_FILTER_SQL = (f"ts >= TIMESTAMP '{F_START}' AND ts <= TIMESTAMP '{F_END}' "
+               f"AND level IN ({_LEVEL_LIST_SQL}) AND component IN ({_COMP_LIST_SQL})")
+
+
+@register("filter_logs_range_level_component", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql('ts')} AS ts, level, component, block_id FROM logs WHERE {_FILTER_SQL}""")
+def q_filter_logs(spark, sf_dir):
+    """time range (date-only end = midnight), level and component lists."""
+    from logweave.functions.timefmt import iso
+    df = _log_filter().apply(fx.logs(spark, sf_dir))
+    return df.select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id")
+
+
+@register("filter_logs_whole_days", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql('ts')} AS ts, level, component, block_id FROM logs
+WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13'""")
+def q_filter_whole_days(spark, sf_dir):
+    """Whole days 2024-01-10 .. 2024-01-12 inclusive."""
+    from logweave.functions.timefmt import iso
+    from logweave.operators.filters import whole_days
+    df = whole_days("2024-01-10", "2024-01-12").apply(fx.logs(spark, sf_dir))
+    return df.select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id")
+
+
+_TEXT_SQL = (f"(regexp_matches(coalesce(block_id, ''), '(?i){F_TEXT}') "
+             f"OR regexp_matches(coalesce(component, ''), '(?i){F_TEXT}'))")
+
+
+@register("search_logs_text", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql('ts')} AS ts, level, component, block_id FROM logs WHERE {_TEXT_SQL}""")
+def q_search_text(spark, sf_dir):
+    """case-insensitive regex search on block id or component."""
+    from logweave.functions.timefmt import iso
+    from logweave.operators.filters import text_filter
+    df = text_filter(fx.logs(spark, sf_dir), F_TEXT)
+    return df.select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id")
+
+
+_PAGE_ORDER = ("ts DESC, component ASC NULLS FIRST, block_id ASC NULLS FIRST, "
+               "level ASC NULLS FIRST")
+
+
+@register("raw_page", _with(LOGS_CTE) + f""",
+f AS (SELECT ts, level, component, block_id FROM logs
+      WHERE ts >= TIMESTAMP '{F_START}' AND ts <= TIMESTAMP '{F_END}' AND {_TEXT_SQL})
+SELECT {_iso_sql('ts')} AS ts, level, component, block_id, (SELECT count(*) FROM f) AS total
+FROM f ORDER BY {_PAGE_ORDER} LIMIT 500 OFFSET 100""")
+def q_raw_page(spark, sf_dir):
+    """Newest-first page (offset 100, limit 500) with the total count."""
+    from logweave.operators.activity import raw_page
+    from logweave.operators.filters import LogFilter
+    return raw_page(fx.logs(spark, sf_dir), LogFilter(start=F_START, end=F_END),
+                    text=F_TEXT, limit=500, offset=100)
+
+
+@register("raw_page_sorted", _with(LOGS_CTE) + f""",
+f AS (SELECT ts, level, component, block_id FROM logs)
+SELECT {_iso_sql('ts')} AS ts, level, component, block_id, (SELECT count(*) FROM f) AS total
+FROM f ORDER BY coalesce(block_id, '') ASC, ts ASC NULLS FIRST, level ASC NULLS FIRST,
+                component ASC NULLS FIRST
+LIMIT 1000 OFFSET 0""")
+def q_raw_page_sorted(spark, sf_dir):
+    """First 1000 rows sorted by block id ascending (nulls as '')."""
+    from logweave.operators.activity import raw_page
+    return raw_page(fx.logs(spark, sf_dir), limit=1000, offset=0,
+                    sort_by="block_id", ascending=True)
+
+
+@register("export_rows", _with(LOGS_CTE) + f"""
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS "Timestamp", level AS "Level",
+       component AS "Component", coalesce(block_id, '') AS "Block ID"
+FROM logs WHERE {_FILTER_SQL}""")
+def q_export_rows(spark, sf_dir):
+    """K6: export projection of the filtered log rows."""
+    from logweave.sources.sinks import export_rows
+    return export_rows(_log_filter().apply(fx.logs(spark, sf_dir)))
+
+
+@register("decode_envelopes", _with(fx.LOG_LINES_SQL) + f""",
+env AS (SELECT event_id,
+          CASE WHEN event_id % 17 = 0
+               THEN substr(to_json({{'ingested_at': '{fx.ENVELOPE_AT}', 'source_file': 'events.log',
+                                     'payload': {{'raw': raw}}}})::VARCHAR, 1, 20)
+               ELSE to_json({{'ingested_at': '{fx.ENVELOPE_AT}', 'source_file': 'events.log',
+                              'payload': {{'raw': raw}}}})::VARCHAR END AS value
+        FROM log_lines),
+dec AS (SELECT event_id, value->>'$.ingested_at' AS ingested_at,
+               value->>'$.source_file' AS source_file,
+               coalesce(value->>'$.payload.raw', '') AS raw
+        FROM env WHERE json_valid(value)),
+p AS (SELECT event_id, ingested_at, source_file, raw,
+             regexp_extract(trim(raw), '{fx._RE}', 4) AS level,
+             regexp_extract(trim(raw), '{fx._RE}', 5) AS component,
+             regexp_extract(trim(raw), '{fx._RE}', 6) AS message
+      FROM dec WHERE regexp_matches(trim(raw), '{fx._RE}'))
+SELECT event_id, ingested_at, source_file, raw, level, component, message,
+       regexp_extract_all(message, 'blk_[+-]?\\d+')[1] AS block_id FROM p""")
+def q_decode_envelopes(spark, sf_dir):
+    """JSON envelopes -> parsed rows; invalid JSON dropped."""
+    from logweave.streaming.ingest import parse_envelopes
+    p = parse_envelopes(fx.envelopes(spark, sf_dir))
+    return p.select("event_id", "ingested_at", "source_file", "raw", "level", "component",
+                    "message", "block_id")
+
+
+@register("primary_block_ids", _with(fx.STRUCTURED_SQL) + """
+SELECT Content, upper(trim(EventId)) AS EventId,
+       nullif(regexp_extract(Content, 'blk_-?\\d+', 0), '') AS BlockId
+FROM structured""")
+def q_primary_block_ids(spark, sf_dir):
+    """First block id of the structured content; event id normalised."""
+    from logweave.functions.parse import normalise_event_id, primary_block_id
+    s = fx.structured(spark, sf_dir)
+    return s.select("Content", normalise_event_id(F.col("EventId")).alias("EventId"),
+                    primary_block_id(F.col("Content")).alias("BlockId"))

@@ -83,8 +83,8 @@ parsed_ids AS (
          regexp_extract_all(message, 'blk_[+-]?\\d+')[1] AS block_id
   FROM parsed),
 logs AS (
-  SELECT date, time, level, component, block_id, {TS_SQL} AS ts
-  FROM parsed_ids)"""
+  SELECT * FROM (SELECT date, time, level, component, block_id, {TS_SQL} AS ts
+                 FROM parsed_ids) WHERE ts IS NOT NULL)"""
 
 
 def parsed_logs(spark: SparkSession, sf_dir: str, ingested_at: str = "2024-02-01T00:00:00+00:00",
@@ -108,17 +108,13 @@ ENVELOPE_AT = "2024-02-01T00:00:00+00:00"
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``event_id, value``: JSON envelopes of LOG_LINES; every 17th is cut short."""
-    lines = log_lines(spark, sf_dir)
-    value = F.to_json(F.struct(F.lit(ENVELOPE_AT).alias("ingested_at"),
-                               F.lit("events.log").alias("source_file"),
-                               F.struct(F.col("raw")).alias("payload")))
-    value = F.when(F.col("event_id") % 17 == 0, F.expr("substring(value_full, 1, 20)")) \
-        .otherwise(F.col("value_full"))
-    full = F.to_json(F.struct(F.lit(ENVELOPE_AT).alias("ingested_at"),
-                              F.lit("events.log").alias("source_file"),
-                              F.struct(F.col("raw")).alias("payload")))
-    return lines.select("event_id", full.alias("value_full")).select("event_id", value.alias("value"))
+    """``event_id, key, value``: JSON envelopes (K1 shape) of LOG_LINES; every
+    17th value is cut to 20 characters to make it invalid JSON."""
+    from logweave.sources.sinks import to_envelopes
+    env = to_envelopes(log_lines(spark, sf_dir), source_file="events.log",
+                       ingested_at=ENVELOPE_AT, keep=["event_id"])
+    cut = F.when(F.col("event_id") % 17 == 0, F.substring("value", 1, 20)).otherwise(F.col("value"))
+    return env.select("event_id", "key", cut.alias("value"))
 
 
 # --- STRUCTURED / LABELS from lineitem / orders -------------------------------

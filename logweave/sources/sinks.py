@@ -11,7 +11,7 @@ from logweave.functions.timefmt import ISO_FMT
 
 def to_envelopes(records: DataFrame, source_file: str | None = None,
                  ingested_at=None, payload_cols: list[str] | None = None,
-                 key_col: str | None = None) -> DataFrame:
+                 key_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """K1 (shape): ``key`` (nullable) and ``value`` = JSON envelope text.
 
     Raw lines give ``payload = {raw}``; CSV records give all their columns.
@@ -25,7 +25,7 @@ def to_envelopes(records: DataFrame, source_file: str | None = None,
     value = F.to_json(F.struct(at.alias("ingested_at"), src.alias("source_file"),
                                payload.alias("payload")))
     key = F.col(key_col).cast("string") if key_col else F.lit(None).cast("string")
-    return records.select(key.alias("key"), value.alias("value"))
+    return records.select(*(keep or []), key.alias("key"), value.alias("value"))
 
 
 def publish(envelopes: DataFrame, fmt: str, path_or_topic: str,
