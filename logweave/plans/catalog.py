@@ -305,3 +305,116 @@ def q_primary_block_ids(spark, sf_dir):
     s = fx.structured(spark, sf_dir)
     return s.select("Content", normalise_event_id(F.col("EventId")).alias("EventId"),
                     primary_block_id(F.col("Content")).alias("BlockId"))
+
+
+# ------------------------------------------------------ spikes / matrix ---
+
+def _spike_sql(seconds: int) -> str:
+    return _with(LOGS_CTE) + f""",
+c AS (SELECT to_timestamp(floor(epoch(ts) / {seconds}) * {seconds})::TIMESTAMP AS b, count(*) AS error_count
+      FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY 1),
+s AS (SELECT avg(error_count) + 2 * stddev_samp(error_count) AS thr FROM c)
+SELECT {_iso_sql('b')} AS minute, error_count FROM c, s WHERE error_count > thr"""
+
+
+def _spike_query(seconds):
+    def fn(spark, sf_dir):
+        from logweave.operators.spikes import error_spikes
+        return error_spikes(fx.logs(spark, sf_dir), seconds=seconds)
+    fn.__doc__ = f"S10/A19/J5: ERROR/WARN spikes over {seconds}-second buckets (mean + 2 std)."
+    return fn
+
+
+register("error_spikes_minute", _spike_sql(60))(_spike_query(60))
+register("error_spikes_hour", _spike_sql(3600))(_spike_query(3600))
+
+
+@register("event_matrix", _with(fx.MATRIX_SQL) + " SELECT * FROM matrix")
+def q_event_matrix(spark, sf_dir):
+    """Per block the count of each event E1..E29."""
+    from logweave.operators.features import event_matrix
+    return event_matrix(fx.structured(spark, sf_dir))
+
+
+@register("labelled_matrix", _with(fx.MATRIX_SQL) + " SELECT * FROM labelled")
+def q_labelled_matrix(spark, sf_dir):
+    """Matrix left join labels, Fail/Success vocabulary."""
+    return fx.matrix(spark, sf_dir)
+
+
+@register("matrix_label_counts", _with(fx.MATRIX_SQL) + """
+SELECT Label, count(*) AS blocks,
+       CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM labelled) AS share
+FROM labelled GROUP BY Label""")
+def q_matrix_label_counts(spark, sf_dir):
+    """Blocks per label and each label's share (the empirical rate)."""
+    from logweave.operators.features import label_counts
+    lc = label_counts(fx.matrix(spark, sf_dir))
+    tot = lc.agg(F.sum("blocks").alias("_t"))
+    return lc.crossJoin(F.broadcast(tot)).select(
+        "Label", "blocks", (F.col("blocks") / F.col("_t")).alias("share"))
+
+
+@register("centroid_distance", _with(fx.CLASS_DIST_SQL) + " SELECT BlockId, cluster, distance FROM dist")
+def q_centroid_distance(spark, sf_dir):
+    """M2/M4: standardised distance of every block to its class-mean centre."""
+    from logweave.operators.kmeans import class_mean_distance
+    return class_mean_distance(fx.matrix(spark, sf_dir)).select("BlockId", "cluster", "distance")
+
+
+_C = "(16838.0 / 575061.0)"
+
+
+@register("flag_ge_cutoff", _with(fx.CLASS_DIST_SQL) + f""",
+n AS (SELECT count(*) AS N FROM dist),
+b AS (SELECT greatest(1, least(CAST(round_even({_C} * N, 0) AS BIGINT), greatest(1, N - 1))) AS k FROM n)
+SELECT BlockId, distance, rank() OVER (ORDER BY distance DESC) <= (SELECT k FROM b) AS is_anomaly
+FROM dist""")
+def q_flag_ge_cutoff(spark, sf_dir):
+    """Flag distance >= n-th largest, n = round(c N) clamped to 1..N-1."""
+    from logweave.operators.cutoff import flag_ge_cutoff
+    from logweave.operators.kmeans import class_mean_distance
+    d = class_mean_distance(fx.matrix(spark, sf_dir)).select("BlockId", "distance")
+    from logweave import schemas
+    return flag_ge_cutoff(d, "distance", contamination=schemas.CONTAMINATION_DEFAULT)
+
+
+@register("flag_exact_n", _with(fx.CLASS_DIST_SQL) + f""",
+n AS (SELECT count(*) AS N FROM dist),
+b AS (SELECT greatest(1, least(CAST(round_even({_C} * N, 0) AS BIGINT), N)) AS k FROM n)
+SELECT BlockId, distance,
+       row_number() OVER (ORDER BY distance DESC, BlockId ASC) <= (SELECT k FROM b) AS is_anomaly
+FROM dist""")
+def q_flag_exact_n(spark, sf_dir):
+    """Exactly n = round(c N) farthest blocks, ties by BlockId."""
+    from logweave import schemas
+    from logweave.operators.cutoff import flag_exact_n
+    from logweave.operators.kmeans import class_mean_distance
+    d = class_mean_distance(fx.matrix(spark, sf_dir)).select("BlockId", "distance")
+    return flag_exact_n(d, "distance", "BlockId", contamination=schemas.CONTAMINATION_DEFAULT)
+
+
+# ------------------------------------------------ Spark ML (rows only) ---
+
+DETECTED_AT = "2024-02-01T00:00:00+00:00"
+
+
+@register("kmeans_detector")
+def q_kmeans_detector(spark, sf_dir):
+    """M1-M5: StandardScaler + KMeans(k=8) distance, cutoff rule -> anomaly rows."""
+    from logweave.operators.kmeans import kmeans_detector
+    return kmeans_detector(fx.matrix(spark, sf_dir), DETECTED_AT, k=8)
+
+
+@register("kmeans_exact_budget")
+def q_kmeans_exact_budget(spark, sf_dir):
+    """M6: K-Means distance with exactly round(c N) blocks flagged."""
+    from logweave.operators.kmeans import kmeans_exact_budget
+    return kmeans_exact_budget(fx.matrix(spark, sf_dir), k=8)
+
+
+@register("block_scores_summary")
+def q_block_scores_summary(spark, sf_dir):
+    """Per-block K-Means flags summarised (blocks, anomalies)."""
+    from logweave.operators.kmeans import block_scores, model_summary
+    return model_summary(block_scores(fx.matrix(spark, sf_dir), k=8))

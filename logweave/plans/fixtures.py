@@ -162,3 +162,35 @@ labels_src AS (
          CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 'Anomaly'
               ELSE 'Normal' END AS Label
   FROM orders)"""
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MATRIX: event matrix of STRUCTURED (A20) left-joined with LABELS."""
+    from logweave.operators.features import event_matrix, label_matrix
+    return label_matrix(event_matrix(structured(spark, sf_dir)), labels(spark, sf_dir))
+
+
+def _feature_sql(fmt: str, sep: str = ", ") -> str:
+    from logweave.schemas import FEATURE_COLS
+    return sep.join(fmt.format(c=c) for c in FEATURE_COLS)
+
+
+MATRIX_SQL = STRUCTURED_SQL + """,
+mrows AS (SELECT nullif(regexp_extract(Content, 'blk_-?\\d+', 0), '') AS BlockId,
+                 upper(trim(EventId)) AS EventId FROM structured),
+matrix AS (SELECT BlockId, """ + _feature_sql("CAST(count_if(EventId = '{c}') AS DOUBLE) AS {c}") + """
+           FROM mrows WHERE BlockId IS NOT NULL GROUP BY BlockId),""" + LABELS_SQL + """,
+labelled AS (SELECT m.*, CASE coalesce(l.Label, 'Normal') WHEN 'Anomaly' THEN 'Fail'
+                          WHEN 'Normal' THEN 'Success' ELSE l.Label END AS Label
+             FROM matrix m LEFT JOIN labels_src l ON m.BlockId = l.BlockId)"""
+
+CLASS_DIST_SQL = MATRIX_SQL + """,
+st AS (SELECT """ + _feature_sql("avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}") + """ FROM labelled),
+z AS (SELECT BlockId, Label,
+        CAST(list_position([""" + _feature_sql("{c}") + """], list_max([""" + _feature_sql("{c}") + """])) AS BIGINT) AS cluster,
+        """ + _feature_sql("CASE WHEN coalesce(s_{c}, 0) = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END AS z_{c}") + """
+      FROM labelled, st),
+cen AS (SELECT cluster, """ + _feature_sql("avg(z_{c}) AS c_{c}") + """ FROM z GROUP BY cluster),
+dist AS (SELECT BlockId, Label, cluster,
+           round(sqrt(""" + _feature_sql("(z_{c} - c_{c}) * (z_{c} - c_{c})", " + ") + """), 6) AS distance
+         FROM z JOIN cen USING (cluster))"""

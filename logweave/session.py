@@ -19,6 +19,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The feature plans carry 29-wide conditional expressions; inferring
+    # constraints over them costs minutes of planning for nothing.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -35,6 +38,9 @@ def build_session(master: str | None = None, app: str = "logweave",
     conf = dict(REQUIRED_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the only executor.
+        conf["spark.driver.memory"] = os.environ.get("LOGWEAVE_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
