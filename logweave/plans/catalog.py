@@ -418,3 +418,267 @@ def q_block_scores_summary(spark, sf_dir):
     """Per-block K-Means flags summarised (blocks, anomalies)."""
     from logweave.operators.kmeans import block_scores, model_summary
     return model_summary(block_scores(fx.matrix(spark, sf_dir), k=8))
+
+
+# ------------------------------------------------------ anomaly table ---
+
+ANOM_CTE = (LOGS_CTE.rstrip() + "," + fx.CLASS_DIST_SQL.rstrip() + "," + fx.LABELS_SQL.replace(
+    "labels_src AS", "gt AS") + "," + fx.ANOM_SQL)
+A_METHODS, A_SEARCH = "kmeans_distance,isolation_forest", "BLK_1"
+
+
+def _anom(spark, sf_dir):
+    return fx.anomalies(spark, sf_dir)
+
+
+@register("anomaly_table", _with(ANOM_CTE) + " SELECT * FROM anom")
+def q_anomaly_table(spark, sf_dir):
+    """S11/K4/M11 shape: both anomaly shapes under one wide schema."""
+    return _anom(spark, sf_dir)
+
+
+@register("overview", _with(ANOM_CTE) + f""",
+l AS (SELECT count(*) AS total_logs, count_if(level = 'ERROR') AS error_logs FROM logs
+      WHERE ts >= TIMESTAMP '{F_START}' AND ts <= TIMESTAMP '{F_END}' AND level IN ({_LEVEL_LIST_SQL})),
+a AS (SELECT count(*) AS total_anomalies, count_if(method = 'isolation_forest') AS if_anomalies
+      FROM anom WHERE method IN ('kmeans_distance', 'isolation_forest')
+        AND regexp_matches(coalesce(block_id, ''), '(?i){A_SEARCH}'))
+SELECT * FROM l, a""")
+def q_overview(spark, sf_dir):
+    """A1 + F1-F5: log and anomaly counts under log and anomaly filters."""
+    from logweave.operators.activity import overview
+    from logweave.operators.filters import AnomalyFilter, LogFilter
+    return overview(fx.logs(spark, sf_dir), _anom(spark, sf_dir),
+                    LogFilter(start=F_START, end=F_END, levels=F_LEVELS),
+                    AnomalyFilter(methods=A_METHODS, block_search=A_SEARCH))
+
+
+@register("facets", _with(ANOM_CTE) + f"""
+SELECT {_iso_sql('(SELECT min(ts) FROM logs)')} AS min_ts, {_iso_sql('(SELECT max(ts) FROM logs)')} AS max_ts,
+  (SELECT string_agg(level, ',' ORDER BY level) FROM (SELECT DISTINCT level FROM logs)) AS levels,
+  (SELECT string_agg(component, ',' ORDER BY component)
+     FROM (SELECT DISTINCT component FROM logs ORDER BY component LIMIT 20)) AS components,
+  (SELECT string_agg(method, ',' ORDER BY method) FROM (SELECT DISTINCT method FROM anom)) AS methods""")
+def q_facets(spark, sf_dir):
+    """A2: filter facets (time range, levels, first 20 components, methods)."""
+    from logweave.operators.activity import facets
+    return facets(fx.logs(spark, sf_dir), _anom(spark, sf_dir))
+
+
+@register("method_counts", _with(ANOM_CTE) + " SELECT method, count(*) AS count FROM anom GROUP BY method")
+def q_method_counts(spark, sf_dir):
+    """Anomalies per detection method."""
+    from logweave.operators.evaluate import method_counts
+    return method_counts(_anom(spark, sf_dir))
+
+
+@register("primary_method", _with(ANOM_CTE) + """
+SELECT method AS primary_method, count(*) AS count FROM anom GROUP BY method
+ORDER BY CASE method WHEN 'kmeans_distance' THEN 0 WHEN 'isolation_forest' THEN 1
+         WHEN 'one_class_svm' THEN 2 WHEN 'statistical_threshold' THEN 4 ELSE 3 END, method
+LIMIT 1""")
+def q_primary_method(spark, sf_dir):
+    """A10: the dashboard's primary ML method and its count."""
+    from logweave.operators.evaluate import primary_method
+    return primary_method(_anom(spark, sf_dir))
+
+
+def _metrics_sql(where: str) -> str:
+    return _with(ANOM_CTE) + f""",
+a AS (SELECT * FROM anom WHERE {where}),
+s AS (SELECT count(*) AS n_all, count(*) FILTER (WHERE true_label IS NOT NULL) AS n_lab,
+             count(*) FILTER (WHERE true_label = 'Fail') AS tp_lab, count(*) FILTER (WHERE true_label = 'Success') AS fp_lab,
+             count(*) FILTER (WHERE method = 'isolation_forest') AS n_if,
+             count(*) FILTER (WHERE method = 'isolation_forest' AND true_label = 'Fail') AS tp_if,
+             count(*) FILTER (WHERE method = 'isolation_forest' AND true_label = 'Success') AS fp_if FROM a),
+g AS (SELECT count(*) FILTER (WHERE Label = 'Anomaly') AS actual, count(*) AS blocks FROM gt),
+c AS (SELECT n_all > 0 AS has_data,
+             CASE WHEN n_lab > 0 THEN n_lab ELSE n_if END AS detected,
+             CASE WHEN n_lab > 0 THEN tp_lab ELSE tp_if END AS tp,
+             CASE WHEN n_lab > 0 THEN fp_lab ELSE fp_if END AS fp, actual, blocks FROM s, g),
+d AS (SELECT *, has_data AND detected > 0 AS has_labels,
+             CASE WHEN detected > 0 THEN CAST(tp AS DOUBLE) / detected ELSE 0.0 END AS prec,
+             CASE WHEN actual > 0 THEN CAST(tp AS DOUBLE) / actual ELSE 0.0 END AS rec FROM c)
+SELECT has_data, has_labels, has_labels AS has_full_metrics,
+       CASE WHEN has_labels THEN detected END AS detected, CASE WHEN has_labels THEN tp END AS tp,
+       CASE WHEN has_labels THEN fp END AS fp,
+       CASE WHEN has_labels THEN round_even(prec, 4) END AS precision,
+       CASE WHEN has_labels THEN actual - tp END AS fn,
+       CASE WHEN has_labels THEN blocks - actual - fp END AS tn,
+       CASE WHEN has_labels THEN round_even(rec, 4) END AS recall,
+       CASE WHEN has_labels THEN round_even(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec)
+                                                 ELSE 0.0 END, 4) END AS f1
+FROM d"""
+
+
+def _metrics(spark, sf_dir, methods=None):
+    from logweave.operators.evaluate import detection_metrics
+    from logweave.operators.filters import AnomalyFilter
+    return detection_metrics(_anom(spark, sf_dir), fx.labels(spark, sf_dir),
+                             AnomalyFilter(methods=methods))
+
+
+@register("detection_metrics", _metrics_sql("true"))
+def q_detection_metrics(spark, sf_dir):
+    """Precision over labelled rows; recall/F1 with ground truth."""
+    return _metrics(spark, sf_dir)
+
+
+@register("detection_metrics_unlabelled", _metrics_sql("method = 'isolation_forest'"))
+def q_detection_metrics_unlabelled(spark, sf_dir):
+    """Only unlabelled isolation-forest rows -> fallback subset."""
+    return _metrics(spark, sf_dir, "isolation_forest")
+
+
+@register("health_status", _metrics_sql("true").replace("\nSELECT has_data, has_labels,", ",\nm AS (SELECT has_data, has_labels,", 1).rstrip() + """)
+SELECT *, CASE WHEN NOT has_data THEN 'ok'
+               WHEN coalesce(precision, 1.0) < 0.6 THEN 'critical'
+               WHEN coalesce(detected, 0) > 5000 OR coalesce(precision, 1.0) < 0.8 THEN 'warn'
+               ELSE 'ok' END AS status,
+       CASE WHEN coalesce(detected, 0) > 0 THEN CAST(tp AS DOUBLE) / detected * 100.0 END AS tp_pct,
+       CASE WHEN coalesce(detected, 0) > 0 THEN CAST(fp AS DOUBLE) / detected * 100.0 END AS fp_pct
+FROM m""")
+def q_health_status(spark, sf_dir):
+    """Status banner state and tp / fp shares."""
+    from logweave.operators.evaluate import health_status
+    return health_status(_metrics(spark, sf_dir))
+
+
+_RESULT_SQL = ("CASE true_label WHEN 'Fail' THEN 'True Positive' WHEN 'Success' THEN 'False Positive' "
+               "ELSE 'Unknown' END")
+
+
+@register("detection_timeline", _with(ANOM_CTE) + f""",
+t AS (SELECT date_trunc('hour', CAST(substr(detected_at, 1, 19) AS TIMESTAMP)) AS b,
+             {_RESULT_SQL} AS r FROM anom)
+SELECT {_iso_sql('b')} AS time, count_if(r = 'False Positive') AS "False Positive",
+       count_if(r = 'True Positive') AS "True Positive", count_if(r = 'Unknown') AS "Unknown"
+FROM t GROUP BY b""")
+def q_detection_timeline(spark, sf_dir):
+    """Detections per hour and outcome."""
+    from logweave.operators.evaluate import detection_timeline
+    return detection_timeline(_anom(spark, sf_dir))
+
+
+@register("outcome_share", _with(ANOM_CTE) + f"""
+SELECT {_RESULT_SQL} AS result, count(*) AS count FROM anom
+WHERE true_label IN ('Fail', 'Success') GROUP BY 1""")
+def q_outcome_share(spark, sf_dir):
+    """True vs false positives."""
+    from logweave.operators.evaluate import outcome_share
+    return outcome_share(_anom(spark, sf_dir))
+
+
+@register("spike_series", _with(ANOM_CTE) + f"""
+SELECT {_iso_sql('CAST(minute AS TIMESTAMP)')} || '+00:00' AS time,
+       coalesce(error_count, 0) AS error_count
+FROM anom WHERE method = 'statistical_threshold' AND TRY_CAST(minute AS TIMESTAMP) IS NOT NULL""")
+def q_spike_series(spark, sf_dir):
+    """The stored spikes as a time series."""
+    from logweave.operators.spikes import spike_series
+    return spike_series(_anom(spark, sf_dir))
+
+
+_APAGE_ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in
+                         ["detected_at", "method", "block_id", "minute", "true_label", "error_count"])
+_CORRECT_SQL = ("CASE true_label WHEN 'Fail' THEN 'True Positive' WHEN 'Success' THEN "
+                "'False Positive' END")
+
+
+@register("anomaly_page", _with(ANOM_CTE) + f""",
+a AS (SELECT method, block_id, true_label, {_CORRECT_SQL} AS correct, minute, error_count, detected_at
+      FROM anom)
+SELECT *, (SELECT count(*) FROM a) AS total, CAST(ceil((SELECT count(*) FROM a) / 50.0) AS BIGINT) AS pages
+FROM a ORDER BY {_APAGE_ORDER} LIMIT 500 OFFSET 50""")
+def q_anomaly_page(spark, sf_dir):
+    """Anomaly records page (offset 50, limit 500) with totals."""
+    from logweave.operators.evaluate import anomaly_page
+    return anomaly_page(_anom(spark, sf_dir), limit=500, offset=50)
+
+
+@register("anomaly_page_true_positives", _with(ANOM_CTE) + f""",
+a AS (SELECT method, block_id, true_label, {_CORRECT_SQL} AS correct, minute, error_count, detected_at
+      FROM anom WHERE method IN ('kmeans_distance', 'isolation_forest')
+        AND regexp_matches(coalesce(block_id, ''), '(?i){A_SEARCH}')),
+b AS (SELECT * FROM a WHERE correct = 'True Positive')
+SELECT *, (SELECT count(*) FROM b) AS total, CAST(ceil((SELECT count(*) FROM b) / 50.0) AS BIGINT) AS pages
+FROM b ORDER BY {_APAGE_ORDER} LIMIT 100""")
+def q_anomaly_page_tp(spark, sf_dir):
+    """Filtered page of true positives (chip applied before paging)."""
+    from logweave.operators.evaluate import anomaly_page
+    from logweave.operators.filters import AnomalyFilter
+    return anomaly_page(_anom(spark, sf_dir), AnomalyFilter(methods=A_METHODS, block_search=A_SEARCH),
+                        limit=100, offset=0, chip="True Positive")
+
+
+def _class_flags(spark, sf_dir, clamp=True):
+    from logweave import schemas
+    from logweave.operators.cutoff import flag_ge_cutoff
+    from logweave.operators.kmeans import class_mean_distance
+    return flag_ge_cutoff(class_mean_distance(fx.matrix(spark, sf_dir)), "distance",
+                          contamination=schemas.CONTAMINATION_DEFAULT, clamp_below_total=clamp)
+
+
+@register("detect_lookup", _with(ANOM_CTE) + """,
+k AS (SELECT greatest(1, CAST(round_even((16838.0 / 575061.0) * count(*), 0) AS BIGINT)) AS k FROM dist),
+fl AS (SELECT BlockId, Label FROM (SELECT *, rank() OVER (ORDER BY distance DESC) AS rk FROM dist)
+       WHERE rk <= (SELECT k FROM k))
+SELECT 'kmeans_distance' AS method, s.block_id, fl.Label AS true_label
+FROM (SELECT DISTINCT block_id FROM logs WHERE block_id IS NOT NULL) s JOIN fl ON s.block_id = fl.BlockId""")
+def q_detect_lookup(spark, sf_dir):
+    """Log blocks looked up in the flagged block-score table."""
+    from logweave.operators.evaluate import lookup_detect
+    scores = _class_flags(spark, sf_dir, clamp=False).select(
+        F.col("BlockId").alias("block_id"), "is_anomaly", F.col("Label").alias("true_label"))
+    return lookup_detect(fx.logs(spark, sf_dir), scores, DETECTED_AT).drop("detected_at")
+
+
+_FLAGS_SQL = """,
+fl AS (SELECT CASE WHEN Label = 'Fail' THEN 1 ELSE 0 END AS y_true,
+              CASE WHEN rank() OVER (ORDER BY distance DESC) <= (SELECT k FROM cut) THEN 1 ELSE 0 END AS y_pred
+       FROM dist),
+cm AS (SELECT count_if(y_true = 1 AND y_pred = 1) AS tp, count_if(y_true = 0 AND y_pred = 1) AS fp,
+              count_if(y_true = 1 AND y_pred = 0) AS fn, count_if(y_true = 0 AND y_pred = 0) AS tn FROM fl)"""
+
+
+def _flags_binary(spark, sf_dir):
+    f = _class_flags(spark, sf_dir)
+    return f.select((F.col("Label") == "Fail").cast("int").alias("y_true"),
+                    F.col("is_anomaly").cast("int").alias("y_pred"))
+
+
+@register("binary_metrics", _with(ANOM_CTE) + _FLAGS_SQL + """
+SELECT CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+       CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall,
+       CASE WHEN tp > 0 THEN 2 * (CAST(tp AS DOUBLE) / (tp + fp)) * (CAST(tp AS DOUBLE) / (tp + fn))
+                 / ((CAST(tp AS DOUBLE) / (tp + fp)) + (CAST(tp AS DOUBLE) / (tp + fn))) ELSE 0.0 END AS f1,
+       tp, fp, fn, tn FROM cm""")
+def q_binary_metrics(spark, sf_dir):
+    """Confusion counts and P/R/F1 of the cutoff flags vs labels."""
+    from logweave.operators.evaluate import binary_metrics
+    return binary_metrics(_flags_binary(spark, sf_dir))
+
+
+def _prf(tp, fp, fn):
+    p = f"(CASE WHEN {tp} + {fp} > 0 THEN CAST({tp} AS DOUBLE) / ({tp} + {fp}) ELSE 0.0 END)"
+    r = f"(CASE WHEN {tp} + {fn} > 0 THEN CAST({tp} AS DOUBLE) / ({tp} + {fn}) ELSE 0.0 END)"
+    f = f"(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)"
+    return p, r, f
+
+
+_PN, _RN, _FN = _prf("tn", "fn", "fp")
+_PA, _RA, _FA = _prf("tp", "fp", "fn")
+
+
+@register("classification_report", _with(ANOM_CTE) + _FLAGS_SQL + f""",
+t AS (SELECT tp + fp + fn + tn AS total, tn + fp AS sn, tp + fn AS sa, * FROM cm)
+SELECT 'Normal' AS class, {_PN} AS precision, {_RN} AS recall, {_FN} AS f1, sn AS support FROM t
+UNION ALL SELECT 'Anomaly', {_PA}, {_RA}, {_FA}, sa FROM t
+UNION ALL SELECT 'accuracy', NULL, NULL, CAST(tp + tn AS DOUBLE) / total, total FROM t
+UNION ALL SELECT 'macro avg', ({_PN} + {_PA}) / 2, ({_RN} + {_RA}) / 2, ({_FN} + {_FA}) / 2, total FROM t
+UNION ALL SELECT 'weighted avg', ({_PN} * sn + {_PA} * sa) / total, ({_RN} * sn + {_RA} * sa) / total,
+                 ({_FN} * sn + {_FA} * sa) / total, total FROM t""")
+def q_classification_report(spark, sf_dir):
+    """Per-class report and averages of the cutoff flags vs labels."""
+    from logweave.operators.evaluate import classification_report
+    return classification_report(_flags_binary(spark, sf_dir))

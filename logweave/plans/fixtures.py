@@ -194,3 +194,79 @@ cen AS (SELECT cluster, """ + _feature_sql("avg(z_{c}) AS c_{c}") + """ FROM z G
 dist AS (SELECT BlockId, Label, cluster,
            round(sqrt(""" + _feature_sql("(z_{c} - c_{c}) * (z_{c} - c_{c})", " + ") + """), 6) AS distance
          FROM z JOIN cen USING (cluster))"""
+
+
+# --- ANOM: the anomaly table, produced by the library's detectors ------------
+DETECTED_AT = "2024-02-01T00:00:00+00:00"
+_ANOM_PATHS: dict[tuple, str] = {}
+
+
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANOM: the stored anomaly table (both shapes, S11 schema).
+
+    * ``kmeans_distance``: MATRIX blocks flagged by the cutoff rule (T6) on
+      the class-mean distance, true label from LABELS, detected at the
+      order date of the block;
+    * ``isolation_forest``: log blocks that have an ERROR line, without a
+      true label, detected at their first such line (a second method with
+      null labels for the labelled-subset rules);
+    * ``statistical_threshold``: hourly error spikes of LOGS (A19).
+
+    Written once per session and sf to the shared checkpoint folder (K4),
+    then read back, so the queries over it do not recompute the detectors.
+    """
+    from logweave import schemas
+    from logweave.functions.timefmt import iso, iso_utc
+    from logweave.operators.cutoff import flag_ge_cutoff
+    from logweave.operators.kmeans import class_mean_distance
+    from logweave.operators.spikes import error_spikes, spike_anomalies
+    from logweave.session import scratch_path
+    from logweave.sources.sinks import refresh_anomalies
+    from logweave.sources.tables import read_anomalies
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _ANOM_PATHS:
+        flagged = flag_ge_cutoff(class_mean_distance(matrix(spark, sf_dir)), "distance",
+                                 contamination=schemas.CONTAMINATION_DEFAULT)
+        orders = table(spark, sf_dir, "orders").select(
+            F.concat(F.lit("blk_"), F.col("o_orderkey").cast("string")).alias("BlockId"),
+            "o_orderdate")
+        km = (flagged.filter(F.col("is_anomaly")).join(orders, "BlockId")
+              .select(F.lit(schemas.METHOD_KMEANS).alias("method"),
+                      F.col("BlockId").alias("block_id"), F.col("Label").alias("true_label"),
+                      F.concat(iso(F.col("o_orderdate")), F.lit("+00:00")).alias("detected_at")))
+        lg = logs(spark, sf_dir)
+        ifr = (lg.filter((F.col("level") == "ERROR") & F.col("block_id").isNotNull())
+               .groupBy("block_id").agg(F.min("ts").alias("_t"))
+               .select(F.lit(schemas.METHOD_IFOREST).alias("method"), "block_id",
+                       iso_utc(F.col("_t")).alias("detected_at")))
+        sp = spike_anomalies(error_spikes(lg, seconds=3600), DETECTED_AT)
+        path = scratch_path(spark, "anomalies")
+        refresh_anomalies([km, ifr, sp], path)
+        _ANOM_PATHS[key] = path
+    return read_anomalies(spark, _ANOM_PATHS[key])
+
+
+ANOM_SQL = f"""
+cut AS (SELECT greatest(1, least(CAST(round_even((16838.0 / 575061.0) * count(*), 0) AS BIGINT),
+                                 greatest(1, count(*) - 1))) AS k FROM dist),
+ranked AS (SELECT BlockId, Label, rank() OVER (ORDER BY distance DESC) AS rk FROM dist),
+anom AS (
+  SELECT 'kmeans_distance' AS method, r.BlockId AS block_id, r.Label AS true_label,
+         CAST(NULL AS VARCHAR) AS minute, CAST(NULL AS BIGINT) AS error_count,
+         strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS detected_at
+  FROM ranked r JOIN orders o ON r.BlockId = 'blk_' || CAST(o.o_orderkey AS VARCHAR)
+  WHERE r.rk <= (SELECT k FROM cut)
+  UNION ALL
+  SELECT 'isolation_forest', block_id, NULL, NULL, NULL,
+         strftime(min(ts), '%Y-%m-%dT%H:%M:%S') || '+00:00'
+  FROM logs WHERE level = 'ERROR' AND block_id IS NOT NULL GROUP BY block_id
+  UNION ALL
+  SELECT 'statistical_threshold', NULL, NULL, strftime(b, '%Y-%m-%dT%H:%M:%S'), error_count,
+         '{DETECTED_AT}'
+  FROM (SELECT to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS b, count(*) AS error_count
+        FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY 1) c,
+       (SELECT avg(error_count) + 2 * stddev_samp(error_count) AS thr
+        FROM (SELECT count(*) AS error_count FROM logs WHERE level IN ('ERROR', 'WARN')
+              GROUP BY to_timestamp(floor(epoch(ts) / 3600) * 3600))) s
+  WHERE error_count > thr)"""
