@@ -64,7 +64,8 @@ def parse_lines(df: DataFrame, col: str = "raw") -> DataFrame:
     s = strip_ws(F.col(col))
     parts = df.withColumn("_s", s).filter(is_log_line(F.col("_s")))
     parts = parts.withColumn("_f", log_fields(F.col("_s")))
-    cols = [F.col("_f")[i].alias(n) for i, n in enumerate(LOG_FIELDS)]
+    # get(): null-safe even if the optimizer evaluates it ahead of the filter.
+    cols = [F.get(F.col("_f"), i).alias(n) for i, n in enumerate(LOG_FIELDS)]
     out = parts.select("*", *cols).drop("_s", "_f")
     out = out.withColumn("all_block_ids", block_ids(F.col("message")))
     return out.withColumn("block_id", F.get(F.col("all_block_ids"), 0))
@@ -77,11 +78,11 @@ def event_time(date: Column, time: Column) -> Column:
     seconds 60 and 61 roll into the next minute.
     """
     ok = date.rlike(r"^[0-9]{6}$") & time.rlike(r"^[0-9]{6}$")
-    yy = F.substring(date, 1, 2).cast("int")
+    yy = F.substring(date, 1, 2).try_cast("int")
     century = F.when(yy >= 69, F.lit("19")).otherwise(F.lit("20"))
     base = F.try_to_timestamp(F.concat(century, date, F.substring(time, 1, 4)),
                               F.lit("yyyyMMddHHmm"))
-    sec = F.substring(time, 5, 2).cast("int")
+    sec = F.substring(time, 5, 2).try_cast("int")
     ts = F.timestamp_seconds(F.unix_timestamp(base) + sec)
     return F.when(ok & (sec <= 61), ts)
 

@@ -682,3 +682,94 @@ def q_classification_report(spark, sf_dir):
     """Per-class report and averages of the cutoff flags vs labels."""
     from logweave.operators.evaluate import classification_report
     return classification_report(_flags_binary(spark, sf_dir))
+
+
+# ------------------------------------------------------------- streaming ---
+
+DEC_CTE = fx.LOG_LINES_SQL + f""",
+env AS (SELECT event_id,
+          CASE WHEN event_id % 17 = 0
+               THEN substr(to_json({{'ingested_at': '{fx.ENVELOPE_AT}', 'source_file': 'events.log',
+                                     'payload': {{'raw': raw}}}})::VARCHAR, 1, 20)
+               ELSE to_json({{'ingested_at': '{fx.ENVELOPE_AT}', 'source_file': 'events.log',
+                              'payload': {{'raw': raw}}}})::VARCHAR END AS value
+        FROM log_lines),
+dec AS (SELECT value->>'$.ingested_at' AS ingested_at, value->>'$.source_file' AS source_file,
+               coalesce(value->>'$.payload.raw', '') AS raw
+        FROM env WHERE json_valid(value)),
+dp AS (SELECT ingested_at, source_file, raw,
+              regexp_extract(trim(raw), '{fx._RE}', 1) AS date,
+              regexp_extract(trim(raw), '{fx._RE}', 2) AS time,
+              regexp_extract(trim(raw), '{fx._RE}', 4) AS level,
+              regexp_extract(trim(raw), '{fx._RE}', 5) AS component,
+              regexp_extract(trim(raw), '{fx._RE}', 6) AS message,
+              regexp_extract_all(regexp_extract(trim(raw), '{fx._RE}', 6), 'blk_[+-]?\\d+')[1] AS block_id
+       FROM dec WHERE regexp_matches(trim(raw), '{fx._RE}'))"""
+
+
+def _stream_source(spark, sf_dir):
+    from logweave.streaming.ingest import file_values, parse_envelopes
+    return parse_envelopes(file_values(spark, fx.envelope_files(spark, sf_dir), 1))
+
+
+@register("stream_parse", _with(DEC_CTE) + """
+SELECT ingested_at, source_file, raw, level, component, message, block_id FROM dp""")
+def q_stream_parse(spark, sf_dir):
+    """Envelope file stream (one file per trigger) parsed and
+    appended to a date-partitioned Parquet table; the table read back."""
+    from logweave.session import scratch_path
+    from logweave.streaming.ingest import file_values, start_ingest
+    out, ck = scratch_path(spark, "parsed_logs"), scratch_path(spark, "ckpt-ingest")
+    q = start_ingest(file_values(spark, fx.envelope_files(spark, sf_dir), 1), out, ck,
+                     available_now=True)
+    q.awaitTermination()
+    from logweave.sources.tables import read_parsed_logs
+    return read_parsed_logs(spark, out).select("ingested_at", "source_file", "raw", "level",
+                                               "component", "message", "block_id")
+
+
+@register("stream_detect_upsert", _with(DEC_CTE.rstrip() + "," + fx.CLASS_DIST_SQL) + f""",
+k AS (SELECT greatest(1, CAST(round_even((16838.0 / 575061.0) * count(*), 0) AS BIGINT)) AS k FROM dist),
+fl AS (SELECT BlockId, Label FROM (SELECT *, rank() OVER (ORDER BY distance DESC) AS rk FROM dist)
+       WHERE rk <= (SELECT k FROM k))
+SELECT 'kmeans_distance' AS method, s.block_id, fl.Label AS true_label, s.detected_at
+FROM (SELECT block_id, min(ingested_at) AS detected_at FROM dp WHERE block_id IS NOT NULL
+      GROUP BY block_id) s JOIN fl ON s.block_id = fl.BlockId""")
+def q_stream_detect_upsert(spark, sf_dir):
+    """Stream-static lookup of flagged blocks, insert-if-absent
+    per micro-batch (first detection kept, replay-safe)."""
+    from logweave.session import scratch_path
+    from logweave.streaming.detect import read_stored, start_detection
+    flags = _class_flags(spark, sf_dir, clamp=False)
+    scores_path = scratch_path(spark, "block_scores")
+    (flags.filter(F.col("is_anomaly"))
+     .select(F.col("BlockId").alias("block_id"), F.col("Label").alias("true_label"))
+     .write.parquet(scores_path))
+    flagged = spark.read.parquet(scores_path)
+    target, ck = scratch_path(spark, "anomalies-stream"), scratch_path(spark, "ckpt-detect")
+    q = start_detection(_stream_source(spark, sf_dir), flagged, target, ck, available_now=True)
+    q.awaitTermination()
+    try:
+        return read_stored(spark, target).select("method", "block_id", "true_label", "detected_at")
+    except Exception:  # noqa: BLE001 — no batch found anything
+        from logweave import schemas
+        return spark.createDataFrame([], schemas.ANOMALIES).select(
+            "method", "block_id", "true_label", "detected_at")
+
+
+@register("stream_timeseries", _with(DEC_CTE) + f""",
+t AS (SELECT level, {fx.TS_SQL} AS ts FROM dp)
+SELECT {_iso_sql("to_timestamp(floor(epoch(ts) / 300) * 300)::TIMESTAMP")} AS time, level,
+       count(*) AS count
+FROM t WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def q_stream_timeseries(spark, sf_dir):
+    """5-minute counts per level as streaming state (watermark on event
+    time, update mode).  The lateness bound covers the whole 30-day test
+    range, so every row is counted and the result equals the batch series."""
+    from logweave.session import scratch_path
+    from logweave.streaming.live import read_live_counts, start_live_counts
+    target, ck = scratch_path(spark, "live-counts"), scratch_path(spark, "ckpt-live")
+    q = start_live_counts(_stream_source(spark, sf_dir), target, ck, bucket="5 minutes",
+                          delay="31 days", available_now=True)
+    q.awaitTermination()
+    return read_live_counts(spark, target)

@@ -270,3 +270,19 @@ anom AS (
         FROM (SELECT count(*) AS error_count FROM logs WHERE level IN ('ERROR', 'WARN')
               GROUP BY to_timestamp(floor(epoch(ts) / 3600) * 3600))) s
   WHERE error_count > thr)"""
+
+
+_ENV_PATHS: dict[tuple, str] = {}
+
+
+def envelope_files(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
+    """ENVELOPES written as text files (one JSON envelope per line), split
+    into ``files`` files by event id range, for file-stream sources."""
+    from logweave.session import scratch_path
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), files)
+    if key not in _ENV_PATHS:
+        path = scratch_path(spark, "envelopes")
+        (envelopes(spark, sf_dir).repartitionByRange(files, "event_id")
+         .sortWithinPartitions("event_id").select("value").write.text(path))
+        _ENV_PATHS[key] = path
+    return _ENV_PATHS[key]
