@@ -60,13 +60,18 @@ def parse_lines(df: DataFrame, col: str = "raw") -> DataFrame:
 
     Non-matching lines are dropped.  Adds ``date, time, pid, level, component,
     message, block_id, all_block_ids``.
+
+    The six fields come out of a one-element ``inline`` generator: predicates
+    on derived columns (for example ``ts IS NOT NULL``) stop there instead of
+    being pushed below it, where each reference to a field would re-run the
+    regex and split (a Filter gets no common-subexpression elimination).
     """
     s = strip_ws(F.col(col))
     parts = df.withColumn("_s", s).filter(is_log_line(F.col("_s")))
-    parts = parts.withColumn("_f", log_fields(F.col("_s")))
+    f = log_fields(F.col("_s"))
     # get(): null-safe even if the optimizer evaluates it ahead of the filter.
-    cols = [F.get(F.col("_f"), i).alias(n) for i, n in enumerate(LOG_FIELDS)]
-    out = parts.select("*", *cols).drop("_s", "_f")
+    fields = F.struct(*[F.get(f, i).alias(n) for i, n in enumerate(LOG_FIELDS)])
+    out = parts.select(*df.columns, F.inline(F.array(fields)))
     out = out.withColumn("all_block_ids", block_ids(F.col("message")))
     return out.withColumn("block_id", F.get(F.col("all_block_ids"), 0))
 
