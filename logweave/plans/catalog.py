@@ -773,3 +773,68 @@ def q_stream_timeseries(spark, sf_dir):
                           delay="31 days", available_now=True)
     q.awaitTermination()
     return read_live_counts(spark, target)
+
+
+# -------------------------------------------- other detectors (rows only) ---
+
+@register("isolation_forest_detector")
+def q_isolation_forest(spark, sf_dir):
+    """M7: isolation forest (100 trees, 256 rows each) on the standardised matrix."""
+    from logweave.operators.iforest import isolation_forest_detector
+    return isolation_forest_detector(fx.matrix(spark, sf_dir), DETECTED_AT)
+
+
+@register("one_class_detector")
+def q_one_class(spark, sf_dir):
+    """M8: one-class boundary (random Fourier features, distributed gradient passes)."""
+    from logweave.operators.ocsvm import one_class_detector
+    return one_class_detector(fx.matrix(spark, sf_dir), DETECTED_AT)
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    """K-Means exact budget vs one-class vs isolation forest."""
+    from logweave.operators.compare import compare_models
+    return compare_models(fx.matrix(spark, sf_dir), k=8, empirical=True)
+
+
+@register("refresh_anomalies")
+def q_refresh_anomalies(spark, sf_dir):
+    """Batch run — K-Means detector and minute spikes, full refresh
+    of an anomaly table in the shared folder, read back."""
+    from logweave.operators.kmeans import kmeans_detector
+    from logweave.operators.spikes import error_spikes, spike_anomalies
+    from logweave.session import scratch_path
+    from logweave.sources.sinks import refresh_anomalies
+    from logweave.sources.tables import read_anomalies
+    path = scratch_path(spark, "anomalies-refresh")
+    km = kmeans_detector(fx.matrix(spark, sf_dir), DETECTED_AT, k=8)
+    sp = spike_anomalies(error_spikes(fx.logs(spark, sf_dir), seconds=60), DETECTED_AT)
+    refresh_anomalies([km, sp], path)
+    return read_anomalies(spark, path)
+
+
+# ------------------------------------------------------------ CSV records ---
+
+@register("csv_record_keys", """
+SELECT 'blk_' || CAST(o_orderkey AS VARCHAR) AS BlockId,
+       coalesce(nullif(CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'blk_' || CAST(o_orderkey AS VARCHAR) END, ''),
+                nullif(CASE WHEN o_orderpriority LIKE '2%' THEN '' ELSE 'blk_c' || CAST(o_custkey AS VARCHAR) END, ''),
+                nullif('blk_x' || CAST(o_orderkey AS VARCHAR), '')) AS key
+FROM orders""")
+def q_csv_record_keys(spark, sf_dir):
+    """Header CSV (written from orders) read back as strings; key = first
+    non-empty of block_id, BlockId, blk_id."""
+    from logweave.session import scratch_path
+    from logweave.sources.files import read_records
+    o = fx.table(spark, sf_dir, "orders")
+    oid = F.concat(F.lit("blk_"), F.col("o_orderkey").cast("string"))
+    rec = o.select(
+        oid.alias("RowId"),
+        F.when(F.col("o_orderstatus") == "O", F.lit("")).otherwise(oid).alias("block_id"),
+        F.when(F.col("o_orderpriority").startswith("2"), F.lit(""))
+         .otherwise(F.concat(F.lit("blk_c"), F.col("o_custkey").cast("string"))).alias("BlockId"),
+        F.concat(F.lit("blk_x"), F.col("o_orderkey").cast("string")).alias("blk_id"))
+    path = scratch_path(spark, "records") + ".csv"
+    rec.write.option("header", True).csv(path)
+    return read_records(spark, path, "auto").select(F.col("RowId").alias("BlockId"), "key")
