@@ -171,6 +171,41 @@ def facets(logs: DataFrame, anomalies: DataFrame, n_components: int = 20) -> Dat
     return rng.crossJoin(lv).crossJoin(comps).crossJoin(ms)
 
 
+# Pages up to this many rows (offset + limit) are a TakeOrdered; deeper pages
+# use the range-partitioned path below instead of one task holding them all.
+DEEP_PAGE_ROWS = 100_000
+
+
+def page_rows(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset .. offset + limit - 1`` of ``df`` in ``order``.
+
+    Shallow pages: ``orderBy().limit(offset + limit).offset(offset)`` — a
+    TakeOrdered with at most offset + limit rows per task.  Deep pages: a
+    range-partitioned sort is checkpointed, the per-partition counts (one row
+    per partition) locate the partitions that overlap the page, and only
+    those are ranked locally.  No task ever holds more than one partition.
+    """
+    if offset + limit <= DEEP_PAGE_ROWS:
+        return df.orderBy(*order).limit(offset + limit).offset(offset)
+    from pyspark.sql import Window
+    ranked = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
+    counts = ranked.groupBy("_p").count().orderBy("_p").collect()
+    start, wanted, firsts = 0, [], {}
+    for r in counts:
+        end = start + r["count"]
+        if end > offset and start < offset + limit:
+            wanted.append(r["_p"])
+            firsts[r["_p"]] = start
+        start = end
+    if not wanted:
+        return ranked.limit(0).drop("_p")
+    base = F.create_map(*[x for p in wanted for x in (F.lit(p), F.lit(firsts[p]))])
+    w = Window.partitionBy("_p").orderBy(*order)
+    part = ranked.filter(F.col("_p").isin(wanted))
+    part = part.withColumn("_g", F.element_at(base, F.col("_p")) + F.row_number().over(w) - 1)
+    return part.filter((F.col("_g") >= offset) & (F.col("_g") < offset + limit)).drop("_p", "_g")
+
+
 PAGE_COLS = ["ts", "level", "component", "block_id"]
 SORTABLE = {"ts", "level", "component", "block_id"}
 
@@ -183,7 +218,8 @@ def raw_page(logs: DataFrame, log_filter: LogFilter | None = None,
     Default order is newest first; ties are broken by the remaining page
     columns so pages are deterministic.  ``sort_by`` (T5) sorts the whole
     result by one column with nulls as the empty text.  The page is a bounded
-    TakeOrdered (offset + limit rows per task), never a global sort.
+    TakeOrdered (offset + limit rows per task), never a global sort, unless
+    the page is deep (``page_rows``).
     """
     if not 100 <= limit <= 10000:
         raise ValueError("limit must be within 100..10000")
@@ -201,7 +237,7 @@ def raw_page(logs: DataFrame, log_filter: LogFilter | None = None,
         key = key.asc() if ascending else key.desc()
         rest = [F.col(c).asc_nulls_first() for c in PAGE_COLS if c != sort_by]
         order = [key] + rest
-    page = df.orderBy(*order).limit(offset + limit).offset(offset)
+    page = page_rows(df, order, offset, limit)
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return (page.crossJoin(F.broadcast(total))
             .select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id", "total"))

@@ -145,7 +145,8 @@ def anomaly_page(anom: DataFrame, anomaly_filter: AnomalyFilter | None = None,
     cols = ["method", "block_id", "true_label", "correct", "minute", "error_count", "detected_at"]
     order = [F.col(c).asc_nulls_first() for c in ["detected_at", "method", "block_id", "minute",
                                                   "true_label", "error_count"]]
-    page = a.select(*cols).orderBy(*order).limit(offset + limit).offset(offset)
+    from logweave.operators.activity import page_rows
+    page = page_rows(a.select(*cols), order, offset, limit)
     tot = a.agg(F.count(F.lit(1)).alias("total"))
     tot = tot.withColumn("pages", F.ceil(F.col("total") / F.lit(PAGE_SIZE)).cast("long"))
     return page.crossJoin(F.broadcast(tot))
@@ -160,6 +161,7 @@ def lookup_detect(logs: DataFrame, scores: DataFrame, detected_at: Column | str)
     """
     seen = logs.select("block_id").filter(F.col("block_id").isNotNull()).distinct()
     flagged = scores.filter(F.col("is_anomaly")).select("block_id", "true_label")
+    # Both sides grow with the data here, so the join strategy is left to AQE.
     at = F.lit(detected_at) if isinstance(detected_at, str) else detected_at
     return seen.join(flagged, "block_id").select(
         F.lit(schemas.METHOD_KMEANS).alias("method"), "block_id", "true_label",

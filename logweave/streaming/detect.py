@@ -25,19 +25,28 @@ ANOM_KEY = ["method", "block_id"]
 STORED = T.StructType(list(schemas.ANOMALIES.fields) + [T.StructField("batch_id", T.LongType())])
 
 
-def _stored(spark, target: str, below_batch: int) -> DataFrame | None:
+def _stored(spark, target: str, below_batch: int, keys: DataFrame) -> DataFrame | None:
+    """Stored keys of earlier batches that also occur in this batch.
+
+    The batch's keys are capped by the trigger's intake limit, so they are
+    broadcast: the stored table is scanned (two pruned columns) but never
+    shuffled, however large it grows.
+    """
     try:
         df = spark.read.schema(STORED).parquet(target)
     except Exception:  # noqa: BLE001 — nothing committed yet
         return None
-    return df.filter(F.col("batch_id") < below_batch).select(*ANOM_KEY)
+    df = df.filter(F.col("batch_id") < below_batch).select(*ANOM_KEY)
+    return df.join(F.broadcast(keys), ANOM_KEY, "left_semi")
 
 
 def batch_anomalies(batch: DataFrame, flagged: DataFrame) -> DataFrame:
     """X3 + J1: one anomaly row per flagged block seen in the batch."""
     seen = (batch.filter(F.col("block_id").isNotNull())
             .groupBy("block_id").agg(F.min("ingested_at").alias("detected_at")))
-    hits = seen.join(flagged, "block_id")
+    # A micro-batch holds at most the trigger's intake cap of rows: broadcast
+    # its block ids against the static (data-sized) score table.
+    hits = F.broadcast(seen).join(flagged, "block_id")
     return hits.select(F.lit(schemas.METHOD_KMEANS).alias("method"), "block_id",
                        "true_label", "detected_at")
 
@@ -45,8 +54,8 @@ def batch_anomalies(batch: DataFrame, flagged: DataFrame) -> DataFrame:
 def upsert_batch(new_rows: DataFrame, target: str, batch_id: int) -> None:
     """K3 + J4: append rows whose (method, block_id) is not stored yet."""
     spark = new_rows.sparkSession
-    stored = _stored(spark, target, batch_id)
     rows = new_rows.dropDuplicates(ANOM_KEY)
+    stored = _stored(spark, target, batch_id, rows.select(*ANOM_KEY))
     if stored is not None:
         rows = rows.join(stored, ANOM_KEY, "left_anti")
     out = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns

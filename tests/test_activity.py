@@ -80,3 +80,13 @@ def test_raw_page_total_and_order(spark):
     rows = [(T(f"2024-01-02 00:00:{i:02d}"), "INFO", "a", f"blk_{i}") for i in range(30)]
     page = A.raw_page(_logs(spark, rows), limit=100, offset=5).collect()
     assert len(page) == 25 and page[0].total == 30 and page[0].ts == "2024-01-02T00:00:24"
+
+
+def test_deep_page_matches_shallow(spark, monkeypatch):
+    rows = [(T(f"2024-01-02 00:{i // 60:02d}:{i % 60:02d}"), "INFO", f"c{i % 3}", f"blk_{i % 5}")
+            for i in range(600)]
+    df = _logs(spark, rows)
+    shallow = [tuple(r) for r in A.raw_page(df, limit=150, offset=230).collect()]
+    monkeypatch.setattr(A, "DEEP_PAGE_ROWS", 10)
+    deep = [tuple(r) for r in A.raw_page(df.repartition(4), limit=150, offset=230).collect()]
+    assert sorted(deep) == sorted(shallow) and len(deep) == 150
