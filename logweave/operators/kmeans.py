@@ -151,6 +151,9 @@ def class_mean_distance(labelled: DataFrame, features: list[str] | None = None,
     that centre.  The centre table has at most 29 rows.  Columns
     ``BlockId, Label, cluster, distance`` (distance rounded to ``places``)."""
     feats = features or schemas.FEATURE_COLS
+    # Statistics, centres and scoring all read the per-block matrix: cut its
+    # lineage once (shared checkpoint folder) instead of aggregating 3 times.
+    labelled = labelled.checkpoint(eager=True)
     z = standardize(labelled, feats).withColumn("cluster", dominant_event(feats))
     cen = group_centres(z, "cluster", feats)
     d = distance_to_centre(z, cen, "cluster", feats)

@@ -25,7 +25,9 @@ LEVEL_OF_EVENT = {"error": "ERROR", "signup": "WARN", "click": "DEBUG"}  # other
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, raw``: one text line per event (some deliberately malformed)."""
-    ev = table(spark, sf_dir, "events")
+    from logweave.sources.tables import spread_small_input
+    ev = spread_small_input(table(spark, sf_dir, "events").select("event_id", "ts", "user_id",
+                                                                  "event_type"))
     level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEVEL_OF_EVENT.items()
                                                    for x in kv]), F.col("event_type")),
                        F.lit("INFO"))
@@ -126,7 +128,9 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     builder); ids E30/E31 fall outside the matrix columns.  Line items with
     line number 7 carry no block id in their text.
     """
-    li = table(spark, sf_dir, "lineitem")
+    from logweave.sources.tables import spread_small_input
+    li = spread_small_input(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
     content = F.when(F.col("l_linenumber") == 7,
                      F.concat(F.lit("PacketResponder "), F.col("l_suppkey").cast("string"),
                               F.lit(" terminating")))\

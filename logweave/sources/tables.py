@@ -10,6 +10,23 @@ from logweave.functions.parse import event_time
 LOG_VIEW_COLS = ["date", "time", "level", "component", "block_id"]
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row functions (regex parsing) every core.
+
+    A scan of a small or unsplittable file (one Parquet row group) yields
+    fewer partitions than the cluster has cores; only then are its rows
+    spread round-robin over ``defaultParallelism`` partitions.  Large inputs
+    already split into at least that many partitions and are returned as is
+    (no shuffle).  Streaming frames are returned unchanged.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def log_view(parsed: DataFrame) -> DataFrame:
     """The five query columns plus ``ts``; rows with an invalid time dropped.
 
