@@ -69,10 +69,10 @@ def error_rate(logs: DataFrame, granularity: str = "5min", rounded: bool = True)
     if rounded:
         return agg.select(iso(F.col("bucket")).alias("time"),
                           round_half_even(rate, 2).alias("error_rate"))
-    # The emptiness test reuses the same aggregation exchange (one scan).
-    anyerr = agg.agg((F.sum("err") > 0).alias("_any"))
-    return (agg.crossJoin(F.broadcast(anyerr)).filter(F.col("_any"))
-            .select(iso(F.col("bucket")).alias("time"), rate.alias("error_rate")))
+    # The emptiness test is a scalar subquery over the same aggregation (its
+    # exchange is reused, one scan).
+    anyerr = agg.agg(F.sum("err") > 0).scalar()
+    return agg.filter(anyerr).select(iso(F.col("bucket")).alias("time"), rate.alias("error_rate"))
 
 
 def top_by_count(agg: DataFrame, count_col: str, key: str, n: int) -> DataFrame:
@@ -93,10 +93,8 @@ def components(logs: DataFrame, top_n: int = 20, levels: list[str] | None = None
 
 def component_share(comps: DataFrame) -> DataFrame:
     """Each component's total as percent of the largest one."""
-    mx = comps.agg(F.max("total").alias("_max"))
-    return (comps.crossJoin(F.broadcast(mx))
-            .withColumn("share_pct", F.col("total") / F.col("_max") * F.lit(100.0))
-            .drop("_max"))
+    mx = comps.agg(F.max("total")).scalar()
+    return comps.withColumn("share_pct", F.col("total") / mx * F.lit(100.0))
 
 
 def heatmap(logs: DataFrame, top_n: int = 10) -> DataFrame:
@@ -126,22 +124,21 @@ def snapshot(logs: DataFrame, approximate: bool = False) -> DataFrame:
     the dominant level (most lines; ties alphabetical).  One row."""
     cd = (lambda c: F.approx_count_distinct(c)) if approximate else \
         (lambda c: F.count_distinct(c))
-    base = logs.agg(iso(F.min("ts")).alias("start"), iso(F.max("ts")).alias("end"),
-                    cd(F.col("component")).alias("n_components"),
-                    cd(F.col("block_id")).alias("n_blocks"))
     dom = (logs.filter(F.col("level").isNotNull()).groupBy("level")
            .agg(F.count(F.lit(1)).alias("_c")))
-    dom = top_by_count(dom, "_c", "level", 1).select(F.col("level").alias("dominant_level"))
-    return base.crossJoin(F.broadcast(dom))
+    dom = top_by_count(dom, "_c", "level", 1).select("level").scalar()
+    return (logs.agg(iso(F.min("ts")).alias("start"), iso(F.max("ts")).alias("end"),
+                     cd(F.col("component")).alias("n_components"),
+                     cd(F.col("block_id")).alias("n_blocks"))
+            .withColumn("dominant_level", dom))
 
 
 def level_mix(logs: DataFrame) -> DataFrame:
     """Count and percent of all lines per level."""
     counts = (logs.filter(F.col("level").isNotNull()).groupBy("level")
               .agg(F.count(F.lit(1)).alias("count")))
-    tot = counts.agg(F.sum("count").alias("_t"))
-    return (counts.crossJoin(F.broadcast(tot))
-            .withColumn("pct", F.col("count") / F.col("_t") * F.lit(100.0)).drop("_t"))
+    tot = counts.agg(F.sum("count")).scalar()
+    return counts.withColumn("pct", F.col("count") / tot * F.lit(100.0))
 
 
 def overview(logs: DataFrame, anomalies: DataFrame,
@@ -150,25 +147,27 @@ def overview(logs: DataFrame, anomalies: DataFrame,
     """A1: total logs, ERROR logs, total anomalies, isolation-forest anomalies."""
     lf = (log_filter or LogFilter()).apply(logs)
     af = (anomaly_filter or AnomalyFilter()).apply(anomalies)
-    a = lf.agg(F.count(F.lit(1)).alias("total_logs"),
-               F.count_if(F.col("level") == "ERROR").alias("error_logs"))
-    b = af.agg(F.count(F.lit(1)).alias("total_anomalies"),
-               F.count_if(F.col("method") == "isolation_forest").alias("if_anomalies"))
-    return a.crossJoin(b)
+    n_anom = af.agg(F.count(F.lit(1))).scalar()
+    n_if = af.agg(F.count_if(F.col("method") == "isolation_forest")).scalar()
+    return (lf.agg(F.count(F.lit(1)).alias("total_logs"),
+                   F.count_if(F.col("level") == "ERROR").alias("error_logs"))
+            .withColumn("total_anomalies", n_anom).withColumn("if_anomalies", n_if))
 
 
 def facets(logs: DataFrame, anomalies: DataFrame, n_components: int = 20) -> DataFrame:
     """A2: time range, sorted levels, first components alphabetically, sorted
     methods.  Lists are returned as comma-joined text (one row)."""
     rng = logs.agg(iso(F.min("ts")).alias("min_ts"), iso(F.max("ts")).alias("max_ts"))
+    # Each list is a scalar subquery over a distinct set (levels, the first
+    # components, methods): bounded by the vocabulary, not by the rows.
     lv = (logs.select("level").where(F.col("level").isNotNull()).distinct()
-          .agg(F.array_join(F.array_sort(F.collect_list("level")), ",").alias("levels")))
+          .agg(F.array_join(F.array_sort(F.collect_list("level")), ",")).scalar())
     comps = (logs.select("component").where(F.col("component").isNotNull()).distinct()
              .orderBy("component").limit(n_components)
-             .agg(F.array_join(F.array_sort(F.collect_list("component")), ",").alias("components")))
+             .agg(F.array_join(F.array_sort(F.collect_list("component")), ",")).scalar())
     ms = (anomalies.select("method").where(F.col("method").isNotNull()).distinct()
-          .agg(F.array_join(F.array_sort(F.collect_list("method")), ",").alias("methods")))
-    return rng.crossJoin(lv).crossJoin(comps).crossJoin(ms)
+          .agg(F.array_join(F.array_sort(F.collect_list("method")), ",")).scalar())
+    return rng.withColumn("levels", lv).withColumn("components", comps).withColumn("methods", ms)
 
 
 # Pages up to this many rows (offset + limit) are a TakeOrdered; deeper pages
@@ -238,9 +237,9 @@ def raw_page(logs: DataFrame, log_filter: LogFilter | None = None,
         rest = [F.col(c).asc_nulls_first() for c in PAGE_COLS if c != sort_by]
         order = [key] + rest
     page = page_rows(df, order, offset, limit)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return (page.crossJoin(F.broadcast(total))
-            .select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id", "total"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return page.select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id",
+                       total.alias("total"))
 
 
 def head_rows(logs: DataFrame, n_rows: int = 500) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave import schemas
+from logweave.operators.cutoff import materialize
 from logweave.operators.evaluate import binary_metrics
 from logweave.operators.features import binary_label, empirical_contamination
 
@@ -27,7 +28,7 @@ def compare_models(matrix: DataFrame, k: int = 8, empirical: bool = False,
     rows.append(binary_metrics(km.select("y_true", F.col("is_anomaly").cast("int").alias("y_pred")),
                                model=f"K-Means distance (k={k})"))
     feats = schemas.FEATURE_COLS
-    z = standardize(labelled, feats)
+    z = materialize(standardize(labelled, feats))
     zc = [f"z_{f}" for f in feats]
     if not skip_one_class:
         oc = one_class_flags(z, zc, ["y_true"], c)

@@ -63,9 +63,9 @@ def detection_metrics(anom: DataFrame, ground_truth: DataFrame | None = None,
         F.count_if(is_if & (F.col("true_label") == schemas.LABEL_SUCCESS)).alias("fp_if"),
     )
     if ground_truth is not None:
-        g = ground_truth.agg(F.count_if(F.col("Label") == schemas.LABEL_ANOMALY_SRC).alias("actual"),
-                             F.count(F.lit(1)).alias("blocks"))
-        s = s.crossJoin(g)
+        actual = ground_truth.agg(F.count_if(F.col("Label") == schemas.LABEL_ANOMALY_SRC)).scalar()
+        blocks = ground_truth.agg(F.count(F.lit(1))).scalar()
+        s = s.withColumn("actual", actual).withColumn("blocks", blocks)
         has_full = F.lit(True)
     else:
         s = s.withColumn("actual", F.lit(None).cast("long")).withColumn("blocks", F.lit(None).cast("long"))
@@ -147,9 +147,9 @@ def anomaly_page(anom: DataFrame, anomaly_filter: AnomalyFilter | None = None,
                                                   "true_label", "error_count"]]
     from logweave.operators.activity import page_rows
     page = page_rows(a.select(*cols), order, offset, limit)
-    tot = a.agg(F.count(F.lit(1)).alias("total"))
-    tot = tot.withColumn("pages", F.ceil(F.col("total") / F.lit(PAGE_SIZE)).cast("long"))
-    return page.crossJoin(F.broadcast(tot))
+    tot = a.agg(F.count(F.lit(1))).scalar()
+    return page.select("*", tot.alias("total"),
+                       F.ceil(tot / F.lit(PAGE_SIZE)).cast("long").alias("pages"))
 
 
 def lookup_detect(logs: DataFrame, scores: DataFrame, detected_at: Column | str) -> DataFrame:

@@ -21,15 +21,20 @@ def _z(c: str) -> str:
 
 def standardize(matrix: DataFrame, features: list[str] | None = None) -> DataFrame:
     """M2: ``(x - mean) / std`` per feature (sample std); a zero-variance
-    feature becomes 0.  One global aggregate (one row) is broadcast."""
+    feature becomes 0.  One global aggregate computes all 58 statistics."""
     feats = features or schemas.FEATURE_COLS
-    stats = matrix.agg(*[F.avg(c).alias(f"_m_{c}") for c in feats],
-                       *[F.stddev_samp(c).alias(f"_s_{c}") for c in feats])
-    j = matrix.crossJoin(F.broadcast(stats))
-    zs = [F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) == 0, F.lit(0.0))
-          .otherwise((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(_z(c)) for c in feats]
-    keep = [c for c in matrix.columns]
-    return j.select(*keep, *zs)
+    # One aggregation pass; its single row (2 x 29 numbers) is the model of
+    # the scaler and enters the projection as literals.
+    row = matrix.agg(*[F.avg(c).alias(f"m_{c}") for c in feats],
+                     *[F.stddev_samp(c).alias(f"s_{c}") for c in feats]).first()
+    zs = []
+    for c in feats:
+        m, s = row[f"m_{c}"], row[f"s_{c}"]
+        if s is None or s == 0 or m is None:
+            zs.append(F.lit(0.0).alias(_z(c)))
+        else:
+            zs.append(((F.col(c) - F.lit(float(m))) / F.lit(float(s))).alias(_z(c)))
+    return matrix.select(*matrix.columns, *zs)
 
 
 def dominant_event(features: list[str] | None = None):

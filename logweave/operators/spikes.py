@@ -16,16 +16,15 @@ def error_spikes(logs: DataFrame, seconds: int = 60, sigma: float = 2.0) -> Data
 
     Columns ``minute`` (naive ISO text of the bucket start) and ``error_count``.
     The level predicate is pushed to the scan; the bucket counts are one
-    aggregation whose exchange is reused by the statistics (one scan), and
-    the one-row statistics are broadcast.  A single bucket has no sample std
+    aggregation whose exchange is reused by the threshold (a scalar subquery
+    over the bucket counts, one scan).  A single bucket has no sample std
     (null), so it is never a spike.
     """
     ew = logs.filter(error_or_warn())
     counts = (ew.groupBy(time_bucket(F.col("ts"), seconds=seconds).alias("bucket"))
               .agg(F.count(F.lit(1)).alias("error_count")))
-    stats = counts.agg((F.avg("error_count") + F.lit(sigma) * F.stddev_samp("error_count"))
-                       .alias("_threshold"))
-    out = counts.crossJoin(F.broadcast(stats)).filter(F.col("error_count") > F.col("_threshold"))
+    threshold = counts.agg(F.avg("error_count") + F.lit(sigma) * F.stddev_samp("error_count")).scalar()
+    out = counts.filter(F.col("error_count") > threshold)
     return out.select(iso(F.col("bucket")).alias("minute"), "error_count")
 
 

@@ -350,9 +350,8 @@ def q_matrix_label_counts(spark, sf_dir):
     """Blocks per label and each label's share (the empirical rate)."""
     from logweave.operators.features import label_counts
     lc = label_counts(fx.matrix(spark, sf_dir))
-    tot = lc.agg(F.sum("blocks").alias("_t"))
-    return lc.crossJoin(F.broadcast(tot)).select(
-        "Label", "blocks", (F.col("blocks") / F.col("_t")).alias("share"))
+    tot = lc.agg(F.sum("blocks")).scalar()
+    return lc.select("Label", "blocks", (F.col("blocks") / tot).alias("share"))
 
 
 @register("centroid_distance", _with(fx.CLASS_DIST_SQL) + " SELECT BlockId, cluster, distance FROM dist")
