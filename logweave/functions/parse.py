@@ -92,6 +92,11 @@ def event_time(date: Column, time: Column) -> Column:
     return F.when(ok & (sec <= 61), ts)
 
 
+def event_day(date: Column, time: Column) -> Column:
+    """Partition value of a parsed row: ISO day of its event time (null if invalid)."""
+    return F.date_format(event_time(date, time), "yyyy-MM-dd")
+
+
 def decode_envelope(value: Column) -> Column:
     """JSON envelope -> struct; invalid JSON gives null."""
     return F.from_json(value, schemas.ENVELOPE)

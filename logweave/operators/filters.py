@@ -70,8 +70,23 @@ class LogFilter:
             out = out & c
         return out
 
+    def day_bounds(self) -> Column | None:
+        """Partition predicate on ``dt`` (ISO day) implied by the time range."""
+        conds = []
+        if self.start:
+            conds.append(F.col("dt") >= F.lit(self.start[:10]))
+        if self.end:
+            conds.append(F.col("dt") <= F.lit(self.end[:10]))
+        if not conds:
+            return None
+        return conds[0] if len(conds) == 1 else conds[0] & conds[1]
+
     def apply(self, df: DataFrame) -> DataFrame:
         p = self.predicate()
+        if p is not None and "dt" in df.columns:
+            days = self.day_bounds()
+            if days is not None:
+                p = days & p          # prunes partitions of a stored table
         return df if p is None else df.filter(p)
 
 

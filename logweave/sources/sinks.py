@@ -46,9 +46,11 @@ def publish(envelopes: DataFrame, fmt: str, path_or_topic: str,
 
 
 def append_logs(parsed: DataFrame, path: str) -> None:
-    """K2 (batch): append parsed logs partitioned by the log date ``dt``."""
+    """K2 (batch): append parsed logs partitioned by the event day ``dt``
+    (``yyyy-MM-dd``), so time-range filters prune whole partitions."""
+    from logweave.functions.parse import event_day
     cols = [f.name for f in schemas.PARSED_LOGS.fields]
-    (parsed.select(*cols, F.col("date").alias("dt"))
+    (parsed.select(*cols, event_day(F.col("date"), F.col("time")).alias("dt"))
      .write.mode("append").partitionBy("dt").parquet(path))
 
 

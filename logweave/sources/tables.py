@@ -31,8 +31,11 @@ def log_view(parsed: DataFrame) -> DataFrame:
     """The five query columns plus ``ts``; rows with an invalid time dropped.
 
     Selecting the columns first lets Catalyst prune the Parquet read schema.
+    A stored table's partition column ``dt`` is kept so that ``LogFilter``
+    can prune partitions.
     """
-    df = parsed.select(*LOG_VIEW_COLS)
+    keep = LOG_VIEW_COLS + (["dt"] if "dt" in parsed.columns else [])
+    df = parsed.select(*keep)
     df = df.withColumn("ts", event_time(F.col("date"), F.col("time")))
     return df.filter(F.col("ts").isNotNull())
 
@@ -43,8 +46,12 @@ def error_log_view(parsed: DataFrame) -> DataFrame:
 
 
 def read_parsed_logs(spark, path: str) -> DataFrame:
+    """The stored parsed-log table with its ``dt`` (event day) partition column."""
+    from pyspark.sql import types as T
+
     from logweave import schemas
-    return spark.read.schema(schemas.PARSED_LOGS).parquet(path)
+    schema = T.StructType(list(schemas.PARSED_LOGS.fields) + [T.StructField("dt", T.StringType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_anomalies(spark, path: str) -> DataFrame:

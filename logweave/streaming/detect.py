@@ -75,9 +75,15 @@ def start_detection(parsed_stream: DataFrame, flagged: DataFrame, target: str, c
     flagged = flagged.select("block_id", "true_label")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        upsert_batch(batch_anomalies(batch, flagged), target, batch_id)
+        # The micro-batch is read twice (emptiness test, lookup): keep it in
+        # executor memory for the duration of this batch only.
+        batch = batch.select("block_id", "ingested_at").persist()
+        try:
+            if batch.isEmpty():
+                return
+            upsert_batch(batch_anomalies(batch, flagged), target, batch_id)
+        finally:
+            batch.unpersist()
 
     w = parsed_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)

@@ -70,11 +70,33 @@ def start_ingest(values: DataFrame, out_path: str, checkpoint: str,
     """X1 + X2 + K2: parse the envelope stream and append to Parquet.
 
     The file sink commits through its own log, so a replayed micro-batch is
-    written exactly once; the table is partitioned by log date ``dt``.
+    written exactly once; the table is partitioned by event day ``dt``.
     Empty micro-batches write nothing (X5).
     """
-    parsed = parsed_columns(parse_envelopes(values)).withColumn("dt", F.col("date"))
+    from logweave.functions.parse import event_day
+    parsed = parsed_columns(parse_envelopes(values))
+    parsed = parsed.withColumn("dt", event_day(F.col("date"), F.col("time")))
     w = (parsed.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).partitionBy("dt").outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
+
+
+def bulk_ingest(spark: SparkSession, path: str, out_path: str, source_name: str | None = None,
+                ingested_at: str | None = None) -> int:
+    """K2 (batch) + S1 + P15: parse a raw log file (or folder) into the
+    parsed-log table in one append; one ``ingested_at`` per run, ``source_file``
+    the base name of each input file unless ``source_name`` is given.
+    Returns the number of parsed rows written."""
+    from logweave.functions.timefmt import ISO_FMT
+    from logweave.sources.files import read_log_lines
+    from logweave.sources.sinks import append_logs
+    from logweave.sources.tables import spread_small_input
+    lines = spread_small_input(read_log_lines(spark, path))
+    at = F.lit(ingested_at) if ingested_at else \
+        F.date_format(F.current_timestamp(), ISO_FMT + ".SSSSSSXXX")
+    src = F.lit(source_name) if source_name else F.col("source_file")
+    parsed = parse_lines(lines.select(at.alias("ingested_at"), src.alias("source_file"), "raw"))
+    parsed = parsed_columns(parsed).checkpoint(eager=True)
+    append_logs(parsed, out_path)
+    return parsed.count()

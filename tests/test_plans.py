@@ -32,6 +32,19 @@ def test_pushdown_and_pruning(spark, tmp_dir):
     assert df is not None
 
 
+def test_partition_pruning_by_day(spark, tmp_dir):
+    from logweave.operators.filters import LogFilter
+    path = os.path.join(tmp_dir, "parsed_dt")
+    append_logs(fx.parsed_logs(spark, SMALL), path)
+    view = log_view(read_parsed_logs(spark, path))
+    f = LogFilter(start="2024-01-05", end="2024-01-07 12:00:00").apply(view)
+    p = _plan(f)
+    part = p.split("PartitionFilters: [")[1].split("]")[0]
+    assert "dt" in part and "2024-01-05" in part
+    full = LogFilter(start="2024-01-05", end="2024-01-07 12:00:00").apply(fx.logs(spark, SMALL))
+    assert f.count() == full.count() > 0
+
+
 def test_entry_and_registry(spark):
     out = E.entry(spark)
     assert out.count() > 0 and out.columns[0] == "time"

@@ -60,3 +60,15 @@ def test_stream_equals_batch(spark, tmp_dir):
     batch = parse_envelopes(spark.read.text(src))
     want = sorted(tuple(r) for r in timeseries_long(log_view(batch), "5min").collect())
     assert got == want
+
+
+def test_bulk_ingest(spark, tmp_dir):
+    from logweave.streaming.ingest import bulk_ingest
+    p = os.path.join(tmp_dir, "a.log")
+    with open(p, "w") as f:
+        f.write("081109 203518 143 INFO a.B: x blk_1\n\ngarbage\n081109 203519 1 WARN a.C: y\n")
+    out = os.path.join(tmp_dir, "parsed")
+    assert bulk_ingest(spark, p, out, ingested_at="t0") == 2
+    rows = spark.read.parquet(out).collect()
+    assert {r.source_file for r in rows} == {"a.log"} and {r.ingested_at for r in rows} == {"t0"}
+    assert {str(r.dt) for r in rows} == {"2008-11-09"}
