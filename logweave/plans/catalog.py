@@ -837,3 +837,18 @@ def q_csv_record_keys(spark, sf_dir):
     path = scratch_path(spark, "records") + ".csv"
     rec.write.option("header", True).csv(path)
     return read_records(spark, path, "auto").select(F.col("RowId").alias("BlockId"), "key")
+
+
+@register("stored_logs_filtered", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql('ts')} AS ts, level, component, block_id FROM logs WHERE {_FILTER_SQL}""")
+def q_stored_logs_filtered(spark, sf_dir):
+    """Parsed logs appended to a table partitioned by event day,
+    read back with the time range pruning partitions (``dt``) before the scan."""
+    from logweave.functions.timefmt import iso
+    from logweave.session import scratch_path
+    from logweave.sources.sinks import append_logs
+    from logweave.sources.tables import log_view, read_parsed_logs
+    path = scratch_path(spark, "parsed_logs")
+    append_logs(fx.parsed_logs(spark, sf_dir), path)
+    df = _log_filter().apply(log_view(read_parsed_logs(spark, path)))
+    return df.select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id")
