@@ -102,6 +102,13 @@ def decode_envelope(value: Column) -> Column:
     return F.from_json(value, schemas.ENVELOPE)
 
 
+def decode_csv_envelope(value: Column) -> Column:
+    """P1 for CSV-record envelopes: the payload as a ``map<string,string>``.
+    Such envelopes carry no ``raw`` line, so the log parser drops them; they
+    stay readable as records through this decoder."""
+    return F.from_json(value, schemas.ENVELOPE_CSV)
+
+
 def envelope_raw(env: Column) -> Column:
     """``payload.raw``; a missing ``raw`` key defaults to the empty string."""
     return F.coalesce(env["payload"]["raw"], F.lit(""))

@@ -18,8 +18,8 @@ def read_log_lines(spark: SparkSession, path: str, streaming: bool = False,
                    **options) -> DataFrame:
     """One row per non-blank line, column ``raw``, plus ``source_file``.
 
-    Invalid UTF-8 bytes become U+FFFD (Hadoop text decoding); blank and
-    whitespace-only lines are dropped.
+    Lines are read as UTF-8 (invalid byte sequences decode to U+FFFD when the
+    text is matched); blank and whitespace-only lines are dropped.
     """
     reader = spark.readStream if streaming else spark.read
     for k, v in options.items():

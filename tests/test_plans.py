@@ -17,9 +17,13 @@ def _plan(df):
 
 def test_no_python_in_activity_plans(spark):
     logs = fx.logs(spark, SMALL)
-    for df in (timeseries(logs, "5min", ["INFO"]), components(logs, 5, ["INFO"])):
+    from logweave.operators.activity import heatmap, raw_page, snapshot
+    from logweave.operators.spikes import error_spikes
+    for df in (timeseries(logs, "5min", ["INFO"]), components(logs, 5, ["INFO"]), heatmap(logs),
+               raw_page(logs), snapshot(logs), error_spikes(logs)):
         p = _plan(df)
         assert "PythonUDF" not in p and "ArrowEvalPython" not in p and "BatchEvalPython" not in p
+        assert "Window" not in p            # no single-partition window anywhere
 
 
 def test_pushdown_and_pruning(spark, tmp_dir):

@@ -36,3 +36,15 @@ def test_csv_key_first_non_empty(spark, tmp_dir):
 def test_choose_format():
     assert choose_format("a.csv") == "csv" and choose_format("a.TSV") == "tsv"
     assert choose_format("a.log") == "raw" and choose_format("a.csv", "raw") == "raw"
+
+
+def test_csv_envelope_is_a_map(spark):
+    from pyspark.sql import functions as F
+
+    from logweave.functions.parse import decode_csv_envelope
+    v = json.dumps({"ingested_at": "t", "source_file": "f.csv",
+                    "payload": {"BlockId": "blk_1", "Level": "INFO"}})
+    df = spark.createDataFrame([(v,)], "value string")
+    r = df.select(decode_csv_envelope(F.col("value")).alias("e")).first().e
+    assert r.payload == {"BlockId": "blk_1", "Level": "INFO"} and r.source_file == "f.csv"
+    assert parse_envelopes(df).count() == 0
