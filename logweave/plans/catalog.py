@@ -852,3 +852,20 @@ def q_stored_logs_filtered(spark, sf_dir):
     append_logs(fx.parsed_logs(spark, sf_dir), path)
     df = _log_filter().apply(log_view(read_parsed_logs(spark, path)))
     return df.select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id")
+
+
+@register("stream_error_rate", _with(DEC_CTE) + f""",
+t AS (SELECT level, {fx.TS_SQL} AS ts FROM dp)
+SELECT {_iso_sql("to_timestamp(floor(epoch(ts) / 300) * 300)::TIMESTAMP")} AS time,
+       round_even(CAST(count_if(level = 'ERROR') AS DOUBLE) / count(*) * 100.0, 2) AS error_rate
+FROM t WHERE ts IS NOT NULL GROUP BY 1""")
+def q_stream_error_rate(spark, sf_dir):
+    """Error rate per 5-minute bucket from the live windowed counts
+    (watermarked streaming state; the lateness bound covers the test range)."""
+    from logweave.session import scratch_path
+    from logweave.streaming.live import live_error_rate, read_live_counts, start_live_counts
+    target, ck = scratch_path(spark, "live-counts"), scratch_path(spark, "ckpt-live")
+    q = start_live_counts(_stream_source(spark, sf_dir), target, ck, bucket="5 minutes",
+                          delay="31 days", available_now=True)
+    q.awaitTermination()
+    return live_error_rate(read_live_counts(spark, target))

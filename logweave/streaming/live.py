@@ -51,3 +51,15 @@ def read_live_counts(spark, target: str) -> DataFrame:
     latest = Window.partitionBy("bucket", "level").orderBy(F.col("batch_id").desc())
     df = df.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") == 1)
     return df.select(iso(F.col("bucket")).alias("time"), "level", "count")
+
+
+def live_error_rate(counts: DataFrame) -> DataFrame:
+    """A4 over the live counts: ``100 * ERROR / total`` per bucket (numpy
+    half-even to 2 places).  Reads the small per-(bucket, level) table the
+    stream maintains, not the raw rows."""
+    from logweave.functions.timefmt import round_half_even
+    agg = counts.groupBy("time").agg(
+        F.sum(F.when(F.col("level") == "ERROR", F.col("count")).otherwise(F.lit(0))).alias("err"),
+        F.sum("count").alias("total"))
+    rate = F.col("err") / F.col("total") * F.lit(100.0)
+    return agg.select("time", round_half_even(rate, 2).alias("error_rate"))
