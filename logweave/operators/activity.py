@@ -178,31 +178,43 @@ DEEP_PAGE_ROWS = 100_000
 def page_rows(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """Rows ``offset .. offset + limit - 1`` of ``df`` in ``order``.
 
-    Shallow pages: ``orderBy().limit(offset + limit).offset(offset)`` — a
-    TakeOrdered with at most offset + limit rows per task.  Deep pages: a
-    range-partitioned sort is checkpointed, the per-partition counts (one row
-    per partition) locate the partitions that overlap the page, and only
-    those are ranked locally.  No task ever holds more than one partition.
+    ``order`` must sort by every column of ``df`` (rows equal in all of them
+    are interchangeable).  Shallow pages: ``orderBy().limit(offset + limit)
+    .offset(offset)`` — a TakeOrdered with at most offset + limit rows per task.
+
+    Deep pages: equal rows are first collapsed into one weighted row (a
+    pre-aggregated ``groupBy``, so a value shared by a third of all rows costs
+    one row per task), the distinct rows are range-sorted and checkpointed,
+    per-partition weight sums (one row per partition) locate the partitions
+    that overlap the page, a running weight inside those partitions gives
+    each distinct row its global positions, and only the page's copies are
+    expanded back (at most ``limit`` rows).
     """
     if offset + limit <= DEEP_PAGE_ROWS:
         return df.orderBy(*order).limit(offset + limit).offset(offset)
     from pyspark.sql import Window
-    ranked = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
-    counts = ranked.groupBy("_p").count().orderBy("_p").collect()
+    cols = df.columns
+    weighted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = weighted.orderBy(*order).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
+    sums = ranked.groupBy("_p").agg(F.sum("_n").alias("w")).orderBy("_p").collect()
     start, wanted, firsts = 0, [], {}
-    for r in counts:
-        end = start + r["count"]
+    for r in sums:
+        end = start + r["w"]
         if end > offset and start < offset + limit:
             wanted.append(r["_p"])
             firsts[r["_p"]] = start
         start = end
     if not wanted:
-        return ranked.limit(0).drop("_p")
+        return df.limit(0)
     base = F.create_map(*[x for p in wanted for x in (F.lit(p), F.lit(firsts[p]))])
-    w = Window.partitionBy("_p").orderBy(*order)
+    run = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     part = ranked.filter(F.col("_p").isin(wanted))
-    part = part.withColumn("_g", F.element_at(base, F.col("_p")) + F.row_number().over(w) - 1)
-    return part.filter((F.col("_g") >= offset) & (F.col("_g") < offset + limit)).drop("_p", "_g")
+    part = part.withColumn("_hi", F.element_at(base, F.col("_p")) + F.sum("_n").over(run))
+    part = part.withColumn("_lo", F.col("_hi") - F.col("_n"))
+    lo, hi = F.lit(offset), F.lit(offset + limit)
+    part = part.filter((F.col("_hi") > lo) & (F.col("_lo") < hi))
+    copies = F.least(F.col("_hi"), hi) - F.greatest(F.col("_lo"), lo)
+    return part.select(*cols, F.explode(F.sequence(F.lit(1), copies)).alias("_k")).drop("_k")
 
 
 PAGE_COLS = ["ts", "level", "component", "block_id"]

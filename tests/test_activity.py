@@ -90,3 +90,15 @@ def test_deep_page_matches_shallow(spark, monkeypatch):
     monkeypatch.setattr(A, "DEEP_PAGE_ROWS", 10)
     deep = [tuple(r) for r in A.raw_page(df.repartition(4), limit=150, offset=230).collect()]
     assert sorted(deep) == sorted(shallow) and len(deep) == 150
+
+
+def test_deep_page_with_hot_duplicates(spark, monkeypatch):
+    hot = [(T("2024-01-02 00:00:00"), "INFO", "hot", "blk_1")] * 300
+    rest = [(T(f"2024-01-02 00:{i // 60:02d}:{i % 60:02d}"), "WARN", "c", None) for i in range(1, 200)]
+    df = _logs(spark, hot + rest)
+    for off, lim in [(0, 100), (150, 250), (400, 500)]:
+        shallow = sorted(tuple(r) for r in A.raw_page(df, limit=lim, offset=off).collect())
+        monkeypatch.setattr(A, "DEEP_PAGE_ROWS", 10)
+        deep = sorted(tuple(r) for r in A.raw_page(df.repartition(3), limit=lim, offset=off).collect())
+        monkeypatch.setattr(A, "DEEP_PAGE_ROWS", 100_000)
+        assert deep == shallow
