@@ -66,8 +66,11 @@ def parse_lines(df: DataFrame, col: str = "raw") -> DataFrame:
     being pushed below it, where each reference to a field would re-run the
     regex and split (a Filter gets no common-subexpression elimination).
     """
-    s = strip_ws(F.col(col))
-    parts = df.withColumn("_s", s).filter(is_log_line(F.col("_s")))
+    # The stripped line also comes out of a generator, so the match filter
+    # stays where it is written (after any rebalancing of the input) and the
+    # strip runs once.
+    stripped = df.select(*df.columns, F.inline(F.array(F.struct(strip_ws(F.col(col)).alias("_s")))))
+    parts = stripped.filter(is_log_line(F.col("_s")))
     f = log_fields(F.col("_s"))
     # get(): null-safe even if the optimizer evaluates it ahead of the filter.
     fields = F.struct(*[F.get(f, i).alias(n) for i, n in enumerate(LOG_FIELDS)])
