@@ -56,14 +56,16 @@ def _margin_quantile(data: DataFrame, cols: list[str], omega, b, w, nu: float, n
     return nth_largest(data.mapInPandas(margins, "m double"), "m", n - k + 1, n)
 
 
-def fit_one_class(z: DataFrame, cols: list[str], nu: float, n_features: int = 256,
-                  steps: int = 8, lr: float = 0.5, seed: int = 42):
+def fit_one_class(z: DataFrame, cols: list[str], nu: float, n_features: int = 1024,
+                  steps: int = 8, lr: float = 0.1, seed: int = 42):
     """Train ``(omega, b, w, rho)`` by block-coordinate descent.
 
     ``w`` starts at the kernel mean embedding (mean of ``phi``, a convex
     combination of the features like the dual solution); each step takes a
     subgradient step in ``w`` (one distributed pass with per-task partial
     sums) and then sets ``rho`` exactly to the ``nu`` quantile of the margins.
+    1024 features keep the kernel error (about 1/sqrt(D)) well below typical
+    inlier kernel values; on planted-outlier data 256 features were too noisy.
     """
     d = len(cols)
     gamma = rbf_gamma(z, cols)
