@@ -12,8 +12,6 @@ The scalar cutoff is then compared with every row as a literal (J5).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +151,3 @@ def flag_exact_n(scores: DataFrame, col: str, key: str, n: int | None = None,
         flag = (c > F.lit(v)) | ((c == F.lit(v)) & (F.col(key) <= F.lit(kmax)))
     return scores.withColumn(out, F.coalesce(flag, F.lit(False)))
 
-
-def is_finite(x: float) -> bool:
-    return x is not None and not math.isnan(x) and not math.isinf(x)

@@ -28,7 +28,7 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     # filters written later (regex matches) are not pushed back below it into
     # the single scan task.
     spread = df.repartition(cores)
-    return spread.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+    return spread.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
 def log_view(parsed: DataFrame) -> DataFrame:
