@@ -54,3 +54,18 @@ def test_entry_and_registry(spark):
     assert out.count() > 0 and out.columns[0] == "time"
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
+
+
+def test_spread_only_small_inputs(spark, tmp_dir):
+    from logweave.sources.tables import spread_small_input
+    cores = spark.sparkContext.defaultParallelism
+    big = os.path.join(tmp_dir, "big")
+    spark.range(0, 10000, numPartitions=cores * 2).write.parquet(big)
+    df = spread_small_input(spark.read.parquet(big)).filter(F.col("id") > 5)
+    p = _plan(df)
+    assert "RoundRobinPartitioning" not in p and "GreaterThan(id,5)" in p.split("PushedFilters: ")[1]
+    small = os.path.join(tmp_dir, "small")
+    spark.range(0, 100, numPartitions=1).write.parquet(small)
+    sp = spread_small_input(spark.read.parquet(small))
+    assert "RoundRobinPartitioning" in _plan(sp) and sp.count() == 100
+    assert sp.rdd.getNumPartitions() == cores
