@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import simhash
+from logweave.llm import pq, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +25,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 4-word shingles, at most 4 differing bits."""
     docs = _table(spark, sf_dir, "documents")
     return simhash.simhash_groups(docs, shingle=4, bits=4).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    out = pq.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id",
+                      F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
