@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import pq, simhash
+from logweave.llm import mixing, pq, quality, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +33,25 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pq.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+@_query
+def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and adaptive verdict of all documents."""
+    out = quality.adaptive_quality(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                      "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE["op5_adaptive_quality"] = quality.oracle()
+
+
+@_query
+def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked rate and drawn repeats of all documents for a sample of half the tokens."""
+    out = mixing.mix(_table(spark, sf_dir, "documents"), fraction=0.5)
+    return out.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "n_tokens",
+                      F.round("rate", 6).alias("rate"), "repeats")
+
+
+ORACLE["op2_mixing_weights"] = mixing.oracle()
