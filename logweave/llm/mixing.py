@@ -35,7 +35,7 @@ def topic_of(text: Column, topics=TOPICS, rest: str = "prose") -> Column:
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, float | DataFrame], rounds: int = 10) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, float | DataFrame], rounds: int = 6) -> DataFrame:
     """Adds ``weight`` to ``cells`` (the dimensions, ``tokens``): raked token weights.
 
     ``targets`` gives for each dimension either a power p (target share
@@ -63,9 +63,9 @@ def rake(cells: DataFrame, targets: dict[str, float | DataFrame], rounds: int =
             now = out.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("now"))
             scale = now.join(goal.withColumnRenamed("value", "of"), F.col("value").eqNullSafe(F.col("of"))) \
                 .select("value", F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("scale"))
-            out = out.join(scale, F.col(dim).eqNullSafe(F.col("value"))) \
-                .withColumn("weight", F.col("weight") * F.col("scale")).drop("value", "scale")
-        out = cut(out)
+            # Cut each step: it reads the weights twice, which would double the plan.
+            out = cut(out.join(scale, F.col(dim).eqNullSafe(F.col("value")))
+                      .withColumn("weight", F.col("weight") * F.col("scale")).drop("value", "scale"))
     return out
 
 
@@ -81,7 +81,7 @@ def _celled(docs: DataFrame, id_col: str, text_col: str, topic: Column) -> DataF
 
 
 def mix(docs: DataFrame, targets: dict[str, float | DataFrame] | None = None, fraction: float = 0.5,
-        rounds: int = 10, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None,
+        rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None,
         seed: str = SEED) -> DataFrame:
     """Rows (id, source, lang, topic, n_tokens, rate, repeats), one per input row.
 
@@ -120,7 +120,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
     return docs.join(ids, key == ids["id"], "left_semi")
 
 
-def oracle(fraction: float = 0.5, rounds: int = 10) -> str:
+def oracle(fraction: float = 0.5, rounds: int = 6) -> str:
     """DuckDB SQL of the registered query: the same rounds as chained CTEs."""
     case = "CASE " + " ".join(
         f"WHEN regexp_matches(COALESCE(text, ''), '{p}') THEN '{n}'" for n, p in TOPICS) + " ELSE 'prose' END"
