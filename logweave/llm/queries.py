@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import mixing, pq, quality, simhash
+from logweave.llm import mixing, pii, pq, quality, simhash, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,27 @@ def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_mixing_weights"] = mixing.oracle()
+
+
+@_query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, path rule and verdict of all page URLs."""
+    out = urls.filter_urls(_table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+ORACLE["op7_url_filter"] = urls.oracle()
+
+
+@_query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: base counts and digest, and all spans.
+
+    The counts are of base spans, like the digest; ``n_added`` counts the rest.
+    """
+    out = pii.find_pii(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind)))
+    return out.select(F.col("id").alias("doc_id"), *[of(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+                      F.sha2(pii.spans_text(F.col("spans"), base_only=True), 256).alias("base_sha256"),
+                      pii.spans_text(F.col("spans")).alias("spans"),
+                      F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
