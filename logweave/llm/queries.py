@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import mixing, pii, pq, quality, simhash, urls
+from logweave.llm import langid, mixing, pii, pq, quality, simhash, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +79,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(pii.spans_text(F.col("spans"), base_only=True), 256).alias("base_sha256"),
                       pii.spans_text(F.col("spans")).alias("spans"),
                       F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
+@_query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents; learnt from those not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, net).select(
+        F.col("id").alias("doc_id"), langid.held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
