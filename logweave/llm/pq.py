@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, expand_ranges, star_edges
+from logweave.llm.common import cut, star_edges
 from logweave.llm.components import components
 
 
@@ -131,7 +131,7 @@ def _match(model: Model, cosine: float, slack: float, pair_block: int):
         centre = model.coarse[key[0]]
         x, q = _unit(members["vec"])[0], _unit(asks["ask_vec"])[0]
         codes, left = model.encode((x - centre).astype(np.float32))
-        bound = r * r + left ** 2 + 2 * slack * r * left / np.sqrt(model.dim) + 1e-5
+        bound = (r * r + left ** 2 + 2 * slack * r * left / np.sqrt(model.dim) + 1e-5)[:, None]
         mk, qk = members["key"].to_numpy(np.int64), asks["ask_key"].to_numpy(np.int64)
         weight = members["weight"].to_numpy(np.int64)
         out = np.zeros(len(asks), np.int64)
@@ -140,15 +140,13 @@ def _match(model: Model, cosine: float, slack: float, pair_block: int):
         for lo in range(0, len(q), step):
             part = q[lo:lo + step]
             table = model.tables((part - centre).astype(np.float32))
-            near = np.zeros((len(part), len(x)), np.float32)
+            # (codes, queries) tables: a member's code fetches one contiguous row.
+            near = np.zeros((len(x), len(part)), np.float32)
             for j in range(codes.shape[1]):
-                near += table[:, j][:, codes[:, j]]
-            hit = np.flatnonzero((near <= bound).any(1))
-            count = (near[hit] <= bound).sum(1)
-            at_m = np.nonzero(near[hit] <= bound)[1]
-            firsts = np.cumsum(count) - count
-            for row, place in expand_ranges(firsts, count, pair_block):
-                a, m = hit[row] + lo, at_m[place]
+                near += np.ascontiguousarray(table[:, j].T)[codes[:, j]]
+            all_m, all_a = np.nonzero(near <= bound)
+            for at in range(0, len(all_m), pair_block // 8 + 1):
+                m, a = all_m[at:at + pair_block // 8 + 1], all_a[at:at + pair_block // 8 + 1] + lo
                 exact = np.einsum("ij,ij->i", q[a], x[m]) >= cosine
                 a, m = a[exact], m[exact]
                 other = qk[a] != mk[m]
@@ -165,7 +163,7 @@ def _match(model: Model, cosine: float, slack: float, pair_block: int):
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                    cosine: float = 0.9, slack: float = 4.0, subspaces: int = 8, codes: int = 256,
+                    cosine: float = 0.9, slack: float = 3.0, subspaces: int = 8, codes: int = 256,
                     lists: int | None = None, max_lists: int = 4096, fit_rows: int = 16_384,
                     cell_rows: int = 4096, pair_block: int = 1_000_000, seed: int = 42) -> DataFrame:
     """Rows (id, n_links, component_id), one per input row.
@@ -184,8 +182,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     vectors is dealt out over cells that each query of the list visits, and its
     queries over as many.
     """
-    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"),
-                              F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec"))
                .withColumn("vec", F.when(usable(F.col("vec")), F.col("vec"))))
     good = rows.where("vec is not null")
     classes = cut(good.groupBy("vec").agg(F.count("*").alias("weight"), F.min("id").alias("rep"))
@@ -229,7 +227,8 @@ def _links(classes: DataFrame, cosine, slack, subspaces, codes, lists, max_lists
     r = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     reach = min(r, slack * r / np.sqrt(x.shape[1]))
     homes = cut(classes.select("key", "vec", "weight").mapInPandas(
-        _assign(model, reach), "key long, vec array<double>, weight long, home int, visits array<int>"))
+        _assign(model, reach),
+        f"key long, vec {dict(classes.dtypes)['vec']}, weight long, home int, visits array<int>"))
     side = homes.groupBy(F.col("home").alias("list")).agg(
         F.ceil(F.count("*") / cell_rows).cast("int").alias("side"))
     # One row a list, at most max_lists rows: small enough for every task.

@@ -41,7 +41,7 @@ def test_matches_brute_force(spark, cell_rows):
     df = spark.createDataFrame([(i, v, 0, 1.0) for i, v in zip(ids, vecs)],
                                "vec_id long, embedding array<float>, key int, n double").repartition(4)
     back = [None if v is None else [None if x is None else float(np.float32(x)) for x in v] for v in vecs]
-    got = pq.near_duplicates(df, lists=5, cell_rows=cell_rows, pair_block=200).collect()
+    got = pq.near_duplicates(df, lists=5, cell_rows=cell_rows, pair_block=200, slack=4).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute(ids, back, 0.9), key=str)
 
 
