@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import langid, mixing, pii, pq, quality, simhash, urls
+from logweave.llm import langid, mixing, pii, pq, quality, simhash, spm, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.predict(docs, net).select(
         F.col("id").alias("doc_id"), langid.held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
+#: A public BPE model with byte fallback.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents with merge-dropout 0.1, and whether they decode back."""
+    tokenizer = spm.Tokenizer.load(PIECES, alpha=0.1, seed=42)
+    return spm.tokenize(_table(spark, sf_dir, "documents"), tokenizer).withColumnRenamed("id", "doc_id")
