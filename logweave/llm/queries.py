@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import langid, mixing, pii, pq, quality, simhash, spm, urls
+from logweave.llm import langid, lm, mixing, pii, pq, quality, simhash, spm, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents with merge-dropout 0.1, and whether they decode back."""
     tokenizer = spm.Tokenizer.load(PIECES, alpha=0.1, seed=42)
     return spm.tokenize(_table(spark, sf_dir, "documents"), tokenizer).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and interpolated bigram score of all documents."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    out = lm.score_documents(_table(spark, sf_dir, "documents"), ~held, order=2)
+    return out.withColumnRenamed("id", "doc_id").select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
