@@ -1,13 +1,26 @@
-"""Corpus pipeline: documents through five operators, each stage written and reread."""
+"""Corpus pipeline: ``documents`` through five operators, each stage written and reread.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import simhash
+from logweave.llm import langid, mixing, pii, simhash, spm
+from logweave.llm.queries import PIECES
 from logweave.session import scratch_path
 
 SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
+MIX_FRACTION = 0.8
+DROPOUT, SEED = 0.1, 42
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that the network can tell go; a missing
+    language is filled in.  The network learns from the labelled documents."""
+    return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +28,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_copies(docs, shingle=SIMHASH_SHINGLE, bits=SIMHASH_BITS)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, plain or disguised, is replaced by the name of its kind."""
+    return pii.redact_docs(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with the calibrated rates of sources, languages and topics."""
+    return mixing.sample(docs, fraction=MIX_FRACTION)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode back to its text."""
+    tokenizer = spm.Tokenizer.load(PIECES, alpha=DROPOUT, seed=SEED)
+    return spm.tokenize(docs, tokenizer, keep=("lang", "source")).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokens),
+]
+#: A trained network, SimHash and piece merges have no SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
