@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import langid, lm, mixing, pii, pq, quality, simhash, spm, urls
+from logweave.llm import html, langid, lm, mixing, pii, pq, quality, simhash, spm, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +108,9 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm.score_documents(_table(spark, sf_dir, "documents"), ~held, order=2)
     return out.withColumnRenamed("id", "doc_id").select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
