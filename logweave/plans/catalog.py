@@ -33,7 +33,6 @@ def _with(*ctes: str) -> str:
 
 
 LOGS_CTE = fx.PARSED_SQL
-LEVELS = ["DEBUG", "ERROR", "INFO", "WARN"]
 
 
 def _iso_sql(expr: str) -> str:
@@ -62,17 +61,16 @@ def q_parse_logs(spark, sf_dir):
 # ------------------------------------------------------------- timeseries ---
 
 def _ts_sql(seconds: int) -> str:
-    cols = ", ".join(f"count_if(level = '{lv}') AS {lv}" for lv in LEVELS)
-    return _with(LOGS_CTE) + f"""
-SELECT {_iso_sql(f"to_timestamp(floor(epoch(ts) / {seconds}) * {seconds})::TIMESTAMP")} AS time, {cols}
-FROM logs WHERE ts IS NOT NULL
-GROUP BY 1"""
+    # The pivot's columns are the levels found in the data.
+    return _with(LOGS_CTE) + f""",
+b AS (SELECT {_iso_sql(f"to_timestamp(floor(epoch(ts) / {seconds}) * {seconds})::TIMESTAMP")} AS time, level FROM logs)
+SELECT * FROM (PIVOT b ON level USING count(*) GROUP BY time)"""
 
 
 def _ts_query(granularity):
     def fn(spark, sf_dir):
         from logweave.operators.activity import timeseries
-        return timeseries(fx.logs(spark, sf_dir), granularity, LEVELS)
+        return timeseries(fx.logs(spark, sf_dir), granularity)
     fn.__doc__ = f"P6/A3: lines per {granularity} bucket and level, pivoted."
     return fn
 
@@ -116,26 +114,27 @@ def q_error_rate_unrounded(spark, sf_dir):
     return df.withColumn("error_rate", F.round("error_rate", 9))
 
 
-_LEVEL_COUNTS_SQL = ", ".join(f"count_if(level = '{lv}') AS {lv}" for lv in LEVELS)
+_PIVOT = "(PIVOT cl ON level USING count(*) GROUP BY component) p"
+_TOP_COMPONENTS_SQL = """,
+cl AS (SELECT component, level FROM logs),
+top AS (SELECT component, count(*) AS total FROM logs GROUP BY component ORDER BY total DESC, component LIMIT 20)"""
 
 
-@register("components_top20", _with(LOGS_CTE) + f"""
-SELECT component, count(*) AS total, {_LEVEL_COUNTS_SQL}
-FROM logs GROUP BY component ORDER BY total DESC, component LIMIT 20""")
+@register("components_top20", _with(LOGS_CTE) + _TOP_COMPONENTS_SQL + """
+SELECT p.*, total FROM top JOIN """ + _PIVOT + " USING (component)")
 def q_components(spark, sf_dir):
     """Top-20 components by lines, counts per level."""
     from logweave.operators.activity import components
-    return components(fx.logs(spark, sf_dir), 20, LEVELS)
+    return components(fx.logs(spark, sf_dir), 20)
 
 
-@register("component_share", _with(LOGS_CTE) + f""",
-top AS (SELECT component, count(*) AS total, {_LEVEL_COUNTS_SQL}
-        FROM logs GROUP BY component ORDER BY total DESC, component LIMIT 20)
-SELECT *, CAST(total AS DOUBLE) / (SELECT max(total) FROM top) * 100.0 AS share_pct FROM top""")
+@register("component_share", _with(LOGS_CTE) + _TOP_COMPONENTS_SQL + """
+SELECT p.*, total, CAST(total AS DOUBLE) / (SELECT max(total) FROM top) * 100.0 AS share_pct
+FROM top JOIN """ + _PIVOT + " USING (component)")
 def q_component_share(spark, sf_dir):
     """Top-20 components with their share of the largest one."""
     from logweave.operators.activity import component_share, components
-    return component_share(components(fx.logs(spark, sf_dir), 20, LEVELS))
+    return component_share(components(fx.logs(spark, sf_dir), 20))
 
 
 _HOUR_CELLS_SQL = ", ".join(
@@ -358,7 +357,7 @@ def q_matrix_label_counts(spark, sf_dir):
 def q_centroid_distance(spark, sf_dir):
     """M2/M4: standardised distance of every block to its class-mean centre."""
     from logweave.operators.kmeans import class_mean_distance
-    return class_mean_distance(fx.matrix(spark, sf_dir)).select("BlockId", "cluster", "distance")
+    return class_mean_distance(fx.matrix(spark, sf_dir), places=6).select("BlockId", "cluster", "distance")
 
 
 _C = "(16838.0 / 575061.0)"
@@ -373,7 +372,7 @@ def q_flag_ge_cutoff(spark, sf_dir):
     """Flag distance >= n-th largest, n = round(c N) clamped to 1..N-1."""
     from logweave.operators.cutoff import flag_ge_cutoff
     from logweave.operators.kmeans import class_mean_distance
-    d = class_mean_distance(fx.matrix(spark, sf_dir)).select("BlockId", "distance")
+    d = class_mean_distance(fx.matrix(spark, sf_dir), places=6).select("BlockId", "distance")
     from logweave import schemas
     return flag_ge_cutoff(d, "distance", contamination=schemas.CONTAMINATION_DEFAULT)
 
@@ -389,7 +388,7 @@ def q_flag_exact_n(spark, sf_dir):
     from logweave import schemas
     from logweave.operators.cutoff import flag_exact_n
     from logweave.operators.kmeans import class_mean_distance
-    d = class_mean_distance(fx.matrix(spark, sf_dir)).select("BlockId", "distance")
+    d = class_mean_distance(fx.matrix(spark, sf_dir), places=6).select("BlockId", "distance")
     return flag_exact_n(d, "distance", "BlockId", contamination=schemas.CONTAMINATION_DEFAULT)
 
 
@@ -398,25 +397,59 @@ def q_flag_exact_n(spark, sf_dir):
 DETECTED_AT = "2024-02-01T00:00:00+00:00"
 
 
-@register("kmeans_detector")
-def q_kmeans_detector(spark, sf_dir):
-    """M1-M5: StandardScaler + KMeans(k=8) distance, cutoff rule -> anomaly rows."""
-    from logweave.operators.kmeans import kmeans_detector
-    return kmeans_detector(fx.matrix(spark, sf_dir), DETECTED_AT, k=8)
+# The seeds of the models decide which blocks they flag; what holds for every
+# seed is compared: whole tables scored, budgets met, order of the scores.
+_BUDGET_SQL = f""",
+n AS (SELECT count(*) AS blocks, CAST(round_even({_C} * count(*), 0) AS BIGINT) AS raw FROM labelled),
+k AS (SELECT blocks, greatest(1, least(raw, blocks)) AS exact,
+             greatest(1, least(raw, greatest(1, blocks - 1))) AS clamped FROM n)"""
+
 
+def _ordered(flag="is_anomaly", score="distance"):
+    """Whether no unflagged row scores above a flagged one."""
+    return (F.max(F.when(~F.col(flag), F.col(score))) <= F.min(F.when(F.col(flag), F.col(score)))).alias("ordered")
 
-@register("kmeans_exact_budget")
+
+@register("kmeans_detector", _with(fx.MATRIX_SQL) + _BUDGET_SQL + """
+SELECT blocks, true AS flags_reach_budget, 0::BIGINT AS not_nearest, true AS ordered, clamped AS budget FROM k""")
+def q_kmeans_detector(spark, sf_dir):
+    """K-means|| (k=8) on the standardised matrix, distance to the
+    assigned centre, cutoff rule; summarised over all blocks."""
+    from logweave import schemas
+    from logweave.operators.cutoff import budget, flag_ge_cutoff
+    from logweave.operators.kmeans import kmeans_scores
+    flags = flag_ge_cutoff(kmeans_scores(fx.matrix(spark, sf_dir), k=8, nearest=True), "distance",
+                           contamination=schemas.CONTAMINATION_DEFAULT)
+    out = flags.agg(F.count(F.lit(1)).alias("blocks"), F.count_if("is_anomaly").alias("_flagged"),
+                    F.count_if(F.col("distance") > F.col("nearest") + 1e-9).alias("not_nearest"), _ordered()).first()
+    n = budget(schemas.CONTAMINATION_DEFAULT, out["blocks"])
+    return spark.createDataFrame([(out["blocks"], out["_flagged"] >= n, out["not_nearest"], out["ordered"], n)],
+                                 "blocks long, flags_reach_budget boolean, not_nearest long, ordered boolean, budget long")
+
+
+@register("kmeans_exact_budget", _with(fx.MATRIX_SQL) + _BUDGET_SQL + """
+SELECT blocks, exact AS flagged, true AS ordered FROM k""")
 def q_kmeans_exact_budget(spark, sf_dir):
-    """M6: K-Means distance with exactly round(c N) blocks flagged."""
+    """Exactly round(c N) farthest blocks flagged, summarised over all blocks."""
     from logweave.operators.kmeans import kmeans_exact_budget
-    return kmeans_exact_budget(fx.matrix(spark, sf_dir), k=8)
+    return kmeans_exact_budget(fx.matrix(spark, sf_dir), k=8).agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_if("is_anomaly").alias("flagged"), _ordered())
 
 
-@register("block_scores_summary")
+@register("block_scores_summary", _with(fx.MATRIX_SQL) + _BUDGET_SQL + """
+SELECT blocks, true AS flags_reach_budget, (SELECT count(DISTINCT BlockId) FROM labelled) AS distinct_blocks,
+       (SELECT count_if(Label = 'Fail') FROM labelled) AS failed FROM k""")
 def q_block_scores_summary(spark, sf_dir):
-    """Per-block K-Means flags summarised (blocks, anomalies)."""
+    """The per-block lookup table of K-Means flags and labels, summarised."""
+    from logweave import schemas
+    from logweave.operators.cutoff import budget
     from logweave.operators.kmeans import block_scores, model_summary
-    return model_summary(block_scores(fx.matrix(spark, sf_dir), k=8))
+    scores = block_scores(fx.matrix(spark, sf_dir), k=8).checkpoint()
+    r = model_summary(scores).first()
+    n = budget(schemas.CONTAMINATION_DEFAULT, r["blocks"], clamp_below_total=False)
+    return scores.agg(F.lit(r["blocks"]).alias("blocks"), F.lit(r["anomalies"] >= n).alias("flags_reach_budget"),
+                      F.count_distinct("block_id").alias("distinct_blocks"),
+                      F.count_if(F.col("true_label") == "Fail").alias("failed"))
 
 
 # ------------------------------------------------------ anomaly table ---
@@ -614,7 +647,7 @@ def _class_flags(spark, sf_dir, clamp=True):
     from logweave import schemas
     from logweave.operators.cutoff import flag_ge_cutoff
     from logweave.operators.kmeans import class_mean_distance
-    return flag_ge_cutoff(class_mean_distance(fx.matrix(spark, sf_dir)), "distance",
+    return flag_ge_cutoff(class_mean_distance(fx.matrix(spark, sf_dir), places=6), "distance",
                           contamination=schemas.CONTAMINATION_DEFAULT, clamp_below_total=clamp)
 
 
@@ -706,54 +739,112 @@ dp AS (SELECT ingested_at, source_file, raw,
        FROM dec WHERE regexp_matches(trim(raw), '{fx._RE}'))"""
 
 
-def _stream_source(spark, sf_dir):
-    from logweave.streaming.ingest import file_values, parse_envelopes
-    return parse_envelopes(file_values(spark, fx.envelope_files(spark, sf_dir), 1))
+def _stream_source(spark, sf_dir, part=None):
+    from logweave.streaming.ingest import parse_envelopes
+    return parse_envelopes(_stream_values(spark, sf_dir, part))
+
+
+def _stream_values(spark, sf_dir, part=None):
+    from logweave.streaming.ingest import file_values
+    return file_values(spark, fx.envelope_files(spark, sf_dir, part), 4)
 
 
 @register("stream_parse", _with(DEC_CTE) + """
 SELECT ingested_at, source_file, raw, level, component, message, block_id FROM dp""")
 def q_stream_parse(spark, sf_dir):
-    """Envelope file stream (one file per trigger) parsed and
-    appended to a date-partitioned Parquet table; the table read back."""
+    """Envelope file stream (four files per trigger) parsed into
+    the stored log table; the table read back."""
     from logweave.session import scratch_path
-    from logweave.streaming.ingest import file_values, start_ingest
+    from logweave.streaming.ingest import start_ingest
     out, ck = scratch_path(spark, "parsed_logs"), scratch_path(spark, "ckpt-ingest")
-    q = start_ingest(file_values(spark, fx.envelope_files(spark, sf_dir), 1), out, ck,
-                     available_now=True)
-    q.awaitTermination()
+    start_ingest(_stream_values(spark, sf_dir), out, ck, available_now=True).awaitTermination()
     from logweave.sources.tables import read_parsed_logs
     return read_parsed_logs(spark, out).select("ingested_at", "source_file", "raw", "level",
                                                "component", "message", "block_id")
 
 
-@register("stream_detect_upsert", _with(DEC_CTE.rstrip() + "," + fx.CLASS_DIST_SQL) + f""",
+_PARSED_COLS = ["ingested_at", "source_file", "raw", "level", "component", "message", "block_id"]
+
+
+@register("stream_restart_parse", _with(DEC_CTE) + """
+SELECT ingested_at, source_file, raw, level, component, message, block_id FROM dp
+UNION ALL SELECT '2024-03-01T00:00:00+00:00', 'bulk.log', raw, level, component, message, block_id
+FROM dp WHERE level = 'FATAL'""")
+def q_stream_restart_parse(spark, sf_dir):
+    """Two runs with checkpoints of their own, each over half of the
+    files, and a bulk load of a raw log, all into one table."""
+    from logweave.session import scratch_path
+    from logweave.sources.tables import read_parsed_logs
+    from logweave.streaming.ingest import bulk_ingest, start_ingest
+    out, log = scratch_path(spark, "parsed_logs"), scratch_path(spark, "bulk")
+    for part in (0, 1):
+        ck = scratch_path(spark, "ckpt-ingest")
+        start_ingest(_stream_values(spark, sf_dir, part), out, ck, available_now=True).awaitTermination()
+    read_parsed_logs(spark, out).where("level = 'FATAL'").select("raw").write.text(log)
+    bulk_ingest(spark, log, out, source_name="bulk.log", ingested_at="2024-03-01T00:00:00+00:00")
+    return read_parsed_logs(spark, out).select(*_PARSED_COLS)
+
+
+_UPSERT_SQL = _with(DEC_CTE.rstrip() + "," + fx.CLASS_DIST_SQL) + """,
 k AS (SELECT greatest(1, CAST(round_even((16838.0 / 575061.0) * count(*), 0) AS BIGINT)) AS k FROM dist),
 fl AS (SELECT BlockId, Label FROM (SELECT *, rank() OVER (ORDER BY distance DESC) AS rk FROM dist)
        WHERE rk <= (SELECT k FROM k))
 SELECT 'kmeans_distance' AS method, s.block_id, fl.Label AS true_label, s.detected_at
 FROM (SELECT block_id, min(ingested_at) AS detected_at FROM dp WHERE block_id IS NOT NULL
-      GROUP BY block_id) s JOIN fl ON s.block_id = fl.BlockId""")
+      GROUP BY block_id) s JOIN fl ON s.block_id = fl.BlockId"""
+_ANOM_COLS = ["method", "block_id", "true_label", "detected_at"]
+
+
+def _flagged_table(spark, sf_dir):
+    from logweave.session import scratch_path
+    path = scratch_path(spark, "block_scores")
+    flags = _class_flags(spark, sf_dir, clamp=False)
+    (flags.filter(F.col("is_anomaly")).select(F.col("BlockId").alias("block_id"), F.col("Label").alias("true_label"))
+     .write.parquet(path))
+    return spark.read.parquet(path)
+
+
+@register("stream_detect_upsert", _UPSERT_SQL)
 def q_stream_detect_upsert(spark, sf_dir):
     """Stream-static lookup of flagged blocks, insert-if-absent
     per micro-batch (first detection kept, replay-safe)."""
     from logweave.session import scratch_path
     from logweave.streaming.detect import read_stored, start_detection
-    flags = _class_flags(spark, sf_dir, clamp=False)
-    scores_path = scratch_path(spark, "block_scores")
-    (flags.filter(F.col("is_anomaly"))
-     .select(F.col("BlockId").alias("block_id"), F.col("Label").alias("true_label"))
-     .write.parquet(scores_path))
-    flagged = spark.read.parquet(scores_path)
     target, ck = scratch_path(spark, "anomalies-stream"), scratch_path(spark, "ckpt-detect")
-    q = start_detection(_stream_source(spark, sf_dir), flagged, target, ck, available_now=True)
-    q.awaitTermination()
-    try:
-        return read_stored(spark, target).select("method", "block_id", "true_label", "detected_at")
-    except Exception:  # noqa: BLE001 — no batch found anything
-        from logweave import schemas
-        return spark.createDataFrame([], schemas.ANOMALIES).select(
-            "method", "block_id", "true_label", "detected_at")
+    start_detection(_stream_source(spark, sf_dir), _flagged_table(spark, sf_dir), target, ck,
+                    available_now=True).awaitTermination()
+    return read_stored(spark, target).select(*_ANOM_COLS)
+
+
+@register("stream_restart_upsert", _UPSERT_SQL)
+def q_stream_restart_upsert(spark, sf_dir):
+    """Three runs with new checkpoints (each half of the files, then all
+    again) into one table: each (method, block) once."""
+    from logweave.session import scratch_path
+    from logweave.streaming.detect import read_stored, start_detection
+    target, flagged = scratch_path(spark, "anomalies-stream"), _flagged_table(spark, sf_dir)
+    for part in (0, 1, None):
+        start_detection(_stream_source(spark, sf_dir, part), flagged, target, scratch_path(spark, "ckpt-detect"),
+                        available_now=True).awaitTermination()
+    return read_stored(spark, target).select(*_ANOM_COLS)
+
+
+@register("stream_ingest_detect", _UPSERT_SQL + """
+UNION ALL SELECT 'stored lines', level, NULL, CAST(count(*) AS VARCHAR) FROM dp GROUP BY level""")
+def q_stream_ingest_detect(spark, sf_dir):
+    """One query parses each envelope once, stores the logs and
+    detects; the anomalies, and the stored lines per level."""
+    from logweave.session import scratch_path
+    from logweave.sources.tables import read_parsed_logs
+    from logweave.streaming.detect import read_stored
+    from logweave.streaming.ingest import start_ingest_detect
+    logs, found = scratch_path(spark, "parsed_logs"), scratch_path(spark, "anomalies-stream")
+    start_ingest_detect(_stream_values(spark, sf_dir), _flagged_table(spark, sf_dir), logs, found,
+                        scratch_path(spark, "ckpt-both"), available_now=True).awaitTermination()
+    lines = read_parsed_logs(spark, logs).groupBy("level").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    return read_stored(spark, found).select(*_ANOM_COLS).unionByName(lines.select(
+        F.lit("stored lines").alias("method"), F.col("level").alias("block_id"),
+        F.lit(None).cast("string").alias("true_label"), F.col("n").alias("detected_at")))
 
 
 @register("stream_timeseries", _with(DEC_CTE) + f""",
@@ -762,55 +853,97 @@ SELECT {_iso_sql("to_timestamp(floor(epoch(ts) / 300) * 300)::TIMESTAMP")} AS ti
        count(*) AS count
 FROM t WHERE ts IS NOT NULL GROUP BY 1, 2""")
 def q_stream_timeseries(spark, sf_dir):
-    """5-minute counts per level as streaming state (watermark on event
-    time, update mode).  The lateness bound covers the whole 30-day test
-    range, so every row is counted and the result equals the batch series."""
+    """5-minute counts per level, added up batch by batch over files that
+    arrive out of order; the result equals the batch series."""
     from logweave.session import scratch_path
     from logweave.streaming.live import read_live_counts, start_live_counts
     target, ck = scratch_path(spark, "live-counts"), scratch_path(spark, "ckpt-live")
-    q = start_live_counts(_stream_source(spark, sf_dir), target, ck, bucket="5 minutes",
-                          delay="31 days", available_now=True)
+    q = start_live_counts(_stream_source(spark, sf_dir), target, ck, available_now=True)
     q.awaitTermination()
     return read_live_counts(spark, target)
 
 
 # -------------------------------------------- other detectors (rows only) ---
 
-@register("isolation_forest_detector")
+@register("isolation_forest_detector", _with(fx.MATRIX_SQL) + f"""
+SELECT count(*) AS blocks, true AS flags_within_share, 0::BIGINT AS layout_differences FROM labelled""")
 def q_isolation_forest(spark, sf_dir):
-    """M7: isolation forest (100 trees, 256 rows each) on the standardised matrix."""
-    from logweave.operators.iforest import isolation_forest_detector
-    return isolation_forest_detector(fx.matrix(spark, sf_dir), DETECTED_AT)
-
+    """M7: isolation forest (100 trees of 256 rows) on the standardised matrix,
+    fitted twice on differently partitioned rows; summarised over all blocks."""
+    import math
 
-@register("one_class_detector")
+    from logweave import schemas
+    from logweave.operators.iforest import isolation_forest_flags
+    from logweave.operators.kmeans import standardize
+    z = standardize(fx.matrix(spark, sf_dir)).checkpoint()
+    cols = [f"z_{c}" for c in schemas.FEATURE_COLS]
+    one, two = [isolation_forest_flags(x, cols, ["BlockId"]).select("BlockId", F.col("is_anomaly").alias(name))
+                for x, name in ((z, "a"), (z.repartition(5, "Label"), "b"))]
+    r = one.join(two, "BlockId").agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("flagged"),
+                                     F.count_if(F.col("a") != F.col("b")).alias("differ")).first()
+    share = math.ceil(schemas.CONTAMINATION_DEFAULT * max(r["n"] - 1, 0))
+    return spark.createDataFrame([(r["n"], 0 < r["flagged"] <= share, r["differ"])],
+                                 "blocks long, flags_within_share boolean, layout_differences long")
+
+
+@register("one_class_detector", _with(fx.MATRIX_SQL) + f"""
+SELECT count(*) AS blocks, true AS flags_within_share FROM labelled""")
 def q_one_class(spark, sf_dir):
-    """M8: one-class boundary (random Fourier features, distributed gradient passes)."""
-    from logweave.operators.ocsvm import one_class_detector
-    return one_class_detector(fx.matrix(spark, sf_dir), DETECTED_AT)
-
+    """M8: one-class boundary (random Fourier features, distributed gradient
+    passes), summarised over all blocks; at most the share nu may be flagged."""
+    import math
 
-@register("compare_models")
+    from logweave import schemas
+    from logweave.operators.kmeans import standardize
+    from logweave.operators.ocsvm import one_class_flags
+    z = standardize(fx.matrix(spark, sf_dir)).checkpoint()
+    flags = one_class_flags(z, [f"z_{c}" for c in schemas.FEATURE_COLS], ["BlockId"])
+    r = flags.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("flagged")).first()
+    return spark.createDataFrame([(r["n"], r["flagged"] <= math.ceil(schemas.CONTAMINATION_DEFAULT * r["n"]))],
+                                 "blocks long, flags_within_share boolean")
+
+
+@register("compare_models", _with(fx.MATRIX_SQL) + """,
+t AS (SELECT count(*) AS blocks, count_if(Label = 'Fail') AS actual FROM labelled)
+SELECT m.model, blocks, actual,
+       CASE WHEN exact THEN greatest(1, least(CAST(round_even(CAST(actual AS DOUBLE) / blocks * blocks, 0) AS BIGINT), blocks))
+       END AS flagged
+FROM t, (VALUES ('K-Means distance (k=8)', true), ('One-class boundary (random Fourier features)', false),
+                ('Isolation Forest', false)) m(model, exact)""")
 def q_compare_models(spark, sf_dir):
-    """K-Means exact budget vs one-class vs isolation forest."""
+    """Three models at the labelled share; per model the blocks,
+    the labelled anomalies and, where the budget is exact, the flags."""
     from logweave.operators.compare import compare_models
-    return compare_models(fx.matrix(spark, sf_dir), k=8, empirical=True)
+    out = compare_models(fx.matrix(spark, sf_dir), k=8, empirical=True)
+    return out.select("model", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("blocks"),
+                      (F.col("tp") + F.col("fn")).alias("actual"),
+                      F.when(F.col("model").startswith("K-Means"), F.col("tp") + F.col("fp")).alias("flagged"))
 
 
-@register("refresh_anomalies")
+@register("refresh_anomalies", _with(LOGS_CTE.rstrip() + "," + fx.MATRIX_SQL) + _BUDGET_SQL + f""",
+c AS (SELECT to_timestamp(floor(epoch(ts) / 60) * 60)::TIMESTAMP AS b, count(*) AS error_count
+      FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY 1),
+s AS (SELECT avg(error_count) + 2 * stddev_samp(error_count) AS thr FROM c)
+SELECT 'statistical_threshold' AS method, {_iso_sql('b')} AS minute, error_count FROM c, s WHERE error_count > thr
+UNION ALL SELECT 'kmeans_distance reaches budget', NULL, clamped FROM k""")
 def q_refresh_anomalies(spark, sf_dir):
-    """Batch run — K-Means detector and minute spikes, full refresh
-    of an anomaly table in the shared folder, read back."""
-    from logweave.operators.kmeans import kmeans_detector
-    from logweave.operators.spikes import error_spikes, spike_anomalies
+    """The batch job replaces an anomaly table in the shared folder,
+    twice; its spike rows, and whether the K-Means rows reach their budget."""
+    from logweave import schemas
+    from logweave.operators.batch import detect_batch
+    from logweave.operators.cutoff import budget
     from logweave.session import scratch_path
-    from logweave.sources.sinks import refresh_anomalies
     from logweave.sources.tables import read_anomalies
-    path = scratch_path(spark, "anomalies-refresh")
-    km = kmeans_detector(fx.matrix(spark, sf_dir), DETECTED_AT, k=8)
-    sp = spike_anomalies(error_spikes(fx.logs(spark, sf_dir), seconds=60), DETECTED_AT)
-    refresh_anomalies([km, sp], path)
-    return read_anomalies(spark, path)
+    path, matrix, logs = scratch_path(spark, "anomalies-refresh"), fx.matrix(spark, sf_dir), fx.logs(spark, sf_dir)
+    for _ in range(2):
+        detect_batch(matrix, logs, path, DETECTED_AT, k=8)
+    rows = read_anomalies(spark, path)
+    n = budget(schemas.CONTAMINATION_DEFAULT, matrix.count())
+    kmeans = rows.where(F.col("method") == schemas.METHOD_KMEANS).agg(F.count(F.lit(1)).alias("n")).select(
+        F.when(F.col("n") >= n, F.lit("kmeans_distance reaches budget")).otherwise("too few").alias("method"),
+        F.lit(None).cast("string").alias("minute"), F.lit(n).cast("long").alias("error_count"))
+    return rows.where(F.col("method") == schemas.METHOD_SPIKE).select("method", "minute", "error_count") \
+        .unionByName(kmeans)
 
 
 # ------------------------------------------------------------ CSV records ---
@@ -860,12 +993,88 @@ SELECT {_iso_sql("to_timestamp(floor(epoch(ts) / 300) * 300)::TIMESTAMP")} AS ti
        round_even(CAST(count_if(level = 'ERROR') AS DOUBLE) / count(*) * 100.0, 2) AS error_rate
 FROM t WHERE ts IS NOT NULL GROUP BY 1""")
 def q_stream_error_rate(spark, sf_dir):
-    """Error rate per 5-minute bucket from the live windowed counts
-    (watermarked streaming state; the lateness bound covers the test range)."""
+    """Error rate per 5-minute bucket from the live counts."""
     from logweave.session import scratch_path
     from logweave.streaming.live import live_error_rate, read_live_counts, start_live_counts
     target, ck = scratch_path(spark, "live-counts"), scratch_path(spark, "ckpt-live")
-    q = start_live_counts(_stream_source(spark, sf_dir), target, ck, bucket="5 minutes",
-                          delay="31 days", available_now=True)
+    q = start_live_counts(_stream_source(spark, sf_dir), target, ck, available_now=True)
     q.awaitTermination()
     return live_error_rate(read_live_counts(spark, target))
+
+
+# ------------------------------------------------- under filters, and files ---
+
+_FLOGS = f""",
+fl AS (SELECT * FROM logs WHERE {_FILTER_SQL})"""
+
+
+@register("timeseries_filtered", _with(LOGS_CTE) + _FLOGS + f""",
+b AS (SELECT {_iso_sql(_BUCKET_1H)} AS time, level FROM fl)
+SELECT * FROM (PIVOT b ON level USING count(*) GROUP BY time)""")
+def q_timeseries_filtered(spark, sf_dir):
+    """A3 under F1-F3: hourly lines per level of the filtered logs."""
+    from logweave.operators.activity import timeseries
+    return timeseries(_log_filter().apply(fx.logs(spark, sf_dir)), "1h")
+
+
+@register("error_rate_filtered", _with(LOGS_CTE) + _FLOGS + f"""
+SELECT {_iso_sql(_BUCKET_1H)} AS time,
+       round_even(CAST(count_if(level = 'ERROR') AS DOUBLE) / count(*) * 100.0, 2) AS error_rate
+FROM fl GROUP BY 1""")
+def q_error_rate_filtered(spark, sf_dir):
+    """A4 under F1-F3: the totals are those of the filtered lines."""
+    from logweave.operators.activity import error_rate
+    return error_rate(_log_filter().apply(fx.logs(spark, sf_dir)), "1h", rounded=True)
+
+
+@register("components_filtered", _with(LOGS_CTE) + _FLOGS + """,
+cl AS (SELECT component, level FROM fl),
+top AS (SELECT component, count(*) AS total FROM fl GROUP BY component ORDER BY total DESC, component LIMIT 3)
+SELECT p.*, total FROM top JOIN """ + _PIVOT + " USING (component)")
+def q_components_filtered(spark, sf_dir):
+    """A5 under F1-F3: the three busiest components of the filtered lines."""
+    from logweave.operators.activity import components
+    return components(_log_filter().apply(fx.logs(spark, sf_dir)), 3)
+
+
+@register("heatmap_filtered", _with(LOGS_CTE) + _FLOGS + f""",
+agg AS (SELECT component, count(level) AS n, count_if(level IN ('ERROR', 'WARN')) AS ew, {_HOUR_CELLS_SQL}
+        FROM fl GROUP BY component),
+top AS (SELECT * FROM agg ORDER BY n DESC, component LIMIT 10)
+SELECT * EXCLUDE (n, ew) FROM top WHERE ew > 0""")
+def q_heatmap_filtered(spark, sf_dir):
+    """A6 under F1-F3."""
+    from logweave.operators.activity import heatmap
+    return heatmap(_log_filter().apply(fx.logs(spark, sf_dir)), 10)
+
+
+_LOOSE_SQL = "ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20 07:30:00'"
+
+
+@register("stored_logs_loose_dates", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql('ts')} AS ts, level, component, block_id FROM logs WHERE {_LOOSE_SQL}""")
+def q_stored_logs_loose_dates(spark, sf_dir):
+    """F1 on a stored table: an unpadded start and an end with a zone offset."""
+    from logweave.functions.timefmt import iso
+    from logweave.operators.filters import LogFilter
+    from logweave.session import scratch_path
+    from logweave.sources.sinks import append_logs
+    from logweave.sources.tables import log_view, read_parsed_logs
+    path = scratch_path(spark, "parsed_logs")
+    append_logs(fx.parsed_logs(spark, sf_dir), path)
+    df = LogFilter(start="2024-1-5", end="2024-01-19T23:30:00-08:00").apply(log_view(read_parsed_logs(spark, path)))
+    return df.select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id")
+
+
+@register("raw_log_files", _with(LOGS_CTE) + """
+SELECT level, component, block_id, count(*) AS lines FROM parsed_ids GROUP BY ALL""")
+def q_raw_log_files(spark, sf_dir):
+    """The rendered lines written as text files, bulk-loaded into the
+    stored table and read back; lines per level, component and block."""
+    from logweave.session import scratch_path
+    from logweave.sources.tables import read_parsed_logs
+    from logweave.streaming.ingest import bulk_ingest
+    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "parsed_logs")
+    fx.log_lines(spark, sf_dir).select("raw").write.text(raw)
+    bulk_ingest(spark, raw, out, ingested_at=DETECTED_AT)
+    return read_parsed_logs(spark, out).groupBy("level", "component", "block_id").agg(F.count(F.lit(1)).alias("lines"))

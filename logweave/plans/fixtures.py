@@ -14,23 +14,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A test table of one row group gives one task: deal its rows over the cores
+    before they are rendered.  Tables with a task for each core stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    # Past a one-element generator no later filter moves into the single scan task.
+    return df.repartition(cores).select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 # --- LOG_LINES: raw HDFS-style lines rendered from `events` ------------------
-# Level per event type and the line template are fixed fixture values.
+# Level per event type and the line template are fixed fixture values; a few
+# lines have a level outside the usual four.
 LEVEL_OF_EVENT = {"error": "ERROR", "signup": "WARN", "click": "DEBUG"}  # others: INFO
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, raw``: one text line per event (some deliberately malformed)."""
-    from logweave.sources.tables import spread_small_input
-    ev = spread_small_input(table(spark, sf_dir, "events").select("event_id", "ts", "user_id",
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id",
                                                                   "event_type"))
     level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEVEL_OF_EVENT.items()
                                                    for x in kv]), F.col("event_type")),
                        F.lit("INFO"))
+    level = F.when(F.col("event_id") % 501 == 0, F.lit("FATAL")).otherwise(level)
     msg = (F.when(F.col("event_id") % 11 == 0, F.lit("heartbeat"))
            .otherwise(F.concat(F.lit("event for blk_"), F.col("user_id").cast("string"),
                                F.when(F.col("event_id") % 7 == 0,
@@ -52,8 +63,8 @@ log_lines AS (
   SELECT event_id,
     CASE WHEN event_id % 13 = 0 THEN 'garbage ' || CAST(event_id AS VARCHAR)
     ELSE strftime(ts, '%y%m%d %H%M%S') || ' ' || CAST(event_id % 997 AS VARCHAR) || ' ' ||
-         CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN'
-                         WHEN 'click' THEN 'DEBUG' ELSE 'INFO' END ||
+         CASE WHEN event_id % 501 = 0 THEN 'FATAL' ELSE CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN'
+                         WHEN 'click' THEN 'DEBUG' ELSE 'INFO' END END ||
          ' svc.Node$Shard' || CAST(user_id % 30 AS VARCHAR) || ': ' ||
          CASE WHEN event_id % 11 = 0 THEN 'heartbeat'
               ELSE 'event for blk_' || CAST(user_id AS VARCHAR) ||
@@ -128,8 +139,7 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     builder); ids E30/E31 fall outside the matrix columns.  Line items with
     line number 7 carry no block id in their text.
     """
-    from logweave.sources.tables import spread_small_input
-    li = spread_small_input(table(spark, sf_dir, "lineitem").select(
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
     content = F.when(F.col("l_linenumber") == 7,
                      F.concat(F.lit("PacketResponder "), F.col("l_suppkey").cast("string"),
@@ -230,7 +240,7 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _ANOM_PATHS:
-        flagged = flag_ge_cutoff(class_mean_distance(matrix(spark, sf_dir)), "distance",
+        flagged = flag_ge_cutoff(class_mean_distance(matrix(spark, sf_dir), places=6), "distance",
                                  contamination=schemas.CONTAMINATION_DEFAULT)
         orders = table(spark, sf_dir, "orders").select(
             F.concat(F.lit("blk_"), F.col("o_orderkey").cast("string")).alias("BlockId"),
@@ -279,14 +289,19 @@ anom AS (
 _ENV_PATHS: dict[tuple, str] = {}
 
 
-def envelope_files(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
-    """ENVELOPES written as text files (one JSON envelope per line), split
-    into ``files`` files by event id range, for file-stream sources."""
+def envelope_files(spark: SparkSession, sf_dir: str, part: int | None = None, parts: int = 2,
+                   files: int = 8) -> str:
+    """ENVELOPES written as text files (one JSON envelope per line) for
+    file-stream sources; ids are scrambled over the files, so times arrive out
+    of order.  ``part`` takes one of ``parts`` disjoint shares of the rows."""
     from logweave.session import scratch_path
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), files)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), part, parts, files)
     if key not in _ENV_PATHS:
         path = scratch_path(spark, "envelopes")
-        (envelopes(spark, sf_dir).repartitionByRange(files, "event_id")
-         .sortWithinPartitions("event_id").select("value").write.text(path))
+        rows = envelopes(spark, sf_dir)
+        if part is not None:
+            rows = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == part)
+        (rows.repartitionByRange(files, F.pmod(F.col("event_id") * 7919, F.lit(10007)), "event_id")
+         .select("value").write.text(path))
         _ENV_PATHS[key] = path
     return _ENV_PATHS[key]

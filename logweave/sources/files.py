@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave import schemas
-from logweave.functions.parse import base_name
+from logweave.functions.parse import base_name, strip_ws
 
 
 def read_log_lines(spark: SparkSession, path: str, streaming: bool = False,
@@ -27,7 +28,7 @@ def read_log_lines(spark: SparkSession, path: str, streaming: bool = False,
     df = reader.schema(schemas.LOG_LINE).text(path)
     df = df.select(F.col("value").alias("raw"),
                    base_name(F.col("_metadata.file_path")).alias("source_file"))
-    return df.filter(F.length(F.trim(F.col("raw"))) > 0)
+    return df.filter(F.length(strip_ws(F.col("raw"))) > 0)
 
 
 def read_csv_records(spark: SparkSession, path: str, sep: str = ",",
@@ -100,19 +101,27 @@ def read_structured_log(spark: SparkSession, path: str,
         n_raw = read_log_lines(spark, raw_log_path).count()
         n_struct = df.count()
         if n_raw != n_struct:
-            raise ValueError(f"line count mismatch: log has {n_raw} non-empty lines, "
-                             f"structured CSV has {n_struct} rows")
+            raise ValueError(f"{path} describes {n_struct} lines, but {raw_log_path} holds {n_raw} that are not blank")
     return df
 
 
+def _header_csv(spark: SparkSession, path: str) -> DataFrame | None:
+    """A header CSV of text columns; None if (and only if) the path does not exist."""
+    try:
+        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_labels_csv(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:
     """Labels CSV with ``BlockId, Label``.  A missing file returns None when
     ``required`` is False (the metrics path: no ground truth)."""
-    try:
-        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    except Exception:
+    df = _header_csv(spark, path)
+    if df is None:
         if required:
-            raise
+            raise FileNotFoundError(path)
         return None
     require_columns(df, ["BlockId", "Label"], "labels")
     return df.select("BlockId", "Label")
@@ -120,7 +129,4 @@ def read_labels_csv(spark: SparkSession, path: str, required: bool = True) -> Da
 
 def read_templates_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """Log-template CSV; a missing file gives None."""
-    try:
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
-    except Exception:
-        return None
+    return _header_csv(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def to_envelopes(records: DataFrame, source_file: str | None = None,
                  key_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """K1 (shape): ``key`` (nullable) and ``value`` = JSON envelope text.
 
-    Raw lines give ``payload = {raw}``; CSV records give all their columns.
+    Raw lines give ``payload = {raw}``; see ``record_envelopes`` for CSV records.
     ``ingested_at`` is a constant or, by default, the query's current time.
     """
     at = F.lit(ingested_at) if ingested_at is not None else \
@@ -28,12 +30,19 @@ def to_envelopes(records: DataFrame, source_file: str | None = None,
     return records.select(*(keep or []), key.alias("key"), value.alias("value"))
 
 
+def record_envelopes(records: DataFrame, source_file: str | None = None, ingested_at=None) -> DataFrame:
+    """K1 for CSV records (``read_csv_records``): the payload holds all columns of
+    the record, the key is its first non-empty block id."""
+    cols = [c for c in records.columns if c not in ("key", "source_file")]
+    return to_envelopes(records, source_file, ingested_at, payload_cols=cols, key_col="key")
+
+
 def publish(envelopes: DataFrame, fmt: str, path_or_topic: str,
             max_messages: int | None = None, **options) -> None:
     """K1: write envelopes.  ``fmt='kafka'`` needs the Kafka connector on the
     classpath (``topic`` option); ``json``/``parquet``/``text`` write files.
-    ``max_messages`` (T8) keeps the first N records."""
-    df = envelopes.limit(max_messages) if max_messages else envelopes
+    ``max_messages`` (T8) keeps the first N records in the order they are read."""
+    df = first_rows(envelopes, max_messages) if max_messages else envelopes
     if fmt == "kafka":
         w = df.write.format("kafka").option("topic", path_or_topic)
         for k, v in options.items():
@@ -45,13 +54,34 @@ def publish(envelopes: DataFrame, fmt: str, path_or_topic: str,
         df.write.mode("append").format(fmt).save(path_or_topic)
 
 
-def append_logs(parsed: DataFrame, path: str) -> None:
-    """K2 (batch): append parsed logs partitioned by the event day ``dt``
-    (``yyyy-MM-dd``), so time-range filters prune whole partitions."""
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in partition order, without moving them: rows are
+    counted per partition, and each partition keeps what the budget leaves it."""
+    tagged = df.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = {r["p"]: r["n"] for r in tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, last = n, None
+    for p in sorted(counts):
+        last = p, left
+        left -= counts[p]
+        if left <= 0:
+            break
+    if last is None:
+        return df
+    offset = F.col("_at").bitwiseAND(F.lit(2 ** 33 - 1))
+    return tagged.where((part < last[0]) | ((part == last[0]) & (offset < last[1]))).drop("_at")
+
+
+def append_logs(parsed: DataFrame, path: str, run: str | None = None, batch: int = 0) -> None:
+    """K2: add parsed logs to the stored table as one batch of a run (a new run
+    by default), partitioned below it by the event day ``dt`` (``yyyy-MM-dd``),
+    so time-range filters prune whole partitions.  Rows are first gathered by
+    day, and large days split, so a day gets few files of a good size."""
     from logweave.functions.parse import event_day
+    from logweave.streaming.runs import write_batch
     cols = [f.name for f in schemas.PARSED_LOGS.fields]
-    (parsed.select(*cols, event_day(F.col("date"), F.col("time")).alias("dt"))
-     .write.mode("append").partitionBy("dt").parquet(path))
+    rows = parsed.select(*cols, event_day(F.col("date"), F.col("time")).alias("dt")).hint("rebalance", F.col("dt"))
+    write_batch(rows, path, run or f"bulk-{uuid.uuid4().hex}", batch, ("dt",))
 
 
 def anomalies_frame(df: DataFrame) -> DataFrame:

@@ -10,27 +10,6 @@ from logweave.functions.parse import event_time
 LOG_VIEW_COLS = ["date", "time", "level", "component", "block_id"]
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row functions (regex parsing) every core.
-
-    A scan of a small or unsplittable file (one Parquet row group) yields
-    fewer partitions than the cluster has cores; only then are its rows
-    spread round-robin over ``defaultParallelism`` partitions.  Large inputs
-    already split into at least that many partitions and are returned as is
-    (no shuffle, scan pushdown intact).  Streaming frames are returned unchanged.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    # Rows pass through a one-element generator after the rebalance, so
-    # filters written later (regex matches) are not pushed back below it into
-    # the single scan task.
-    spread = df.repartition(cores)
-    return spread.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
-
-
 def log_view(parsed: DataFrame) -> DataFrame:
     """The five query columns plus ``ts``; rows with an invalid time dropped.
 
@@ -49,13 +28,18 @@ def error_log_view(parsed: DataFrame) -> DataFrame:
     return log_view(parsed.filter(F.col("level").isin("ERROR", "WARN")))
 
 
-def read_parsed_logs(spark, path: str) -> DataFrame:
-    """The stored parsed-log table with its ``dt`` (event day) partition column."""
-    from pyspark.sql import types as T
-
+def read_parsed_logs(spark, path: str, batch: tuple[str, int] | None = None) -> DataFrame:
+    """The stored parsed-log table with its ``dt`` (event day) partition column:
+    rows of all runs, or of one (run, batch).  A missing table has no rows."""
     from logweave import schemas
-    schema = T.StructType(list(schemas.PARSED_LOGS.fields) + [T.StructField("dt", T.StringType())])
-    return spark.read.schema(schema).parquet(path)
+    from logweave.streaming.runs import read_batches
+    df = read_batches(spark, path, schemas.PARSED_LOGS, ("dt",))
+    if df is None:
+        df = spark.createDataFrame([], schemas.PARSED_LOGS).selectExpr(
+            "*", "'' AS run", "0L AS batch", "CAST(NULL AS STRING) AS dt")
+    if batch is not None:
+        df = df.where((F.col("run") == batch[0]) & (F.col("batch") == batch[1]))
+    return df.drop("run", "batch")
 
 
 def read_anomalies(spark, path: str) -> DataFrame:

@@ -3,67 +3,45 @@
 Per micro-batch, entirely on the executors:
   parsed rows with a block id -> first occurrence per block (dedupe) ->
   stream-static join with the flagged block scores (J1) -> anti join with
-  the anomalies already stored by earlier batches (J4) -> append.
-
-Replay safety (K3): batch ``N`` is written to partition ``batch_id=N`` with
-dynamic partition overwrite and compared only with ``batch_id < N``; a
-replayed batch rewrites the same partition with the same rows, so the
-table is unchanged.  ``detected_at`` comes from the data (the earliest
-``ingested_at`` of the block in the batch), not from the wall clock, so a
-replay also keeps the first time.
+  the anomalies that any other batch has stored (J4) -> write.
+
+Replay safety (K3): a batch owns its partitions (``streaming.runs``) and is
+compared with everything stored but its own, so a replay rewrites the same
+rows, and a run with a new checkpoint finds what earlier runs stored.
+``detected_at`` comes from the data (the earliest ``ingested_at`` of the block
+in the batch), not from the wall clock, so a replay keeps the first time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logweave import schemas
+from logweave.streaming.runs import read_batches, start_batches, write_batch
 
 ANOM_KEY = ["method", "block_id"]
-STORED = T.StructType(list(schemas.ANOMALIES.fields) + [T.StructField("batch_id", T.LongType())])
-
-
-def _stored(spark, target: str, below_batch: int, keys: DataFrame) -> DataFrame | None:
-    """Stored keys of earlier batches that also occur in this batch.
-
-    The batch's keys are capped by the trigger's intake limit, so they are
-    broadcast: the stored table is scanned (two pruned columns) but never
-    shuffled, however large it grows.
-    """
-    try:
-        df = spark.read.schema(STORED).parquet(target)
-    except Exception:  # noqa: BLE001 — nothing committed yet
-        return None
-    df = df.filter(F.col("batch_id") < below_batch).select(*ANOM_KEY)
-    return df.join(F.broadcast(keys), ANOM_KEY, "left_semi")
 
 
 def batch_anomalies(batch: DataFrame, flagged: DataFrame) -> DataFrame:
     """X3 + J1: one anomaly row per flagged block seen in the batch."""
     seen = (batch.filter(F.col("block_id").isNotNull())
             .groupBy("block_id").agg(F.min("ingested_at").alias("detected_at")))
-    # A micro-batch holds at most the trigger's intake cap of rows: broadcast
-    # its block ids against the static (data-sized) score table.
-    hits = F.broadcast(seen).join(flagged, "block_id")
-    return hits.select(F.lit(schemas.METHOD_KMEANS).alias("method"), "block_id",
-                       "true_label", "detected_at")
+    return seen.join(flagged, "block_id").select(
+        F.lit(schemas.METHOD_KMEANS).alias("method"), "block_id", "true_label", "detected_at")
 
 
-def upsert_batch(new_rows: DataFrame, target: str, batch_id: int) -> None:
-    """K3 + J4: append rows whose (method, block_id) is not stored yet."""
-    spark = new_rows.sparkSession
+def upsert_batch(new_rows: DataFrame, target: str, run: str, number: int) -> None:
+    """K3 + J4: write the rows whose (method, block_id) no other batch has stored."""
     rows = new_rows.dropDuplicates(ANOM_KEY)
-    stored = _stored(spark, target, batch_id, rows.select(*ANOM_KEY))
+    stored = read_batches(new_rows.sparkSession, target, schemas.ANOMALIES)
     if stored is not None:
-        rows = rows.join(stored, ANOM_KEY, "left_anti")
+        others = stored.where((F.col("run") != run) | (F.col("batch") != number)).select(*ANOM_KEY)
+        rows = rows.join(others, ANOM_KEY, "left_anti")
     out = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns
                         else F.lit(None).cast(f.dataType).alias(f.name)
                         for f in schemas.ANOMALIES.fields])
-    (out.withColumn("batch_id", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(target))
+    write_batch(out, target, run, number)
 
 
 def start_detection(parsed_stream: DataFrame, flagged: DataFrame, target: str, checkpoint: str,
@@ -74,22 +52,13 @@ def start_detection(parsed_stream: DataFrame, flagged: DataFrame, target: str, c
     nothing (X5)."""
     flagged = flagged.select("block_id", "true_label")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # The micro-batch is read twice (emptiness test, lookup): keep it in
-        # executor memory for the duration of this batch only.
-        batch = batch.select("block_id", "ingested_at").persist()
-        try:
-            if batch.isEmpty():
-                return
-            upsert_batch(batch_anomalies(batch, flagged), target, batch_id)
-        finally:
-            batch.unpersist()
+    def write(batch: DataFrame, run: str, number: int) -> None:
+        upsert_batch(batch_anomalies(batch, flagged), target, run, number)
 
-    w = parsed_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-    return w.start()
+    return start_batches(parsed_stream, write, checkpoint, available_now, interval)
 
 
 def read_stored(spark, target: str) -> DataFrame:
-    """The anomaly rows written by the detection stream."""
-    return spark.read.schema(STORED).parquet(target).drop("batch_id")
+    """The anomaly rows of all detection runs; none if there is no table yet."""
+    df = read_batches(spark, target, schemas.ANOMALIES)
+    return spark.createDataFrame([], schemas.ANOMALIES) if df is None else df.drop("run", "batch")

@@ -1,56 +1,48 @@
 """Live activity counts over a growing log stream.
 
 The reference refreshes its dashboard aggregates every 30 seconds by
-re-reading everything; here the per-bucket counts are kept as streaming
-state.  A watermark bounds that state: rows later than ``delay`` behind
-the newest event time are not counted any more (the stored parsed logs
-still keep them).  Output mode ``update`` emits changed buckets per
-micro-batch; the sink keeps, per bucket and level, the row of the latest
-batch, so readers see the same numbers as a batch aggregation once all
-rows inside the lateness bound have arrived.
+re-reading everything; here every micro-batch adds its own counts per bucket
+and level, and readers sum them.  Counts add up whatever order rows arrive in,
+so late rows count like any other and nothing is held in state; a replayed
+batch rewrites its own counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave.functions.parse import event_time
-from logweave.functions.timefmt import iso
+from logweave.functions.timefmt import iso, time_bucket
+from logweave.streaming.runs import read_batches, start_batches, write_batch
 
+COUNTS = T.StructType().add("bucket", "timestamp").add("level", "string").add("count", "long")
 
-def windowed_counts(parsed_stream: DataFrame, bucket: str = "5 minutes",
-                    delay: str = "1 hour") -> DataFrame:
-    """Lines per (event-time window, level) with a watermark on ``ts``."""
-    s = parsed_stream.withColumn("ts", event_time(F.col("date"), F.col("time")).cast("timestamp"))
-    s = s.filter(F.col("ts").isNotNull()).withWatermark("ts", delay)
-    return s.groupBy(F.window("ts", bucket).alias("w"), "level").agg(F.count(F.lit(1)).alias("count"))
 
+def batch_counts(parsed: DataFrame, seconds: int = 300) -> DataFrame:
+    """Lines per (bucket, level) of some parsed rows."""
+    s = parsed.select(event_time(F.col("date"), F.col("time")).alias("ts"), "level").where("ts is not null")
+    return s.groupBy(time_bucket(F.col("ts"), seconds=seconds).cast("timestamp").alias("bucket"), "level") \
+        .agg(F.count(F.lit(1)).alias("count"))
 
-def start_live_counts(parsed_stream: DataFrame, target: str, checkpoint: str,
-                      bucket: str = "5 minutes", delay: str = "1 hour",
-                      available_now: bool = False, interval: str = "30 seconds"):
-    """Run X6: each micro-batch's updated buckets go to ``batch_id=N``."""
-    agg = windowed_counts(parsed_stream, bucket, delay)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("bucket"), "level", "count")
-         .withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(target))
+def start_live_counts(parsed_stream: DataFrame, target: str, checkpoint: str, seconds: int = 300,
+                      available_now: bool = False, interval: str = "30 seconds"):
+    """Run X6: each micro-batch adds its counts to the target."""
+    def write(batch: DataFrame, run: str, number: int) -> None:
+        write_batch(batch_counts(batch, seconds), target, run, number)
 
-    w = (agg.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-    return w.start()
+    return start_batches(parsed_stream, write, checkpoint, available_now, interval)
 
 
 def read_live_counts(spark, target: str) -> DataFrame:
-    """Latest count per (bucket, level): ``time, level, count``."""
-    df = spark.read.parquet(target)
-    latest = Window.partitionBy("bucket", "level").orderBy(F.col("batch_id").desc())
-    df = df.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") == 1)
-    return df.select(iso(F.col("bucket")).alias("time"), "level", "count")
+    """Count per (bucket, level) so far: ``time, level, count``."""
+    df = read_batches(spark, target, COUNTS)
+    if df is None:
+        df = spark.createDataFrame([], COUNTS)
+    return df.groupBy("bucket", "level").agg(F.sum("count").alias("count")) \
+        .select(iso(F.col("bucket")).alias("time"), "level", "count")
 
 
 def live_error_rate(counts: DataFrame) -> DataFrame:

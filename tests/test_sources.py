@@ -48,3 +48,39 @@ def test_csv_envelope_is_a_map(spark):
     r = df.select(decode_csv_envelope(F.col("value")).alias("e")).first().e
     assert r.payload == {"BlockId": "blk_1", "Level": "INFO"} and r.source_file == "f.csv"
     assert parse_envelopes(df).count() == 0
+
+
+def test_first_rows_are_the_first_in_reading_order(spark):
+    from logweave.sources.sinks import first_rows
+    df = spark.range(0, 1000, 1, 7)
+    for n in (1, 142, 143, 144, 500, 1000, 5000):
+        assert [r.id for r in first_rows(df, n).collect()] == list(range(min(n, 1000)))
+    assert first_rows(df.limit(0), 5).count() == 0
+
+
+def test_record_envelopes_hold_all_columns(spark):
+    import json
+
+    from logweave.sources.sinks import record_envelopes
+    rec = spark.createDataFrame([("r1", "", "b2", "b2")], "RowId string, block_id string, BlockId string, key string")
+    r = record_envelopes(rec, "f.csv", "t0").first()
+    assert r.key == "b2" and json.loads(r.value)["payload"] == {"RowId": "r1", "block_id": "", "BlockId": "b2"}
+
+
+def test_lines_of_any_white_space_are_blank(spark, tmp_dir):
+    import os
+
+    from logweave.sources.files import read_labels_csv, read_log_lines
+    p = os.path.join(tmp_dir, "x.log")
+    with open(p, "w") as f:
+        f.write("a\n\t\n  \n\u2003\nb\n")
+    assert [r.raw for r in read_log_lines(spark, p).collect()] == ["a", "b"]
+    assert read_labels_csv(spark, os.path.join(tmp_dir, "none.csv"), required=False) is None
+
+
+def test_day_bounds_follow_the_parsed_dates(spark):
+    from logweave.operators.filters import LogFilter
+    df = spark.sql("SELECT TIMESTAMP '2024-01-05 07:00:00' AS ts, '2024-01-05' AS dt, 'INFO' AS level, 'c' AS component")
+    assert LogFilter(start="2024-1-5").apply(df).count() == 1
+    assert LogFilter(end="2024-01-04T23:30:00-08:00").apply(df).count() == 1
+    assert LogFilter(end="2024-01-04T22:30:00-08:00").apply(df).count() == 0
