@@ -35,7 +35,7 @@ def is_log_line(stripped: Column) -> Column:
 
 
 def log_fields(stripped: Column) -> Column:
-    """Array of the six fields of a matching line (one regex pass + split).
+    """Array of the six fields of a matching line; any other array otherwise.
 
     The five leading fields cannot contain the separator, and ``limit=6``
     keeps the message whole, so the split is exact.
@@ -61,20 +61,18 @@ def parse_lines(df: DataFrame, col: str = "raw") -> DataFrame:
     Non-matching lines are dropped.  Adds ``date, time, pid, level, component,
     message, block_id, all_block_ids``.
 
-    The six fields come out of a one-element ``inline`` generator: predicates
-    on derived columns (for example ``ts IS NOT NULL``) stop there instead of
-    being pushed below it, where each reference to a field would re-run the
-    regex and split (a Filter gets no common-subexpression elimination).
+    Each line is stripped and matched once: stripped text and field array leave
+    one-element generators, below which no later predicate or projection is
+    pushed, so neither is computed again for each field.  A line matched if the
+    split gave six fields; only a line that itself holds the separator is
+    matched a second time to tell.
     """
-    # The stripped line also comes out of a generator, so the match filter
-    # stays where it is written (after any rebalancing of the input) and the
-    # strip runs once.
+    text, fields = F.col("_s"), F.col("_f")
     stripped = df.select(*df.columns, F.inline(F.array(F.struct(strip_ws(F.col(col)).alias("_s")))))
-    parts = stripped.filter(is_log_line(F.col("_s")))
-    f = log_fields(F.col("_s"))
+    split = stripped.select(*df.columns, F.inline(F.array(F.struct(text.alias("_s"), log_fields(text).alias("_f")))))
+    matched = (F.size(fields) == 6) & ((F.instr(text, _SEP) == 0) | is_log_line(text))
     # get(): null-safe even if the optimizer evaluates it ahead of the filter.
-    fields = F.struct(*[F.get(f, i).alias(n) for i, n in enumerate(LOG_FIELDS)])
-    out = parts.select(*df.columns, F.inline(F.array(fields)))
+    out = split.filter(matched).select(*df.columns, *[F.get(fields, i).alias(n) for i, n in enumerate(LOG_FIELDS)])
     out = out.withColumn("all_block_ids", block_ids(F.col("message")))
     return out.withColumn("block_id", F.get(F.col("all_block_ids"), 0))
 

@@ -17,34 +17,34 @@ from pyspark.sql import functions as F
 from logweave.functions.timefmt import iso, round_half_even, time_bucket
 from logweave.operators.filters import AnomalyFilter, LogFilter, error_or_warn, text_filter
 
-# The levels of the HDFS log format, in column order.
-DEFAULT_LEVELS = ["DEBUG", "ERROR", "INFO", "WARN"]
 HOURS = list(range(24))
+# A pivot has a column per level; a table with more levels has no wide form.
+MAX_LEVEL_COLUMNS = 1000
 
 
-def level_values(logs: DataFrame, levels: list[str] | None) -> list[str]:
-    """Explicit pivot values; when not given, a small distinct query."""
-    if levels is not None:
-        return list(levels)
-    rows = logs.select("level").distinct().orderBy("level").collect()
-    return [r[0] for r in rows if r[0] is not None]
+def level_values(logs: DataFrame) -> list[str]:
+    """The levels that occur, sorted: the columns of the wide forms (A3, A5)."""
+    rows = logs.select("level").where(F.col("level").isNotNull()).distinct() \
+        .limit(MAX_LEVEL_COLUMNS + 1).collect()
+    if len(rows) > MAX_LEVEL_COLUMNS:
+        raise ValueError(f"more than {MAX_LEVEL_COLUMNS} levels; use the long form")
+    return sorted(r[0] for r in rows)
 
 
 def _level_counts(levels: list[str]) -> list[Column]:
     return [F.count_if(F.col("level") == lv).alias(lv) for lv in levels]
 
 
-def timeseries(logs: DataFrame, granularity: str = "5min",
-               levels: list[str] | None = None) -> DataFrame:
-    """A3: lines per (bucket, level), one column per level, 0-filled.
+def timeseries(logs: DataFrame, granularity: str = "5min") -> DataFrame:
+    """A3: lines per (bucket, level), one column per level that occurs, 0-filled.
 
-    Columns: ``time`` (ISO) + one count per level.  No gap filling.
+    Columns: ``time`` (ISO) + one count per level.  No gap filling, no order.
     """
-    lv = level_values(logs, levels)
+    lv = level_values(logs)
     agg = (logs.filter(F.col("level").isNotNull())
            .groupBy(time_bucket(F.col("ts"), granularity).alias("bucket"))
            .agg(*_level_counts(lv)))
-    return agg.select(iso(F.col("bucket")).alias("time"), *lv).orderBy("time")
+    return agg.select(iso(F.col("bucket")).alias("time"), *[F.col(f"`{c}`") for c in lv])
 
 
 def timeseries_long(logs: DataFrame, granularity: str = "5min") -> DataFrame:
@@ -80,10 +80,10 @@ def top_by_count(agg: DataFrame, count_col: str, key: str, n: int) -> DataFrame:
     return agg.orderBy(F.col(count_col).desc(), F.col(key).asc()).limit(n)
 
 
-def components(logs: DataFrame, top_n: int = 20, levels: list[str] | None = None) -> DataFrame:
-    """A5: per component the count per level and ``total``; top-N by total,
+def components(logs: DataFrame, top_n: int = 20) -> DataFrame:
+    """A5: per component the count per level that occurs and ``total``; top-N by total,
     returned in ascending total order."""
-    lv = level_values(logs, levels)
+    lv = level_values(logs)
     agg = (logs.filter(F.col("level").isNotNull() & F.col("component").isNotNull())
            .groupBy("component")
            .agg(F.count(F.lit(1)).alias("total"), *_level_counts(lv)))

@@ -1,59 +1,45 @@
 """Exact score cutoffs without a global sort.
 
-``nth_largest`` finds the exact n-th largest value of a column with a
-bracket-and-narrow loop: approximate quantiles (bounded sketch) give a
-value band that must contain the answer, one counting pass verifies it,
-and only the rows inside the band are ordered.  The band holds about
-``4 N / accuracy`` rows, so the final TakeOrdered works on a small set
-whatever ``n`` is; when all band values are equal the answer is read off
-directly, so a value shared by a third of all rows costs nothing extra.
-The scalar cutoff is then compared with every row as a literal (J5).
+``nth_largest`` finds the exact n-th largest value of a column by narrowing:
+approximate quantiles (a bounded sketch) give two values around the answer, one
+counting pass tells whether the answer is below, at, between, or above them,
+and the next round looks at the open interval that holds it.  Rows equal to a
+probe leave with it, so ties shrink the band like other rows, however many they
+are; a round keeps about 4/10000 of its rows.  Only a band of at most
+``ORDERED_ROWS`` rows is put in order.  The scalar cutoff is then compared with
+every row as a literal (J5).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 10000
-LOCAL_ROWS = 1_000_000   # band size ordered directly (TakeOrdered)
-MAX_ROUNDS = 6
+ORDERED_ROWS = 10_000   # a band this small is ordered in one task
 
 
-def _kth_smallest(df: DataFrame, col: str, k: int, n_total: int) -> float:
+def _kth_smallest(df: DataFrame, col: str, k: int, n_total: int):
     """Exact k-th smallest (1-based) of non-null ``col``; ``n_total`` rows."""
     c = F.col(col)
     band, r, nb = df, k, n_total
-    for _ in range(MAX_ROUNDS):
-        if nb <= LOCAL_ROWS:
-            break
+    while nb > ORDERED_ROWS:
         m = 2.0 * nb / ACCURACY + 1
-        p_lo, p_hi = (r - m) / nb, (r + m) / nb
-        probes = [p for p in (p_lo, p_hi) if 0.0 < p < 1.0]
-        if probes:
-            qs = band.agg(F.percentile_approx(c, probes, ACCURACY).alias("q")).first()["q"]
+        probes = [min(1.0, max(0.0, p)) for p in ((r - m) / nb, (r + m) / nb)]
+        lo, hi = band.agg(F.percentile_approx(c, probes, ACCURACY).alias("q")).first()["q"]
+        below, upto_lo, under_hi, upto_hi = band.agg(
+            F.count_if(c < lo), F.count_if(c <= lo), F.count_if(c < hi), F.count_if(c <= hi)).first()
+        if r <= below:
+            band, nb = band.filter(c < lo), below
+        elif r <= upto_lo:
+            return lo
+        elif r <= under_hi:
+            band, r, nb = band.filter((c > lo) & (c < hi)), r - upto_lo, under_hi - upto_lo
+        elif r <= upto_hi:
+            return hi
         else:
-            qs = []
-        lo = qs.pop(0) if 0.0 < p_lo < 1.0 else None
-        hi = qs.pop(0) if 0.0 < p_hi < 1.0 else None
-        cnt = band.agg(
-            (F.count_if(c < F.lit(lo)) if lo is not None else F.lit(0)).alias("below"),
-            (F.count_if(c <= F.lit(hi)) if hi is not None else F.count(c)).alias("upto"),
-        ).first()
-        below, upto = cnt["below"], cnt["upto"]
-        if not below < r:       # answer lies under the probe: widen downwards
-            lo, below = None, 0
-        if not r <= upto:       # answer lies over the probe: widen upwards
-            hi, upto = None, nb
-        if lo is not None and hi is not None and lo == hi:
-            return float(lo)
-        if lo is not None:
-            band = band.filter(c >= F.lit(lo))
-        if hi is not None:
-            band = band.filter(c <= F.lit(hi))
-        r, nb = r - below, upto - below
-    # Ordered selection of the (small) band: a bounded TakeOrdered.
-    return float(band.select(c).orderBy(c.asc()).limit(r).agg(F.max(c)).first()[0])
+            band, r, nb = band.filter(c > hi), r - upto_hi, nb - upto_hi
+    return band.select(c).orderBy(c.asc()).limit(r).agg(F.max(c)).first()[0]
 
 
 def nth_largest(df: DataFrame, col: str, n: int, n_total: int | None = None) -> float:
@@ -65,8 +51,8 @@ def nth_largest(df: DataFrame, col: str, n: int, n_total: int | None = None) ->
     if n <= N // 2:
         # Nearer the top: select among the negated values (smaller band).
         neg = base.select((-F.col(col)).alias(col))
-        return -_kth_smallest(neg, col, n, N)
-    return _kth_smallest(base, col, N - n + 1, N)
+        return -float(_kth_smallest(neg, col, n, N))
+    return float(_kth_smallest(base, col, N - n + 1, N))
 
 
 def budget(contamination: float, n_total: int, clamp_below_total: bool = True) -> int:
@@ -103,21 +89,26 @@ def flag_ge_cutoff(scores: DataFrame, col: str, n: int | None = None,
     return scores.withColumn(out, F.coalesce(F.col(col) >= F.lit(cut), F.lit(False)))
 
 
-def _kth_smallest_key(df: DataFrame, key: str, k: int) -> str:
-    """k-th smallest value of a text key (unique keys).  The ordered rows are
-    cut lineage-free (checkpoint) and ranked by range partition, so the k-th
-    row is found from per-partition counts without a single-task sort."""
-    ordered = df.select(key).repartitionByRange(key).sortWithinPartitions(key)
-    ordered = ordered.withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
-    counts = ordered.groupBy("_p").count().orderBy("_p").collect()
-    before = 0
-    for row in counts:
-        if before + row["count"] >= k:
-            part = ordered.filter(F.col("_p") == row["_p"]).select(key)
-            local = k - before
-            return part.orderBy(key).limit(local).agg(F.max(key)).first()[0]
-        before += row["count"]
-    raise ValueError("k beyond the number of rows")
+def _chunk(key: str, number: int) -> Column:
+    """Bytes 7*number .. 7*number+6 of a text as a number that sorts like them
+    (one is added to each byte's place value by the length, so ends sort first)."""
+    part = F.substring(F.encode(F.col(key), "UTF-8"), 7 * number + 1, 7)
+    value = F.conv(F.rpad(F.hex(part), 14, "0"), 16, 10).cast("long")
+    return value * 8 + F.length(part)
+
+
+def _kth_smallest_key(df: DataFrame, key: str, k: int, n_total: int) -> str:
+    """k-th smallest value of a text key: the same selection on seven bytes at a
+    time, each round among the keys that share the bytes found so far."""
+    band, r, nb, number = df.select(key), k, n_total, 0
+    while nb > ORDERED_ROWS:
+        ranked = band.select(key, _chunk(key, number).alias("_v"))
+        v = _kth_smallest(ranked.select("_v"), "_v", r, nb)
+        below, same = ranked.agg(F.count_if(F.col("_v") < v), F.count_if(F.col("_v") == v)).first()
+        band, r, nb, number = ranked.filter(F.col("_v") == v).select(key), r - below, same, number + 1
+        if v % 8 < 7:       # these keys end here: all are equal
+            break
+    return band.orderBy(key).limit(min(r, ORDERED_ROWS)).agg(F.max(key)).first()[0]
 
 
 def flag_exact_n(scores: DataFrame, col: str, key: str, n: int | None = None,
@@ -143,11 +134,7 @@ def flag_exact_n(scores: DataFrame, col: str, key: str, n: int | None = None,
     if need >= cnt["eq"]:
         flag = c >= F.lit(v)
     else:
-        ties = scores.filter(c == F.lit(v))
-        if need <= LOCAL_ROWS:
-            kmax = ties.select(key).orderBy(key).limit(need).agg(F.max(key)).first()[0]
-        else:
-            kmax = _kth_smallest_key(ties, key, need)
+        kmax = _kth_smallest_key(scores.filter(c == F.lit(v)), key, need, cnt["eq"])
         flag = (c > F.lit(v)) | ((c == F.lit(v)) & (F.col(key) <= F.lit(kmax)))
     return scores.withColumn(out, F.coalesce(flag, F.lit(False)))
 

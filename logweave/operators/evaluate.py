@@ -76,8 +76,7 @@ def detection_metrics(anom: DataFrame, ground_truth: DataFrame | None = None,
         F.when(use_lab, F.col("n_lab")).otherwise(F.col("n_if")).alias("detected"),
         F.when(use_lab, F.col("tp_lab")).otherwise(F.col("tp_if")).alias("tp"),
         F.when(use_lab, F.col("fp_lab")).otherwise(F.col("fp_if")).alias("fp"),
-        "actual", "blocks")
-    s = s.withColumn("has_labels", F.col("has_data") & (F.col("detected") > 0))
+        "actual", "blocks", use_lab.alias("has_labels"))
     prec = _safe_div(F.col("tp"), F.col("detected"))
     rec = _safe_div(F.col("tp"), F.col("actual"))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))

@@ -54,7 +54,8 @@ def binary_label(labelled: DataFrame, label_col: str = "Label", out: str = "y_tr
     elif voc["an"] == 1:
         pos = schemas.LABEL_ANOMALY_SRC
     else:
-        raise ValueError("Label column must be Fail/Success or Anomaly/Normal.")
+        raise ValueError(f"{label_col} holds neither {schemas.LABEL_FAIL}/{schemas.LABEL_SUCCESS} nor "
+                         f"{schemas.LABEL_ANOMALY_SRC}/{schemas.LABEL_NORMAL_SRC}")
     return labelled.withColumn(out, (F.col(label_col) == pos).cast("int"))
 
 

@@ -71,12 +71,14 @@ class LogFilter:
         return out
 
     def day_bounds(self) -> Column | None:
-        """Partition predicate on ``dt`` (ISO day) implied by the time range."""
+        """Partition predicate on ``dt`` (ISO day): the days of the parsed bounds,
+        whatever form or zone they are written in."""
         conds = []
         if self.start:
-            conds.append(F.col("dt") >= F.lit(self.start[:10]))
+            conds.append(F.col("dt") >= F.date_format(_to_ts(self.start), "yyyy-MM-dd"))
         if self.end:
-            conds.append(F.col("dt") <= F.lit(self.end[:10]))
+            end = self.end[:10] if self.end_inclusive_day else self.end
+            conds.append(F.col("dt") <= F.date_format(_to_ts(end), "yyyy-MM-dd"))
         if not conds:
             return None
         return conds[0] if len(conds) == 1 else conds[0] & conds[1]

@@ -65,52 +65,34 @@ def distance_to_centre(z: DataFrame, centres: DataFrame, assign_col: str,
 
 # ----------------------------------------------------------- Spark ML model ---
 
-def fit_kmeans(matrix: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 30,
-               features: list[str] | None = None):
-    """M1-M3: VectorAssembler (invalid rows skipped) -> StandardScaler (mean 0,
-    std 1) -> KMeans (k-means||).  Returns ``(model, features_df)`` where the
-    feature frame is materialised once (checkpoint) for the iterations."""
-    from pyspark.ml import Pipeline
+def kmeans_scores(matrix: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 30,
+                  nearest: bool = False) -> DataFrame:
+    """M1-M4: ``prediction`` and ``distance`` beside the columns of ``matrix``
+    that are no features.
+
+    Rows with a missing count are skipped; the standardised rows (``standardize``)
+    are materialised once and serve the k-means|| fit, the assignment and the
+    distances (``distance_to_centre``, k centres).  ``nearest`` adds the smallest
+    distance to any centre, found independently of the assignment.
+    """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
 
-    feats = features or schemas.FEATURE_COLS
-    # The matrix feeds the scaler fit, the transform and the scoring: cut its
-    # lineage once instead of recomputing the aggregation for every pass.
-    matrix = matrix.checkpoint(eager=True)
-    prep = Pipeline(stages=[
-        VectorAssembler(inputCols=feats, outputCol="raw_features", handleInvalid="skip"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-    ]).fit(matrix)
+    feats = schemas.FEATURE_COLS
     keep = [c for c in matrix.columns if c not in feats]
-    fdf = prep.transform(matrix).select(*keep, "features").checkpoint(eager=True)
-    km = KMeans(featuresCol="features", predictionCol="prediction", k=k, seed=seed,
-                maxIter=max_iter).fit(fdf)
-    return km, fdf
-
-
-def kmeans_scores(matrix: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 30) -> DataFrame:
-    """M4 on the fitted model: ``BlockId, Label, prediction, distance``.
-
-    The k centres (k x 29 numbers, bounded by ``k``) become a k-row table
-    joined by broadcast on ``prediction``; the result is checkpointed so the
-    cutoff passes reuse it without refitting.
-    """
-    from pyspark.ml.functions import vector_to_array
-    km, fdf = fit_kmeans(matrix, k, seed, max_iter)
-    spark = matrix.sparkSession
-    centres = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(km.clusterCenters())],
-        "prediction int, centre array<double>")
-    pred = km.transform(fdf).withColumn("_v", vector_to_array("features"))
-    j = pred.join(F.broadcast(centres), "prediction")
-    n = len(schemas.FEATURE_COLS)
-    sq = None
-    for i in range(n):
-        d = F.col("_v")[i] - F.col("centre")[i]
-        sq = d * d if sq is None else sq + d * d
-    keep = [c for c in fdf.columns if c != "features"]
-    return j.select(*keep, "prediction", F.sqrt(sq).alias("distance"))
+    z = standardize(matrix.na.drop(subset=feats)).select(*keep, *[_z(c) for c in feats]).checkpoint(eager=True)
+    rows = VectorAssembler(inputCols=[_z(c) for c in feats], outputCol="point").transform(z)
+    model = KMeans(featuresCol="point", k=k, seed=seed, maxIter=max_iter).fit(rows)
+    points = [[float(x) for x in c] for c in model.clusterCenters()]
+    centres = matrix.sparkSession.createDataFrame(
+        [(i, *p) for i, p in enumerate(points)],
+        "prediction int, " + ", ".join(f"c_{c} double" for c in feats))
+    out = distance_to_centre(model.transform(rows).drop("point"), centres, "prediction")
+    extra = []
+    if nearest:
+        squares = [sum(((F.col(_z(c)) - v) * (F.col(_z(c)) - v) for c, v in zip(feats, p)), F.lit(0.0)) for p in points]
+        extra = [F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0]).alias("nearest")]
+    return out.select(*keep, "prediction", "distance", *extra)
 
 
 def kmeans_detector(matrix: DataFrame, detected_at: str, k: int = 8,
@@ -134,12 +116,20 @@ def kmeans_exact_budget(matrix: DataFrame, k: int = 8,
 
 def block_scores(matrix: DataFrame, k: int = 8,
                  contamination: float = schemas.CONTAMINATION_DEFAULT) -> DataFrame:
-    """Per block the flag and the true label (the streaming lookup
-    table).  Unique per block by construction (the matrix is grouped)."""
-    scored = flag_ge_cutoff(kmeans_scores(matrix, k), "distance", contamination=contamination,
+    """Per block the flag and the true label (the streaming lookup table).
+    Of a block that the matrix holds more than once (a matrix file may), the
+    last row counts."""
+    rows = matrix.withColumn("_row", F.monotonically_increasing_id())
+    scored = flag_ge_cutoff(kmeans_scores(rows, k), "distance", contamination=contamination,
                             clamp_below_total=False)
-    return scored.select(F.col("BlockId").alias("block_id"), "is_anomaly",
-                         F.col("Label").alias("true_label"))
+    return last_of_block(scored.select(F.col("BlockId").alias("block_id"), "is_anomaly",
+                                       F.col("Label").alias("true_label"), "_row"))
+
+
+def last_of_block(scores: DataFrame) -> DataFrame:
+    """``block_id, is_anomaly, true_label`` of each block's row with the largest ``_row``."""
+    last = F.max_by(F.struct("is_anomaly", "true_label"), "_row")
+    return scores.groupBy("block_id").agg(last.alias("_l")).select("block_id", "_l.*")
 
 
 def model_summary(scores: DataFrame) -> DataFrame:
@@ -149,12 +139,12 @@ def model_summary(scores: DataFrame) -> DataFrame:
 
 
 def class_mean_distance(labelled: DataFrame, features: list[str] | None = None,
-                        places: int | None = 6) -> DataFrame:
+                        places: int | None = None) -> DataFrame:
     """M2 + M4 with deterministic centres: each block is assigned to its
     dominant event (first largest count), the centre of an assignment is the
     mean standardised vector of its blocks, and the score is the distance to
     that centre.  The centre table has at most 29 rows.  Columns
-    ``BlockId, Label, cluster, distance`` (distance rounded to ``places``)."""
+    ``BlockId, Label, cluster, distance`` (rounded to ``places`` if given)."""
     feats = features or schemas.FEATURE_COLS
     # Statistics, centres and scoring all read the per-block matrix: cut its
     # lineage once (shared checkpoint folder) instead of aggregating 3 times.

@@ -50,7 +50,7 @@ def test_search_regex_case_and_null(spark):
 def test_top_n_ties_by_name(spark):
     t = T("2024-01-02 00:00:00")
     df = _logs(spark, [(t, "INFO", c, None) for c in ["b", "a", "c", "c"]])
-    got = [r.component for r in A.components(df, top_n=2, levels=["INFO"]).collect()]
+    got = [r.component for r in A.components(df, top_n=2).collect()]
     assert got == ["a", "c"]          # ascending total: a(1) then c(2)
 
 

@@ -38,7 +38,7 @@ def test_cutoff_ties_and_small_n(spark):
 
 @pytest.mark.parametrize("n", [1, 7, 500, 999, 1000])
 def test_nth_largest_bracket_path(spark, monkeypatch, n):
-    monkeypatch.setattr(C, "LOCAL_ROWS", 50)
+    monkeypatch.setattr(C, "ORDERED_ROWS", 50)
     monkeypatch.setattr(C, "ACCURACY", 100)
     rng = np.random.default_rng(1)
     vals = np.round(rng.normal(size=1000), 2)          # many ties
@@ -46,9 +46,28 @@ def test_nth_largest_bracket_path(spark, monkeypatch, n):
     assert C.nth_largest(df, "d", n) == sorted(vals, reverse=True)[n - 1]
 
 
-def test_kth_key_by_range(spark):
-    df = spark.createDataFrame([(f"k{i:04d}",) for i in range(300)], "k string").repartition(5)
-    assert C._kth_smallest_key(df, "k", 123) == "k0122"
+@pytest.mark.parametrize("k", [1, 123, 300, 301, 640])
+def test_kth_key(spark, monkeypatch, k):
+    monkeypatch.setattr(C, "ORDERED_ROWS", 20)
+    monkeypatch.setattr(C, "ACCURACY", 50)
+    keys = [f"k{i:04d}" for i in range(300)] + ["a long key with one beginning", "é", ""] + \
+        [f"a long key with one beginning {i}" for i in range(200)] + ["tie"] * 137
+    df = spark.createDataFrame([(x,) for x in keys], "k string").repartition(5)
+    assert C._kth_smallest_key(df, "k", k, len(keys)) == sorted(keys, key=str.encode)[k - 1]
+
+
+def test_ties_next_to_the_answer_leave_the_band(spark, monkeypatch):
+    """45 % of the rows tie just beside the answer: no round may keep them."""
+    monkeypatch.setattr(C, "ORDERED_ROWS", 100)
+    monkeypatch.setattr(C, "ACCURACY", 100)
+    vals = [float(i) for i in range(2200)] + [700.5] * 1800
+    df = spark.createDataFrame([(v,) for v in vals], "d double").repartition(6)
+    limits = []
+    real = type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: limits.append(n) or real(self, n))
+    for n in (1499, 1500, 3299, 3300):
+        assert C.nth_largest(df, "d", n, len(vals)) == sorted(vals, reverse=True)[n - 1]
+    assert max(limits, default=0) <= 100
 
 
 def test_matrix_rules(spark):
@@ -78,3 +97,9 @@ def test_metrics_shapes(spark):
     assert (r.precision, r.recall, r.f1) == (0.5, 0.5, 0.5)
     r = detection_metrics(an).first()
     assert r.has_labels and not r.has_full_metrics and r.recall is None
+
+
+def test_unlabelled_forest_rows_are_no_labels(spark):
+    an = spark.createDataFrame([("isolation_forest", "b1", None, None, None, "t")], schemas.ANOMALIES)
+    r = detection_metrics(an).first()
+    assert r.has_data and not r.has_labels and r.precision is None

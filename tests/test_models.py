@@ -11,13 +11,13 @@ from logweave.operators import cutoff as C
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=300), st.data())
 def test_nth_largest_property(spark, vals, data):  # noqa: D103
     n = data.draw(st.integers(1, len(vals)))
-    old = (C.LOCAL_ROWS, C.ACCURACY)
-    C.LOCAL_ROWS, C.ACCURACY = 20, 50          # force the bracket-and-narrow path
+    old = (C.ORDERED_ROWS, C.ACCURACY)
+    C.ORDERED_ROWS, C.ACCURACY = 20, 50          # force the bracket-and-narrow path
     try:
         df = spark.createDataFrame([(float(v),) for v in vals], "d double")
         got = C.nth_largest(df, "d", n)
     finally:
-        C.LOCAL_ROWS, C.ACCURACY = old
+        C.ORDERED_ROWS, C.ACCURACY = old
     assert got == sorted(vals, reverse=True)[n - 1]
 
 
@@ -50,3 +50,46 @@ def test_detectors_flag_planted_outliers(spark):
     # An outlier can capture a centroid of its own (distance 0): allow one miss.
     km = {r.block_id for r in kmeans_detector(m, "t", k=4, contamination=c).collect()}
     assert len(km & outliers) >= 4 and len(km) <= 6
+
+
+def test_forest_does_not_depend_on_the_layout(spark):
+    from logweave.operators.iforest import isolation_forest_detector
+    m = _planted(spark, 900).checkpoint(eager=True)
+    flags = [{r.block_id for r in isolation_forest_detector(x, "t", contamination=0.05, n_trees=30, psi=64).collect()}
+             for x in (m.repartition(2), m.repartition(7, "E3"))]
+    assert flags[0] == flags[1] and 40 <= len(flags[0]) <= 46
+
+
+def test_kmeans_scores_use_the_nearest_centre(spark):
+    from logweave.operators.kmeans import kmeans_scores
+    rows = kmeans_scores(_planted(spark, 300), k=5, nearest=True).collect()
+    assert len(rows) == 305 and all(abs(r.distance - r.nearest) < 1e-9 for r in rows)
+
+
+def test_last_row_of_a_block_counts(spark):
+    from logweave.operators.evaluate import lookup_detect
+    from logweave.operators.kmeans import last_of_block
+    scores = spark.createDataFrame([("b1", True, "Fail", 0), ("b1", False, "Fail", 5), ("b2", True, None, 1)],
+                                   "block_id string, is_anomaly boolean, true_label string, _row long")
+    logs = spark.createDataFrame([("b1",), ("b2",)], "block_id string")
+    assert [r.block_id for r in lookup_detect(logs, last_of_block(scores), "t").collect()] == ["b2"]
+
+
+def test_models_run_from_another_folder(tmp_path):
+    """Workers get the package's functions by value: no import path is needed there."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from logweave.session import build_session
+from logweave.operators.iforest import isolation_forest_flags
+spark = build_session("local[2]", shuffle_partitions=2, extra={{"spark.driver.memory": "2g"}})
+z = spark.range(200).selectExpr("cast(id as string) AS BlockId", "cast(id % 17 as double) AS a")
+assert isolation_forest_flags(z, ["a"], ["BlockId"], n_trees=5, psi=32).count() == 200
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert done.returncode == 0, done.stderr[-2000:]

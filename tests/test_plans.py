@@ -19,21 +19,36 @@ def test_no_python_in_activity_plans(spark):
     logs = fx.logs(spark, SMALL)
     from logweave.operators.activity import heatmap, raw_page, snapshot
     from logweave.operators.spikes import error_spikes
-    for df in (timeseries(logs, "5min", ["INFO"]), components(logs, 5, ["INFO"]), heatmap(logs),
+    for df in (timeseries(logs, "5min"), components(logs, 5), heatmap(logs),
                raw_page(logs), snapshot(logs), error_spikes(logs)):
         p = _plan(df)
         assert "PythonUDF" not in p and "ArrowEvalPython" not in p and "BatchEvalPython" not in p
         assert "Window" not in p            # no single-partition window anywhere
 
 
+def test_a_line_is_matched_once(spark):
+    from logweave.functions.parse import LOG_LINE_RE, event_time, parse_lines
+    lines = spark.range(10).selectExpr("concat('081109 203518 143 INFO a.B: x ', id) AS raw")
+    df = parse_lines(lines).withColumn("ts", event_time(F.col("date"), F.col("time"))).where("ts is not null")
+    p = _plan(df.select("ts", "level", "component", "block_id"))
+    # One replacement; the other use is the test of lines that hold the separator.
+    assert p.count("regexp_replace") == 2 and p.count(LOG_LINE_RE[:20]) == 2
+
+
+def test_separator_in_a_line(spark):
+    from logweave.functions.parse import parse_lines
+    rows = [("081109 203518 143 INFO a.B: x\x01y\x01z",), ("a\x01b\x01c\x01d\x01e\x01f",), ("a\x01" * 9,)]
+    got = parse_lines(spark.createDataFrame(rows, "raw string")).collect()
+    assert [r.message for r in got] == ["x\x01y\x01z"]
+
+
 def test_pushdown_and_pruning(spark, tmp_dir):
     path = os.path.join(tmp_dir, "parsed")
     append_logs(fx.parsed_logs(spark, SMALL), path)
-    df = error_log_view(read_parsed_logs(spark, path).withColumn("dt", F.lit(None)))
     p = _plan(log_view(error_log_view(spark.read.parquet(path))))
     assert "PushedFilters: [In(level, [ERROR,WARN])" in p or "In(level" in p
     assert "message" not in p.split("ReadSchema:")[1].split("\n")[0]
-    assert df is not None
+    assert error_log_view(read_parsed_logs(spark, path)).count() == error_log_view(fx.parsed_logs(spark, SMALL)).count()
 
 
 def test_partition_pruning_by_day(spark, tmp_dir):
@@ -57,15 +72,15 @@ def test_entry_and_registry(spark):
 
 
 def test_spread_only_small_inputs(spark, tmp_dir):
-    from logweave.sources.tables import spread_small_input
+    from logweave.plans.fixtures import spread
     cores = spark.sparkContext.defaultParallelism
     big = os.path.join(tmp_dir, "big")
     spark.range(0, 10000, numPartitions=cores * 2).write.parquet(big)
-    df = spread_small_input(spark.read.parquet(big)).filter(F.col("id") > 5)
+    df = spread(spark.read.parquet(big)).filter(F.col("id") > 5)
     p = _plan(df)
     assert "RoundRobinPartitioning" not in p and "GreaterThan(id,5)" in p.split("PushedFilters: ")[1]
     small = os.path.join(tmp_dir, "small")
     spark.range(0, 100, numPartitions=1).write.parquet(small)
-    sp = spread_small_input(spark.read.parquet(small))
+    sp = spread(spark.read.parquet(small))
     assert "RoundRobinPartitioning" in _plan(sp) and sp.count() == 100
     assert sp.rdd.getNumPartitions() == cores
