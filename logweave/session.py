@@ -40,7 +40,7 @@ def build_session(master: str | None = None, app: str = "logweave",
     conf["spark.ui.showConsoleProgress"] = "false"
     if master and master.startswith("local"):
         # Local mode: the driver JVM is the only executor.
-        conf["spark.driver.memory"] = os.environ.get("LOGWEAVE_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("LOGWEAVE_DRIVER_MEMORY", "8g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -56,8 +56,9 @@ def build_session(master: str | None = None, app: str = "logweave",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when the
-    setting is absent (a local test session) a private folder is created.
+    The folder named by ``spark.checkpoint.dir`` is used as is.  Only a local
+    session without the setting (tests) gets a private folder; on a cluster a
+    folder of one machine would lose data, so the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="logweave-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
