@@ -83,8 +83,8 @@ class Block:
 
     def _file(self, hashes: np.ndarray, local: np.ndarray) -> None:
         order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.grams.append(hashes[order])
         self.place.append(rank[local])
 
@@ -228,7 +228,7 @@ def _score(order: int, n_tokens: int, n_docs: int, n_kinds: int, weights: np.nda
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
-                    order: int = 2, held_one_in: int = 10, block_bytes: int = 16 << 20,
+                    order: int = 2, held_one_in: int = 10, block_bytes: int = 6 << 20,
                     blocks: int | None = None) -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score), one per input row.
 
