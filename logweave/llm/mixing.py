@@ -54,9 +54,9 @@ def rake(cells: DataFrame, targets: dict[str, float | DataFrame], rounds: int =
         else:
             goal = have.withColumn("raw", F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(float(target))))
                                    .otherwise(0.0))
-        sums = goal.agg(F.sum("raw").alias("all_raw"), F.sum("tokens").alias("all_tokens"))
-        goals[dim] = cut(goal.crossJoin(F.broadcast(sums)).select(  # one row of sums
-            "value", (F.col("raw") / F.nullif("all_raw", F.lit(0.0)) * F.col("all_tokens")).alias("goal")))
+        all_raw, all_tokens = goal.agg(F.sum("raw")).scalar(), goal.agg(F.sum("tokens")).scalar()
+        goals[dim] = cut(goal.select(
+            "value", (F.col("raw") / F.nullif(all_raw, F.lit(0.0)) * all_tokens).alias("goal")))
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(rounds):
         for dim, goal in goals.items():

@@ -101,14 +101,13 @@ def adaptive_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m.name, F.lit(sketch_k)).alias(m.name)
                                        for m in MEASURES]]
     by_lang = by_group.groupBy("lang").agg(*merged)
-    overall = by_group.agg(*merged)
+    overall = by_group.agg(*merged).select(F.struct(*_fences("a")).alias("all")).scalar()
     tagged = by_group.select("lang", "source", *_fences("g")).join(
         by_lang.select(F.col("lang").alias("lang_of"), *_fences("l")),
-        F.col("lang").eqNullSafe(F.col("lang_of")), "left").drop("lang_of") \
-        .crossJoin(F.broadcast(overall.select(*_fences("a"))))  # one row
+        F.col("lang").eqNullSafe(F.col("lang_of")), "left").drop("lang_of").withColumn("_all", overall)
     bounds = tagged.select(F.col("lang").alias("lang_of"), F.col("source").alias("source_of"), *[
         F.when(F.col("g_n") >= min_group, F.col(f"g_{c}")).when(F.col("l_n") >= min_group, F.col(f"l_{c}"))
-        .otherwise(F.col(f"a_{c}")).alias(c) for m in MEASURES for c in (f"{m.name}_q1", f"{m.name}_q3")])
+        .otherwise(F.col("_all")[f"a_{c}"]).alias(c) for m in MEASURES for c in (f"{m.name}_q1", f"{m.name}_q3")])
     judged = rows.join(bounds, F.col("lang").eqNullSafe(F.col("lang_of"))
                        & F.col("source").eqNullSafe(F.col("source_of")), "left")
     inside = F.lit(True)

@@ -1,12 +1,9 @@
 """The pipeline against the operators' plain functions, stage by stage."""
 
-import numpy as np
-import pytest
+from test_simhash import slow_components
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from logweave.llm import langid, mixing, pii, simhash  # noqa: E402
-from test_simhash import slow_components  # noqa: E402
+import corpus_pipeline
+from logweave.llm import langid, mixing, pii, simhash
 
 SF = "/root/testdata/sf0.001"
 
