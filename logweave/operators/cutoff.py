@@ -20,7 +20,8 @@ ORDERED_ROWS = 10_000   # a band this small is ordered in one task
 
 
 def _kth_smallest(df: DataFrame, col: str, k: int, n_total: int):
-    """Exact k-th smallest (1-based) of non-null ``col``; ``n_total`` rows."""
+    """Exact k-th smallest (1-based) of non-null ``col``; ``n_total`` rows.  The
+    values must be exact as doubles, so that a probe equals the value it stands for."""
     c = F.col(col)
     band, r, nb = df, k, n_total
     while nb > ORDERED_ROWS:
@@ -90,15 +91,15 @@ def flag_ge_cutoff(scores: DataFrame, col: str, n: int | None = None,
 
 
 def _chunk(key: str, number: int) -> Column:
-    """Bytes 7*number .. 7*number+6 of a text as a number that sorts like them
-    (one is added to each byte's place value by the length, so ends sort first)."""
-    part = F.substring(F.encode(F.col(key), "UTF-8"), 7 * number + 1, 7)
-    value = F.conv(F.rpad(F.hex(part), 14, "0"), 16, 10).cast("long")
+    """Bytes 6*number .. 6*number+5 of a text, and how many there are, as a number
+    that sorts like them and is exact as a double (the quantile sketch holds doubles)."""
+    part = F.substring(F.encode(F.col(key), "UTF-8"), 6 * number + 1, 6)
+    value = F.conv(F.rpad(F.hex(part), 12, "0"), 16, 10).cast("long")
     return value * 8 + F.length(part)
 
 
 def _kth_smallest_key(df: DataFrame, key: str, k: int, n_total: int) -> str:
-    """k-th smallest value of a text key: the same selection on seven bytes at a
+    """k-th smallest value of a text key: the same selection on six bytes at a
     time, each round among the keys that share the bytes found so far."""
     band, r, nb, number = df.select(key), k, n_total, 0
     while nb > ORDERED_ROWS:
@@ -106,7 +107,7 @@ def _kth_smallest_key(df: DataFrame, key: str, k: int, n_total: int) -> str:
         v = _kth_smallest(ranked.select("_v"), "_v", r, nb)
         below, same = ranked.agg(F.count_if(F.col("_v") < v), F.count_if(F.col("_v") == v)).first()
         band, r, nb, number = ranked.filter(F.col("_v") == v).select(key), r - below, same, number + 1
-        if v % 8 < 7:       # these keys end here: all are equal
+        if v % 8 < 6:       # these keys end here: all are equal
             break
     return band.orderBy(key).limit(min(r, ORDERED_ROWS)).agg(F.max(key)).first()[0]
 
