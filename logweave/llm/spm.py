@@ -14,7 +14,6 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +24,15 @@ SPACE = "▁"
 # never cross these segments (checked when a model is loaded).
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _M64 = (1 << 64) - 1
+SPAN = 32       # neighbouring segments that share a dropout stream
+SLICE = 1000     # rows whose tokens are held and handed over at a time
 
 
 class Tokenizer:
     """Pieces of a BPE model with byte fallback; small enough to travel to every task."""
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], alpha: float = 0.1,
-                 seed: int = 42, streams: int = 4, cache_size: int = 800_000):
+                 seed: int = 42, streams: int = 3, cache_size: int = 400_000):
         if not 0 <= alpha <= 1:
             raise ValueError("alpha is a probability")
         self.pieces, self.byte_ids = pieces, byte_ids
@@ -107,7 +108,7 @@ class Tokenizer:
         one; a merge closes the gap in its row.
         """
         length, none = len(segments[0]), np.int32(len(self.by_rank) - 1)
-        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+        codes = _code_points(segments, length)
         ids = np.where(codes < 1 << 16, self.char_ids[np.minimum(codes, (1 << 16) - 1)], np.int32(-1))
         out: list[bytes] = [b""] * len(segments)
         plain = (ids >= 0).all(axis=1)
@@ -115,8 +116,7 @@ class Tokenizer:
             out[k] = array("i", self.segment_ids(segments[k], stream)).tobytes()
         rows = np.flatnonzero(plain)
         ids = ids[rows]
-        key = np.fromiter((xxhash.xxh64_intdigest(segments[k].encode(), self.seed * 1_000_003 + stream)
-                           for k in rows.tolist()), np.uint64, len(rows)) if self.under else None
+        key = _keys(codes[rows], self.seed, stream) if self.under else None
         border = np.tile(np.arange(length + 1, dtype=np.uint8), (len(rows), 1))
         rank = self._pairs(ids[:, :-1], ids[:, 1:])
         size = np.full(len(rows), length)
@@ -169,9 +169,9 @@ class Tokenizer:
                 cache.clear()
                 new = segments
             by_length: dict[int, list[str]] = {}
+            odd = self.tied.search if self.tied else lambda s: None
             for s in new:
-                single = len(s) > 48 or self.tied and self.tied.search(s)
-                by_length.setdefault(0 if single else len(s), []).append(s)
+                by_length.setdefault(0 if len(s) > 48 or odd(s) else len(s), []).append(s)
             for length, group in by_length.items():
                 if not length or len(group) < 4:
                     found = [array("i", self.segment_ids(s, stream)).tobytes() for s in group]
@@ -189,7 +189,7 @@ class Tokenizer:
         symbols = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in segment]
         n, cost, under = len(symbols), self.cost, self.under
         if n > 1:
-            key = xxhash.xxh64_intdigest(segment.encode(), self.seed * 1_000_003 + stream) if under else 0
+            key = int(_keys(_code_points([segment], n), self.seed, stream)[0]) if under else 0
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             agenda = [(c, k, k + 1, k + 2) for k in range(n - 1)
                       if (c := cost.get(symbols[k] + symbols[k + 1])) is not None]
@@ -223,10 +223,10 @@ class Tokenizer:
                     out.append(i)
         return out
 
-    def encode_all(self, texts: list[str], keys: list[int], chars: int = 2_000_000) -> list[np.ndarray]:
+    def encode_all(self, texts: list[str], keys: list[int], chars: int = 3_000_000) -> list[np.ndarray]:
         """Ids of whole texts; a text's key (of its document) picks the dropout
-        stream of each segment.  A space is put before the text, as the model
-        expects.  About ``chars`` characters are looked up at a time."""
+        stream of each span of segments.  A space is put before the text, as the
+        model expects.  About ``chars`` characters are looked up at a time."""
         out, at = [], 0
         while at < len(texts):
             cut, wanted, size = [], {r: set() for r in range(self.streams)}, 0
@@ -234,16 +234,19 @@ class Tokenizer:
                 text = texts[at]
                 size += len(text)
                 segments = _SEGMENT.findall(" " + text) if text else []
-                place = np.arange(len(segments), dtype=np.uint64) + np.uint64(keys[at] & _M64)
+                spans = -(-len(segments) // SPAN)
+                place = np.arange(spans, dtype=np.uint64) + np.uint64(keys[at] & _M64)
                 streams = (mix64(place) % np.uint64(self.streams)).tolist()
-                for r, s in zip(streams, segments):
-                    wanted[r].add(s)
+                for k, r in enumerate(streams):
+                    wanted[r].update(segments[k * SPAN:(k + 1) * SPAN])
                 cut.append((streams, segments))
                 at += 1
             self.learn(wanted)
-            caches = self.caches
             for streams, segments in cut:
-                out.append(np.frombuffer(b"".join([caches[r][s] for r, s in zip(streams, segments)]), np.int32))
+                parts: list[bytes] = []
+                for k, r in enumerate(streams):
+                    parts += map(self.caches[r].__getitem__, segments[k * SPAN:(k + 1) * SPAN])
+                out.append(np.frombuffer(b"".join(parts), np.int32))
         return out
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
@@ -255,6 +258,20 @@ class Tokenizer:
         return b"".join(map(self.text.__getitem__, ids))[1:].decode("utf-8")
 
 
+def _code_points(segments: list[str], length: int) -> np.ndarray:
+    return np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+
+
+def _keys(codes: np.ndarray, seed: int, stream: int) -> np.ndarray:
+    """Keyed 64-bit hash of each row of code points."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(codes), (seed * 1_000_003 + stream) & _M64, np.uint64)
+        for k in range(codes.shape[1]):
+            h = (h ^ codes[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return mix64(h)
+
+
 def _close(x: np.ndarray, j: np.ndarray, fill) -> np.ndarray:
     """Rows with the entry after column j taken out and ``fill`` put at the end."""
     moved = np.empty_like(x)
@@ -272,15 +289,18 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text
     are lossless.  The dropout of a row is keyed by its id, so repeated rows
     come out alike.  An empty table gives no rows; columns not in ``keep`` are ignored.
     """
+    def encoded(b: pd.DataFrame) -> pd.DataFrame:
+        texts = b["_text"].tolist()
+        ids = tokenizer.encode_all([t or "" for t in texts], b["_key"].tolist())
+        ids = [None if t is None else i for t, i in zip(texts, ids)]
+        same = [t is None or tokenizer.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+        return b.drop(columns=["_key", "_text"]).assign(
+            tokens=ids, n_tokens=[0 if i is None else len(i) for i in ids], lossless=same)
+
     def run(batches):
         for b in batches:
-            texts = b["_text"].tolist()
-            ids = tokenizer.encode_all([t or "" for t in texts], b["_key"].tolist())
-            ids = [None if t is None else i for t, i in zip(texts, ids)]
-            same = [t is None or tokenizer.decode(i.tolist()) == t for t, i in zip(texts, ids)]
-            out = b.drop(columns=["_key", "_text"])
-            out["tokens"], out["n_tokens"], out["lossless"] = ids, [0 if i is None else len(i) for i in ids], same
-            yield out
+            for lo in range(0, len(b), SLICE):
+                yield encoded(b.iloc[lo:lo + SLICE])
 
     kept = [F.col(c) for c in keep]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *kept, F.col(text_col).alias("_text"),
