@@ -3,13 +3,14 @@
 Vectors are scaled to length one, so cosine >= c means distance <= r with
 r*r = 2 - 2c.  Coarse centroids give inverted lists; the residual to the list's
 centroid is coded per subspace.  A query visits every list whose boundary with
-its own list is near enough for a neighbour within r, compares codes by
-table-lookup distances, and reranks what survives by the cosine in double
-precision.
+its own list is within r, compares codes by table-lookup distances, drops those
+farther than r and the length the code leaves out, and reranks what survives by
+the cosine in double precision.  Both bounds follow from the triangle
+inequality, so no link is lost.
 
 Model fitting uses a bounded sample; every vector is indexed and is a query.
-``slack`` counts standard deviations of a random direction's share in one
-axis: a neighbour is missed only if its offset leans further than that.
+Lists travel in groups; of two vectors in different groups the one of the lower
+group visits, and the link counts for both.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from logweave.llm.common import cut, star_edges
 from logweave.llm.components import components
 
+MARGIN = 1e-4   # rounding of square distances in single precision
+
 
 @dataclass
 class Model:
@@ -103,8 +106,20 @@ def _unit(values) -> tuple[np.ndarray, np.ndarray]:
     return raw / np.sqrt((raw ** 2).sum(1, keepdims=True)), raw
 
 
-def _assign(model: Model, reach: float):
-    """Partition function: own list of each vector, and the lists it visits as a query."""
+def _groups(model: Model, sizes: np.ndarray, rows: int) -> np.ndarray:
+    """Group of each list: neighbouring lists of about ``rows`` vectors together."""
+    spread = model.coarse - model.coarse.mean(0)
+    order = np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.floor((np.cumsum(sizes[order]) - sizes[order] / 2) / rows)
+    return out
+
+
+def _assign(model: Model, reach: float, group: np.ndarray):
+    """Partition function: own list of each vector, and the groups it visits as a query."""
+    of = np.zeros((len(group), int(group.max()) + 1), np.float32)
+    of[np.arange(len(group)), group] = 1
+
     def run(batches):
         for b in batches:
             if b.empty:
@@ -113,57 +128,69 @@ def _assign(model: Model, reach: float):
             d = model.coarse_distances(x)
             home = d.argmin(1)
             gap = d - d[np.arange(len(x)), home][:, None]
-            visit = gap <= 2 * reach * model.between[home] + 1e-5
+            visit = gap <= 2 * reach * model.between[home] + MARGIN
             visit[np.arange(len(x)), home] = True
+            met = (visit.astype(np.float32) @ of > 0) & (np.arange(of.shape[1]) >= group[home][:, None])
             yield pd.DataFrame({"key": b["key"], "vec": b["vec"], "weight": b["weight"], "home": home,
-                                "visits": [np.flatnonzero(v).tolist() for v in visit]})
+                                "part": group[home], "visits": [np.flatnonzero(v).tolist() for v in met]})
     return run
 
 
-def _match(model: Model, cosine: float, slack: float, pair_block: int):
-    """Group function (one cell of one list): members against visiting queries."""
+def _match(model: Model, cosine: float, reach: float, slack: float | None, pair_block: int):
+    """Group function (one cell of one group of lists): members against visiting queries."""
     r = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
     def run(key, members: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"key": [], "n": [], "root": []})
         if members.empty or asks.empty:
-            return empty
-        centre = model.coarse[key[0]]
-        x, q = _unit(members["vec"])[0], _unit(asks["ask_vec"])[0]
-        codes, left = model.encode((x - centre).astype(np.float32))
-        bound = (r * r + left ** 2 + 2 * slack * r * left / np.sqrt(model.dim) + 1e-5)[:, None]
+            return pd.DataFrame({"key": [], "n": [], "root": []})
+        xs, qs = _unit(members["vec"])[0], _unit(asks["ask_vec"])[0]
         mk, qk = members["key"].to_numpy(np.int64), asks["ask_key"].to_numpy(np.int64)
-        weight = members["weight"].to_numpy(np.int64)
-        out = np.zeros(len(asks), np.int64)
+        mw, qw = members["weight"].to_numpy(np.int64), asks["ask_weight"].to_numpy(np.int64)
+        homes, own = asks["ask_home"].to_numpy(np.int64), asks["ask_part"].to_numpy(np.int64)
+        visitor = own != key[0]
+        gaps = model.coarse_distances(qs.astype(np.float32))
+        out, back = np.zeros(len(asks), np.int64), np.zeros(len(members), np.int64)
         us, vs = [], []
-        step = max(1, pair_block // len(x))
-        for lo in range(0, len(q), step):
-            part = q[lo:lo + step]
-            table = model.tables((part - centre).astype(np.float32))
-            # (codes, queries) tables: a member's code fetches one contiguous row.
-            near = np.zeros((len(x), len(part)), np.float32)
-            for j in range(codes.shape[1]):
-                near += np.ascontiguousarray(table[:, j].T)[codes[:, j]]
-            all_m, all_a = np.nonzero(near <= bound)
-            for at in range(0, len(all_m), pair_block // 8 + 1):
-                m, a = all_m[at:at + pair_block // 8 + 1], all_a[at:at + pair_block // 8 + 1] + lo
-                exact = np.einsum("ij,ij->i", q[a], x[m]) >= cosine
-                a, m = a[exact], m[exact]
-                other = qk[a] != mk[m]
-                a, m = a[other], m[other]
-                np.add.at(out, a, weight[m])
-                u, v = star_edges(qk[a], mk[m])
-                us.append(u)
-                vs.append(v)
+        lists = members["home"].to_numpy(np.int64)
+        for c in np.unique(lists).tolist():
+            mine = np.flatnonzero(lists == c)
+            near_by = gaps[:, c] - gaps[np.arange(len(qs)), homes] <= 2 * reach * model.between[homes, c] + MARGIN
+            come = np.flatnonzero(near_by | (homes == c))
+            x, centre = xs[mine], model.coarse[c]
+            codes, left = model.encode((x - centre).astype(np.float32))
+            bound = (r + left) ** 2 if slack is None else r * r + left ** 2 + 2 * slack * r * left / np.sqrt(model.dim)
+            bound = (bound + MARGIN)[:, None]
+            step = max(1, pair_block // len(x))
+            for lo in range(0, len(come), step):
+                at_q = come[lo:lo + step]
+                table = model.tables((qs[at_q] - centre).astype(np.float32))
+                # (codes, queries) tables: a member's code fetches one contiguous row.
+                near = np.zeros((len(x), len(at_q)), np.float32)
+                for j in range(codes.shape[1]):
+                    near += np.ascontiguousarray(table[:, j].T)[codes[:, j]]
+                all_m, all_a = np.nonzero(near <= bound)
+                for at in range(0, len(all_m), pair_block // 8 + 1):
+                    m, a = mine[all_m[at:at + pair_block // 8 + 1]], at_q[all_a[at:at + pair_block // 8 + 1]]
+                    exact = np.einsum("ij,ij->i", qs[a], xs[m]) >= cosine
+                    a, m = a[exact], m[exact]
+                    other = qk[a] != mk[m]
+                    a, m = a[other], m[other]
+                    np.add.at(out, a, mw[m])
+                    # Vectors of one group meet in both roles, those of two groups only here.
+                    once = visitor[a]
+                    np.add.at(back, m[once], qw[a[once]])
+                    u, v = star_edges(qk[a], mk[m])
+                    us.append(u)
+                    vs.append(v)
         u, v = star_edges(np.concatenate(us), np.concatenate(vs)) if us else (qk[:0], qk[:0])
-        linked = out > 0
-        return pd.concat([pd.DataFrame({"key": qk[linked], "n": out[linked], "root": None}),
+        return pd.concat([pd.DataFrame({"key": qk[out > 0], "n": out[out > 0], "root": None}),
+                          pd.DataFrame({"key": mk[back > 0], "n": back[back > 0], "root": None}),
                           pd.DataFrame({"key": u, "n": None, "root": v})], ignore_index=True)
     return run
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                    cosine: float = 0.9, slack: float = 3.0, subspaces: int = 8, codes: int = 256,
+                    cosine: float = 0.9, slack: float | None = None, subspaces: int = 8, codes: int = 256,
                     lists: int | None = None, max_lists: int = 4096, fit_rows: int = 16_384,
                     cell_rows: int = 4096, pair_block: int = 1_000_000, seed: int = 42) -> DataFrame:
     """Rows (id, n_links, component_id), one per input row.
@@ -178,9 +205,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     no rows.  Columns other than the two named are ignored.
 
     ``fit_rows`` bounds the training sample, ``max_lists`` the centroids that
-    go to every task (4096 x d floats).  A list of more than ``cell_rows``
-    vectors is dealt out over cells that each query of the list visits, and its
-    queries over as many.
+    go to every task (4096 x d floats).  A group of lists is dealt out over cells
+    of about ``cell_rows`` members and ``cell_rows`` queries.
+
+    No link is lost unless ``slack`` is given: it narrows both bounds to so many
+    standard deviations of a random direction's share in one axis, which loses
+    links that lean further.
     """
     kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec"))
@@ -225,22 +255,29 @@ def _links(classes: DataFrame, cosine, slack, subspaces, codes, lists, max_lists
     x = _unit(sample["vec"])[0]
     model = fit(x, min(k, len(x)), min(subspaces, x.shape[1]), min(codes, len(x)), seed)
     r = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    reach = min(r, slack * r / np.sqrt(x.shape[1]))
+    reach = r if slack is None else min(r, slack * r / np.sqrt(x.shape[1]))
+    sizes = np.bincount(model.coarse_distances(x.astype(np.float32)).argmin(1), minlength=len(model.coarse))
+    group = _groups(model, sizes * (n / len(x)), cell_rows)
     homes = cut(classes.select("key", "vec", "weight").mapInPandas(
-        _assign(model, reach),
-        f"key long, vec {dict(classes.dtypes)['vec']}, weight long, home int, visits array<int>"))
-    side = homes.groupBy(F.col("home").alias("list")).agg(
-        F.ceil(F.count("*") / cell_rows).cast("int").alias("side"))
-    # One row a list, at most max_lists rows: small enough for every task.
-    side = F.broadcast(side)
-    place = F.pmod(F.xxhash64("key"), F.col("side")).cast("int")
-    members = homes.withColumn("list", F.col("home")).join(side, "list").select(
-        "list", F.explode(F.transform(F.sequence(F.lit(0), F.col("side") - 1),
-                                      lambda c: place * F.col("side") + c)).alias("cell"), "key", "vec", "weight")
-    asks = homes.select(F.explode("visits").alias("list"), "key", "vec").join(side, "list").select(
-        "list", F.explode(F.transform(F.sequence(F.lit(0), F.col("side") - 1),
-                                      lambda c: c * F.col("side") + place)).alias("cell"), "key", "vec")
+        _assign(model, reach, group), f"key long, vec {dict(classes.dtypes)['vec']}, weight long, home int, "
+                                      "part int, visits array<int>"))
+    # Members and queries are counted apart, so that both sides of a cell are bounded.
+    cells = lambda c: F.ceil(F.sum(c) / cell_rows).cast("int")
+    held = homes.select(F.col("part").alias("at"), F.lit(1).alias("m"), F.lit(0).alias("a"))
+    asked = homes.select(F.explode("visits").alias("at"), F.lit(0).alias("m"), F.lit(1).alias("a"))
+    side = held.unionByName(asked).groupBy("at").agg(
+        F.greatest(cells("m"), F.lit(1)).alias("rows"), F.greatest(cells("a"), F.lit(1)).alias("cols"))
+    # One row a group, at most max_lists rows: small enough for every task.
+    side = F.broadcast(cut(side))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("long")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    members = homes.withColumn("at", F.col("part")).join(side, "at").select(
+        "at", F.explode(F.transform(all_of("cols"), lambda c: place("rows") * F.col("cols") + c)).alias("cell"),
+        "key", "vec", "weight", "home")
+    asks = homes.select(F.explode("visits").alias("at"), "key", "vec", "weight", "home", "part").join(side, "at").select(
+        "at", F.explode(F.transform(all_of("rows"), lambda c: c * F.col("cols") + place("cols"))).alias("cell"),
+        "key", "vec", "weight", "home", "part")
     # Fresh column identities: both sides stem from one checkpointed table.
     asks = asks.toDF(*[f"ask_{c}" for c in asks.columns])
-    return members.groupBy("list", "cell").cogroup(asks.groupBy("ask_list", "ask_cell")).applyInPandas(
-        _match(model, cosine, slack, pair_block), "key long, n long, root long")
+    return members.groupBy("at", "cell").cogroup(asks.groupBy("ask_at", "ask_cell")).applyInPandas(
+        _match(model, cosine, reach, slack, pair_block), "key long, n long, root long")

@@ -58,3 +58,42 @@ def test_recall_on_the_test_table(spark):
     got = {r.id: r.n_links for r in pq.near_duplicates(e).collect()}
     assert set(got) == set(want) and all(got[k] <= want[k] for k in want)
     assert sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def _low_rank(n, rank, dim, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, rank)) @ rng.normal(size=(rank, dim))
+    return x.astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("rank", [4, 8])
+def test_no_link_is_lost_on_low_rank_vectors(spark, rank):
+    x = _low_rank(1500, rank, 64, rank)
+    unit = x / np.sqrt((x ** 2).sum(1, keepdims=True))
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.id: r.n_links for r in pq.near_duplicates(df, cell_rows=400).collect()}
+    assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_queries_of_a_list_are_dealt_by_their_own_number(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    ball = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.02
+    x = np.concatenate([ball, rng.normal(size=(200, 16))]).astype(np.float32).astype(float)
+    real, limit = pq._match, 60
+
+    def bounded(*a):
+        run = real(*a)
+
+        def checked(key, members, asks):
+            # Cells are dealt by hash: twice the mean leaves room for chance.
+            assert len(members) <= 2 * limit and len(asks) <= 2 * limit
+            return run(key, members, asks)
+        return checked
+
+    monkeypatch.setattr(pq, "_match", bounded)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = pq.near_duplicates(df, lists=12, cell_rows=limit).collect()
+    unit = x / np.sqrt((x ** 2).sum(1, keepdims=True))
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert {r.id: r.n_links for r in got} == dict(enumerate(want.tolist()))
