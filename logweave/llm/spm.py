@@ -1,9 +1,14 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A public BPE model's pieces and scores are applied by an agenda of candidate
-merges, best score first, leftmost first on ties.  With dropout a candidate is
-skipped when its keyed hash falls under the rate, so the same seed always gives
-the same segmentation and other seeds, documents or places give others.
+merges, best score first, leftmost first on ties.  With dropout each candidate of
+each segment is skipped on its own at the rate, keyed by seed, document and
+place, so the same seed always gives the same segmentation and other seeds,
+documents or places give others.
+
+How many candidates pass before the next skip is drawn at once.  What a segment
+becomes without a skip, or with its first few skips at given candidates, does
+not depend on the place and is cached; further skips are worked out in place.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ SPACE = "▁"
 # never cross these segments (checked when a model is loaded).
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _M64 = (1 << 64) - 1
-SPAN = 32       # neighbouring segments that share a dropout stream
+SKIPS, LONG = 3, 48     # skips of a segment that are cached, and up to which length
 SLICE = 1000     # rows whose tokens are held and handed over at a time
 
 
@@ -32,11 +37,11 @@ class Tokenizer:
     """Pieces of a BPE model with byte fallback; small enough to travel to every task."""
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], alpha: float = 0.1,
-                 seed: int = 42, streams: int = 3, cache_size: int = 400_000):
+                 seed: int = 42, cache_size: int = 400_000):
         if not 0 <= alpha <= 1:
             raise ValueError("alpha is a probability")
         self.pieces, self.byte_ids = pieces, byte_ids
-        self.alpha, self.seed, self.streams = alpha, seed, streams if alpha else 1
+        self.alpha, self.seed = alpha, seed
         self.cache_size = cache_size
         special = set(byte_ids)
         self.ids = {p: i for i, p in enumerate(pieces) if i > 2 and i not in special}
@@ -48,7 +53,7 @@ class Tokenizer:
         self.text = [p.replace(SPACE, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             self.text[i] = bytes([b])
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
+        self._forget()
         self._make_tables()
 
     @classmethod
@@ -64,7 +69,7 @@ class Tokenizer:
         scores = [0.0] * len(self.pieces)
         for p, i in self.ids.items():
             scores[i] = -self.cost[p]
-        return Tokenizer, (self.pieces, scores, self.byte_ids, self.alpha, self.seed, self.streams, self.cache_size)
+        return Tokenizer, (self.pieces, scores, self.byte_ids, self.alpha, self.seed, self.cache_size)
 
     def _make_tables(self) -> None:
         """Arrays of the same rules: character ids, and the piece each pair of pieces makes."""
@@ -102,7 +107,12 @@ class Tokenizer:
         return np.where(self.pair_keys[at] == key, self.pair_rank[at], np.int32(none))
 
     def many_ids(self, segments: list[str], stream: int) -> list[bytes]:
-        """``segment_ids`` of segments of one length, all at once, as int32 bytes.
+        """``segment_ids`` of segments of one length, all at once, as int32 bytes."""
+        tail = _keys(_code_points(segments, len(segments[0])), self.seed, stream) if self.under else None
+        return self._merge_many(segments, np.full((len(segments), 0), -1), tail)[0]
+
+    def _merge_many(self, segments: list[str], skips: np.ndarray, tail: np.ndarray | None) -> tuple[list, list]:
+        """``_merge`` of segments of one length: ids as int32 bytes, and numbers of candidates.
 
         Each round applies or skips the best candidate of every segment that has
         one; a merge closes the gap in its row.
@@ -110,16 +120,17 @@ class Tokenizer:
         length, none = len(segments[0]), np.int32(len(self.by_rank) - 1)
         codes = _code_points(segments, length)
         ids = np.where(codes < 1 << 16, self.char_ids[np.minimum(codes, (1 << 16) - 1)], np.int32(-1))
-        out: list[bytes] = [b""] * len(segments)
+        out, steps = [b""] * len(segments), [0] * len(segments)
         plain = (ids >= 0).all(axis=1)
         for k in np.flatnonzero(~plain).tolist():
-            out[k] = array("i", self.segment_ids(segments[k], stream)).tobytes()
+            found, steps[k] = self._merge(segments[k], skips[k].tolist(), None if tail is None else int(tail[k]))
+            out[k] = array("i", found).tobytes()
         rows = np.flatnonzero(plain)
-        ids = ids[rows]
-        key = _keys(codes[rows], self.seed, stream) if self.under else None
-        border = np.tile(np.arange(length + 1, dtype=np.uint8), (len(rows), 1))
+        ids, skips, key = ids[rows], skips[rows], None if tail is None else tail[rows]
+        last_skip = skips.max(axis=1, initial=-1)
+        step = -1
         rank = self._pairs(ids[:, :-1], ids[:, 1:])
-        size = np.full(len(rows), length)
+        size, done = np.full(len(rows), length), np.zeros(len(rows), np.int64)
         while len(rows):
             n = np.arange(len(rows))
             at = rank.argmin(axis=1) if length > 1 else np.zeros(len(rows), np.int64)
@@ -128,23 +139,22 @@ class Tokenizer:
             left = int(busy.sum())
             if left < 0.8 * len(rows) or left == 0:
                 for k, r in zip(np.flatnonzero(~busy).tolist(), rows[~busy].tolist()):
-                    out[r] = ids[k, :size[k]].tobytes()
-                rows, ids, border, rank, size = rows[busy], ids[busy], border[busy], rank[busy], size[busy]
-                key = key[busy] if self.under else None
+                    out[r], steps[r] = ids[k, :size[k]].tobytes(), int(done[k])
+                rows, ids, rank, size, done = rows[busy], ids[busy], rank[busy], size[busy], done[busy]
+                skips, last_skip = skips[busy], last_skip[busy]
+                key = key[busy] if key is not None else None
                 continue
-            merge = busy
-            if self.under:
-                with np.errstate(over="ignore"):
-                    h = key + border[n, at] * np.uint64(0x9E3779B97F4A7C15) \
-                        + border[n, at + 1] * np.uint64(0xC2B2AE3D27D4EB4F) \
-                        + border[n, at + 2] * np.uint64(0x165667B19E3779F9)
-                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                merge = busy & ((h ^ (h >> np.uint64(29))) >= np.uint64(min(self.under, _M64)))
+            # All busy rows are at the same candidate: idle ones wait to be handed out.
+            step += 1
+            done = done + busy
+            skip = (skips == step).any(axis=1)
+            if key is not None:
+                skip |= (step > last_skip) & (_draw(key, step) <= np.uint64(self.under - 1))
+            merge = busy & ~skip
             # Rows without a merge close no gap.
             j = np.where(merge, at, length)[:, None]
             rank[n, at] = none
             ids = _close(ids, j, np.int32(-1))
-            border = _close(border, j, np.uint8(0))
             rank = _close(rank, j, none)
             size = size - merge
             m = np.flatnonzero(merge)
@@ -158,38 +168,93 @@ class Tokenizer:
                 rank[m, np.minimum(j, last)] = np.where(has, self._pairs(whole, np.maximum(follow, 0)), none)
                 back = j > 0
                 rank[m[back], j[back] - 1] = self._pairs(ids[m[back], j[back] - 1], whole[back])
-        return out
-
-    def learn(self, wanted: dict[int, set[str]]) -> None:
-        """Encode the segments (by stream) that the caches lack."""
-        for stream, segments in wanted.items():
-            cache = self.caches[stream]
-            new = segments.difference(cache)
-            if len(cache) + len(new) > self.cache_size // self.streams:
-                cache.clear()
-                new = segments
-            by_length: dict[int, list[str]] = {}
-            odd = self.tied.search if self.tied else lambda s: None
-            for s in new:
-                by_length.setdefault(0 if len(s) > 48 or odd(s) else len(s), []).append(s)
-            for length, group in by_length.items():
-                if not length or len(group) < 4:
-                    found = [array("i", self.segment_ids(s, stream)).tobytes() for s in group]
-                else:
-                    found = self.many_ids(group, stream)
-                cache.update(zip(group, found))
+        return out, steps
+
+    def _forget(self) -> None:
+        """Empty caches.  A node is a segment with given skips: its ids, and its number of candidates."""
+        self.roots: dict[str, int] = {}
+        self.after: dict[tuple[int, int], int] = {}
+        self.found: list[bytes] = []
+        self.steps: list[int] = []
+        self.of: list[tuple[str, tuple[int, ...]]] = []
+
+    def _add(self, nodes: list[tuple[str, tuple[int, ...]]], tails: list[int] | None = None) -> None:
+        """Append nodes (segment, skips); ``tails`` key the skips after the given ones."""
+        first = len(self.found)
+        self.found += [b""] * len(nodes)
+        self.steps += [0] * len(nodes)
+        self.of += nodes
+        alike: dict[int, list[int]] = {}
+        odd = self.tied.search if self.tied else lambda s: None
+        for k, (s, _) in enumerate(nodes):
+            alike.setdefault(0 if len(s) > LONG or odd(s) else len(s), []).append(k)
+        for length, group in alike.items():
+            if not length or len(group) < 4:
+                for k in group:
+                    s, skips = nodes[k]
+                    ids, self.steps[first + k] = self._merge(s, skips, None if tails is None else tails[k])
+                    self.found[first + k] = array("i", ids).tobytes()
+                continue
+            width = max(len(nodes[k][1]) for k in group)
+            skips = np.array([nodes[k][1] + (-1,) * (width - len(nodes[k][1])) for k in group],
+                             np.int64).reshape(len(group), width)
+            tail = None if tails is None else np.array([tails[k] for k in group], np.uint64)
+            for k, ids, n in zip(group, *self._merge_many([nodes[k][0] for k in group], skips, tail)):
+                self.found[first + k], self.steps[first + k] = ids, n
+
+    def _nodes(self, segments: list[str], keys: np.ndarray) -> list[int]:
+        """Node of each segment at the place keyed by ``keys``."""
+        if len(self.found) + len(segments) > self.cache_size:
+            # About to outgrow the cache: only what is new counts.
+            if len(self.found) + len(set(segments).difference(self.roots)) > self.cache_size:
+                self._forget()
+        new = list(set(segments).difference(self.roots))
+        self.roots.update(zip(new, range(len(self.found), len(self.found) + len(new))))
+        self._add([(s, ()) for s in new])
+        node = np.fromiter(map(self.roots.__getitem__, segments), np.int64, len(segments))
+        if not self.under:
+            return node.tolist()
+        at = np.arange(len(node))           # places whose segment may have a further skip
+        last = np.full(len(node), -1)
+        for k in range(SKIPS + 1):
+            place = last[at] + 1 + _gap(_draw(keys[at], -1 - k), self.alpha)
+            hit = place < np.array(self.steps, np.int64)[node[at]]
+            at, place = at[hit], place[hit]
+            if not len(at):
+                break
+            last[at] = place
+            long = np.fromiter((len(segments[i]) > LONG for i in at.tolist()), bool, len(at))
+            direct = long if k < SKIPS else np.ones(len(at), bool)
+            apart = at[direct].tolist()
+            made = len(self.found)
+            self._add([(self.of[node[i]][0], (*self.of[node[i]][1], int(last[i]))) for i in apart],
+                      [int(x) for x in keys[apart].tolist()])
+            node[apart] = np.arange(made, made + len(apart))
+            at, place = at[~direct], place[~direct]
+            pairs = list(zip(node[at].tolist(), place.tolist()))
+            new = list(set(pairs).difference(self.after))
+            self.after.update(zip(new, range(len(self.found), len(self.found) + len(new))))
+            self._add([(self.of[n][0], (*self.of[n][1], p)) for n, p in new])
+            node[at] = np.fromiter(map(self.after.__getitem__, pairs), np.int64, len(pairs))
+        return node.tolist()
 
     def segment_ids(self, segment: str, stream: int = 0) -> list[int]:
-        """Ids of one segment; ``stream`` keys its dropout.
+        """Ids of one segment; ``stream`` keys its dropout."""
+        tail = int(_keys(_code_points([segment], len(segment)), self.seed, stream)[0]) if self.under else None
+        return self._merge(segment, (), tail)[0]
+
+    def _merge(self, segment: str, skips, tail: int | None) -> tuple[list[int], int]:
+        """Ids of one segment, and how many candidates it tried.
 
-        Symbols sit at their first character; a merge is skipped for good when
-        the hash of (seed, stream, segment, its three borders) is under alpha.
+        Symbols sit at their first character.  The candidates numbered in
+        ``skips`` are skipped for good, and, with a key ``tail``, each later one
+        whose keyed hash is under alpha.
         """
         # A literal mark in the text is no space: its symbol matches no piece.
         symbols = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in segment]
-        n, cost, under = len(symbols), self.cost, self.under
+        n, cost, under, step = len(symbols), self.cost, self.under, -1
+        last_skip = max(skips, default=-1)
         if n > 1:
-            key = int(_keys(_code_points([segment], n), self.seed, stream)[0]) if under else 0
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             agenda = [(c, k, k + 1, k + 2) for k in range(n - 1)
                       if (c := cost.get(symbols[k] + symbols[k + 1])) is not None]
@@ -199,11 +264,9 @@ class Tokenizer:
                 # Stale: a border has moved since the candidate was made.
                 if symbols[left] is None or after[left] != mid or symbols[mid] is None or after[mid] != end:
                     continue
-                if under:
-                    h = (key + left * 0x9E3779B97F4A7C15 + mid * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9) & _M64
-                    h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & _M64
-                    if h ^ (h >> 29) < under:
-                        continue
+                step += 1
+                if step in skips or tail is not None and step > last_skip and _draw_one(tail, step) < under:
+                    continue
                 whole = symbols[left] + symbols[mid]
                 symbols[left], symbols[mid], after[left] = whole, None, end
                 if end < n:
@@ -221,32 +284,30 @@ class Tokenizer:
                     out += [self.byte_ids[x] for x in s.lstrip("\0").encode()] if s != "\0" else [self.byte_ids[0]]
                 else:
                     out.append(i)
-        return out
+        return out, step + 1
 
     def encode_all(self, texts: list[str], keys: list[int], chars: int = 3_000_000) -> list[np.ndarray]:
-        """Ids of whole texts; a text's key (of its document) picks the dropout
-        stream of each span of segments.  A space is put before the text, as the
+        """Ids of whole texts; a text's key (of its document) and the place of a
+        segment key its dropout.  A space is put before the text, as the
         model expects.  About ``chars`` characters are looked up at a time."""
         out, at = [], 0
         while at < len(texts):
-            cut, wanted, size = [], {r: set() for r in range(self.streams)}, 0
-            while at < len(texts) and (not cut or size < chars):
+            segments, ends, places, size = [], [], [], 0
+            while at < len(texts) and (not ends or size < chars):
                 text = texts[at]
                 size += len(text)
-                segments = _SEGMENT.findall(" " + text) if text else []
-                spans = -(-len(segments) // SPAN)
-                place = np.arange(spans, dtype=np.uint64) + np.uint64(keys[at] & _M64)
-                streams = (mix64(place) % np.uint64(self.streams)).tolist()
-                for k, r in enumerate(streams):
-                    wanted[r].update(segments[k * SPAN:(k + 1) * SPAN])
-                cut.append((streams, segments))
+                own = _SEGMENT.findall(" " + text) if text else []
+                key = mix64(np.array([(keys[at] ^ self.seed * 0x9E3779B97F4A7C15) & _M64], np.uint64))
+                with np.errstate(over="ignore"):
+                    places.append(key + np.arange(len(own), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+                segments += own
+                ends.append(len(segments))
                 at += 1
-            self.learn(wanted)
-            for streams, segments in cut:
-                parts: list[bytes] = []
-                for k, r in enumerate(streams):
-                    parts += map(self.caches[r].__getitem__, segments[k * SPAN:(k + 1) * SPAN])
-                out.append(np.frombuffer(b"".join(parts), np.int32))
+            nodes = self._nodes(segments, mix64(np.concatenate(places)))
+            lo = 0
+            for hi in ends:
+                out.append(np.frombuffer(b"".join(map(self.found.__getitem__, nodes[lo:hi])), np.int32))
+                lo = hi
         return out
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
@@ -272,6 +333,28 @@ def _keys(codes: np.ndarray, seed: int, stream: int) -> np.ndarray:
     return mix64(h)
 
 
+def _draw(key: np.ndarray, step: int) -> np.ndarray:
+    """Keyed 64-bit random number of a step."""
+    with np.errstate(over="ignore"):
+        return mix64(key + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & _M64))
+
+
+def _draw_one(key: int, step: int) -> int:
+    """``_draw`` of one key in plain integers."""
+    h = (key + (step + 1) * 0x9E3779B97F4A7C15) & _M64
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & _M64
+    h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & _M64
+    return h ^ h >> 33
+
+
+def _gap(h: np.ndarray, alpha: float) -> np.ndarray:
+    """How many candidates pass before one is skipped: geometric with rate ``alpha``."""
+    if alpha >= 1:
+        return np.zeros(len(h), np.int64)
+    u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0 ** 53
+    return np.minimum(np.log(u) / np.log1p(-alpha), 2.0 ** 40).astype(np.int64)
+
+
 def _close(x: np.ndarray, j: np.ndarray, fill) -> np.ndarray:
     """Rows with the entry after column j taken out and ``fill`` put at the end."""
     moved = np.empty_like(x)

@@ -77,3 +77,32 @@ def test_frames(spark, dropped):
     assert by["d"].n_tokens == len(by["d"].tokens) >= 60_000
     assert spm.tokenize(df.limit(0), copy).count() == 0
     assert spm.tokenize(df, copy).columns == ["id", "tokens", "n_tokens", "lossless"]
+
+
+def test_each_place_draws_its_own_dropout(plain):
+    """A frequent word has as many segmentations as independent skips give it, also next to itself."""
+    tok = spm.Tokenizer.load(PIECES, alpha=0.1, seed=3)
+    n = 4000
+    pieces = tok.encode(" ".join(["transportation"] * n), 1).tolist()
+    text = [tok.text[i].decode() for i in pieces]
+    words = "".join(("|" if t.startswith(" ") else "") + "/" + t for t in text).split("|")[1:]
+    assert len(words) == n and len(set(words)) > 50
+    whole = plain.encode("transportation", 0).tolist()
+    steps = plain._merge(" transportation", (), None)[1]
+    same = sum(w.count("/") == len(whole) for w in words) / n
+    assert same >= 0.9 ** steps - 0.03
+    # The same shares as the plain agenda with a key for each place.
+    slow = ["".join("/" + tok.text[i].decode() for i in tok.segment_ids(" transportation", k)) for k in range(n)]
+    for w in set(slow) | set(words):
+        a, b = words.count(w), slow.count(w)
+        assert abs(a - b) <= 6 * (a + b) ** 0.5 + 1, (w, a, b)
+
+
+def test_cached_skips_equal_the_single_agenda(dropped, spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(30).collect()
+    tok = pickle.loads(pickle.dumps(dropped))
+    tok.encode_all([r.text for r in rows], list(range(len(rows))))
+    assert len(tok.after) > 100
+    for node in [*tok.roots.values(), *tok.after.values()]:
+        ids, steps = tok._merge(*tok.of[node], None)
+        assert np.frombuffer(tok.found[node], np.int32).tolist() == ids and tok.steps[node] == steps
