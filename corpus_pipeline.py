@@ -34,8 +34,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the calibrated rates of sources, languages and topics."""
-    return mixing.sample(docs, fraction=MIX_FRACTION)
+    """A sample with the calibrated rates of sources, languages and topics; rates
+    above 1 repeat documents."""
+    return mixing.draw(docs, fraction=MIX_FRACTION)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,6 +111,7 @@ def mix(docs: DataFrame, targets: dict[str, float | DataFrame] | None = None, fr
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` drawn at least once, each once, columns unchanged.
 
+    Rates above 1 count as 1 here, so the targets need not hold: see ``draw``.
     Rows with equal ids share their draw, so a repeated row stays or goes with its twin.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
@@ -120,6 +121,29 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
     return docs.join(ids, key == ids["id"], "left_semi")
 
 
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None,
+         **kw) -> DataFrame:
+    """The rows of ``docs``, each as often as its ``repeats`` tell, columns unchanged.
+
+    Cells with a rate above 1 repeat their rows, so the sample holds the targets
+    and the fraction of tokens in expectation.  Rows with equal ids in one cell
+    share their draw.
+    """
+    topic = topic_of(F.col(text_col)) if topic is None else topic
+    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.select("*", key.alias("_mix_key"), topic.alias("_mix_topic"))
+    drawn = mix(keyed.select("_mix_key", "source", "lang", "_mix_topic", F.col(text_col)), id_col="_mix_key",
+                text_col=text_col, topic=F.col("_mix_topic"), **kw)
+    # Grouped, not distinct: the id alone spreads the rows, the cell keeps equal ids apart.
+    times = drawn.where("repeats > 0").groupBy(F.col("id").alias("_id"), *[F.col(d).alias(f"_{d}") for d in DIMS]) \
+        .agg(F.max("repeats").alias("_times"))
+    same = (F.col("_mix_key") == F.col("_id")) & F.col("_mix_topic").eqNullSafe(F.col("_topic"))
+    for d in ("source", "lang"):
+        same = same & F.col(d).eqNullSafe(F.col(f"_{d}"))
+    return keyed.join(times, same).select(
+        *docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+
+
 def oracle(fraction: float = 0.5, rounds: int = 6) -> str:
     """DuckDB SQL of the registered query: the same rounds as chained CTEs."""
     case = "CASE " + " ".join(

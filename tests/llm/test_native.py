@@ -96,3 +96,26 @@ def test_mixing_edge_cases(spark):
 def test_topics_take_the_first_rule(spark):
     df = spark.createDataFrame([("the Licence | a",), ("x | y",), (None,), ("abc 123",)], "text string")
     assert [r[0] for r in df.select(mixing.topic_of(F.col("text"))).collect()] == ["legal", "tabular", "prose", "numeric"]
+
+
+def test_the_drawn_sample_holds_the_targets(spark):
+    """A hot source and thin ones: rates above 1 repeat their rows instead of counting once."""
+    import corpus_pipeline
+    texts = {"prose": "plain words " * 10, "legal": "licence words " * 10}
+    data = [(i, texts["prose" if i % 10 else "legal"], ("en", "de", None)[min(i % 7, 2) if i % 2 else 0],
+             "hot" if i < 2000 else f"s{i % 4}", 0) for i in range(2600)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix_sources(spark, df, "").select("*", mixing.topic_of(F.col("text")).alias("topic"))
+    assert out.columns[:5] == df.columns
+    got, total = out.collect(), 20 * len(data)
+    assert 20 * len(got) == pytest.approx(corpus_pipeline.MIX_FRACTION * total, rel=0.03)
+    assert max(r.rate for r in mixing.mix(df, fraction=corpus_pipeline.MIX_FRACTION).collect()) > 1
+    for dim, power in mixing.POWERS.items():
+        have = {}
+        for r in df.select("*", mixing.topic_of(F.col("text")).alias("topic")).collect():
+            have[r[dim]] = have.get(r[dim], 0) + 20
+        goal = {k: v ** power for k, v in have.items()}
+        for k, v in goal.items():
+            assert sum(r[dim] == k for r in got) / len(got) == pytest.approx(v / sum(goal.values()), abs=0.03), (dim, k)
+    repeats = {r.id: r.repeats for r in mixing.mix(df, fraction=corpus_pipeline.MIX_FRACTION).collect()}
+    assert all(sum(g.doc_id == i for g in got) == repeats[i] for i in range(0, 2600, 50))
