@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
 A page's blocks of text hang on a tree of slots: nested block elements, named
-by tag and class, where equal siblings form one repeating slot.  Every page is
-aligned with a reference page of its host by simple tree matching.  A text that
-most aligned pages of the host hold in the same slot is template; what varies
-is content.  Content inside elements that declare another purpose (menus,
+by tag and class, where equal siblings form one repeating slot.  A host has a
+reference page for each of its most frequent layouts, and every page is aligned
+with the one it fits best by simple tree matching.  A text that most aligned
+pages hold in the same slot is template; what varies is content.  Pages of equal
+content count once, so copies are no evidence.  Content inside elements that declare another purpose (menus,
 adverts, forms, comments and the like) is left out, and where a page marks its
 article, only that counts.
 """
@@ -13,12 +14,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from html import unescape
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import cut
@@ -224,6 +224,16 @@ class Wrapper:
         pairs = match(self.labels, self.kids, page.labels, children(page.parents))[1]
         return {b: a for a, b in pairs}
 
+    @staticmethod
+    def nearest(wrappers: list["Wrapper"], page: Page) -> int:
+        """The wrapper that most of the page and of the reference aligns with (the first of equals)."""
+        if len(wrappers) == 1:
+            return 0
+        kids = children(page.parents)
+        fit = [2 * match(w.labels, w.kids, page.labels, kids)[0] / (len(w.labels) + len(page.labels))
+               for w in wrappers]
+        return fit.index(max(fit))
+
     def evidence(self, page: Page) -> set[tuple[int, int]]:
         """(reference slot, text hash) that the page shares, and (slot, 0) for each slot it fills."""
         at, out = self.align(page), set()
@@ -244,6 +254,25 @@ class Wrapper:
         return "\n".join(text for main, text in content if main or not marked)
 
 
+def layout(page: Page) -> int:
+    """Hash of the slots down to the third level that hold no other purpose."""
+    keep = set()
+    for slot, _, apart, _ in page.blocks:
+        path = []
+        while slot > 0 and not apart:
+            path.append(page.labels[slot])
+            slot = page.parents[slot]
+        keep.add(">".join(reversed(path[-3:])))
+    return text_hash("\n".join(sorted(keep)))
+
+
+def content(page: Page) -> int:
+    """Hash of the content as it is without a template: equal for copies."""
+    blocks = [(main, text) for _, text, apart, main in page.blocks if not apart]
+    marked = any(main for main, _ in blocks)
+    return text_hash("\n".join(text for main, text in blocks if main or not marked))
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL; empty for null or without ``://``."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^.*?://([^/?#]*)", 1))
@@ -253,17 +282,23 @@ def _beside(pages: DataFrame, by_host: DataFrame, size: Column, limit: int) -> D
     """Pages with their host's row: sent to every task if all rows together hold
     at most ``limit`` bytes, else by a join that adaptive execution splits on hot hosts."""
     total = by_host.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return pages.join(F.broadcast(by_host) if total <= limit else by_host, "host")
+    return pages.join(F.broadcast(by_host) if total <= limit else by_host, "host", "left")
+
+
+def _length(col: str) -> Column:
+    return F.aggregate(col, F.lit(0), lambda n, t: n + F.length(t))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-              least_pages: int = 5, least_share: float = 0.7, broadcast_bytes: int = 32 << 20) -> DataFrame:
+              least_pages: int = 5, least_share: float = 0.7, references: int = 4, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Rows (id, url, text, n_chars), one per input row.
 
-    The wrapper of a host is induced from all its pages: every page is aligned
-    with the host's reference page (the one whose URL and id hash lowest), and a
-    text is template where at least ``least_share`` of at least ``least_pages``
-    other pages that fill the slot hold it.  Null html has the empty text; pages
+    The wrappers of a host are induced from all its pages.  Its up to ``references``
+    layouts with most pages give a reference page each (the one whose URL and id
+    hash lowest; pages without text are none).  Every page is aligned with the
+    reference it fits best, and a text is template where at least ``least_share``
+    of at least ``least_pages`` other pages that fill the slot hold it; pages of
+    equal content count as one.  Null html has the empty text; pages
     without a host share one wrapper; repeated rows stay repeated; an empty
     table gives no rows; other columns are ignored.  Slots nested deeper than
     64 blocks count as part of the 64th.
@@ -272,46 +307,79 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                         F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"),
                         F.xxhash64(url_col, id_col).alias("pick"))
 
-    def trees(batches):
+    def shapes(batches):
         for b in batches:
-            yield pd.DataFrame({"host": b["host"], "tree": [Wrapper.tree(h) for h in b["html"]]})
+            pages = [Page(h) for h in b["html"]]
+            yield pd.DataFrame({"host": b["host"], "pick": b["pick"],
+                                "layout": [layout(p) if p.blocks else None for p in pages]}).dropna().astype(
+                                    {"pick": "int64", "layout": "int64"})
 
-    chosen = rows.groupBy("host").agg(F.min("pick").alias("pick")).select(
-        F.col("host").alias("of"), F.col("pick").alias("least"))
-    first = rows.join(chosen, (F.col("host") == F.col("of")) & (F.col("pick") == F.col("least"))).select("host", "html")
-    refs = cut(first.mapInPandas(trees, "host string, tree string").dropDuplicates(["host"]))
+    def trees(batches):
+        for b in batches:
+            yield pd.DataFrame({"host": b["host"], "layout": b["layout"], "tree": [Wrapper.tree(h) for h in b["html"]]})
+
+    # Pages without html hold no text: they need no look.
+    full = rows.where(F.length(F.trim("html")) > 0)
+    kinds = full.select("host", "pick", "html").mapInPandas(shapes, "host string, pick long, layout long") \
+        .groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("pick").alias("pick"))
+    # At most ``references`` of a host's layouts stay, by a bounded heap in each partition.
+    chosen = kinds.withColumn("rank", F.row_number().over(
+        Window.partitionBy("host").orderBy(F.desc("n"), "layout"))).where(F.col("rank") <= references).select(
+        F.col("host").alias("of"), F.col("pick").alias("least"), "layout")
+    first = full.join(chosen, (F.col("host") == F.col("of")) & (F.col("pick") == F.col("least"))) \
+        .select("host", "layout", "html")
+    refs = cut(first.mapInPandas(trees, "host string, layout long, tree string").dropDuplicates(["host", "layout"])
+               .groupBy("host").agg(F.array_sort(F.collect_list("tree")).alias("trees")))
 
     def align(batches):
-        made: dict[str, Wrapper] = {}
+        made: dict[str, list[Wrapper]] = {}
         for b in batches:
-            seen: Counter = Counter()
-            for host, tree, html in zip(b["host"], b["tree"], b["html"]):
-                w = made.get(tree) or made.setdefault(tree, Wrapper(tree))
-                seen.update((host, *e) for e in w.evidence(Page(html)))
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "slot", "h", "n"])
-
-    beside = _beside(rows.select("host", "html"), refs, F.length("tree"), broadcast_bytes)
-    counts = cut(beside.mapInPandas(align, "host string, slot int, h long, n long")
-                 .groupBy("host", "slot", "h").agg(F.sum("n").alias("n")))
+            seen: set = set()
+            out = []
+            for host, held, html in zip(b["host"], b["trees"], b["html"]):
+                if held is None:
+                    continue
+                w = made.get(host) or made.setdefault(host, [Wrapper(t) for t in held])
+                page = Page(html)
+                if (same := (host, content(page))) in seen:
+                    continue
+                seen.add(same)
+                ref = Wrapper.nearest(w, page)
+                shared = sorted(w[ref].evidence(page))
+                out.append((*same, ref, [s for s, _ in shared], [h for _, h in shared]))
+            yield pd.DataFrame(out, columns=["host", "page", "ref", "slots", "hs"])
+
+    beside = _beside(full.select("host", "html"), refs, _length("trees"), broadcast_bytes)
+    # Copies may differ in what surrounds their content: their evidence is joined.
+    counts = cut(beside.mapInPandas(align, "host string, page long, ref int, slots array<int>, hs array<long>")
+                 .select("host", "page", "ref", F.explode(F.arrays_zip("slots", "hs")).alias("e"))
+                 .select("host", "page", "ref", F.col("e.slots").alias("slot"), F.col("e.hs").alias("h")).distinct()
+                 .groupBy("host", "ref", "slot", "h").agg(F.count("*").alias("n")))
     # The reference page itself is no evidence.
-    filled = counts.where("h = 0").select("host", "slot", (F.col("n") - 1).alias("all"))
-    constant = counts.where("h <> 0").join(filled, ["host", "slot"]).where(
+    filled = counts.where("h = 0").select("host", "ref", "slot", (F.col("n") - 1).alias("all"))
+    constant = counts.where("h <> 0").join(filled, ["host", "ref", "slot"]).where(
         (F.col("all") >= least_pages) & (F.col("n") - 1 >= least_share * F.col("all")))
-    wrappers = cut(refs.join(constant.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("slot", "h")))
+    wrappers = cut(refs.join(constant.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("ref", "slot", "h")))
                                                           .alias("template")), "host", "left"))
 
     def extract(batches):
-        made: dict[str, Wrapper] = {}
+        made: dict[str, list[Wrapper]] = {}
         for b in batches:
             texts = []
-            for host, tree, template, html in zip(b["host"], b["tree"], b["template"], b["html"]):
+            for host, held, template, html in zip(b["host"], b["trees"], b["template"], b["html"]):
+                if held is None:  # no page of the host has text
+                    texts.append("")
+                    continue
                 w = made.get(host)
                 if w is None:
-                    w = made[host] = Wrapper(tree, [(t["slot"], t["h"]) for t in template]
-                                             if template is not None else ())
-                texts.append(w.extract(Page(html)))
+                    held_by = [[] for _ in held]
+                    for t in template if template is not None else ():
+                        held_by[t["ref"]].append((t["slot"], t["h"]))
+                    w = made[host] = [Wrapper(t, known) for t, known in zip(held, held_by)]
+                page = Page(html)
+                texts.append(w[Wrapper.nearest(w, page)].extract(page))
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    size = F.length("tree") + 32 * F.coalesce(F.size("template"), F.lit(0))
+    size = _length("trees") + 32 * F.coalesce(F.size("template"), F.lit(0))
     return _beside(rows.drop("pick"), wrappers, size, broadcast_bytes).mapInPandas(
         extract, "id long, url string, text string, n_chars long")

@@ -109,3 +109,23 @@ def test_pages_give_their_article(spark):
     for r in H.main_text(pages).collect():
         article = source[r.id].split("<article>")[1].split("</article>")[0]
         assert r.text == text(f"<article>{article}</article>") and r.text and "<" not in r.text
+
+
+def test_copies_are_no_evidence_and_empty_pages_no_reference(spark):
+    def page(i):
+        return f"<body><div class='top'>Site</div><div class='c'><p>Story {i}.</p><p>Told {i} times.</p></div></body>"
+
+    def other(i):
+        return f"<body><table><tr><td>Shop</td><td>Ware {i}</td></tr></table></body>"
+    rows = [(i, f"http://copies.example/{i}", f"<article>{page(1)}</article>") for i in range(8)]
+    rows += [(100 + i, f"http://some.example/{i}", page(0 if i < 20 else i)) for i in range(28)]
+    rows += [(200 + i, f"http://empty.example/{i}", None if i % 3 == 0 else "" if i % 3 == 1 else page(i)) for i in range(60)]
+    rows += [(300 + i, f"http://two.example/{i}", page(i) if i % 2 else other(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for limit in (32 << 20, 0):
+        by = {r.id: r.text for r in H.main_text(df, broadcast_bytes=limit).collect()}
+        assert len(by) == len(rows)
+        assert all(by[i] == "Site\nStory 1.\nTold 1 times." for i in range(8))
+        assert all(by[100 + i] == "Story {0}.\nTold {0} times.".format(0 if i < 20 else i) for i in range(28))
+        assert all(by[200 + i] == ("" if i % 3 < 2 else f"Story {i}.\nTold {i} times.") for i in range(60))
+        assert all(by[300 + i] == (f"Story {i}.\nTold {i} times." if i % 2 else f"Ware {i}") for i in range(40))
