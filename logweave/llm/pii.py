@@ -43,25 +43,49 @@ DIGITS = {
 #: Words that stand for the at sign, the dot and the plus sign.
 AT, DOT, PLUS = "at|arroba|chez", "dot|punkt|point|punto", "plus|más"
 
-#: Last labels that a bare "at ... dot ..." must end in to count as an address.
-TOP_LEVEL = "com|org|net|edu|gov|info|io|co|eu|de|fr|es|uk|us|example|test"
+#: Last labels that tell an address after a bare at without other evidence: generic ones
+#: and those of countries, but for words of the four languages.
+TOP_LEVEL = (
+    "com|org|net|edu|gov|mil|int|info|biz|io|co|eu|de|fr|es|uk|us|example|test|dev|app|name|mobi|cloud|online|"
+    "ad|ae|af|ag|al|ao|aq|ar|aw|ax|az|ba|bb|bd|bf|bg|bh|bi|bj|bm|bn|bo|br|bs|bt|bw|bz|ca|cc|cd|cf|cg|ch|ci|ck|cl|cm|"
+    "cn|cr|cu|cv|cw|cx|cy|cz|dj|dk|dm|dz|ec|ee|eg|er|fi|fj|fk|fm|fo|ga|gb|gd|ge|gf|gg|gh|gi|gl|gm|gn|gp|gq|gr|gs|gt|"
+    "gu|gw|gy|hk|hm|hn|hr|ht|hu|id|ie|im|iq|ir|je|jm|jo|jp|ke|kg|kh|ki|km|kn|kp|kr|kw|ky|kz|lb|lc|li|lk|lr|ls|lt|lu|"
+    "lv|ly|mc|md|mg|mh|mk|ml|mm|mn|mo|mp|mq|mr|ms|mt|mv|mw|mx|mz|nc|nf|ng|ni|nl|np|nr|nz|om|pe|pf|pg|ph|pk|pl|pm|"
+    "pn|pr|ps|pt|pw|py|qa|ro|rs|ru|rw|sb|sc|sd|sg|sh|sk|sl|sm|sn|sr|ss|st|sv|sx|sy|sz|tc|td|tf|tg|th|tj|tk|tl|tm|"
+    "tn|tr|tt|tv|tw|tz|ua|ug|uy|uz|va|vc|vg|vi|vn|vu|wf|ws|ye|yt|za|zm|zw")
+#: Words that speak of an address soon after them, and words that are no name before or domain after an at.
+CUES = r"e-?mails?|mail(?:to|s)?|contact|write|reach|address|kontakt|schreib\w*|adresse|courriel|[ée]cri\w*|correo|escrib\w*"
+NO_NAME = ("us|me|him|her|them|it|is|are|was|were|be|been|available|found|find|look|looking|looked|hosted|visit|online|"
+           "website|site|sites|page|pages|here|there|more|out|up|down|live|work|works|read|see|met|and|or|not")
+NO_DOMAIN = "the|a|an|this|that|these|those|my|your|his|our|their|each|every|der|die|das|dem|den|ein|eine|le|la|les|un|une|el|los|las"
 
 _INVISIBLE = "­​‌‍⁠﻿"
 _PLAIN = {c: a for a, cs in LOOK_ALIKES.items() for c in cs} | dict.fromkeys(_INVISIBLE, "")
-_ODD = re.compile("[" + re.escape("".join(sorted(_PLAIN))) + "٠-٩！-～\U0001d400-\U0001d7ff]")
 _DIGIT_OF = {w: str(d) for words in DIGITS.values() for d, w in enumerate(words.split())}
 _DIGIT_WORD = "(?:" + "|".join(sorted(_DIGIT_OF, key=lambda w: (-len(w), w))) + ")"
 _DIGIT_RUN = re.compile(rf"(?i)(?<!\w){_DIGIT_WORD}(?:[\s-]+{_DIGIT_WORD})*(?!\w)")
 _ONE_DIGIT = re.compile(rf"(?i){_DIGIT_WORD}")
-_SOME_DIGITS = re.compile(rf"(?:{_DIGIT_WORD}[\s-]+){{2}}{_DIGIT_WORD}")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_BOXED_AT = re.compile(rf"(?i)\s*{_OPEN}\s*(?:{AT}|@)\s*{_CLOSE}\s*")
-_BOXED_DOT = re.compile(rf"(?i)\s*{_OPEN}\s*(?:{DOT}|\.)\s*{_CLOSE}\s*")
-_TAIL = rf"(?:[A-Z0-9-]+\s+(?:{DOT})\s+)*(?:{TOP_LEVEL})(?![A-Z0-9-])"
-_BARE_AT = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])\s+(?:{AT})\s+(?=(?:[A-Z0-9-]+\.)*[A-Z0-9-]+\s+(?:{DOT})\s+{_TAIL})")
+# A match starts where white space starts: else every place of a long blank would be tried.
+_BOXED_AT = re.compile(rf"(?i)(?<!\s)\s*{_OPEN}\s*(?:{AT}|@)\s*{_CLOSE}\s*")
+_BOXED_DOT = re.compile(rf"(?i)(?<!\s)\s*{_OPEN}\s*(?:{DOT}|\.)\s*{_CLOSE}\s*")
+_END = r"(?![A-Z0-9-]|\.[A-Z0-9])"
+_MANY = rf"(?:[A-Z0-9-]+\s+(?:{DOT})\s+){{0,126}}"
+_TAIL = rf"{_MANY}(?:{TOP_LEVEL}){_END}"
+_SPELLED = rf"(?:[A-Z0-9-]+\.)*[A-Z0-9-]+\s+(?:{DOT})\s+"
+_BARE_AT = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])\s+(?:{AT})\s+(?={_SPELLED}{_TAIL})")
+# Any ending of two or more letters: what else the place tells is weighed by _told.
+_ANY_AT = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])\s+(?:{AT})\s+(?=(?!(?:{NO_DOMAIN})(?![A-Z0-9-]))"
+                     rf"(?P<domain>{_SPELLED}{_MANY}(?:(?!(?:{DOT})\b)[A-Z]{{2,}}){_END}"
+                     rf"|(?!www\.)(?:[A-Z0-9-]+\.)+(?-i:[a-z]{{2,}}|[A-Z]{{2,}}){_END}(?![/:@])))")
 _BARE_DOT = re.compile(rf"(?i)(?<=[A-Z0-9-])\s+(?:{DOT})\s+(?={_TAIL}|[0-9])")
+# After an at sign the domain is known to be one: its dots are read up to the last label.
+_AFTER_AT = re.compile(rf"(?i)(?<=@)[A-Z0-9.-]*[A-Z0-9-](?:\s+(?:{DOT})\s+[A-Z0-9-]*[A-Z0-9])+")
+_SPACED_DOT = re.compile(rf"(?i)\s+(?:{DOT})\s+")
+_CUE = re.compile(rf"(?i)(?<!\w)(?:{CUES})(?!\w)")
+_WORDS = re.compile(r"\w+")
+_STOPS = frozenset(NO_NAME.split("|"))
 _PLUS = re.compile(rf"(?i)(?<!\w)(?:{PLUS})\s+(?=[0-9])")
-_HINT = re.compile(rf"\s(?:{DOT})\s|{_OPEN}\s*(?:{AT}|{DOT}|@|\.)\s*{_CLOSE}")
 
 
 def _emails(text: str):
@@ -150,23 +174,65 @@ def _digits(m: re.Match):
     return [(_DIGIT_OF[w[0].lower()], w.start(), w.end()) for w in _ONE_DIGIT.finditer(m[0])]
 
 
+def _told(m: re.Match) -> bool:
+    """Whether what stands around a bare at tells an address: a name that is no
+    common word, and a dotted domain, a cue before, marks in the name or domain, or an end after."""
+    text, domain = m.string, m["domain"]
+    head = text[max(0, m.start() - 60):m.start()]
+    name = head[len(head.rstrip(_LOCAL)):]
+    if name.lower() in _STOPS:
+        return False
+    literal = not _SPACED_DOT.search(domain)
+    return literal or bool(_CUE.search(head)) or any(c in "0123456789._%+-" for c in name + domain) \
+        or not re.match(r"[^\S\n]+\w", text[m.end("domain"):m.end("domain") + 40])
+
+
+def _as_told(m: re.Match):
+    return [("@", 0, len(m[0]))] if _told(m) else [(c, k, k + 1) for k, c in enumerate(m[0])]
+
+
+def _dots(m: re.Match):
+    out, at = [], 0
+    for d in _SPACED_DOT.finditer(m[0]):
+        out += [(m[0][k], k, k + 1) for k in range(at, d.start())] + [(".", d.start(), d.end())]
+        at = d.end()
+    return out + [(m[0][k], k, k + 1) for k in range(at, len(m[0]))]
+
+
 def deobfuscate(text: str) -> Tape:
     """All transducers in order: characters, spelled digits, boxed and bare at/dot, plus."""
     tape = Tape(text)
-    tape.characters(_plain)
-    tape.spans(_DIGIT_RUN, _digits)
-    tape.spans(_BOXED_AT, _as("@"))
-    tape.spans(_BOXED_DOT, _as("."))
-    tape.spans(_BARE_AT, _as("@"))
-    tape.spans(_BARE_DOT, _as("."))
-    tape.spans(_PLUS, _as("+"))
+    if _odd(text):
+        tape.characters(_plain)
+    for pattern, write in _possible(tape.text):
+        tape.spans(pattern, write)
     return tape
 
 
+_DIGIT_WORDS, _AT_WORDS, _DOT_WORDS, _PLUS_WORDS = frozenset(_DIGIT_OF), *(
+    frozenset(words.split("|")) for words in (AT, DOT, PLUS))
+#: The transducers over matches, in order, and the words one of which each needs (none: a box).
+SPANS = ((_DIGIT_RUN, _digits, _DIGIT_WORDS), (_BOXED_AT, _as("@"), None), (_BOXED_DOT, _as("."), None),
+         (_BARE_AT, _as("@"), _AT_WORDS), (_ANY_AT, _as_told, _AT_WORDS), (_AFTER_AT, _dots, _DOT_WORDS),
+         (_BARE_DOT, _as("."), _DOT_WORDS), (_PLUS, _as("+"), _PLUS_WORDS))
+_BOX = re.compile(rf"(?i){_OPEN}\s*(?:{AT}|{DOT}|[@.])\s*{_CLOSE}")
+
+
+def _possible(text: str) -> list:
+    """Transducers whose words the text holds, each as a whole word; transducers make no new words."""
+    # The dotted capital I counts as an i to the patterns.
+    words = set(_WORDS.findall(text.lower().replace("i\u0307", "i")))
+    box = bool(_BOX.search(text))
+    return [(p, w) for p, w, need in SPANS if (box if need is None else not need.isdisjoint(words))]
+
+
+def _odd(text: str) -> bool:
+    return not text.isascii() and any(_plain(c) != c for c in set(text))
+
+
 def disguised(text: str) -> bool:
-    """Whether the transducers could change what is detected."""
-    low = text.lower()
-    return bool(_ODD.search(text) or _HINT.search(low) or _SOME_DIGITS.search(low))
+    """Whether a transducer writes anything: none does if none matches the text itself."""
+    return _odd(text) or any(p.search(text) for p, _ in _possible(text))
 
 
 def find(text: str | None) -> list[tuple[str, int, int, bool]]:

@@ -91,3 +91,33 @@ def test_frames(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(
         [(1, "[EMAIL]", 7, "x"), (1, "[EMAIL]", 7, "x"), (None, None, None, None), (3, "", 0, "y")], key=str)
     assert pii.find_pii(df.limit(0)).count() == 0 and pii.redact_docs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,kind,found", [
+    ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+    ("card 4465 7583 8288 943 seven.", "card", "4465 7583 8288 943 seven"),
+    ("card four four 65 7583 eight two 88 9437", "card", "four four 65 7583 eight two 88 9437"),
+    ("card ४४६५ ७५८३ ८२८८ ९४३७", "card", "४४६५ ७५८३ ८२८८ ९४३७"),
+    ("tel +①②③④⑤⑥⑦⑧⑨", "phone", "+①②③④⑤⑥⑦⑧⑨"),
+    ("tel +¹²³⁴⁵⁶⁷⁸⁹", "phone", "+¹²³⁴⁵⁶⁷⁸⁹"),
+    ("ask jane at example.com today", "email", "jane at example.com"),
+    ("jane at firm dot it", "email", "jane at firm dot it"),
+    ("jane at firm dot nl is away", "email", "jane at firm dot nl"),
+    ("jane at firm dot ch is away", "email", "jane at firm dot ch"),
+    ("write to jane at firm dot technology soon", "email", "jane at firm dot technology"),
+    ("it is j.doe at firm dot museum today", "email", "j.doe at firm dot museum"),
+])
+def test_every_transducer_is_reached(text, kind, found):
+    assert (kind, found) in [(k, text[s:e]) for k, s, e, base in pii.find(text) if not base]
+    assert found not in pii.redact(text)
+
+
+def test_common_words_around_at_are_no_address():
+    for t in ["Visit us at example.com or look at www.example.com", "the code is available at example.com/x",
+              "look at the dot there.", "We met at noon.Then we left.", "she sat at home dot by dot"]:
+        assert pii.find(t) == [], t
+
+
+def test_long_blanks_take_linear_time():
+    for t in ["a" + " " * 200_000 + "b one", "( " * 50_000, "x at " * 50_000, "a dot " * 20_000, "a at b.c " * 20_000]:
+        pii.find(t)
