@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import html, langid, lm, mixing, pii, pq, quality, simhash, spm, urls
+from logweave.llm import html, langid, lm, merkle, mixing, pii, pq, quality, simhash, spm, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html.main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, and each document's proof against a copy tampered in one of five."""
+    manifest = merkle.build(_table(spark, sf_dir, "documents"), claim=merkle.tampered_leaf(one_in=5))
+    return manifest.proofs().select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
+                                    "folded_root", "verified")
+
+
+ORACLE["op13_merkle_manifest"] = merkle.oracle()
