@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import html, langid, lm, merkle, mixing, pii, pq, quality, simhash, spm, urls
+from logweave.llm import contamination, html, langid, lm, merkle, mixing, pii, pq, quality, simhash, spm, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -125,3 +125,14 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_merkle_manifest"] = merkle.oracle()
+
+
+@_query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside 10-word windows of benchmark items, and those items."""
+    out = contamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE["op11_decontamination"] = contamination.oracle()
