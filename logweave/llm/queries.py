@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import contamination, html, langid, lm, merkle, mixing, pii, pq, quality, simhash, spm, urls
+from logweave.llm import contamination, conversations, html, langid, lm, merkle, mixing, pii, pq, quality, simhash, spm, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,13 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_decontamination"] = contamination.oracle()
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of all conversations after damage."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.audit_conversations(conversations.damage(rows), rows)
+
+
+ORACLE["op12_conversation_repair"] = conversations.oracle()
