@@ -2,8 +2,10 @@
 
 Design rules used throughout:
 * one aggregation per query: pivots are written as conditional counts
-  (``count_if``) in a single ``groupBy``, so there is one shuffle with a
-  map-side partial aggregate (hot keys collapse to one row per task);
+  in a single ``groupBy``, so there is one shuffle with a map-side partial
+  aggregate (hot keys collapse to one row per task); where the columns are the
+  levels found, the same pass counts them and the wide form reads its few rows;
+* the counts work on log rows and on rollups of them alike (``weight``);
 * top-N is ``orderBy(...).limit(n)`` on the aggregated rows -> TakeOrdered,
   never a global sort of raw rows;
 * results are bounded (buckets, components, a page) — nothing raw is collected.
@@ -22,17 +24,32 @@ HOURS = list(range(24))
 MAX_LEVEL_COLUMNS = 1000
 
 
-def level_values(logs: DataFrame) -> list[str]:
+def level_values(counts: DataFrame) -> list[str]:
     """The levels that occur, sorted: the columns of the wide forms (A3, A5)."""
-    rows = logs.select("level").where(F.col("level").isNotNull()).distinct() \
-        .limit(MAX_LEVEL_COLUMNS + 1).collect()
+    rows = counts.select("level").distinct().limit(MAX_LEVEL_COLUMNS + 1).collect()
     if len(rows) > MAX_LEVEL_COLUMNS:
         raise ValueError(f"more than {MAX_LEVEL_COLUMNS} levels; use the long form")
     return sorted(r[0] for r in rows)
 
 
-def _level_counts(levels: list[str]) -> list[Column]:
-    return [F.count_if(F.col("level") == lv).alias(lv) for lv in levels]
+def lines(logs: DataFrame, cond: Column | None = None) -> Column:
+    """Number of lines (for which ``cond`` holds); a row of a rollup stands for ``weight`` lines."""
+    if "weight" not in logs.columns:
+        return F.count(F.lit(1)) if cond is None else F.count_if(cond)
+    w = F.col("weight") if cond is None else F.when(cond, F.col("weight")).otherwise(0)
+    return F.coalesce(F.sum(w), F.lit(0)).cast("long")
+
+
+def _by_level(logs: DataFrame, key: Column, name: str) -> tuple[DataFrame, list[str]]:
+    """Lines per key and level, materialised: one pass over the logs finds the
+    levels and their counts, and the wide form is made from these few rows."""
+    counts = (logs.filter(F.col("level").isNotNull()).groupBy(key.alias(name), "level")
+              .agg(lines(logs).alias("_n")).checkpoint(eager=True))
+    return counts, level_values(counts)
+
+
+def _level_columns(levels: list[str]) -> list[Column]:
+    return [F.sum(F.when(F.col("level") == lv, F.col("_n")).otherwise(0)).alias(lv) for lv in levels]
 
 
 def timeseries(logs: DataFrame, granularity: str = "5min") -> DataFrame:
@@ -40,10 +57,8 @@ def timeseries(logs: DataFrame, granularity: str = "5min") -> DataFrame:
 
     Columns: ``time`` (ISO) + one count per level.  No gap filling, no order.
     """
-    lv = level_values(logs)
-    agg = (logs.filter(F.col("level").isNotNull())
-           .groupBy(time_bucket(F.col("ts"), granularity).alias("bucket"))
-           .agg(*_level_counts(lv)))
+    counts, lv = _by_level(logs, time_bucket(F.col("ts"), granularity), "bucket")
+    agg = counts.groupBy("bucket").agg(F.sum("_n").alias("_total"), *_level_columns(lv))
     return agg.select(iso(F.col("bucket")).alias("time"), *[F.col(f"`{c}`") for c in lv])
 
 
@@ -51,7 +66,7 @@ def timeseries_long(logs: DataFrame, granularity: str = "5min") -> DataFrame:
     """Long form ``time, level, count``."""
     agg = (logs.filter(F.col("level").isNotNull())
            .groupBy(time_bucket(F.col("ts"), granularity).alias("bucket"), "level")
-           .agg(F.count(F.lit(1)).alias("count")))
+           .agg(lines(logs).alias("count")))
     return agg.select(iso(F.col("bucket")).alias("time"), "level", "count")
 
 
@@ -63,8 +78,8 @@ def error_rate(logs: DataFrame, granularity: str = "5min", rounded: bool = True)
     """
     agg = (logs.filter(F.col("level").isNotNull())
            .groupBy(time_bucket(F.col("ts"), granularity).alias("bucket"))
-           .agg(F.count_if(F.col("level") == "ERROR").alias("err"),
-                F.count(F.lit(1)).alias("total")))
+           .agg(lines(logs, F.col("level") == "ERROR").alias("err"),
+                lines(logs).alias("total")))
     rate = F.col("err") / F.col("total") * F.lit(100.0)
     if rounded:
         return agg.select(iso(F.col("bucket")).alias("time"),
@@ -83,10 +98,8 @@ def top_by_count(agg: DataFrame, count_col: str, key: str, n: int) -> DataFrame:
 def components(logs: DataFrame, top_n: int = 20) -> DataFrame:
     """A5: per component the count per level that occurs and ``total``; top-N by total,
     returned in ascending total order."""
-    lv = level_values(logs)
-    agg = (logs.filter(F.col("level").isNotNull() & F.col("component").isNotNull())
-           .groupBy("component")
-           .agg(F.count(F.lit(1)).alias("total"), *_level_counts(lv)))
+    counts, lv = _by_level(logs.filter(F.col("component").isNotNull()), F.col("component"), "component")
+    agg = counts.groupBy("component").agg(F.sum("_n").alias("total"), *_level_columns(lv))
     top = top_by_count(agg, "total", "component", top_n)
     return top.orderBy(F.col("total").asc(), F.col("component").asc())
 
@@ -106,10 +119,10 @@ def heatmap(logs: DataFrame, top_n: int = 10) -> DataFrame:
     """
     ew = error_or_warn()
     hr = F.hour(F.col("ts"))
-    cells = [F.count_if(ew & (hr == h)).alias(f"h{h:02d}") for h in HOURS]
+    cells = [lines(logs, ew & (hr == h)).alias(f"h{h:02d}") for h in HOURS]
     agg = (logs.filter(F.col("component").isNotNull())
            .groupBy("component")
-           .agg(F.count(F.col("level")).alias("_n"), F.count_if(ew).alias("_ew"), *cells))
+           .agg(lines(logs, F.col("level").isNotNull()).alias("_n"), lines(logs, ew).alias("_ew"), *cells))
     top = top_by_count(agg, "_n", "component", top_n)
     return (top.filter(F.col("_ew") > 0).drop("_n", "_ew").orderBy("component"))
 
@@ -119,14 +132,18 @@ def heatmap_values(hm: DataFrame) -> DataFrame:
     return hm.select("component", F.array(*[F.col(f"h{h:02d}") for h in HOURS]).alias("values"))
 
 
+def dominant_level(logs: DataFrame) -> Column:
+    """The level with most lines (ties alphabetical), as a scalar."""
+    dom = logs.filter(F.col("level").isNotNull()).groupBy("level").agg(lines(logs).alias("_c"))
+    return top_by_count(dom, "_c", "level", 1).select("level").scalar()
+
+
 def snapshot(logs: DataFrame, approximate: bool = False) -> DataFrame:
     """Time window, distinct components, distinct non-null block ids and
     the dominant level (most lines; ties alphabetical).  One row."""
     cd = (lambda c: F.approx_count_distinct(c)) if approximate else \
         (lambda c: F.count_distinct(c))
-    dom = (logs.filter(F.col("level").isNotNull()).groupBy("level")
-           .agg(F.count(F.lit(1)).alias("_c")))
-    dom = top_by_count(dom, "_c", "level", 1).select("level").scalar()
+    dom = dominant_level(logs)
     return (logs.agg(iso(F.min("ts")).alias("start"), iso(F.max("ts")).alias("end"),
                      cd(F.col("component")).alias("n_components"),
                      cd(F.col("block_id")).alias("n_blocks"))
@@ -136,7 +153,7 @@ def snapshot(logs: DataFrame, approximate: bool = False) -> DataFrame:
 def level_mix(logs: DataFrame) -> DataFrame:
     """Count and percent of all lines per level."""
     counts = (logs.filter(F.col("level").isNotNull()).groupBy("level")
-              .agg(F.count(F.lit(1)).alias("count")))
+              .agg(lines(logs).alias("count")))
     tot = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("pct", F.col("count") / tot * F.lit(100.0))
 
@@ -149,8 +166,8 @@ def overview(logs: DataFrame, anomalies: DataFrame,
     af = (anomaly_filter or AnomalyFilter()).apply(anomalies)
     n_anom = af.agg(F.count(F.lit(1))).scalar()
     n_if = af.agg(F.count_if(F.col("method") == "isolation_forest")).scalar()
-    return (lf.agg(F.count(F.lit(1)).alias("total_logs"),
-                   F.count_if(F.col("level") == "ERROR").alias("error_logs"))
+    return (lf.agg(lines(lf).alias("total_logs"),
+                   lines(lf, F.col("level") == "ERROR").alias("error_logs"))
             .withColumn("total_anomalies", n_anom).withColumn("if_anomalies", n_if))
 
 

@@ -47,9 +47,11 @@ def _safe_div(a: Column, b: Column) -> Column:
 def detection_metrics(anom: DataFrame, ground_truth: DataFrame | None = None,
                       anomaly_filter: AnomalyFilter | None = None) -> DataFrame:
     """A11 (+ F10): detected, tp, fp, precision over the labelled subset
-    (rows with a true label; if none, the isolation-forest rows).  With
-    ground truth (``BlockId, Label`` in Anomaly/Normal, unfiltered) also fn,
-    tn, recall, F1.  Metrics rounded half-even to 4 places.  One row."""
+    (rows with a true label; if none, the isolation-forest rows).  A table
+    has labels if any of its rows has one, whatever the filter leaves, and the
+    subset is not empty.  With ground truth (``BlockId, Label`` in
+    Anomaly/Normal, unfiltered) also fn, tn, recall, F1.  Metrics rounded
+    half-even to 4 places.  One row."""
     a = (anomaly_filter or AnomalyFilter()).apply(anom)
     lab = F.col("true_label").isNotNull()
     is_if = F.col("method") == schemas.METHOD_IFOREST
@@ -71,12 +73,13 @@ def detection_metrics(anom: DataFrame, ground_truth: DataFrame | None = None,
         s = s.withColumn("actual", F.lit(None).cast("long")).withColumn("blocks", F.lit(None).cast("long"))
         has_full = F.lit(False)
     use_lab = F.col("n_lab") > 0
+    known = anom.agg(F.count("true_label") > 0).scalar()
     s = s.select(
         (F.col("n_all") > 0).alias("has_data"),
         F.when(use_lab, F.col("n_lab")).otherwise(F.col("n_if")).alias("detected"),
         F.when(use_lab, F.col("tp_lab")).otherwise(F.col("tp_if")).alias("tp"),
         F.when(use_lab, F.col("fp_lab")).otherwise(F.col("fp_if")).alias("fp"),
-        "actual", "blocks", use_lab.alias("has_labels"))
+        "actual", "blocks").withColumn("has_labels", known & (F.col("detected") > 0))
     prec = _safe_div(F.col("tp"), F.col("detected"))
     rec = _safe_div(F.col("tp"), F.col("actual"))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
@@ -95,6 +98,20 @@ def detection_metrics(anom: DataFrame, ground_truth: DataFrame | None = None,
     return out
 
 
+def metrics_reply(anom: DataFrame, ground_truth: DataFrame | None = None,
+                  anomaly_filter: AnomalyFilter | None = None) -> DataFrame:
+    """A11, the whole reply: the metrics, ``confusion_matrix`` ([[tp, fn], [fp, tn]],
+    null without ground truth) and ``method_counts`` (sorted (method, count)
+    entries; only where no labels are known, null otherwise).  One row."""
+    metrics = detection_metrics(anom, ground_truth, anomaly_filter)
+    # One entry a method: the methods are a handful of names.
+    counts = method_counts((anomaly_filter or AnomalyFilter()).apply(anom).where("method is not null")).agg(
+        F.array_sort(F.collect_list(F.struct("method", "count")))).scalar()
+    pairs = F.array(F.array("tp", "fn"), F.array("fp", "tn"))
+    return metrics.select("*", F.when(F.col("has_full_metrics"), pairs).alias("confusion_matrix"),
+                          F.when(F.col("has_data") & ~F.col("has_labels"), counts).alias("method_counts"))
+
+
 def health_status(metrics: DataFrame) -> DataFrame:
     """A17 + A18: status (ok / warn / critical) and tp / fp shares of the
     detected blocks (percent; null when nothing is detected)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave import schemas
 from logweave.functions.timefmt import iso, iso_utc, parse_iso_utc, time_bucket
+from logweave.operators.activity import lines
 from logweave.operators.filters import error_or_warn
 
 
@@ -22,7 +23,7 @@ def error_spikes(logs: DataFrame, seconds: int = 60, sigma: float = 2.0) -> Data
     """
     ew = logs.filter(error_or_warn())
     counts = (ew.groupBy(time_bucket(F.col("ts"), seconds=seconds).alias("bucket"))
-              .agg(F.count(F.lit(1)).alias("error_count")))
+              .agg(lines(ew).alias("error_count")))
     threshold = counts.agg(F.avg("error_count") + F.lit(sigma) * F.stddev_samp("error_count")).scalar()
     out = counts.filter(F.col("error_count") > threshold)
     return out.select(iso(F.col("bucket")).alias("minute"), "error_count")

@@ -60,11 +60,23 @@ def q_parse_logs(spark, sf_dir):
 
 # ------------------------------------------------------------- timeseries ---
 
+# The levels of the rendered lines (fixed fixture values): a view's pivot needs
+# its columns named, and any other level makes the statement fail.
+LEVELS, FILTERED_LEVELS = ("DEBUG", "ERROR", "FATAL", "INFO", "WARN"), ("ERROR", "INFO", "WARN")
+
+
+def _levels(levels=LEVELS) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in levels) + ")"
+
+
+def _level_sql(levels=LEVELS) -> str:
+    return f"CASE WHEN level IN {_levels(levels)} THEN level ELSE error('another level: ' || level) END AS level"
+
+
 def _ts_sql(seconds: int) -> str:
-    # The pivot's columns are the levels found in the data.
     return _with(LOGS_CTE) + f""",
-b AS (SELECT {_iso_sql(f"to_timestamp(floor(epoch(ts) / {seconds}) * {seconds})::TIMESTAMP")} AS time, level FROM logs)
-SELECT * FROM (PIVOT b ON level USING count(*) GROUP BY time)"""
+b AS (SELECT {_iso_sql(f"to_timestamp(floor(epoch(ts) / {seconds}) * {seconds})::TIMESTAMP")} AS time, {_level_sql()} FROM logs)
+SELECT * FROM (PIVOT b ON level IN {_levels()} USING count(*) GROUP BY time)"""
 
 
 def _ts_query(granularity):
@@ -114,14 +126,17 @@ def q_error_rate_unrounded(spark, sf_dir):
     return df.withColumn("error_rate", F.round("error_rate", 9))
 
 
-_PIVOT = "(PIVOT cl ON level USING count(*) GROUP BY component) p"
-_TOP_COMPONENTS_SQL = """,
-cl AS (SELECT component, level FROM logs),
+def _pivot(levels=LEVELS) -> str:
+    return f"(PIVOT cl ON level IN {_levels(levels)} USING count(*) GROUP BY component) p"
+
+
+_TOP_COMPONENTS_SQL = f""",
+cl AS (SELECT component, {_level_sql()} FROM logs),
 top AS (SELECT component, count(*) AS total FROM logs GROUP BY component ORDER BY total DESC, component LIMIT 20)"""
 
 
 @register("components_top20", _with(LOGS_CTE) + _TOP_COMPONENTS_SQL + """
-SELECT p.*, total FROM top JOIN """ + _PIVOT + " USING (component)")
+SELECT p.*, total FROM top JOIN """ + _pivot() + " USING (component)")
 def q_components(spark, sf_dir):
     """Top-20 components by lines, counts per level."""
     from logweave.operators.activity import components
@@ -130,7 +145,7 @@ def q_components(spark, sf_dir):
 
 @register("component_share", _with(LOGS_CTE) + _TOP_COMPONENTS_SQL + """
 SELECT p.*, total, CAST(total AS DOUBLE) / (SELECT max(total) FROM top) * 100.0 AS share_pct
-FROM top JOIN """ + _PIVOT + " USING (component)")
+FROM top JOIN """ + _pivot() + " USING (component)")
 def q_component_share(spark, sf_dir):
     """Top-20 components with their share of the largest one."""
     from logweave.operators.activity import component_share, components
@@ -562,6 +577,43 @@ def q_detection_metrics_unlabelled(spark, sf_dir):
     return _metrics(spark, sf_dir, "isolation_forest")
 
 
+_REPLY_SQL = """
+SELECT m.*, CASE WHEN has_full_metrics THEN format('{}/{}/{}/{}', tp, fn, fp, tn) END AS confusion,
+       CASE WHEN has_data AND NOT has_labels THEN (SELECT string_agg(method || '=' || n, ',' ORDER BY method)
+         FROM (SELECT method, count(*) AS n FROM a GROUP BY method)) END AS counts FROM m"""
+
+
+def _reply(spark, sf_dir, methods=None, labelled=True):
+    from logweave.operators.evaluate import metrics_reply
+    from logweave.operators.filters import AnomalyFilter
+    anom = _anom(spark, sf_dir)
+    if not labelled:
+        anom = anom.withColumn("true_label", F.lit(None).cast("string"))
+    r = metrics_reply(anom, fx.labels(spark, sf_dir), AnomalyFilter(methods=methods))
+    counts = F.array_join(F.transform("method_counts", lambda x: F.concat(x["method"], F.lit("="), x["count"])), ",")
+    return r.select("*", F.array_join(F.flatten("confusion_matrix"), "/").alias("confusion"),
+                    counts.alias("counts")).drop("confusion_matrix", "method_counts")
+
+
+def _reply_sql(where: str) -> str:
+    head, tail = _metrics_sql(where).split("\nSELECT has_data, has_labels,", 1)
+    return head + ",\nm AS (SELECT has_data, has_labels," + tail + ")" + _REPLY_SQL
+
+
+@register("detection_metrics_reply", _reply_sql("true"))
+def q_detection_metrics_reply(spark, sf_dir):
+    """The whole reply with its confusion matrix."""
+    return _reply(spark, sf_dir)
+
+
+@register("detection_metrics_no_labels", _reply_sql("true").replace("anom AS (", "anom0 AS (", 1).replace(
+    "\na AS (SELECT * FROM anom WHERE", "\nanom AS (SELECT * REPLACE (NULL::VARCHAR AS true_label) FROM anom0),"
+    "\na AS (SELECT * FROM anom WHERE").replace("has_data AND detected > 0 AS has_labels", "false AS has_labels"))
+def q_detection_metrics_no_labels(spark, sf_dir):
+    """An anomaly table without any true label answers with its method counts."""
+    return _reply(spark, sf_dir, labelled=False)
+
+
 @register("health_status", _metrics_sql("true").replace("\nSELECT has_data, has_labels,", ",\nm AS (SELECT has_data, has_labels,", 1).rstrip() + """)
 SELECT *, CASE WHEN NOT has_data THEN 'ok'
                WHEN coalesce(precision, 1.0) < 0.6 THEN 'critical'
@@ -1009,8 +1061,8 @@ fl AS (SELECT * FROM logs WHERE {_FILTER_SQL})"""
 
 
 @register("timeseries_filtered", _with(LOGS_CTE) + _FLOGS + f""",
-b AS (SELECT {_iso_sql(_BUCKET_1H)} AS time, level FROM fl)
-SELECT * FROM (PIVOT b ON level USING count(*) GROUP BY time)""")
+b AS (SELECT {_iso_sql(_BUCKET_1H)} AS time, {_level_sql(FILTERED_LEVELS)} FROM fl)
+SELECT * FROM (PIVOT b ON level IN {_levels(FILTERED_LEVELS)} USING count(*) GROUP BY time)""")
 def q_timeseries_filtered(spark, sf_dir):
     """A3 under F1-F3: hourly lines per level of the filtered logs."""
     from logweave.operators.activity import timeseries
@@ -1027,10 +1079,10 @@ def q_error_rate_filtered(spark, sf_dir):
     return error_rate(_log_filter().apply(fx.logs(spark, sf_dir)), "1h", rounded=True)
 
 
-@register("components_filtered", _with(LOGS_CTE) + _FLOGS + """,
-cl AS (SELECT component, level FROM fl),
+@register("components_filtered", _with(LOGS_CTE) + _FLOGS + f""",
+cl AS (SELECT component, {_level_sql(FILTERED_LEVELS)} FROM fl),
 top AS (SELECT component, count(*) AS total FROM fl GROUP BY component ORDER BY total DESC, component LIMIT 3)
-SELECT p.*, total FROM top JOIN """ + _PIVOT + " USING (component)")
+SELECT p.*, total FROM top JOIN """ + _pivot(FILTERED_LEVELS) + " USING (component)")
 def q_components_filtered(spark, sf_dir):
     """A5 under F1-F3: the three busiest components of the filtered lines."""
     from logweave.operators.activity import components

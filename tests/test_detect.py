@@ -103,3 +103,21 @@ def test_unlabelled_forest_rows_are_no_labels(spark):
     an = spark.createDataFrame([("isolation_forest", "b1", None, None, None, "t")], schemas.ANOMALIES)
     r = detection_metrics(an).first()
     assert r.has_data and not r.has_labels and r.precision is None
+
+
+def test_labels_are_those_of_the_whole_table(spark):
+    """A filter that leaves unlabelled forest rows keeps the table's labels: precision 0, nothing true."""
+    from logweave.operators.evaluate import metrics_reply
+    from logweave.operators.filters import AnomalyFilter
+    rows = [("kmeans_distance", "b1", "Fail", None, None, "t"), ("isolation_forest", "b2", None, None, None, "t"),
+            ("isolation_forest", "b3", None, None, None, "t")]
+    an = spark.createDataFrame(rows, schemas.ANOMALIES)
+    gt = spark.createDataFrame([("b1", "Anomaly"), ("b2", "Normal")], "BlockId string, Label string")
+    r = metrics_reply(an, gt, AnomalyFilter(methods="isolation_forest")).first()
+    assert r.has_labels and (r.detected, r.tp, r.fp, r.precision) == (2, 0, 0, 0.0) and r.method_counts is None
+    r = metrics_reply(an, gt).first()
+    assert (r.detected, r.tp) == (1, 1) and r.confusion_matrix == [[1, 0], [0, 1]]
+    r = metrics_reply(an, gt, AnomalyFilter(methods="nothing")).first()
+    assert not r.has_data and not r.has_labels and r.method_counts is None
+    r = metrics_reply(an.where("true_label is null"), gt).first()
+    assert not r.has_labels and [tuple(x) for x in r.method_counts] == [("isolation_forest", 2)] and r.confusion_matrix is None

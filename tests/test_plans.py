@@ -84,3 +84,23 @@ def test_spread_only_small_inputs(spark, tmp_dir):
     sp = spread(spark.read.parquet(small))
     assert "RoundRobinPartitioning" in _plan(sp) and sp.count() == 100
     assert sp.rdd.getNumPartitions() == cores
+
+
+def test_wide_forms_scan_once(spark, tmp_dir):
+    """The levels and their counts come from one pass; the wide form reads no log row."""
+    path = os.path.join(tmp_dir, "parsed")
+    append_logs(fx.parsed_logs(spark, SMALL), path)
+    logs = log_view(read_parsed_logs(spark, path))
+    for df in (timeseries(logs, "5min"), components(logs, 5)):
+        assert "FileScan" not in _plan(df)
+
+
+def test_counts_of_a_rollup_are_those_of_its_lines(spark):
+    from logweave.operators.activity import error_rate, heatmap, level_mix, timeseries_long
+    from logweave.operators.spikes import error_spikes
+    logs = fx.logs(spark, SMALL)
+    rolled = logs.groupBy(F.date_trunc("minute", "ts").alias("ts"), "level", "component").agg(
+        F.count("*").alias("weight"))
+    for f in (lambda x: timeseries(x, "15min"), lambda x: timeseries_long(x, "1min"), lambda x: error_rate(x, "1h"),
+              lambda x: error_rate(x, "1h", rounded=False), lambda x: components(x, 7), heatmap, level_mix, error_spikes):
+        assert sorted(map(tuple, f(rolled).collect())) == sorted(map(tuple, f(logs).collect())) != []
