@@ -1130,3 +1130,127 @@ def q_raw_log_files(spark, sf_dir):
     fx.log_lines(spark, sf_dir).select("raw").write.text(raw)
     bulk_ingest(spark, raw, out, ingested_at=DETECTED_AT)
     return read_parsed_logs(spark, out).groupBy("level", "component", "block_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+# ------------------------------------ live views, stored tables under load ---
+
+# The logs of the stream, in place of the rendered ones.
+SLOGS_CTE = DEC_CTE + f""",
+logs AS (SELECT * FROM (SELECT level, component, block_id, {fx.TS_SQL} AS ts FROM dp) WHERE ts IS NOT NULL)"""
+
+
+def _streamed(key: str) -> str:
+    """The SQL of a log query, over the lines of the stream."""
+    return ORACLE[key].replace(_with(LOGS_CTE), _with(SLOGS_CTE), 1)
+
+
+def _rollup(spark, sf_dir) -> str:
+    """Two runs of the rollup stream, each over half of the files; folded after the first."""
+    from logweave.session import scratch_path
+    from logweave.streaming.live import compact_rollup, start_rollup
+    target = scratch_path(spark, "rollup")
+    for part in (0, 1):
+        start_rollup(_stream_source(spark, sf_dir, part), target, scratch_path(spark, "ckpt-rollup"),
+                     available_now=True).awaitTermination()
+        if part == 0:
+            compact_rollup(spark, target)
+    return target
+
+
+@register("stream_components", _streamed("components_top20"))
+def q_stream_components(spark, sf_dir):
+    """Top components from the rollups of the stream."""
+    from logweave.operators.activity import components
+    from logweave.streaming.live import live_logs
+    return components(live_logs(spark, _rollup(spark, sf_dir)), 20)
+
+
+@register("stream_heatmap", _streamed("heatmap_top10"))
+def q_stream_heatmap(spark, sf_dir):
+    """Component by hour heatmap from the rollups."""
+    from logweave.operators.activity import heatmap
+    from logweave.streaming.live import live_logs
+    return heatmap(live_logs(spark, _rollup(spark, sf_dir)), 10)
+
+
+@register("stream_snapshot", _streamed("snapshot"))
+def q_stream_snapshot(spark, sf_dir):
+    """Snapshot from the rollups; distinct blocks from merged sketches."""
+    from logweave.streaming.live import live_snapshot
+    return live_snapshot(spark, _rollup(spark, sf_dir))
+
+
+@register("stream_spikes", _streamed("error_spikes_minute"))
+def q_stream_spikes(spark, sf_dir):
+    """Error spikes from the rollups: a minute's count is the sum over batches."""
+    from logweave.operators.spikes import error_spikes
+    from logweave.streaming.live import live_logs
+    return error_spikes(live_logs(spark, _rollup(spark, sf_dir)), seconds=60)
+
+
+@register("stream_views", _with(SLOGS_CTE) + f""",
+l AS (SELECT * FROM logs WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13'
+      AND level IN ({_LEVEL_LIST_SQL}))
+SELECT 'series' AS view, {_iso_sql(_BUCKET_1H)} AS name, level, count(*)::DOUBLE AS value FROM l GROUP BY 2, 3
+UNION ALL SELECT 'rate', {_iso_sql(_BUCKET_1H)}, NULL,
+  round_even(CAST(count_if(level = 'ERROR') AS DOUBLE) / count(*) * 100.0, 2) FROM l GROUP BY 2
+UNION ALL SELECT 'mix', NULL, level, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM l) * 100.0 FROM l GROUP BY 3
+UNION ALL SELECT 'overview', 'total_logs', NULL, count(*) FROM l
+UNION ALL SELECT 'overview', 'error_logs', NULL, count_if(level = 'ERROR') FROM l""")
+def q_stream_views(spark, sf_dir):
+    """The other live views, under a filter of whole days and levels."""
+    from logweave.operators.activity import error_rate, level_mix, overview, timeseries_long
+    from logweave.operators.filters import whole_days
+    from logweave.schemas import ANOMALIES
+    from logweave.streaming.live import live_logs
+    rows = whole_days("2024-01-10", "2024-01-12", levels=F_LEVELS).apply(live_logs(spark, _rollup(spark, sf_dir)))
+    none = F.lit(None).cast("string")
+
+    def view(df, kind, name, level, value):
+        return df.select(F.lit(kind).alias("view"), name.alias("name"), level.alias("level"),
+                         F.col(value).cast("double").alias("value"))
+
+    ov = overview(rows, spark.createDataFrame([], ANOMALIES))
+    parts = [view(timeseries_long(rows, "1h"), "series", F.col("time"), F.col("level"), "count"),
+             view(error_rate(rows, "1h"), "rate", F.col("time"), none, "error_rate"),
+             view(level_mix(rows), "mix", none, F.col("level"), "pct"),
+             *[view(ov, "overview", F.lit(c), none, c) for c in ("total_logs", "error_logs")]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("stream_compacted_logs", _with(DEC_CTE) + """
+SELECT ingested_at, source_file, raw, level, component, message, block_id FROM dp""")
+def q_stream_compacted_logs(spark, sf_dir):
+    """Two runs into one log table, folded after each, old files removed; the
+    table read back."""
+    from logweave.session import scratch_path
+    from logweave.sources.sinks import compact_logs
+    from logweave.sources.tables import read_parsed_logs
+    from logweave.streaming.ingest import start_ingest
+    from logweave.streaming.runs import vacuum
+    out = scratch_path(spark, "parsed_logs")
+    for part in (0, 1):
+        start_ingest(_stream_values(spark, sf_dir, part), out, scratch_path(spark, "ckpt-ingest"),
+                     available_now=True).awaitTermination()
+        compact_logs(spark, out)
+        vacuum(spark, out)
+    return read_parsed_logs(spark, out).select(*_PARSED_COLS)
+
+
+@register("stream_keyed_upsert", _UPSERT_SQL)
+def q_stream_keyed_upsert(spark, sf_dir):
+    """The keyed anomaly table folded between three runs; each (method, block)
+    once, with its first time."""
+    from logweave.session import scratch_path
+    from logweave.streaming.detect import compact_anomalies, read_stored, start_detection
+    from logweave.streaming.runs import vacuum
+    target, flagged = scratch_path(spark, "anomalies-stream"), _flagged_table(spark, sf_dir)
+    for part in (0, 1, None):
+        start_detection(_stream_source(spark, sf_dir, part), flagged, target, scratch_path(spark, "ckpt-detect"),
+                        available_now=True).awaitTermination()
+        compact_anomalies(spark, target)
+        vacuum(spark, target)
+    return read_stored(spark, target).select(*_ANOM_COLS)

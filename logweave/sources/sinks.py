@@ -84,6 +84,14 @@ def append_logs(parsed: DataFrame, path: str, run: str | None = None, batch: int
     write_batch(rows, path, run or f"bulk-{uuid.uuid4().hex}", batch, ("dt",))
 
 
+def compact_logs(spark, path: str, least: int = 2) -> int:
+    """K2: fold the small files that batches have left in the stored log table, day
+    by day, into files of a good size; the rows stay.  Returns the batches folded;
+    ``streaming.runs.vacuum`` removes the old files."""
+    from logweave.streaming.runs import compact
+    return compact(spark, path, schemas.PARSED_LOGS, by=("dt",), least=least)
+
+
 def anomalies_frame(df: DataFrame) -> DataFrame:
     """Project any anomaly rows onto the single wide anomaly schema."""
     out = []

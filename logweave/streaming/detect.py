@@ -3,11 +3,15 @@
 Per micro-batch, entirely on the executors:
   parsed rows with a block id -> first occurrence per block (dedupe) ->
   stream-static join with the flagged block scores (J1) -> anti join with
-  the anomalies that any other batch has stored (J4) -> write.
+  the stored anomalies (J4) -> write.
 
-Replay safety (K3): a batch owns its partitions (``streaming.runs``) and is
-compared with everything stored but its own, so a replay rewrites the same
-rows, and a run with a new checkpoint finds what earlier runs stored.
+The stored table is keyed: a row lies in the bucket of its (method, block_id),
+the topmost partition.  A trigger lists and reads the buckets of the keys it has
+found and no others, so its reading does not grow with the other keys; the number
+of buckets is fixed when the table begins and kept in its commit log.
+
+Replay safety (K3): a batch is committed once (``streaming.runs``) and not written
+again, and a run with a new checkpoint finds what earlier runs stored.
 ``detected_at`` comes from the data (the earliest ``ingested_at`` of the block
 in the batch), not from the wall clock, so a replay keeps the first time.
 """
@@ -18,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave import schemas
-from logweave.streaming.runs import read_batches, start_batches, write_batch
+from logweave.streaming.runs import commits, compact, read_batches, start_batches, write_batch
 
 ANOM_KEY = ["method", "block_id"]
+#: Key buckets of a new table.
+BUCKETS = 64
+BY_BUCKET = ("bucket",)
 
 
 def batch_anomalies(batch: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -31,17 +38,41 @@ def batch_anomalies(batch: DataFrame, flagged: DataFrame) -> DataFrame:
         F.lit(schemas.METHOD_KMEANS).alias("method"), "block_id", "true_label", "detected_at")
 
 
-def upsert_batch(new_rows: DataFrame, target: str, run: str, number: int) -> None:
-    """K3 + J4: write the rows whose (method, block_id) no other batch has stored."""
-    rows = new_rows.dropDuplicates(ANOM_KEY)
-    stored = read_batches(new_rows.sparkSession, target, schemas.ANOMALIES)
-    if stored is not None:
-        others = stored.where((F.col("run") != run) | (F.col("batch") != number)).select(*ANOM_KEY)
-        rows = rows.join(others, ANOM_KEY, "left_anti")
-    out = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns
-                        else F.lit(None).cast(f.dataType).alias(f.name)
-                        for f in schemas.ANOMALIES.fields])
-    write_batch(out, target, run, number)
+def key_bucket(buckets: int):
+    """Bucket of a row's (method, block_id)."""
+    return F.pmod(F.xxhash64(*ANOM_KEY), F.lit(buckets)).cast("int")
+
+
+def stored_keys(spark, target: str, touched: list[int]) -> DataFrame | None:
+    """Keys stored in some buckets; None if there are none."""
+    return read_batches(spark, target, schemas.ANOMALIES, lead=BY_BUCKET, only=touched) if touched else None
+
+
+def upsert_batch(new_rows: DataFrame, target: str, run: str, number: int, buckets: int = BUCKETS) -> None:
+    """K3 + J4: write the rows whose (method, block_id) is not stored.  ``buckets``
+    is used where the table begins; later its own number counts."""
+    spark = new_rows.sparkSession
+    log = commits(spark, target)
+    if log is not None and log.holds(run, number):
+        return
+    buckets = log.buckets if log is not None and log.buckets else buckets
+    rows = new_rows.dropDuplicates(ANOM_KEY).withColumn("bucket", key_bucket(buckets)).persist()
+    try:
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]    # at most ``buckets`` numbers
+        stored = stored_keys(spark, target, touched)
+        fresh = rows if stored is None else rows.join(stored.select("bucket", *ANOM_KEY), ["bucket", *ANOM_KEY], "left_anti")
+        out = fresh.select("bucket", *[F.col(f.name).cast(f.dataType) if f.name in fresh.columns
+                                       else F.lit(None).cast(f.dataType).alias(f.name)
+                                       for f in schemas.ANOMALIES.fields])
+        # A bucket's rows of a batch are one file.
+        write_batch(out.repartition("bucket"), target, run, number, lead=BY_BUCKET, buckets=buckets)
+    finally:
+        rows.unpersist()
+
+
+def compact_anomalies(spark, target: str, least: int = 2) -> int:
+    """Fold the small files of the batches, bucket by bucket; returns the batches folded."""
+    return compact(spark, target, schemas.ANOMALIES, lead=BY_BUCKET, least=least)
 
 
 def start_detection(parsed_stream: DataFrame, flagged: DataFrame, target: str, checkpoint: str,
@@ -60,5 +91,5 @@ def start_detection(parsed_stream: DataFrame, flagged: DataFrame, target: str, c
 
 def read_stored(spark, target: str) -> DataFrame:
     """The anomaly rows of all detection runs; none if there is no table yet."""
-    df = read_batches(spark, target, schemas.ANOMALIES)
-    return spark.createDataFrame([], schemas.ANOMALIES) if df is None else df.drop("run", "batch")
+    df = read_batches(spark, target, schemas.ANOMALIES, lead=BY_BUCKET)
+    return spark.createDataFrame([], schemas.ANOMALIES) if df is None else df.drop("run", "batch", "bucket")
