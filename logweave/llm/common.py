@@ -19,6 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_small(df: DataFrame, rows: int, per_file: int = 50_000) -> DataFrame:
+    """``cut`` for a frame of about ``rows`` rows: dealt anew into files of about
+    ``per_file`` rows, where its partitions would each leave a file of a few."""
+    return cut(df.repartition(rows // per_file + 1))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\x20\x09-\x0D]+`` of a text as an array (null text: no words)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")

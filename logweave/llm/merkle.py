@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.common import LOWER, UPPER, cut
+from logweave.llm.common import LOWER, UPPER, cut, cut_small
 from logweave.llm.stream import batches_of, runs_of
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -81,28 +81,32 @@ def fold(digest: str, path: list[str]) -> str:
     return digest
 
 
-def _placed(nodes: DataFrame, order: list[str]) -> DataFrame:
-    """``nodes`` (tree, ...) with ``idx``, the place in the tree by ``order`` (nulls
-    first), and ``size``, the nodes of the tree; materialised once."""
+def _placed(nodes: DataFrame, order: list[str], count: int) -> tuple[DataFrame, int]:
+    """``nodes`` (tree, ...; about ``count`` rows) with ``idx``, the place in the tree
+    by ``order`` (nulls first), and ``size``, the nodes of the tree; and the largest size."""
     keys = [F.col(c).asc_nulls_first() for c in ("tree", *order)]
-    rows = cut(nodes.repartitionByRange(*keys).sortWithinPartitions(*keys)
-               .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    sorted_rows = nodes.repartitionByRange(*keys).sortWithinPartitions(*keys) \
+        .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    # Rows of a sorted partition carry its number, so several partitions may share a file.
+    rows = cut(sorted_rows.coalesce(count // 50_000 + 1))
     # One row for each tree a partition holds; a tree's rows here are the partitions it spans.
     part = rows.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     tree = Window.partitionBy("tree")
     before = F.sum("n").over(tree.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     part = part.select("tree", "part", "first", F.coalesce(before, F.lit(0)).alias("before"),
                        F.sum("n").over(tree).alias("size"))
-    return cut(rows.join(part, ["tree", "part"]).withColumn("idx", F.col("before") + F.col("at") - F.col("first"))
-               .drop("part", "at", "first", "before"))
+    out = rows.join(part, ["tree", "part"]).withColumn("idx", F.col("before") + F.col("at") - F.col("first")) \
+        .drop("part", "at", "first", "before")
+    return out, rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 NODE = T.StructType().add("tree", "string").add("idx", "long").add("size", "long").add("digest", "string")
 PATHS = T.StructType().add("tree", "string").add("idx", "long").add("path", T.ArrayType(T.StringType()))
 
 
-def _grown(nodes: DataFrame, fan: int, every: int) -> list[DataFrame]:
-    """The stored levels over ``nodes``, lowest first; each tree ends at the level where its size is 1."""
+def _grown(nodes: DataFrame, largest: int, count: int, fan: int, every: int) -> list[DataFrame]:
+    """The stored levels over ``nodes`` (``count`` rows, at most ``largest`` a tree),
+    lowest first; each tree ends at the level where its size is 1."""
     span = fan ** every
 
     def fold_subtrees(batches):
@@ -113,12 +117,11 @@ def _grown(nodes: DataFrame, fan: int, every: int) -> list[DataFrame]:
         yield from batches_of(tops(), NODE)
 
     levels = [nodes]
-    largest = nodes.agg(F.max("size")).first()[0] or 0
     while largest > 1:
         rows = levels[-1].where("size > 1").select(
             "tree", F.expr(f"idx div {span}").alias("sub"), "size", "idx", "digest")
         dealt = rows.repartition("tree", "sub").sortWithinPartitions("tree", "sub", "idx")
-        levels.append(cut(dealt.mapInArrow(fold_subtrees, NODE)))
+        levels.append(cut_small(dealt.mapInArrow(fold_subtrees, NODE), count // span ** len(levels)))
         largest = -(-largest // span)
     return levels
 
@@ -157,12 +160,13 @@ def _paths_in_subtrees(batches, fan: int, every: int):
             yield row, siblings(levels, place, fan) + head[5]
 
 
-def _descend(levels: list[DataFrame], tops: DataFrame, fan: int, every: int, lowest: bool) -> DataFrame:
+def _descend(levels: list[DataFrame], count: int, tops: DataFrame, fan: int, every: int, lowest: bool) -> DataFrame:
     """Siblings up to the root of the stored nodes, from the trees' roots (``tops``:
     tree, path) down to the leaves, or to the level above them unless ``lowest``."""
     def down(batches):
         yield from batches_of(((r[0], r[3], path) for r, path in _paths_in_subtrees(batches, fan, every)), PATHS)
 
+    span = fan ** every
     known, above = tops.select("tree", F.lit(0).cast("long").alias("idx"), "path"), None
     for k in range(len(levels) - 1, -1 if lowest else 0, -1):
         # Trees whose root is this level's node start here; the others go on from above.
@@ -170,8 +174,8 @@ def _descend(levels: list[DataFrame], tops: DataFrame, fan: int, every: int, low
         if above is None:
             above = ends
         else:
-            inner = _subtrees(levels[k].where("size > 1"), above, fan ** every).mapInArrow(down, PATHS)
-            above = cut(inner.unionByName(ends))
+            inner = _subtrees(levels[k].where("size > 1"), above, span).mapInArrow(down, PATHS)
+            above = cut_small(inner.unionByName(ends), count // span ** k, 5_000)
     return above
 
 
@@ -183,6 +187,8 @@ class Manifest:
     root: str
     fan: int
     every: int
+    count: int
+    groups: int
 
     def subroots(self) -> DataFrame:
         """(tree, digest) of each group."""
@@ -194,11 +200,11 @@ class Manifest:
         ``folded_root`` (what the claimed leaf and the siblings give) and
         ``verified``; the siblings themselves if asked for, two texts a level."""
         fan, every, root = self.fan, self.every, self.root
-        tops = _descend(self.top_levels, self.top_levels[-1].where("size = 1").select(
+        tops = _descend(self.top_levels, self.groups, self.top_levels[-1].where("size = 1").select(
             "tree", F.array().cast("array<string>").alias("path")), fan, every, lowest=True)
         groups = self.top_levels[0].select(F.col("idx"), F.col("name")).join(tops.select("idx", "path"), "idx") \
             .select(F.col("name").alias("tree"), "path")
-        above = _descend(self.levels, groups, fan, every, lowest=False) if len(self.levels) > 1 else None
+        above = _descend(self.levels, self.count, groups, fan, every, lowest=False) if len(self.levels) > 1 else None
         leaves = self.levels[0]
         alone = leaves.where("size = 1").select("tree").join(groups, "tree").select(
             "tree", F.lit(0).cast("long").alias("idx"), "path")
@@ -228,11 +234,13 @@ def build(docs: DataFrame, id_col: str = "doc_id", group: str = "source", fields
     tree = F.coalesce(F.concat(F.lit("s"), F.col(group).cast("string")), F.lit("n"))
     rows = docs.select(tree.alias("tree"), F.col(id_col).alias("id"), leaf.alias("digest"),
                        (leaf if claim is None else claim).alias("claim"))
-    levels = _grown(_placed(rows, ["id", "digest"]), fan, every)
+    count = docs.count()
+    levels = _grown(*_placed(rows, ["id", "digest"], count), count, fan, every)
     groups = _tops(levels).select(F.lit("root").alias("tree"), F.col("tree").alias("name"), "digest")
-    top_levels = _grown(_placed(groups, ["name"]), fan, every)
+    n_groups = groups.count()
+    top_levels = _grown(*_placed(groups, ["name"], n_groups), n_groups, fan, every)
     root = _tops(top_levels).first()
-    return Manifest(levels, top_levels, root["digest"] if root else "", fan, every)
+    return Manifest(levels, top_levels, root["digest"] if root else "", fan, every, count, n_groups)
 
 
 def tampered_leaf(one_in: int = 5, id_col: str = "doc_id", text: str = "text", fields: tuple[str, ...] = FIELDS) -> Column:
