@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import LOWER, UPPER, cut
+from logweave.llm.common import LOWER, UPPER, cut_small
 
 #: Everything but ``0-9``, ``a-z`` and characters beyond ASCII parts words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,15 +48,16 @@ def _shingle_key(words: Column, place: Column, n: int) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, width: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct windows (wid, span, n, size: words of a shingle), and (wid, item) pairs."""
+    """Distinct windows (wid: the span's digest, span, n words, size: words of a
+    shingle), and distinct (wid, item) pairs."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"),
                         words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(width))
     spans = rows.select("item", "words", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("words") - n + 1)).alias("at")) \
         .select("item", "n", F.array_join(F.slice("words", F.col("at"), F.col("n")), " ").alias("span")).distinct()
-    windows = cut(spans.select("span", "n").distinct().withColumn("wid", F.monotonically_increasing_id())
-                  .withColumn("size", F.least(F.col("n"), F.lit(shingle))))
-    return windows, spans.join(windows, ["span", "n"]).select("wid", "item")
+    spans = spans.withColumn("wid", F.sha2("span", 256))
+    windows = spans.select("wid", "span", "n", F.least(F.col("n"), F.lit(shingle)).alias("size")).distinct()
+    return windows, spans.select("wid", "item")
 
 
 def _window_shingles(windows: DataFrame, sizes: list[int]) -> DataFrame:
@@ -88,12 +89,11 @@ def _blocks(rows: DataFrame, key: str, size: Column) -> list[DataFrame]:
 def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Occurrences of the windows: distinct (text_key, wid, start, n), 0-based starts.
     ``docs`` has ``text_key`` and ``words``."""
-    found = docs.where(F.lit(False)).select("text_key", F.lit(0).cast("long").alias("wid"), F.lit(0).alias("start"),
-                                            F.lit(0).alias("n"))
+    found = docs.where(F.lit(False)).select("text_key", F.lit("").alias("wid"), F.lit(0).alias("start"), F.lit(0).alias("n"))
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())      # at most ``shingle`` values
     if not sizes:
         return found
-    shingles = cut(_window_shingles(windows, sizes))
+    shingles = _window_shingles(windows, sizes)
     texts = _doc_shingles(docs, sizes)
     counted = [texts.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
                for keys in _blocks(shingles.select("key").distinct(), "key", F.lit(40))]
@@ -101,8 +101,8 @@ def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     # The prefix: of each window the shingle that is rarest over all documents; none if one does not occur.
     rare = shingles.join(freq, "key", "left").groupBy("wid").agg(
         F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key", "off")).alias("r"))
-    prefix = cut(rare.where("r.freq > 0").join(windows, "wid")
-                 .select("wid", "span", "n", F.col("r.key").alias("key"), F.col("r.off").alias("off")))
+    prefix = cut_small(rare.where("r.freq > 0").join(windows, "wid").select(
+        "wid", "span", "n", F.col("r.key").alias("key"), F.col("r.off").alias("off")), windows.count())
     parts = []
     for block in _blocks(prefix, "wid", F.octet_length("span") + 64):
         t, w = texts.alias("t"), F.broadcast(block.alias("w"))
@@ -122,17 +122,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key"),
                        words_of(F.col(text_col)).alias("words"))
     windows, pairs = item_windows(items, item_col, item_text, width, shingle)
-    found = cut(matches(rows.select("text_key", "words"), windows))
-    # Covered words: occurrences in order of start, each adding what lies beyond the farthest end before it.
+    found = matches(rows.select("text_key", "words"), windows)
+    # Covered words: occurrences in order of start, each adding what lies beyond the
+    # farthest end before it (a text's occurrences are at most as many as its windows).
     end = F.col("start") + F.col("n")
     far = F.max(end).over(Window.partitionBy("text_key").orderBy("start", "n")
                           .rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce("far", F.lit(0))))
-    places = found.select("text_key", "start", "n").distinct().withColumn("far", far)
-    covered = places.groupBy("text_key").agg(F.sum(fresh).cast("long").alias("n_hit"))
-    named = found.select("text_key", "wid").distinct().join(pairs, "wid").select("text_key", "item").distinct() \
-        .groupBy("text_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    hits = covered.join(named, "text_key")
+    texts = found.withColumn("far", far).groupBy("text_key").agg(
+        F.sum(fresh).cast("long").alias("n_hit"), F.collect_set("wid").alias("wids"))
+    hits = texts.select("text_key", "n_hit", F.explode("wids").alias("wid")).join(pairs, "wid") \
+        .groupBy("text_key").agg(F.first("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select("id", "text_key", F.size("words").cast("long").alias("n_words")).join(hits, "text_key", "left").select(
         "id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
