@@ -1,5 +1,9 @@
 """K-Means distance scoring and detectors.
 
+Blocks with equal event counts are one point of the model: the fit, the distances
+and the cutoff work on the distinct count vectors, each with the number of its
+blocks as weight, and only what is asked of single blocks is joined back to them.
+
 Standardisation and the distance to the assigned centre are plain column
 arithmetic (unrolled over the 29 features, inside whole-stage codegen).
 The centre table has exactly k rows (or one per distinct assignment), so
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave import schemas
-from logweave.operators.cutoff import flag_exact_n, flag_ge_cutoff
+from logweave.operators.cutoff import budget, flag_exact_n, materialize, nth_largest_weighted
 
 
 def _z(c: str) -> str:
@@ -37,6 +41,35 @@ def standardize(matrix: DataFrame, features: list[str] | None = None) -> DataFra
     return matrix.select(*matrix.columns, *zs)
 
 
+def distinct_vectors(matrix: DataFrame, features: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``matrix`` with their counts as one array ``vector``, and the
+    distinct vectors with ``weight`` rows each and the place of the ``first``; both
+    materialised.  Rows with a missing count are skipped.  Equal vectors collapse
+    before they are shuffled."""
+    feats = features or schemas.FEATURE_COLS
+    keep = [c for c in matrix.columns if c not in feats]
+    # + 0.0 makes one zero of both.
+    rows = materialize(matrix.na.drop(subset=feats).select(
+        *keep, F.array(*[F.col(c).cast("double") + 0.0 for c in feats]).alias("vector")))
+    return rows, materialize(rows.select("vector", F.monotonically_increasing_id().alias("at")).groupBy("vector").agg(
+        F.count(F.lit(1)).alias("weight"), F.min("at").alias("first")))
+
+
+def standardize_weighted(vectors: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """M2 over weighted distinct vectors: ``z_*`` columns beside them.  The mean and
+    the sample deviation are those of the rows that the vectors stand for."""
+    feats = features or schemas.FEATURE_COLS
+    w, at = F.col("weight"), {c: F.col("vector")[i] for i, c in enumerate(feats)}
+    mean = vectors.agg(F.sum(w).alias("n"), *[(F.sum(w * at[c]) / F.sum(w)).alias(c) for c in feats]).first()
+    # Squares about the mean in a second pass: no difference of large sums.
+    square = vectors.agg(*[F.sum(w * (at[c] - (mean[c] or 0.0)) * (at[c] - (mean[c] or 0.0))).alias(c) for c in feats]).first()
+    zs = []
+    for c in feats:
+        sd = ((square[c] or 0.0) / (mean["n"] - 1)) ** 0.5 if (mean["n"] or 0) > 1 else 0.0
+        zs.append(((at[c] - mean[c]) / sd if sd else F.lit(0.0)).alias(_z(c)))
+    return vectors.select("*", *zs)
+
+
 def dominant_event(features: list[str] | None = None):
     """Index (1-based) of the first largest event count of a block."""
     feats = features or schemas.FEATURE_COLS
@@ -65,26 +98,30 @@ def distance_to_centre(z: DataFrame, centres: DataFrame, assign_col: str,
 
 # ----------------------------------------------------------- Spark ML model ---
 
-def kmeans_scores(matrix: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 30,
+def vector_scores(vectors: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 30,
                   nearest: bool = False) -> DataFrame:
-    """M1-M4: ``prediction`` and ``distance`` beside the columns of ``matrix``
-    that are no features.
+    """M1-M4 over weighted distinct vectors: ``vector, weight, prediction, distance``.
 
-    Rows with a missing count are skipped; the standardised rows (``standardize``)
-    are materialised once and serve the k-means|| fit, the assignment and the
-    distances (``distance_to_centre``, k centres).  ``nearest`` adds the smallest
-    distance to any centre, found independently of the assignment.
+    The standardised vectors (``standardize_weighted``) are materialised once and
+    serve the weighted k-means|| fit, the assignment and the distances
+    (``distance_to_centre``, k centres).  ``nearest`` adds the smallest distance to
+    any centre, found independently of the assignment.
+
+    The vectors are dealt and ordered by first appearance: the random start follows
+    the order of the rows, and as many tasks share the fit as there were parts of them.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     feats = schemas.FEATURE_COLS
-    keep = [c for c in matrix.columns if c not in feats]
-    z = standardize(matrix.na.drop(subset=feats)).select(*keep, *[_z(c) for c in feats]).checkpoint(eager=True)
+    part = F.shiftright("first", 33)
+    parts = vectors.agg(F.count_distinct(part)).first()[0]
+    z = standardize_weighted(vectors).repartitionByRange(max(parts, 1), part).sortWithinPartitions("first")
+    z = materialize(z)
     rows = VectorAssembler(inputCols=[_z(c) for c in feats], outputCol="point").transform(z)
-    model = KMeans(featuresCol="point", k=k, seed=seed, maxIter=max_iter).fit(rows)
+    model = KMeans(featuresCol="point", k=k, seed=seed, maxIter=max_iter, weightCol="weight").fit(rows)
     points = [[float(x) for x in c] for c in model.clusterCenters()]
-    centres = matrix.sparkSession.createDataFrame(
+    centres = vectors.sparkSession.createDataFrame(
         [(i, *p) for i, p in enumerate(points)],
         "prediction int, " + ", ".join(f"c_{c} double" for c in feats))
     out = distance_to_centre(model.transform(rows).drop("point"), centres, "prediction")
@@ -92,7 +129,34 @@ def kmeans_scores(matrix: DataFrame, k: int = 8, seed: int = 42, max_iter: int =
     if nearest:
         squares = [sum(((F.col(_z(c)) - v) * (F.col(_z(c)) - v) for c, v in zip(feats, p)), F.lit(0.0)) for p in points]
         extra = [F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0]).alias("nearest")]
-    return out.select(*keep, "prediction", "distance", *extra)
+    return out.select("vector", "weight", "prediction", "distance", *extra)
+
+
+def kmeans_scores(matrix: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 30,
+                  nearest: bool = False) -> DataFrame:
+    """M1-M4: ``prediction`` and ``distance`` (and ``nearest``) of each row beside the
+    columns of ``matrix`` that are no features."""
+    rows, vectors = distinct_vectors(matrix)
+    return rows.join(vector_scores(vectors, k, seed, max_iter, nearest).drop("weight"), "vector").drop("vector")
+
+
+def flagged_vectors(scores: DataFrame, contamination: float, clamp_below_total: bool = True) -> DataFrame:
+    """T6 over weighted distinct vectors: those whose distance reaches the n-th
+    largest of all rows they stand for (``vector``; ties included)."""
+    scores = materialize(scores)
+    total = scores.agg(F.sum("weight")).first()[0]
+    if not total:
+        return scores.select("vector").where(F.lit(False))
+    cut = nth_largest_weighted(scores, "distance", "weight", budget(contamination, total, clamp_below_total))
+    return scores.where(F.col("distance") >= cut).select("vector")
+
+
+def flagged_rows(matrix: DataFrame, k: int, contamination: float, clamp_below_total: bool = True) -> DataFrame:
+    """The columns of ``matrix`` that are no features, and ``is_anomaly``."""
+    rows, vectors = distinct_vectors(matrix)
+    flagged = flagged_vectors(vector_scores(vectors, k), contamination, clamp_below_total)
+    return rows.join(flagged.withColumn("is_anomaly", F.lit(True)), "vector", "left") \
+        .withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False))).drop("vector")
 
 
 def kmeans_detector(matrix: DataFrame, detected_at: str, k: int = 8,
@@ -100,9 +164,9 @@ def kmeans_detector(matrix: DataFrame, detected_at: str, k: int = 8,
                     clamp_below_total: bool = True) -> DataFrame:
     """M5: blocks whose distance is >= the n-th largest (ties included) as
     anomaly rows ``method, block_id, true_label, detected_at``."""
-    scored = flag_ge_cutoff(kmeans_scores(matrix, k), "distance", contamination=contamination,
-                            clamp_below_total=clamp_below_total)
-    return (scored.filter(F.col("is_anomaly"))
+    rows, vectors = distinct_vectors(matrix)
+    flagged = flagged_vectors(vector_scores(vectors, k), contamination, clamp_below_total)
+    return (rows.join(flagged, "vector", "left_semi")
             .select(F.lit(schemas.METHOD_KMEANS).alias("method"), F.col("BlockId").alias("block_id"),
                     F.col("Label").alias("true_label"), F.lit(detected_at).alias("detected_at")))
 
@@ -120,8 +184,7 @@ def block_scores(matrix: DataFrame, k: int = 8,
     Of a block that the matrix holds more than once (a matrix file may), the
     last row counts."""
     rows = matrix.withColumn("_row", F.monotonically_increasing_id())
-    scored = flag_ge_cutoff(kmeans_scores(rows, k), "distance", contamination=contamination,
-                            clamp_below_total=False)
+    scored = flagged_rows(rows, k, contamination, clamp_below_total=False)
     return last_of_block(scored.select(F.col("BlockId").alias("block_id"), "is_anomaly",
                                        F.col("Label").alias("true_label"), "_row"))
 

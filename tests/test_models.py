@@ -93,3 +93,70 @@ assert isolation_forest_flags(z, ["a"], ["BlockId"], n_trees=5, psi=32).count()
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_weighted_cutoff_equals_the_unweighted_one(spark, monkeypatch):
+    monkeypatch.setattr(C, "ORDERED_ROWS", 20)
+    monkeypatch.setattr(C, "ACCURACY", 100)
+    rng = np.random.default_rng(4)
+    rows = [(float(np.round(rng.normal(), 2)), int(rng.integers(1, 40))) for _ in range(400)] + [(0.5, 9000), (0.51, 1)]
+    vals = sorted((v for v, w in rows for _ in range(w)), reverse=True)
+    df = spark.createDataFrame(rows, "d double, w long").repartition(3)
+    for n in (1, 2, 137, len(vals) // 2, len(vals) // 2 + 3000, len(vals) - 1, len(vals)):
+        assert C.nth_largest_weighted(df, "d", "w", n, parts=7) == vals[n - 1]
+
+
+def _with_copies(spark):
+    """Few distinct vectors, one of them held by a third of all blocks."""
+    rng = np.random.default_rng(8)
+    kinds = rng.poisson(3.0, size=(12, 29)).astype(float)
+    kinds[10] += 50.0 * (np.arange(29) == 4)
+    kinds[11] += 80.0 * (np.arange(29) == 20)
+    counts = [300, 90, 80, 70, 70, 60, 60, 60, 50, 40, 6, 4]
+    rows = [(f"blk_{k}_{i}", *kinds[k].tolist(), "Fail" if k > 9 else "Success") for k, n in enumerate(counts) for i in range(n)]
+    return spark.createDataFrame(rows, schemas.MATRIX).repartition(4).checkpoint(eager=True), len(rows)
+
+
+def test_weighted_vectors_stand_for_their_rows(spark):
+    """Statistics, distances and flags of the weighted vectors are those of all rows."""
+    from logweave.operators import kmeans as K
+    m, n = _with_copies(spark)
+    rows, vectors = K.distinct_vectors(m)
+    assert vectors.count() == 12 and vectors.agg(F.sum("weight")).first()[0] == n == rows.count()
+    plain = {tuple(r[c] for c in schemas.FEATURE_COLS): [r[f"z_{c}"] for c in schemas.FEATURE_COLS]
+             for r in K.standardize(m).collect()}
+    for r in K.standardize_weighted(vectors).collect():
+        assert np.allclose([r[f"z_{c}"] for c in schemas.FEATURE_COLS], plain[tuple(r.vector)], atol=1e-9)
+    scores = K.kmeans_scores(m, k=3, nearest=True)
+    assert scores.count() == n and set(scores.columns) == {"BlockId", "Label", "prediction", "distance", "nearest"}
+    assert scores.where("abs(distance - nearest) > 1e-9").count() == 0
+    for share in (4 / n, 10 / n, 0.2):
+        want = C.flag_ge_cutoff(scores, "distance", contamination=share).where("is_anomaly")
+        got = K.kmeans_detector(m, "t", k=3, contamination=share)
+        flags = K.flagged_rows(m, 3, share)
+        ids = sorted(r.BlockId for r in want.collect())
+        assert sorted(r.block_id for r in got.collect()) == ids
+        assert sorted(r.BlockId for r in flags.where("is_anomaly").collect()) == ids and flags.count() == n
+
+
+def test_weighted_detector_without_rows(spark):
+    from logweave.operators import kmeans as K
+    m = _planted(spark, 3, 0).where("false")
+    _, vectors = K.distinct_vectors(m)
+    assert K.standardize_weighted(vectors).count() == 0
+    scores = spark.createDataFrame([], "vector array<double>, weight long, distance double")
+    assert vectors.count() == 0
+    assert K.flagged_vectors(scores, 0.1).count() == 0
+
+
+def test_forest_scores_do_not_depend_on_copies(spark):
+    from logweave.operators.iforest import fit_forest, path_lengths, score
+    m, n = _with_copies(spark)
+    cols = schemas.FEATURE_COLS
+    forest, psi = fit_forest(m, cols, n_trees=20, psi=64)
+    got = {r.BlockId: r.score for r in score(m, cols, forest, psi, ["BlockId"]).collect()}
+    x = {r.BlockId: [r[c] for c in cols] for r in m.collect()}
+    h = sum(path_lengths(np.array(list(x.values())), t) for t in forest) / len(forest)
+    from logweave.operators.iforest import avg_path
+    want = np.power(2.0, -h / float(avg_path([psi])[0]))
+    assert len(got) == n and np.allclose([got[b] for b in x], want)
