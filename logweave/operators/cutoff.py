@@ -56,7 +56,7 @@ def nth_largest(df: DataFrame, col: str, n: int, n_total: int | None = None) ->
     return float(_kth_smallest(base, col, N - n + 1, N))
 
 
-def nth_largest_weighted(df: DataFrame, col: str, weight: str, n: int, parts: int = 100) -> float:
+def nth_largest_weighted(df: DataFrame, col: str, weight: str, n: int, parts: int = 32) -> float:
     """Exact n-th largest (1-based) value of ``col``, each row counting ``weight``
     times.  Quantiles of the rows split their values into ``parts``; one pass adds up
     the weights above each split, and the part that holds the answer is split
@@ -64,13 +64,13 @@ def nth_largest_weighted(df: DataFrame, col: str, weight: str, n: int, parts: in
     c, w = F.col(col), F.col(weight)
     band, r = df.select(c, w).where(c.isNotNull() & (w > 0)), n
     while True:
-        if band.count() <= ORDERED_ROWS:
+        rows, q = band.agg(F.count(F.lit(1)), F.percentile_approx(c, [i / parts for i in range(1, parts)], ACCURACY)).first()
+        if rows <= ORDERED_ROWS:
             for row in band.groupBy(c).agg(F.sum(w).alias("w")).orderBy(c.desc()).collect():
                 r -= row["w"]
                 if r <= 0:
                     return float(row[0])
             raise ValueError(f"n={n} outside the weights")
-        q = band.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)], ACCURACY)).first()[0]
         splits = sorted(set(q), reverse=True)
         sums = band.agg(*[F.coalesce(F.sum(F.when(c > s, w)), F.lit(0)) for s in splits],
                         *[F.coalesce(F.sum(F.when(c >= s, w)), F.lit(0)) for s in splits]).first()

@@ -59,14 +59,18 @@ def standardize_weighted(vectors: DataFrame, features: list[str] | None = None)
     """M2 over weighted distinct vectors: ``z_*`` columns beside them.  The mean and
     the sample deviation are those of the rows that the vectors stand for."""
     feats = features or schemas.FEATURE_COLS
-    w, at = F.col("weight"), {c: F.col("vector")[i] for i, c in enumerate(feats)}
-    mean = vectors.agg(F.sum(w).alias("n"), *[(F.sum(w * at[c]) / F.sum(w)).alias(c) for c in feats]).first()
-    # Squares about the mean in a second pass: no difference of large sums.
-    square = vectors.agg(*[F.sum(w * (at[c] - (mean[c] or 0.0)) * (at[c] - (mean[c] or 0.0))).alias(c) for c in feats]).first()
+    some = vectors.select("vector").first()
+    # Sums about one of the vectors, in one pass: no difference of large sums.
+    w, base = F.col("weight"), dict(zip(feats, some[0] if some else [0.0] * len(feats)))
+    off = {c: F.col("vector")[i] - base[c] for i, c in enumerate(feats)}
+    row = vectors.agg(F.sum(w).alias("n"), *[F.sum(w * off[c]).alias(f"s_{c}") for c in feats],
+                      *[F.sum(w * off[c] * off[c]).alias(f"q_{c}") for c in feats]).first()
+    n = row["n"] or 0
     zs = []
     for c in feats:
-        sd = ((square[c] or 0.0) / (mean["n"] - 1)) ** 0.5 if (mean["n"] or 0) > 1 else 0.0
-        zs.append(((at[c] - mean[c]) / sd if sd else F.lit(0.0)).alias(_z(c)))
+        mean = row[f"s_{c}"] / n if n else 0.0
+        square = max(row[f"q_{c}"] - n * mean * mean, 0.0) if n > 1 else 0.0
+        zs.append(((off[c] - mean) / (square / (n - 1)) ** 0.5 if square else F.lit(0.0)).alias(_z(c)))
     return vectors.select("*", *zs)
 
 
@@ -108,16 +112,14 @@ def vector_scores(vectors: DataFrame, k: int = 8, seed: int = 42, max_iter: int
     any centre, found independently of the assignment.
 
     The vectors are dealt and ordered by first appearance: the random start follows
-    the order of the rows, and as many tasks share the fit as there were parts of them.
+    the order of the rows, and all cores share the fit.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     feats = schemas.FEATURE_COLS
-    part = F.shiftright("first", 33)
-    parts = vectors.agg(F.count_distinct(part)).first()[0]
-    z = standardize_weighted(vectors).repartitionByRange(max(parts, 1), part).sortWithinPartitions("first")
-    z = materialize(z)
+    parts = max(vectors.rdd.getNumPartitions(), vectors.sparkSession.sparkContext.defaultParallelism)
+    z = materialize(standardize_weighted(vectors).repartitionByRange(parts, "first").sortWithinPartitions("first"))
     rows = VectorAssembler(inputCols=[_z(c) for c in feats], outputCol="point").transform(z)
     model = KMeans(featuresCol="point", k=k, seed=seed, maxIter=max_iter, weightCol="weight").fit(rows)
     points = [[float(x) for x in c] for c in model.clusterCenters()]
@@ -140,23 +142,24 @@ def kmeans_scores(matrix: DataFrame, k: int = 8, seed: int = 42, max_iter: int =
     return rows.join(vector_scores(vectors, k, seed, max_iter, nearest).drop("weight"), "vector").drop("vector")
 
 
-def flagged_vectors(scores: DataFrame, contamination: float, clamp_below_total: bool = True) -> DataFrame:
-    """T6 over weighted distinct vectors: those whose distance reaches the n-th
-    largest of all rows they stand for (``vector``; ties included)."""
+def flag_vectors(scores: DataFrame, contamination: float, clamp_below_total: bool = True) -> DataFrame:
+    """T6 over weighted distinct vectors: ``is_anomaly`` where the distance reaches
+    the n-th largest of all rows they stand for (ties included)."""
     scores = materialize(scores)
     total = scores.agg(F.sum("weight")).first()[0]
     if not total:
-        return scores.select("vector").where(F.lit(False))
+        return scores.withColumn("is_anomaly", F.lit(False))
     cut = nth_largest_weighted(scores, "distance", "weight", budget(contamination, total, clamp_below_total))
-    return scores.where(F.col("distance") >= cut).select("vector")
+    return scores.withColumn("is_anomaly", F.col("distance") >= cut)
 
 
-def flagged_rows(matrix: DataFrame, k: int, contamination: float, clamp_below_total: bool = True) -> DataFrame:
-    """The columns of ``matrix`` that are no features, and ``is_anomaly``."""
+def flagged_rows(matrix: DataFrame, k: int, contamination: float, clamp_below_total: bool = True,
+                 nearest: bool = False) -> DataFrame:
+    """The columns of ``matrix`` that are no features, ``prediction``, ``distance`` (and
+    ``nearest``) and ``is_anomaly``."""
     rows, vectors = distinct_vectors(matrix)
-    flagged = flagged_vectors(vector_scores(vectors, k), contamination, clamp_below_total)
-    return rows.join(flagged.withColumn("is_anomaly", F.lit(True)), "vector", "left") \
-        .withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False))).drop("vector")
+    flags = flag_vectors(vector_scores(vectors, k, nearest=nearest), contamination, clamp_below_total)
+    return rows.join(flags.drop("weight"), "vector").drop("vector")
 
 
 def kmeans_detector(matrix: DataFrame, detected_at: str, k: int = 8,
@@ -165,8 +168,8 @@ def kmeans_detector(matrix: DataFrame, detected_at: str, k: int = 8,
     """M5: blocks whose distance is >= the n-th largest (ties included) as
     anomaly rows ``method, block_id, true_label, detected_at``."""
     rows, vectors = distinct_vectors(matrix)
-    flagged = flagged_vectors(vector_scores(vectors, k), contamination, clamp_below_total)
-    return (rows.join(flagged, "vector", "left_semi")
+    flags = flag_vectors(vector_scores(vectors, k), contamination, clamp_below_total)
+    return (rows.join(flags.where("is_anomaly"), "vector", "left_semi")
             .select(F.lit(schemas.METHOD_KMEANS).alias("method"), F.col("BlockId").alias("block_id"),
                     F.col("Label").alias("true_label"), F.lit(detected_at).alias("detected_at")))
 

@@ -431,10 +431,9 @@ def q_kmeans_detector(spark, sf_dir):
     """K-means|| (k=8) on the standardised matrix, distance to the
     assigned centre, cutoff rule; summarised over all blocks."""
     from logweave import schemas
-    from logweave.operators.cutoff import budget, flag_ge_cutoff
-    from logweave.operators.kmeans import kmeans_scores
-    flags = flag_ge_cutoff(kmeans_scores(fx.matrix(spark, sf_dir), k=8, nearest=True), "distance",
-                           contamination=schemas.CONTAMINATION_DEFAULT)
+    from logweave.operators.cutoff import budget
+    from logweave.operators.kmeans import flagged_rows
+    flags = flagged_rows(fx.matrix(spark, sf_dir), 8, schemas.CONTAMINATION_DEFAULT, nearest=True)
     out = flags.agg(F.count(F.lit(1)).alias("blocks"), F.count_if("is_anomaly").alias("_flagged"),
                     F.count_if(F.col("distance") > F.col("nearest") + 1e-9).alias("not_nearest"), _ordered()).first()
     n = budget(schemas.CONTAMINATION_DEFAULT, out["blocks"])
@@ -1254,3 +1253,123 @@ def q_stream_keyed_upsert(spark, sf_dir):
         compact_anomalies(spark, target)
         vacuum(spark, target)
     return read_stored(spark, target).select(*_ANOM_COLS)
+
+
+# ------------------------------------------- event counts of a stream, CSV files ---
+
+@register("stream_event_matrix", _with(fx.MATRIX_SQL) + " SELECT * FROM matrix")
+def q_stream_event_matrix(spark, sf_dir):
+    """Event counts added batch by batch from a stream of structured-log
+    files, folded, and widened to the matrix."""
+    from logweave import schemas
+    from logweave.session import scratch_path
+    from logweave.streaming.events import compact_events, read_event_matrix, start_event_counts
+    src, target = scratch_path(spark, "structured"), scratch_path(spark, "event-counts")
+    fx.structured(spark, sf_dir).repartition(8).write.parquet(src)
+    stream = spark.readStream.schema(schemas.STRUCTURED_LOG).option("maxFilesPerTrigger", 4).parquet(src)
+    start_event_counts(stream, target, scratch_path(spark, "ckpt-events"), available_now=True).awaitTermination()
+    compact_events(spark, target)
+    return read_event_matrix(spark, target)
+
+
+@register("stream_model_refresh", _UPSERT_SQL + """
+UNION ALL SELECT 'model blocks', CAST(count(*) AS VARCHAR), NULL, NULL FROM dist""")
+def q_stream_model_refresh(spark, sf_dir):
+    """Block scores made from the streamed event counts, published as a
+    version, replaced by a second one, and used by a detection stream."""
+    from logweave import schemas
+    from logweave.operators.cutoff import flag_ge_cutoff
+    from logweave.operators.features import label_matrix
+    from logweave.operators.kmeans import class_mean_distance
+    from logweave.session import scratch_path
+    from logweave.streaming.detect import read_stored, start_detection
+    from logweave.streaming.events import latest_scores, publish_scores, read_event_matrix, start_event_counts
+    src, counts, model = (scratch_path(spark, n) for n in ("structured", "event-counts", "model"))
+    fx.structured(spark, sf_dir).repartition(8).write.parquet(src)
+    ck = scratch_path(spark, "ckpt-events")
+    for files in (4, None):
+        stream = spark.readStream.schema(schemas.STRUCTURED_LOG)
+        stream = (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(src)
+        start_event_counts(stream, counts, ck, available_now=True).awaitTermination()
+        matrix = label_matrix(read_event_matrix(spark, counts), fx.labels(spark, sf_dir))
+        flags = flag_ge_cutoff(class_mean_distance(matrix, places=6), "distance",
+                               contamination=schemas.CONTAMINATION_DEFAULT, clamp_below_total=False)
+        publish_scores(flags.select(F.col("BlockId").alias("block_id"), "is_anomaly", F.col("Label").alias("true_label")), model)
+    scores = latest_scores(spark, model)
+    target = scratch_path(spark, "anomalies-stream")
+    start_detection(_stream_source(spark, sf_dir), scores.where("is_anomaly"), target, scratch_path(spark, "ckpt-detect"),
+                    available_now=True).awaitTermination()
+    none = F.lit(None).cast("string")
+    return read_stored(spark, target).select(*_ANOM_COLS).unionByName(scores.agg(F.count(F.lit(1)).cast("string").alias("block_id")).select(
+        F.lit("model blocks").alias("method"), "block_id", none.alias("true_label"), none.alias("detected_at")))
+
+
+@register("csv_structured_labels", _with(fx.MATRIX_SQL) + " SELECT * FROM labelled")
+def q_csv_structured_labels(spark, sf_dir):
+    """Structured log and labels written as CSV, read by the file
+    sources, and built into the labelled matrix."""
+    from logweave.operators.batch import build_matrix
+    from logweave.session import scratch_path
+    from logweave.sources.files import read_labels_csv, read_structured_log
+    st, lab = scratch_path(spark, "structured"), scratch_path(spark, "labels")
+    fx.structured(spark, sf_dir).withColumn("LineId", F.lit("1")).write.option("header", True) \
+        .option("ignoreLeadingWhiteSpace", False).csv(st)
+    fx.labels(spark, sf_dir).write.option("header", True).csv(lab)
+    return build_matrix(read_structured_log(spark, st), read_labels_csv(spark, lab))
+
+
+@register("csv_matrix_round_trip", _with(fx.MATRIX_SQL) + " SELECT * FROM labelled")
+def q_csv_matrix_round_trip(spark, sf_dir):
+    """The labelled matrix written as CSV and read back."""
+    from logweave.session import scratch_path
+    from logweave.sources.files import read_matrix_csv
+    from logweave.sources.sinks import write_matrix_csv
+    path = scratch_path(spark, "matrix")
+    write_matrix_csv(fx.matrix(spark, sf_dir), path)
+    return read_matrix_csv(spark, path)
+
+
+@register("csv_templates", """
+SELECT DISTINCT 'E' || CAST(l_partkey % 31 + 1 AS VARCHAR) AS EventId,
+       'template <*>, "' || CAST(l_partkey % 31 + 1 AS VARCHAR) || '"' AS EventTemplate FROM lineitem""")
+def q_csv_templates(spark, sf_dir):
+    """Event templates (with quotes and commas) written as CSV and read back."""
+    from logweave.session import scratch_path
+    from logweave.sources.files import read_templates_csv
+    path = scratch_path(spark, "templates")
+    n = (F.col("l_partkey") % 31 + 1).cast("string")
+    fx.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("E"), n).alias("EventId"), F.concat(F.lit('template <*>, "'), n, F.lit('"')).alias("EventTemplate")) \
+        .distinct().write.option("header", True).option("escape", '"').csv(path)
+    return read_templates_csv(spark, path).select("EventId", "EventTemplate")
+
+
+@register("publish_first_rows", """
+SELECT least(3000, count(*)) AS published, count(*) > 0 AS any_rows, 3000 <= count(*) AS capped FROM events""")
+def q_publish_first_rows(spark, sf_dir):
+    """The first 3000 envelopes in reading order, published as files and read back."""
+    from logweave.session import scratch_path
+    from logweave.sources.sinks import publish
+    out, env = scratch_path(spark, "published"), fx.envelopes(spark, sf_dir).select("key", "value")
+    publish(env, "parquet", out, max_messages=3000)
+    n = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("published"))
+    total = fx.table(spark, sf_dir, "events").agg(F.count(F.lit(1))).scalar()
+    return n.select("published", (F.col("published") > 0).alias("any_rows"), (total >= 3000).alias("capped"))
+
+
+@register("publish_csv_records", """
+SELECT 'blk_' || CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS customer, o_orderstatus AS status
+FROM orders""")
+def q_publish_csv_records(spark, sf_dir):
+    """CSV records published as JSON envelopes with their block key, and decoded again."""
+    from logweave.functions.parse import decode_csv_envelope
+    from logweave.session import scratch_path
+    from logweave.sources.files import read_records
+    from logweave.sources.sinks import publish, record_envelopes
+    path, out = scratch_path(spark, "records") + ".csv", scratch_path(spark, "published")
+    o = fx.table(spark, sf_dir, "orders")
+    o.select(F.concat(F.lit("blk_"), F.col("o_orderkey").cast("string")).alias("BlockId"), F.col("o_custkey").alias("customer"),
+             F.col("o_orderstatus").alias("status")).write.option("header", True).csv(path)
+    publish(record_envelopes(read_records(spark, path, "auto"), "orders.csv", DETECTED_AT), "parquet", out)
+    env = spark.read.parquet(out).select("key", decode_csv_envelope(F.col("value")).alias("e"))
+    return env.select("key", F.col("e.payload")["customer"].alias("customer"), F.col("e.payload")["status"].alias("status"))

@@ -108,7 +108,7 @@ def read_structured_log(spark: SparkSession, path: str,
 def _header_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """A header CSV of text columns; None if (and only if) the path does not exist."""
     try:
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+        return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -146,7 +146,7 @@ def test_weighted_detector_without_rows(spark):
     assert K.standardize_weighted(vectors).count() == 0
     scores = spark.createDataFrame([], "vector array<double>, weight long, distance double")
     assert vectors.count() == 0
-    assert K.flagged_vectors(scores, 0.1).count() == 0
+    assert K.flag_vectors(scores, 0.1).count() == 0
 
 
 def test_forest_scores_do_not_depend_on_copies(spark):
