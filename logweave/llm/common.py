@@ -25,6 +25,12 @@ def cut_small(df: DataFrame, rows: int, per_file: int = 50_000) -> DataFrame:
     return cut(df.repartition(rows // per_file + 1))
 
 
+def told(df: DataFrame, col: str = "id") -> DataFrame:
+    """A text column of ids as long again.  Ids pass pandas as text: beside a null it
+    would turn whole numbers into doubles, which hold no more than 53 bits."""
+    return df.withColumn(col, F.col(col).cast("long"))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\x20\x09-\x0D]+`` of a text as an array (null text: no words)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut
+from logweave.llm.common import cut, told
 
 #: Elements of HTML by their role in the flow of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -381,5 +381,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     size = _length("trees") + 32 * F.coalesce(F.size("template"), F.lit(0))
-    return _beside(rows.drop("pick"), wrappers, size, broadcast_bytes).mapInPandas(
-        extract, "id long, url string, text string, n_chars long")
+    ids = rows.drop("pick").withColumn("id", F.col("id").cast("string"))
+    return told(_beside(ids, wrappers, size, broadcast_bytes).mapInPandas(
+        extract, "id string, url string, text string, n_chars long"))

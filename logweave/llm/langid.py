@@ -14,10 +14,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import lower_bytes
+from logweave.llm.common import lower_bytes, told
 
 UNDETERMINED = "und"
 WINDOW = 128
@@ -211,8 +212,8 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
             langs, scores = predict_texts(net, b["text"])
             yield pd.DataFrame({"id": b["id"], "lang_pred": langs, "score": scores})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "id long, lang_pred string, score double")
+    return told(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+        run, "id string, lang_pred string, score double"))
 
 
 def held_out(id_col: Column) -> Column:
@@ -225,14 +226,14 @@ def keep_identified(docs: DataFrame, net: Network | None, text_col: str = "text"
     """``docs`` without the rows whose language cannot be told (``und``, or a best
     probability under ``least``); a null language is filled with the prediction.
     Columns and their order are unchanged."""
-    schema = docs.schema
+    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
-    def run(batches):
+    def run(batches):       # the other columns pass as they are
         for b in batches:
-            langs, scores = predict_texts(net, b[text_col])
-            pred = pd.Series(langs, index=b.index)
-            ok = (pred != UNDETERMINED) & (pd.Series(scores, index=b.index) >= least)
-            b[lang_col] = b[lang_col].where(b[lang_col].notna(), pred)
-            yield b[ok]
+            langs, scores = predict_texts(net, pd.Series(b.column(text).to_pylist(), dtype=object))
+            known = [p if x is None else x for x, p in zip(b.column(lang).to_pylist(), langs)]
+            ok = [p != UNDETERMINED and s >= least for p, s in zip(langs, scores)]
+            field = b.schema.field(lang)
+            yield b.set_column(lang, field, pa.array(known, field.type)).filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, lower_bytes, mix64
+from logweave.llm.common import cut, lower_bytes, mix64, told
 
 #: Hash of the end token, which also stands before every text; of no word, as words hold no blank.
 END = xxhash.xxh64_intdigest(b"\n", 1)
@@ -272,8 +272,8 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     weights = fit_weights(cells.groupBy(*keys).agg(F.sum("n").alias("n")).toPandas().sort_values(keys), order)
     if not n_est + n_back:
         weights = np.tile(np.eye(order + 1)[0], (TOP, 1))
-    scored = both(rows.select("block", "id", "text"), sent).applyInPandas(
+    scored = both(rows.select("block", F.col("id").cast("string").alias("id"), "text"), sent).applyInPandas(
         _score(order, n_est + n_back, n_docs, kinds, weights),
-        "id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("id", "n_tokens", "n_known", F.lit(n_est + n_back).cast("long").alias("train_tokens"),
+        "id string, n_tokens long, n_known long, base_score double, score double")
+    return told(scored).select("id", "n_tokens", "n_known", F.lit(n_est + n_back).cast("long").alias("train_tokens"),
                          "base_score", "score")

@@ -14,9 +14,12 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.common import told
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -278,20 +281,22 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pd.DataFrame({"id": b["id"], "spans": [
                 [dict(zip(("kind", "start", "end", "base"), s)) for s in find(t)] for t in b["text"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return told(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+        run, "id string, spans array<struct<kind:string,start:long,end:long,base:boolean>>"))
 
 
 def redact_docs(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with redacted texts (null stays null) and their new lengths; same columns."""
     schema = docs.schema
 
-    def run(batches):
+    at = docs.columns.index(text_col)
+
+    def run(batches):       # the other columns pass as they are
         for b in batches:
-            b[text_col] = [redact(t) for t in b[text_col]]
-            yield b
+            texts = pa.array([redact(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
+            yield b.set_column(at, b.schema.field(at), texts)
 
-    out = docs.mapInPandas(run, schema)
+    out = docs.mapInArrow(run, schema)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(
             F.length(text_col)).cast(schema[chars_col].dataType))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, expand_ranges, lower_bytes, star_edges
+from logweave.llm.common import cut, expand_ranges, lower_bytes, star_edges, told
 from logweave.llm.components import components
 
 BITS = 64
@@ -57,8 +57,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t, shingle) for t in b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"id": b["id"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return told(rows.mapInPandas(run, "id string, fp long"))
 
 
 class Ring:

@@ -18,9 +18,10 @@ from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave.llm.common import mix64
 
@@ -372,21 +373,52 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text
     are lossless.  The dropout of a row is keyed by its id, so repeated rows
     come out alike.  An empty table gives no rows; columns not in ``keep`` are ignored.
     """
-    def encoded(b: pd.DataFrame) -> pd.DataFrame:
-        texts = b["_text"].tolist()
-        ids = tokenizer.encode_all([t or "" for t in texts], b["_key"].tolist())
+    first = 1 + len(keep)       # columns that pass as they are; the text and its key come after
+
+    def encoded(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(first).to_pylist()
+        ids = tokenizer.encode_all([t or "" for t in texts], b.column(first + 1).to_pylist())
         ids = [None if t is None else i for t, i in zip(texts, ids)]
         same = [t is None or tokenizer.decode(i.tolist()) == t for t, i in zip(texts, ids)]
-        return b.drop(columns=["_key", "_text"]).assign(
-            tokens=ids, n_tokens=[0 if i is None else len(i) for i in ids], lossless=same)
+        made = [pa.array(ids, pa.list_(pa.int32())), pa.array([0 if i is None else len(i) for i in ids], pa.int64()),
+                pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*b.columns[:first], *made],
+                                          names=[*b.schema.names[:first], "tokens", "n_tokens", "lossless"])
 
     def run(batches):
         for b in batches:
-            for lo in range(0, len(b), SLICE):
-                yield encoded(b.iloc[lo:lo + SLICE])
-
-    kept = [F.col(c) for c in keep]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *kept, F.col(text_col).alias("_text"),
-                       F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_key"))
-    fields = [f.simpleString().replace(":", " ", 1) for f in rows.schema.fields[:1 + len(keep)]]
-    return rows.mapInPandas(run, ", ".join(fields) + ", tokens array<int>, n_tokens long, lossless boolean")
+            for lo in range(0, b.num_rows, SLICE):
+                yield encoded(b.slice(lo, SLICE))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c) for c in keep], F.col(text_col).alias("text"),
+                       F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"))
+    schema = T.StructType(rows.schema.fields[:first]).add("tokens", T.ArrayType(T.IntegerType())) \
+        .add("n_tokens", T.LongType()).add("lossless", T.BooleanType())
+    return rows.mapInArrow(run, schema)
+
+
+def detokenize(rows: DataFrame, tokenizer: Tokenizer, tokens_col: str = "tokens", text_col: str = "text") -> DataFrame:
+    """``rows`` with the text of their tokens in place of them, exactly the one that
+    ``tokenize`` was given.  Null tokens have the null text, no tokens the empty one;
+    tokens that are no text in UTF-8 (cut in the middle of a character) or no pieces
+    of the model have the null text too.  Rows stay one for one, other columns as
+    they are; an empty table gives no rows."""
+    at = rows.columns.index(tokens_col)
+
+    def text_of(ids):
+        try:
+            if ids and min(ids) < 0:
+                return None
+            return None if ids is None else tokenizer.decode(ids) if ids else ""
+        except (UnicodeDecodeError, IndexError, TypeError):
+            return None
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                texts = pa.array([text_of(t) for t in part.column(at).to_pylist()], pa.string())
+                yield part.set_column(at, text_col, texts)
+
+    schema = T.StructType([T.StructField(text_col, T.StringType()) if k == at else f for k, f in enumerate(rows.schema.fields)])
+    return rows.mapInArrow(run, schema)

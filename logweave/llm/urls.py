@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.common import told
+
 TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -134,8 +136,8 @@ def filter_urls(pages: DataFrame, rules=PATH_RULES + PATTERN_RULES, id_col: str
             out.insert(0, "id", b["id"])
             yield out
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url")).mapInPandas(
-        run, "id long, host string, path string, rule string, matched string, verdict string")
+    return told(pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url")).mapInPandas(
+        run, "id string, host string, path string, rule string, matched string, verdict string"))
 
 
 def oracle() -> str:
