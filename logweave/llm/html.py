@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -48,9 +49,31 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+>|[^>]*+(?:>|\Z))", re.S)
-_ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/>]|\Z)",
-                   re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _WORD = re.compile(r"[a-z]+")
+#: Words by which a name tells of a state or of what an element has,
+#: at its start or end, and of what only some names of a part go on with.
+STATES_BEFORE = frozenset("can has have is js no non not show shows supports with without".split())
+STATES_AFTER = frozenset("active closed collapsed disabled enabled expanded hidden lazy off on open opened shown toggled visible".split())
+GOES_ON = {"related": frozenset("articles content items links list news pages posts products stories topics".split()),
+           "skip": frozenset("link links nav navigation to".split()), "search": frozenset(
+               "area bar box button field form input overlay panel widget".split())}
+
+
+@lru_cache(maxsize=65536)
+def names_part_apart(names: str) -> bool:
+    """Whether a class or id value names an element that is never the article.  Each
+    name is read whole: ``site-footer`` is a footer, ``has-sidebar`` and ``menu-open`` are
+    an element with a sidebar and one in some state, ``related-work`` no list of links."""
+    for name in names.split():
+        words = _WORD.findall(name)
+        if not words or words[0] in STATES_BEFORE or len(words) > 1 and words[-1] in STATES_AFTER:
+            continue
+        for k, word in enumerate(words):
+            if word in APART_WORDS and (k + 1 == len(words) or word not in GOES_ON or words[k + 1] in GOES_ON[word]):
+                return True
+    return False
 DEPTH = 64
 LIMIT = 250_000
 
@@ -117,7 +140,10 @@ class Page:
         label, words, hide, role = tag, "", False, ""
         if attrs and ("=" in attrs or "hidden" in attrs):
             for name, value in _ATTR.findall(attrs):
-                name, value = name.lower(), value.strip("\"'").lower()
+                name = name.lower()
+                if name not in _READ:
+                    continue
+                value = value.strip("\"'").lower()
                 if name == "class":
                     label = f"{tag}.{re.sub('[0-9]+', '0', ' '.join(value.split()))}"
                 if name in ("class", "id"):
@@ -130,7 +156,7 @@ class Page:
         if not apart:
             apart = tag in APART or hide or role in APART_ROLES or tag == "header" and not main \
                 or bool(words) and tag not in ("html", "body", "article", "main") \
-                and not APART_WORDS.isdisjoint(_WORD.findall(words))
+                and names_part_apart(words)
         main = main or tag in ("article", "main") or role in ("main", "article")
         if block and depth < DEPTH:
             key = (slot, label)

@@ -129,3 +129,19 @@ def test_copies_are_no_evidence_and_empty_pages_no_reference(spark):
         assert all(by[100 + i] == "Story {0}.\nTold {0} times.".format(0 if i < 20 else i) for i in range(28))
         assert all(by[200 + i] == ("" if i % 3 < 2 else f"Story {i}.\nTold {i} times.") for i in range(60))
         assert all(by[300 + i] == (f"Story {i}.\nTold {i} times." if i % 2 else f"Ware {i}") for i in range(40))
+
+
+@pytest.mark.parametrize("attrs", [
+    'class="layout has-sidebar"', 'class="post has-comments"', 'id="page" class="menu-open"', 'class="skip-lazy"',
+    'class="related-work"', 'title="x class=comment "', "data-x='class=\"footer\"' class=body", 'class="no-ads js-nav"',
+    'class="search-results"'])
+def test_a_wrapper_keeps_the_article(attrs):
+    page = H.Page(f"<body><div {attrs}><p>The article itself.</p></div><div class='site-footer'>Imprint</div></body>")
+    assert [text for _, text, apart, _ in page.blocks if not apart] == ["The article itself."]
+
+
+@pytest.mark.parametrize("name", ["site-footer", "nav-main", "comment-list", "cookie-banner", "ad-slot", "related-posts",
+                                  "skip-link", "search-form", "post sidebar", "SideBar left", "related", "share_buttons"])
+def test_parts_apart_by_name(name):
+    page = H.Page(f"<p>The article.</p><div class='{name}'><p>Other things</p></div>")
+    assert [text for _, text, apart, _ in page.blocks if not apart] == ["The article."]
