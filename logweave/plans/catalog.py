@@ -941,7 +941,7 @@ def q_isolation_forest(spark, sf_dir):
 SELECT count(*) AS blocks, true AS flags_within_share FROM labelled""")
 def q_one_class(spark, sf_dir):
     """M8: one-class boundary (random Fourier features, distributed gradient
-    passes), summarised over all blocks; at most the share nu may be flagged."""
+    passes), summarised over all blocks; some are flagged, at most the share nu."""
     import math
 
     from logweave import schemas
@@ -950,7 +950,7 @@ def q_one_class(spark, sf_dir):
     z = standardize(fx.matrix(spark, sf_dir)).checkpoint()
     flags = one_class_flags(z, [f"z_{c}" for c in schemas.FEATURE_COLS], ["BlockId"])
     r = flags.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("flagged")).first()
-    return spark.createDataFrame([(r["n"], r["flagged"] <= math.ceil(schemas.CONTAMINATION_DEFAULT * r["n"]))],
+    return spark.createDataFrame([(r["n"], 0 < r["flagged"] <= math.ceil(schemas.CONTAMINATION_DEFAULT * r["n"]))],
                                  "blocks long, flags_within_share boolean")
 
 
@@ -1373,3 +1373,17 @@ def q_publish_csv_records(spark, sf_dir):
     publish(record_envelopes(read_records(spark, path, "auto"), "orders.csv", DETECTED_AT), "parquet", out)
     env = spark.read.parquet(out).select("key", decode_csv_envelope(F.col("value")).alias("e"))
     return env.select("key", F.col("e.payload")["customer"].alias("customer"), F.col("e.payload")["status"].alias("status"))
+
+
+@register("stored_logs_retained", _with(LOGS_CTE) + f"""
+SELECT {_iso_sql('ts')} AS ts, level, component, block_id FROM logs WHERE ts >= TIMESTAMP '2024-01-16'""")
+def q_stored_logs_retained(spark, sf_dir):
+    """K2: the stored log table after its days before a given one have been removed."""
+    from logweave.functions.timefmt import iso
+    from logweave.session import scratch_path
+    from logweave.sources.sinks import append_logs, expire_logs
+    from logweave.sources.tables import log_view, read_parsed_logs
+    path = scratch_path(spark, "parsed_logs")
+    append_logs(fx.parsed_logs(spark, sf_dir), path)
+    expire_logs(spark, path, "2024-01-16")
+    return log_view(read_parsed_logs(spark, path)).select(iso(F.col("ts")).alias("ts"), "level", "component", "block_id")

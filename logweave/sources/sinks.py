@@ -92,6 +92,17 @@ def compact_logs(spark, path: str, least: int = 2) -> int:
     return compact(spark, path, schemas.PARSED_LOGS, by=("dt",), least=least)
 
 
+def expire_logs(spark, path: str, first_day: str) -> int:
+    """K2: remove the days before ``first_day`` (``yyyy-MM-dd``) from the stored log
+    table, whichever batches or folds they lie in; returns the folders removed.
+    Rows without a valid day stay."""
+    import datetime as dt
+
+    from logweave.streaming.runs import remove
+    first = dt.date.fromisoformat(first_day).isoformat()
+    return remove(spark, path, "run=*/batch=*/dt=????-??-??", lambda name: name.removeprefix("dt=") < first)
+
+
 def anomalies_frame(df: DataFrame) -> DataFrame:
     """Project any anomaly rows onto the single wide anomaly schema."""
     out = []

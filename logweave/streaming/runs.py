@@ -187,12 +187,24 @@ def compact(spark: SparkSession, target: str, schema: T.StructType, by: tuple[st
     return number
 
 
+def _files(spark: SparkSession, target: str):
+    """Hadoop's file system of a table, and a glob below it."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, lambda glob: [s.getPath() for s in (fs.globStatus(path(f"{target}/{glob}")) or ())]
+
+
+def remove(spark: SparkSession, target: str, glob: str, which: Callable[[str], bool]) -> int:
+    """Remove the folders below ``target`` that match ``glob`` and whose name ``which`` accepts."""
+    fs, found = _files(spark, target)
+    return sum(bool(fs.delete(p, True)) for p in found(glob) if which(p.getName()))
+
+
 def vacuum(spark: SparkSession, target: str) -> int:
     """Remove folders of folded batches and merge the lines of the commit log; returns
     the folders removed.  For times when no reader still uses an older view."""
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = lambda glob: [s.getPath() for s in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}/{glob}")) or ())]
+    fs, found = _files(spark, target)
     old = found("_commits/part-*")      # listed before they are read: a later commit is not among them
     log = commits(spark, target)
     if log is None:

@@ -160,3 +160,20 @@ def test_no_rollup_yet(spark, tmp_dir):
     assert live.live_logs(spark, target).count() == 0
     r = live.live_snapshot(spark, target).first()
     assert (r.start, r.n_components, r.n_blocks, r.dominant_level) == (None, 0, 0, None)
+
+
+def test_old_days_expire(spark, tmp_dir):
+    from logweave.sources.sinks import expire_logs
+    path = os.path.join(tmp_dir, "logs")
+    for k, day in enumerate(["081101", "081102", "081109", "999999"]):
+        append_logs(logs(spark, [f"{day}-{k}"], day=day), path, "r", k)
+    append_logs(logs(spark, ["folded"], day="081101"), path, "r", 4)
+    compact_logs(spark, path)
+    append_logs(logs(spark, ["late"], day="081101"), path, "r", 5)
+    assert expire_logs(spark, path, "2008-11-02") >= 2
+    assert names(read_parsed_logs(spark, path)) == ["081102-1", "081109-2", "999999-3"]
+    assert expire_logs(spark, path, "2008-11-03") >= 1
+    runs.vacuum(spark, path)
+    assert names(read_parsed_logs(spark, path)) == ["081109-2", "999999-3"]
+    with pytest.raises(ValueError):
+        expire_logs(spark, path, "yesterday")
