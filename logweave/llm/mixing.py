@@ -131,17 +131,18 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic:
     """
     topic = topic_of(F.col(text_col)) if topic is None else topic
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = docs.select("*", key.alias("_mix_key"), topic.alias("_mix_topic"))
-    drawn = mix(keyed.select("_mix_key", "source", "lang", "_mix_topic", F.col(text_col)), id_col="_mix_key",
-                text_col=text_col, topic=F.col("_mix_topic"), **kw)
+    # The document's own columns travel as one: none of their names can clash.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"),
+                        topic.alias("topic"), "source", "lang", F.col(text_col).alias("text"))
+    drawn = mix(keyed.drop("doc"), id_col="key", text_col="text", topic=F.col("topic"), **kw)
     # Grouped, not distinct: the id alone spreads the rows, the cell keeps equal ids apart.
-    times = drawn.where("repeats > 0").groupBy(F.col("id").alias("_id"), *[F.col(d).alias(f"_{d}") for d in DIMS]) \
-        .agg(F.max("repeats").alias("_times"))
-    same = (F.col("_mix_key") == F.col("_id")) & F.col("_mix_topic").eqNullSafe(F.col("_topic"))
-    for d in ("source", "lang"):
-        same = same & F.col(d).eqNullSafe(F.col(f"_{d}"))
+    times = drawn.where("repeats > 0").groupBy(F.col("id").alias("of_id"), *[F.col(d).alias(f"of_{d}") for d in DIMS]) \
+        .agg(F.max("repeats").alias("times"))
+    same = F.col("key") == F.col("of_id")
+    for d in DIMS:
+        same = same & F.col(d).eqNullSafe(F.col(f"of_{d}"))
     return keyed.join(times, same).select(
-        *docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+        "doc", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("doc.*")
 
 
 def oracle(fraction: float = 0.5, rounds: int = 6) -> str:

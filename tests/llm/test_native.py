@@ -119,3 +119,13 @@ def test_the_drawn_sample_holds_the_targets(spark):
             assert sum(r[dim] == k for r in got) / len(got) == pytest.approx(v / sum(goal.values()), abs=0.03), (dim, k)
     repeats = {r.id: r.repeats for r in mixing.mix(df, fraction=corpus_pipeline.MIX_FRACTION).collect()}
     assert all(sum(g.doc_id == i for g in got) == repeats[i] for i in range(0, 2600, 50))
+
+
+def test_drawing_keeps_columns_of_any_name(spark):
+    rows = [(i, f"some words of text {i}", "en", f"s{i % 2}", "a", "b", "c", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _copy string, _mix_key string, "
+                               "key string, `a.b` int")
+    out = mixing.draw(df, fraction=1.0, rounds=2)
+    assert out.dtypes == df.dtypes
+    got = out.collect()
+    assert len(got) >= 20 and {tuple(r) for r in got} <= {tuple(r) for r in df.collect()}
