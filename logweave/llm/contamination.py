@@ -73,7 +73,8 @@ def _window_shingles(windows: DataFrame, sizes: list[int]) -> DataFrame:
 
 def _doc_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """(text_key, words, pos, key) of every shingle of every text, where it is read."""
-    at = docs.select("text_key", "words", F.posexplode("words").alias("pos", "_w"))
+    # Outer: else the optimizer would split each text twice, once to see that it has words.
+    at = docs.select("text_key", "words", F.posexplode_outer("words").alias("pos", "_w"))
     keys = [_shingle_key(F.col("words"), F.col("pos"), s) for s in sizes]
     return at.select("text_key", "words", "pos", keys[0].alias("key") if len(keys) == 1 else
                      F.explode(F.array(*keys)).alias("key"))
