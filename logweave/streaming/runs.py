@@ -23,7 +23,6 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,12 +94,9 @@ def _without(ranges: list[tuple[int, int]], gone: list[tuple[int, int]]) -> list
 def commits(spark: SparkSession, target: str) -> Commits | None:
     """The commit log of a table; None if it has none.  Its lines are one a batch
     since the last ``vacuum``, which merges them into ranges."""
-    try:
-        rows = spark.read.schema(COMMIT).json(f"{target}/_commits").collect()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not _files(spark, target)[1]("_commits"):
         return None
+    rows = spark.read.schema(COMMIT).json(f"{target}/_commits").collect()
     own: dict = {}
     folded: dict = {}
     for r in rows:
@@ -140,26 +136,25 @@ def _write(rows: DataFrame, target: str, run: str, number: int, by: tuple[str, .
 
 
 def _read(spark: SparkSession, target: str, schema: T.StructType, by: tuple[str, ...], lead: tuple[str, ...],
-          paths: str) -> DataFrame | None:
+          below: str = "") -> DataFrame | None:
+    """The files of a table, or of those of its folders that ``below`` (a glob) names; None if there are none."""
     extra = [*[T.StructField(c, T.IntegerType()) for c in lead], T.StructField("run", T.StringType()),
              T.StructField("batch", T.LongType()), *[T.StructField(c, T.StringType()) for c in by]]
-    try:
-        return spark.read.schema(T.StructType([*schema.fields, *extra])).option("basePath", target).parquet(paths)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not _files(spark, target)[1](below or "."):
         return None
+    reader = spark.read.schema(T.StructType([*schema.fields, *extra])).option("basePath", target)
+    return reader.parquet(f"{target}/{below}" if below else target)
 
 
 def read_batches(spark: SparkSession, target: str, schema: T.StructType, by: tuple[str, ...] = (),
                  lead: tuple[str, ...] = (), only: Iterable[int] | None = None) -> DataFrame | None:
     """All committed rows with their ``run`` and ``batch``; None while there are none.
     ``only`` reads these values of the first ``lead`` column and lists no other folder."""
-    paths = target if only is None else f"{target}/{lead[0]}={{{','.join(map(str, sorted(only)))}}}"
+    below = "" if only is None else f"{lead[0]}={{{','.join(map(str, sorted(only)))}}}"
     log = commits(spark, target)
     if log is not None and not log.live:
         return None
-    rows = _read(spark, target, schema, by, lead, paths)
+    rows = _read(spark, target, schema, by, lead, below)
     return rows if rows is None or log is None else rows.where(log.read())
 
 
@@ -176,7 +171,7 @@ def compact(spark: SparkSession, target: str, schema: T.StructType, by: tuple[st
     number = sum(b - a + 1 for x in small.values() for a, b in x)
     if number < least:
         return 0
-    rows = _read(spark, target, schema, by, lead, target)
+    rows = _read(spark, target, schema, by, lead)
     home = FOLD + uuid.uuid4().hex
     lines = [(run, a, b, home) for run, x in small.items() for a, b in x]
     if rows is not None:
