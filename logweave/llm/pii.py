@@ -5,6 +5,11 @@ characters, spelled digits or at/dot disguises also pass through transducers
 that rewrite them to plain characters and keep, for each character written, the
 source span it came from; the same detectors run on the rewritten text and
 their spans are mapped back.
+
+"Noun at domain" is plain prose, so a bare at before a plainly written domain is
+read as a sign only where the place tells a person: marks in the name, or words
+that address somebody right before it.  A lone number word counts as a digit only
+where digits go on, or end, beside it.
 """
 
 from __future__ import annotations
@@ -60,7 +65,10 @@ TOP_LEVEL = (
 CUES = r"e-?mails?|mail(?:to|s)?|contact|write|reach|address|kontakt|schreib\w*|adresse|courriel|[ée]cri\w*|correo|escrib\w*"
 NO_NAME = ("us|me|him|her|them|it|is|are|was|were|be|been|available|found|find|look|looking|looked|hosted|visit|online|"
            "website|site|sites|page|pages|here|there|more|out|up|down|live|work|works|read|see|met|and|or|not")
-NO_DOMAIN = "the|a|an|this|that|these|those|my|your|his|our|their|each|every|der|die|das|dem|den|ein|eine|le|la|les|un|une|el|los|las"
+#: Words that address the person named right after them.
+ADDRESSED = (r"ask|ping|message|contact|e-?mail(?:\s+to)?|mail(?:\s+to|to)|write\s+to|reach(?:\s+out\s+to)?|kontakt|"
+             r"schreib\w*\s+an|[ée]cri\w*\s+à|escrib\w*\s+a|demande\w*\s+à|frag\w*|pregunt\w*\s+a")
+NO_DOMAIN = "which|what|whom|whose|where|when|who|why|some|any|all|no|once|least|most|first|last|the|a|an|this|that|these|those|my|your|his|our|their|each|every|der|die|das|dem|den|ein|eine|le|la|les|un|une|el|los|las"
 
 _INVISIBLE = "­​‌‍⁠﻿"
 _PLAIN = {c: a for a, cs in LOOK_ALIKES.items() for c in cs} | dict.fromkeys(_INVISIBLE, "")
@@ -76,15 +84,29 @@ _END = r"(?![A-Z0-9-]|\.[A-Z0-9])"
 _MANY = rf"(?:[A-Z0-9-]+\s+(?:{DOT})\s+){{0,126}}"
 _TAIL = rf"{_MANY}(?:{TOP_LEVEL}){_END}"
 _SPELLED = rf"(?:[A-Z0-9-]+\.)*[A-Z0-9-]+\s+(?:{DOT})\s+"
-_BARE_AT = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])\s+(?:{AT})\s+(?={_SPELLED}{_TAIL})")
+_NOT_THE = rf"(?!(?:{NO_DOMAIN})(?![A-Z0-9-]))"
+_BARE_AT = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])\s+(?:{AT})\s+(?={_NOT_THE}{_SPELLED}{_TAIL})")
 # Any ending of two or more letters: what else the place tells is weighed by _told.
-_ANY_AT = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])\s+(?:{AT})\s+(?=(?!(?:{NO_DOMAIN})(?![A-Z0-9-]))"
+_ANY_AT = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])\s+(?:{AT})\s+(?={_NOT_THE}"
                      rf"(?P<domain>{_SPELLED}{_MANY}(?:(?!(?:{DOT})\b)[A-Z]{{2,}}){_END}"
                      rf"|(?!www\.)(?:[A-Z0-9-]+\.)+(?-i:[a-z]{{2,}}|[A-Z]{{2,}}){_END}(?![/:@])))")
 _BARE_DOT = re.compile(rf"(?i)(?<=[A-Z0-9-])\s+(?:{DOT})\s+(?={_TAIL}|[0-9])")
 # After an at sign the domain is known to be one: its dots are read up to the last label.
 _AFTER_AT = re.compile(rf"(?i)(?<=@)[A-Z0-9.-]*[A-Z0-9-](?:\s+(?:{DOT})\s+[A-Z0-9-]*[A-Z0-9])+")
 _SPACED_DOT = re.compile(rf"(?i)\s+(?:{DOT})\s+")
+# Signs set apart by blanks, single characters set apart, and digits set apart in four dotted groups.
+_LABEL = r"[A-Z0-9-]{1,63}"
+_BLANK_AT = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])[\x20\t]+@[\x20\t]+{_LABEL}(?:[\x20\t]?\.[\x20\t]?{_LABEL}){{0,9}}"
+                       rf"[\x20\t]+\.[\x20\t]+(?:{TOP_LEVEL}){_END}")
+_SPREAD = re.compile(r"(?i)(?<!\S)[A-Z0-9._%+-](?:\x20[A-Z0-9._%+-]){1,63}\x20@(?:\x20[A-Z0-9-]){1,63}"
+                     r"(?:\x20\.(?:\x20[A-Z0-9-]){1,63}){1,9}(?!\S)")
+_BYTE = r"[0-9](?:\x20?[0-9]){0,2}"
+_SPREAD_IP = re.compile(rf"(?i)(?<![0-9])(?<![0-9]\x20){_BYTE}(?:\s+(?:{DOT})\s+{_BYTE}){{3}}(?!\x20?[0-9])")
+_REFERENCE = re.compile(r"(?i)&(?:#(?:0{0,5}(?:64|46)|x0{0,4}(?:40|2e))|commat|period);")
+_SIGN_APART = re.compile(r"[\x20\t]@[\x20\t]")
+_BEFORE = re.compile(rf"(?i)(?:[0-9][\x20().-]*|(?<!\w)(?:{DOT}|{PLUS})\s+)$")
+_BEHIND = re.compile(rf"(?i)[\x20().-]*[0-9]|\s+(?:{DOT})(?!\w)")
+_ADDRESSED = re.compile(rf"(?i)(?<!\w)(?:{ADDRESSED})\s*[:\s]\s*$")
 _CUE = re.compile(rf"(?i)(?<!\w)(?:{CUES})(?!\w)")
 _WORDS = re.compile(r"\w+")
 _STOPS = frozenset(NO_NAME.split("|"))
@@ -173,25 +195,62 @@ def _as(sign: str):
     return lambda m: [(sign, 0, len(m[0]))]
 
 
+def _same(m: re.Match):
+    return [(c, k, k + 1) for k, c in enumerate(m[0])]
+
+
 def _digits(m: re.Match):
-    return [(_DIGIT_OF[w[0].lower()], w.start(), w.end()) for w in _ONE_DIGIT.finditer(m[0])]
+    words = [(_DIGIT_OF[w[0].lower()], w.start(), w.end()) for w in _ONE_DIGIT.finditer(m[0])]
+    return words if len(words) > 1 or _counts(m) else _same(m)
+
+
+def _counts(m: re.Match) -> bool:
+    """Whether a lone number word is a digit: it goes on, or ends, what digits or signs beside it began."""
+    head, tail = m.string[max(0, m.start() - 24):m.start()], m.string[m.end():m.end() + 24]
+    before, behind = _BEFORE.search(head), _BEHIND.match(tail)
+    if before and (behind or before[0][0].isalpha()):
+        return True
+    if before:
+        return not re.match(r"\s+\w", tail)
+    return bool(behind) and (behind[0][-1].isalpha() or not re.search(r"\w\s+$", head))
+
+
+def _name(m: re.Match) -> tuple[str, str]:
+    """The name before a bare at, and what stands before that."""
+    head = m.string[max(0, m.start() - 60):m.start()]
+    before = head.rstrip(_LOCAL)
+    return head[len(before):], before
 
 
 def _told(m: re.Match) -> bool:
-    """Whether what stands around a bare at tells an address: a name that is no
-    common word, and a dotted domain, a cue before, marks in the name or domain, or an end after."""
+    """Whether what stands around a bare at tells an address: a name that is no common
+    word, and before a plainly written domain marks in the name or words that address
+    somebody; before a spelled one a cue, marks in the name or domain, or an end after."""
     text, domain = m.string, m["domain"]
-    head = text[max(0, m.start() - 60):m.start()]
-    name = head[len(head.rstrip(_LOCAL)):]
+    name, before = _name(m)
     if name.lower() in _STOPS:
         return False
-    literal = not _SPACED_DOT.search(domain)
-    return literal or bool(_CUE.search(head)) or any(c in "0123456789._%+-" for c in name + domain) \
+    if not _SPACED_DOT.search(domain):
+        return any(c in "0123456789._%+-" for c in name) or bool(_ADDRESSED.search(before))
+    return bool(_CUE.search(before + name)) or any(c in "0123456789._%+-" for c in name + domain) \
         or not re.match(r"[^\S\n]+\w", text[m.end("domain"):m.end("domain") + 40])
 
 
+def _as_named(m: re.Match):
+    return _same(m) if _name(m)[0].lower() in _STOPS else [("@", 0, len(m[0]))]
+
+
+def _joined(m: re.Match):
+    """The match without its blanks."""
+    return [(c, k, k + 1) for k, c in enumerate(m[0]) if not c.isspace()]
+
+
+def _joined_dots(m: re.Match):
+    return [x for x in _dots(m) if not x[0].isspace()]
+
+
 def _as_told(m: re.Match):
-    return [("@", 0, len(m[0]))] if _told(m) else [(c, k, k + 1) for k, c in enumerate(m[0])]
+    return [("@", 0, len(m[0]))] if _told(m) else _same(m)
 
 
 def _dots(m: re.Match):
@@ -202,11 +261,17 @@ def _dots(m: re.Match):
     return out + [(m[0][k], k, k + 1) for k in range(at, len(m[0]))]
 
 
+def _reference(m: re.Match):
+    return [("@" if re.search("(?i)64|40|commat", m[0]) else ".", 0, len(m[0]))]
+
+
 def deobfuscate(text: str) -> Tape:
-    """All transducers in order: characters, spelled digits, boxed and bare at/dot, plus."""
+    """All transducers in order: characters, references, spelled digits, at and dot (boxed, bare, set apart), plus."""
     tape = Tape(text)
     if _odd(text):
         tape.characters(_plain)
+    if _REFERENCE.search(tape.text):
+        tape.spans(_REFERENCE, _reference)
     for pattern, write in _possible(tape.text):
         tape.spans(pattern, write)
     return tape
@@ -214,19 +279,21 @@ def deobfuscate(text: str) -> Tape:
 
 _DIGIT_WORDS, _AT_WORDS, _DOT_WORDS, _PLUS_WORDS = frozenset(_DIGIT_OF), *(
     frozenset(words.split("|")) for words in (AT, DOT, PLUS))
-#: The transducers over matches, in order, and the words one of which each needs (none: a box).
-SPANS = ((_DIGIT_RUN, _digits, _DIGIT_WORDS), (_BOXED_AT, _as("@"), None), (_BOXED_DOT, _as("."), None),
-         (_BARE_AT, _as("@"), _AT_WORDS), (_ANY_AT, _as_told, _AT_WORDS), (_AFTER_AT, _dots, _DOT_WORDS),
-         (_BARE_DOT, _as("."), _DOT_WORDS), (_PLUS, _as("+"), _PLUS_WORDS))
 _BOX = re.compile(rf"(?i){_OPEN}\s*(?:{AT}|{DOT}|[@.])\s*{_CLOSE}")
+#: The transducers over matches, in order, and the words one of which, or the pattern that, each needs.
+SPANS = ((_DIGIT_RUN, _digits, _DIGIT_WORDS), (_BOXED_AT, _as("@"), _BOX), (_BOXED_DOT, _as("."), _BOX),
+         (_SPREAD_IP, _joined_dots, _DOT_WORDS), (_SPREAD, _joined, _SIGN_APART), (_BLANK_AT, _joined, _SIGN_APART),
+         (_BARE_AT, _as_named, _AT_WORDS), (_ANY_AT, _as_told, _AT_WORDS), (_AFTER_AT, _dots, _DOT_WORDS),
+         (_BARE_DOT, _as("."), _DOT_WORDS), (_PLUS, _as("+"), _PLUS_WORDS))
 
 
 def _possible(text: str) -> list:
     """Transducers whose words the text holds, each as a whole word; transducers make no new words."""
     # The dotted capital I counts as an i to the patterns.
     words = set(_WORDS.findall(text.lower().replace("i\u0307", "i")))
-    box = bool(_BOX.search(text))
-    return [(p, w) for p, w, need in SPANS if (box if need is None else not need.isdisjoint(words))]
+    met = {need: bool(need.search(text)) if isinstance(need, re.Pattern) else not need.isdisjoint(words)
+           for _, _, need in SPANS}
+    return [(p, w) for p, w, need in SPANS if met[need]]
 
 
 def _odd(text: str) -> bool:
@@ -235,7 +302,7 @@ def _odd(text: str) -> bool:
 
 def disguised(text: str) -> bool:
     """Whether a transducer writes anything: none does if none matches the text itself."""
-    return _odd(text) or any(p.search(text) for p, _ in _possible(text))
+    return _odd(text) or bool(_REFERENCE.search(text)) or any(p.search(text) for p, _ in _possible(text))
 
 
 def find(text: str | None) -> list[tuple[str, int, int, bool]]:

@@ -34,7 +34,7 @@ _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _M64 = (1 << 64) - 1
 SKIPS, LONG = 3, 48     # skips of a segment that are cached, and up to which length
 SLICE = 1000     # rows whose tokens are held and handed over at a time
-CHUNK = 8192     # segments merged side by side
+CHUNK = 32768    # segments merged side by side
 
 
 class _Column:

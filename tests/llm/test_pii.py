@@ -121,3 +121,42 @@ def test_common_words_around_at_are_no_address():
 def test_long_blanks_take_linear_time():
     for t in ["a" + " " * 200_000 + "b one", "( " * 50_000, "x at " * 50_000, "a dot " * 20_000, "a at b.c " * 20_000]:
         pii.find(t)
+
+
+@pytest.mark.parametrize("text", [
+    "docs at spark.apache.org", "code at github.com", "a talk at example.org today", "The team at acme.co.uk won.",
+    "the point at which dot com firms fell", "look at the dot com boom", "see the docs at example.com, or write code",
+    "One of 12 345 two", "in 2019 one of them left", "order 123456789012 one more time", "chapter 4 one page",
+    "lunch @ noon . Then we left", "a & b", "5 dot 5", "x @ y", "AT&T; 10 &#8364;", "We saw one 446575838288943 there",
+])
+def test_prose_with_at_and_numbers_is_no_disguise(text):
+    assert pii.find(text) == [] and pii.redact(text) == text
+
+
+def test_a_number_word_after_a_phone_number_is_not_its_digit():
+    text = "Call +1 (848) 555-1373 Un jour viendra. +1 (848) 555-1373 one."
+    assert [s for s in pii.find(text) if not s[3]] == [("phone", 40, 61, False)]
+    assert pii.redact(text) == "Call [PHONE] Un jour viendra. [PHONE]."
+
+
+@pytest.mark.parametrize("text,kind,found", [
+    ("x jane @ example . com y", "email", "jane @ example . com"),
+    ("x jane&#64;example.com y", "email", "jane&#64;example.com"),
+    ("x jane&commat;mail&#x2E;example&period;com y", "email", "jane&commat;mail&#x2E;example&period;com"),
+    ("mail j a n e @ m a i l . c o m", "email", "j a n e @ m a i l . c o m"),
+    ("x 1 9 2 dot 168 dot 1 dot 2 5 y", "ip", "1 9 2 dot 168 dot 1 dot 2 5"),
+    ("x 192 dot 168 dot one dot 7 y", "ip", "192 dot 168 dot one dot 7"),
+    ("x 192 dot 168 dot 1 dot seven is up", "ip", "192 dot 168 dot 1 dot seven"),
+    ("please contact jane at example.com today", "email", "jane at example.com"),
+    ("j.doe at example.com sent it", "email", "j.doe at example.com"),
+    ("jane at example dot com sent it", "email", "jane at example dot com"),
+])
+def test_signs_set_apart_and_references(text, kind, found):
+    assert (kind, found) in [(k, text[s:e]) for k, s, e, base in pii.find(text) if not base]
+    assert found not in pii.redact(text) and f"[{kind.upper()}]" in pii.redact(text)
+
+
+def test_patterns_of_signs_set_apart_take_linear_time():
+    for t in ["a " * 100_000, "a @ " * 50_000, "1 " * 100_000, "1 dot " * 50_000, "a . " * 50_000, "&#0" * 50_000,
+              "one 1 " * 30_000, "x at y.z " * 20_000]:
+        pii.find(t)
