@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import cut, expand_ranges, lower_bytes, star_edges, told
@@ -47,18 +47,22 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle: int = 4) -> DataFrame:
+                 shingle: int = 4, mark: Column | None = None) -> DataFrame:
     """Rows (id, fp): one per input row; ``fp`` holds the 64 bits as a signed long.
 
-    Null, empty and blank texts have fingerprint zero.
+    Null, empty and blank texts have fingerprint zero.  ``mark`` adds a text
+    column of that name.
     """
+    extra = [] if mark is None else ["mark"]
+
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(t, shingle) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"id": b["id"], "fp": fps.view(np.int64)})
+            yield b[["id", *extra]].assign(fp=fps.view(np.int64))
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return told(rows.mapInPandas(run, "id string, fp long"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
+                       *([] if mark is None else [mark.alias("mark")]))
+    return told(rows.mapInPandas(run, ", ".join([f"{c} string" for c in ["id", *extra]] + ["fp long"])))
 
 
 class Ring:
@@ -165,7 +169,8 @@ def _verify(ring: Ring, pair_block: int):
 
 
 def links(classes: DataFrame, bits: int = 4, segments: int | None = None, chain: int = 2,
-          bucket_rows: int = 4096, pair_block: int = 1_000_000) -> DataFrame:
+          bucket_rows: int = 4096, pair_block: int = 1_000_000,
+          part_rows: int = 2_000_000) -> DataFrame:
     """Spanning edges (u, v) of the graph "at most ``bits`` differing bits" over
     the distinct fingerprints ``classes.fp``.
 
@@ -190,11 +195,21 @@ def links(classes: DataFrame, bits: int = 4, segments: int | None = None, chain:
             F.sequence(F.lit(0), F.coalesce(side, F.lit(1)) - 1),
             lambda k: F.when(F.col("probe"), k * side + place).otherwise(place * side + k)))
         rows = rows.join(hot, ["start", "key"], "left").withColumn("cell", F.explode(cells)).drop("side")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A partition is held by one task: as many as keep it at about ``part_rows`` rows.
+    keys = ring.m + sum(len(ring.flips(s)) for s in range(ring.m))
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                classes.count() * keys // part_rows + 1)
     return rows.repartition(parts, "start", "key", "cell").mapInPandas(
         _verify(ring, pair_block), "u long, v long")
 
 
+def _rooted(classes: DataFrame, bits: int, segments: int | None, chain: int) -> DataFrame:
+    """``classes`` with the ``root`` of each fingerprint's group."""
+    roots = components(links(classes, bits, segments, chain))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
+        .withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    shingle: int = 4, bits: int = 4, segments: int | None = None,
                    chain: int = 2) -> DataFrame:
@@ -209,21 +224,28 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = components(links(classes, bits, segments, chain))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-        .withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(classes, bits, segments, chain)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     comp = named.join(least, "root").select("fp", "component_id")
     return fps.join(comp, "fp").select(
         "id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` whose id names its group: one document a group.
-
-    An id names one document: of rows that repeat a kept id, one stays.  Rows
-    with a null id cannot be named by a group and all stay.  Columns are unchanged.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                     bits: int = 4, segments: int | None = None, chain: int = 2) -> DataFrame:
+    """One row of ``docs`` for each SimHash group: that with the smallest id, rows
+    without an id last; among equal ids that whose text has the smallest SHA-256
+    (a null text before all), among equal texts that whose other columns come
+    first as JSON.  Rows of different groups stay even where they share an id.
+    Columns are unchanged; an empty table gives no rows.
     """
-    kept = simhash_groups(docs, id_col, text_col, **kw).where("id = component_id").select("id").distinct()
-    named = docs.join(kept, docs[id_col].cast("long") == kept["id"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    mark = F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit(""))
+    fps = cut(fingerprints(docs, id_col, text_col, shingle, mark))
+    classes = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")))
+    kept = _rooted(classes, bits, segments, chain).groupBy("root").agg(F.min("first").alias("first")) \
+        .select(F.col("first.id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
+    row, others = F.struct(*[F.col(c) for c in docs.columns]), [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), mark.alias("own_mark"), row.alias("row")).join(
+        kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_mark") == F.col("kept_mark")), "left_semi")
+    order = F.to_json(F.struct(*[F.col("row")[c] for c in others])) if others else F.lit("")
+    return rows.groupBy("own_id", "own_mark").agg(F.min_by("row", order).alias("row")).select("row.*")

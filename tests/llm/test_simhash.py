@@ -1,5 +1,6 @@
 """SimHash groups against brute force over all pairs."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -83,11 +84,38 @@ def test_groups_match_brute_force(spark, bucket_rows, monkeypatch):
     assert got == sorted(((i, f"{f:016x}", c) for i, f, c in zip(ids, fps, want)), key=str)
     kept = simhash.drop_near_copies(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == \
-        sorted({i for i, c in zip(ids, want) if i == c} | {None}, key=str)
+    # One row of each group: groups by the places of rows, the row by (id, SHA-256 of its text).
+    groups = {}
+    for k, g in enumerate(slow_components(fps, list(range(len(texts))), 4)):
+        groups.setdefault(g, []).append((ids[k] is None, ids[k] or 0,
+                                         "" if texts[k] is None else hashlib.sha256(texts[k].encode()).hexdigest(), k))
+    first = [min(g)[3] for g in groups.values()]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == \
+        sorted(((ids[k], texts[k]) for k in first), key=str)
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_groups(df).count() == 0
     assert simhash.drop_near_copies(df).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Groups without ids, with repeated ids, repeated rows and rows that differ elsewhere."""
+    a, b, c = ("one two three four five six seven", "red green blue white black grey pink", "x y z u v w")
+    rows = [(None, a, 1), (None, a, 1), (7, a, 5), (9, a, 0), (None, b, 3), (None, b, 2), (None, None, 4), (None, "", 4),
+            (2 ** 53 + 1, c, None), (2 ** 53 + 1, c, 8), (7, "quite another text of its own", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root int").repartition(4)
+    got = sorted(map(tuple, simhash.drop_near_copies(df).collect()), key=str)
+    assert got == sorted([(7, a, 5), (None, b, 2), (None, None, 4), (2 ** 53 + 1, c, 8), rows[-1]], key=str)
+    assert simhash.drop_near_copies(df.select("text", "doc_id")).columns == ["text", "doc_id"]
+
+
+def test_many_partitions_change_nothing(spark, monkeypatch):
+    """Partitions by the number of rows, beyond the session's."""
+    texts = corpus(11, 120)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, simhash.simhash_groups(df).collect()))
+    real = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda c, *a: real(c, *a, part_rows=100))
+    assert sorted(map(tuple, simhash.simhash_groups(df).collect())) == want
