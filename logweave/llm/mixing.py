@@ -2,7 +2,8 @@
 
 Documents fall into cells (source, language, topic).  The cells' token weights
 are raked to target marginals, one dimension after another, in a fixed
-number of rounds: the last dimension then holds, the others closely; a document is then drawn with the calibrated rate of its cell.
+number of rounds: the last dimension then holds, the others closely.  A document
+is then drawn with the calibrated rate of its cell.
 Everything is grouped sums and joins on the cell table; the documents are read
 once for their cells and once for the draw.
 """
