@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave import schemas
-from logweave.functions.parse import normalise_event_id, primary_block_id
+from logweave.operators.features import block_events, widen_counts
 from logweave.streaming.runs import commits, compact, read_batches, start_batches, write_batch
 
 COUNTS = T.StructType().add("BlockId", "string").add("EventId", "string").add("count", "long")
@@ -22,18 +22,10 @@ SCORES = T.StructType().add("block_id", "string").add("is_anomaly", "boolean").a
 MODEL_RUN = "model"
 
 
-def batch_events(structured: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Counts by (block, event) of some structured-log rows; a null event stands for all others."""
-    event = normalise_event_id(F.col("EventId"))
-    rows = structured.select(primary_block_id(F.col("Content")).alias("BlockId"),
-                             F.when(event.isin(features or schemas.FEATURE_COLS), event).alias("EventId"))
-    return rows.where("BlockId is not null").groupBy("BlockId", "EventId").agg(F.count(F.lit(1)).alias("count"))
-
-
 def start_event_counts(stream: DataFrame, target: str, checkpoint: str, available_now: bool = False,
                        interval: str = "10 seconds"):
     """Run the stream: each micro-batch of (Content, EventId) adds its counts."""
-    return start_batches(stream, lambda batch, run, number: write_batch(batch_events(batch), target, run, number),
+    return start_batches(stream, lambda batch, run, number: write_batch(block_events(batch), target, run, number),
                          checkpoint, available_now, interval)
 
 
@@ -42,15 +34,17 @@ def read_event_matrix(spark, target: str, features: list[str] | None = None) ->
     df = read_batches(spark, target, COUNTS)
     if df is None:
         df = spark.createDataFrame([], COUNTS)
-    cells = [F.sum(F.when(F.col("EventId") == e, F.col("count")).otherwise(0)).cast("double").alias(e)
-             for e in features or schemas.FEATURE_COLS]
-    return df.groupBy("BlockId").agg(*cells)
+    return widen_counts(df, features)
+
+
+def merged_counts(df: DataFrame) -> DataFrame:
+    """Counts of all batches added up by (block, event)."""
+    return df.groupBy("BlockId", "EventId").agg(F.sum("count").alias("count"))
 
 
 def compact_events(spark, target: str, least: int = 2) -> int:
     """Add up the counts that batches have left; returns the batches folded."""
-    return compact(spark, target, COUNTS, least=least, merge=lambda df: df.groupBy("BlockId", "EventId").agg(
-        F.sum("count").alias("count")))
+    return compact(spark, target, COUNTS, least=least, merge=merged_counts)
 
 
 def publish_scores(scores: DataFrame, target: str) -> int:
