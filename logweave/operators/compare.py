@@ -21,14 +21,15 @@ def compare_models(matrix: DataFrame, k: int = 8, empirical: bool = False,
     from logweave.operators.kmeans import kmeans_exact_budget, standardize
     from logweave.operators.ocsvm import one_class_flags
 
-    labelled = binary_label(matrix, "Label", "y_true")
+    # The labels, the statistics and each model read the matrix: store it once.
+    labelled = binary_label(materialize(matrix), "Label", "y_true")
     c = empirical_contamination(labelled) if empirical else schemas.CONTAMINATION_DEFAULT
     rows = []
     km = kmeans_exact_budget(labelled, k=k, contamination=c)
     rows.append(binary_metrics(km.select("y_true", F.col("is_anomaly").cast("int").alias("y_pred")),
                                model=f"K-Means distance (k={k})"))
     feats = schemas.FEATURE_COLS
-    z = materialize(standardize(labelled, feats))
+    z = standardize(labelled, feats)
     zc = [f"z_{f}" for f in feats]
     if not skip_one_class:
         oc = one_class_flags(z, zc, ["y_true"], c)

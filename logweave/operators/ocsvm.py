@@ -177,7 +177,7 @@ def one_class_detector(matrix: DataFrame, detected_at: str,
     """M8 on the standardised event matrix -> anomaly rows."""
     from logweave.operators.kmeans import standardize
     feats = schemas.FEATURE_COLS
-    z = materialize(standardize(matrix, feats))
+    z = standardize(materialize(matrix), feats)
     flags = one_class_flags(z, [f"z_{c}" for c in feats], ["BlockId", "Label"], contamination)
     return (flags.filter(F.col("is_anomaly"))
             .select(F.lit(schemas.METHOD_OCSVM).alias("method"), F.col("BlockId").alias("block_id"),

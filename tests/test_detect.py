@@ -121,3 +121,31 @@ def test_labels_are_those_of_the_whole_table(spark):
     assert not r.has_data and not r.has_labels and r.method_counts is None
     r = metrics_reply(an.where("true_label is null"), gt).first()
     assert not r.has_labels and [tuple(x) for x in r.method_counts] == [("isolation_forest", 2)] and r.confusion_matrix is None
+
+
+def test_matrix_is_widened_in_many_small_tasks(spark):
+    """Only narrow counts are added up on the map side, and partitions that hold wide rows are not merged."""
+    from logweave.operators.features import block_events, event_matrix
+    rows = [(f"got blk_{i % 50}", f" e{i % 3 + 1} ") for i in range(600)] + [("got blk_7", None), ("no block", "E1")]
+    st = spark.createDataFrame(rows, "Content string, EventId string")
+    m = event_matrix(st)
+    assert m.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert block_events(st).columns == ["BlockId", "EventId", "count"]
+    got = {r.BlockId: (r.E1, r.E2, r.E3, r.E4) for r in m.collect()}
+    want = {f"blk_{b}": tuple(float(sum(i % 50 == b and i % 3 == e for i in range(600))) for e in range(3)) + (0.0,) for b in range(50)}
+    assert got == want
+
+
+def test_matrix_is_read_once_by_the_detectors(spark, monkeypatch):
+    """Statistics and scores read one stored matrix instead of building it again."""
+    from logweave import schemas
+    from logweave.operators import iforest, ocsvm
+    m = spark.range(40).selectExpr("concat('blk_', id) AS BlockId", *[f"cast(id % {i + 2} AS double) AS {c}" for i, c in enumerate(schemas.FEATURE_COLS)],
+                                   "'Success' AS Label")
+    for module, run in ((iforest, lambda: iforest.isolation_forest_detector(m, "t", n_trees=5, psi=16)),
+                        (ocsvm, lambda: ocsvm.one_class_detector(m, "t"))):
+        stored, keep = [], module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df: stored.append(df) or keep(df))
+        run()
+        assert stored[0] is m
+        monkeypatch.setattr(module, "materialize", keep)
