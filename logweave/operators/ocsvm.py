@@ -52,7 +52,7 @@ def rbf_gamma(z: DataFrame, cols: list[str]) -> float:
 
 def _cos_turns(t: np.ndarray) -> np.ndarray:
     """``cos(2 pi t)``, as ``sin(2 pi (1/4 - |t|))`` of the nearest turn; overwrites ``t``.
-    Four times as fast as ``np.cos`` of doubles where that has no vector code."""
+    Faster than ``np.cos`` of doubles where that has no vector code (figures: README)."""
     t -= np.rint(t)
     np.abs(t, out=t)
     np.subtract(0.25, t, out=t)
