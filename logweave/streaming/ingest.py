@@ -30,7 +30,8 @@ def parse_envelopes(values: DataFrame, value_col: str = "value") -> DataFrame:
     without ``raw`` parses as the empty line and is dropped too.  Extra
     columns of ``values`` (keys, offsets) are kept.
     """
-    env = values.withColumn("_env", decode_envelope(F.col(value_col)))
+    # Past a one-element generator the text is decoded once, not again for each field and filter.
+    env = values.select("*", F.inline(F.array(F.struct(decode_envelope(F.col(value_col)).alias("_env")))))
     env = env.filter(F.col("_env").isNotNull() & F.col("_env.payload").isNotNull())
     env = env.select("*", F.col("_env.ingested_at").alias("ingested_at"),
                      F.col("_env.source_file").alias("source_file"),

@@ -188,3 +188,28 @@ def test_one_class_without_rows(spark):
     from logweave.operators.ocsvm import one_class_flags
     m = _planted(spark, 3, 0).where("false")
     assert one_class_flags(m, schemas.FEATURE_COLS, ["BlockId"]).count() == 0
+
+
+def test_class_mean_distance_equals_brute_force(spark, monkeypatch):
+    """Scaler and centres from one pass: far-off values, a constant, missing cells and single blocks."""
+    from logweave.operators import kmeans as K
+    feats = ["E1", "E2", "E3", "E4"]
+    rng = np.random.default_rng(5)
+    x = np.column_stack([1e8 + rng.integers(0, 3, 60), rng.integers(0, 9, 60), np.full(60, 0.1), rng.random(60) * 2e8])
+    x[0] = [0, 5e8, 0.1, 0]                 # the only block of its event
+    x[1, 1] = x[2, 3] = np.nan              # written as nulls
+    rows = [(f"b{i}", "Normal", *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    rows.append(("none", "Normal", None, None, None, None))
+    df = spark.createDataFrame(rows, "BlockId string, Label string, " + ", ".join(f"{c} double" for c in feats)).repartition(4)
+    monkeypatch.setattr(K, "standardize", None)     # no pass of its own for the scaler
+    got = {r.BlockId: (r.cluster, r.distance) for r in K.class_mean_distance(df, feats, places=6).collect()}
+    sd = np.nanstd(x, axis=0, ddof=1)
+    z = np.where(sd > 1e-12, (x - np.nanmean(x, axis=0)) / np.where(sd > 1e-12, sd, 1), 0.0)
+    cluster = np.nanargmax(x, axis=1)
+    assert set(got) == {f"b{i}" for i in range(60)}
+    for i in range(60):
+        d = np.sqrt(((z[i] - np.nanmean(z[cluster == cluster[i]], axis=0)) ** 2).sum())
+        k, v = got[f"b{i}"]
+        assert k == cluster[i] + 1 and (v is None if np.isnan(d) else abs(v - d) < 2e-6), (i, v, d)
+    assert got["b0"][1] == 0.0
+    assert K.class_mean_distance(df.limit(0), feats).collect() == []

@@ -35,6 +35,37 @@ def test_a_line_is_matched_once(spark):
     assert p.count("regexp_replace") == 2 and p.count(LOG_LINE_RE[:20]) == 2
 
 
+def test_a_block_id_is_looked_for_once(spark):
+    from logweave.operators.features import block_events
+    rows = [("Receiving block blk_1", " e1"), ("blk_-2 and blk_1", "E30"), ("none", "E1"), (None, None), ("blk_1", "e1 ")]
+    df = block_events(spark.createDataFrame(rows, "Content string, EventId string"))
+    p = _plan(df)
+    assert p.count("regexp_extract") == 1, p
+    assert sorted(map(tuple, df.collect()), key=str) == [("blk_-2", None, 1), ("blk_1", "E1", 2)]
+
+
+def test_an_envelope_is_decoded_once(spark):
+    from logweave.streaming.ingest import parse_envelopes
+    rows = [('{"ingested_at": "t", "source_file": "f", "payload": {"raw": "081109 203518 143 INFO a.B: blk_1"}}',),
+            ("{",), (None,), ('{"ingested_at": "t"}',)]
+    df = parse_envelopes(spark.createDataFrame(rows, "value string"))
+    p = _plan(df.select("ingested_at", "source_file", "block_id"))
+    assert p.count("from_json") == 1, p
+    assert [tuple(r) for r in df.select("ingested_at", "source_file", "block_id").collect()] == [("t", "f", "blk_1")]
+
+
+def test_structured_files_are_dealt_without_a_sort(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "tables")
+    spark.range(300).selectExpr("id AS l_orderkey", "id % 50 AS l_partkey", "id % 3 AS l_suppkey",
+                                "CAST(id % 8 AS INT) AS l_linenumber", "CAST(1 AS DOUBLE) AS l_quantity") \
+        .write.parquet(os.path.join(folder, "lineitem.parquet"))
+    path = os.path.join(tmp_dir, "structured")
+    fx.structured_files(spark, folder, path)
+    got, want = spark.read.parquet(path), fx.structured(spark, folder)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert 1 < len([f for f in os.listdir(path) if f.endswith(".parquet")]) <= 8
+
+
 def test_separator_in_a_line(spark):
     from logweave.functions.parse import parse_lines
     rows = [("081109 203518 143 INFO a.B: x\x01y\x01z",), ("a\x01b\x01c\x01d\x01e\x01f",), ("a\x01" * 9,)]
